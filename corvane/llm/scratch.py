@@ -32,10 +32,7 @@ def bound_batches(spark: SparkSession) -> None:
 
 def size_hint(df: DataFrame) -> int:
     """Bytes that the optimizer expects of a frame, without running it."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
-    except Exception:  # a plan without statistics
-        return 0
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def parts(df: DataFrame, mb: float = 8.0) -> int:
