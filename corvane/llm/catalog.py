@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from corvane.llm import op7_lines
+from corvane.llm import op7_lines, op9_toxicity
 
 
 def queries() -> dict:
-    return {"op7_line_dedup": op7_lines.query}
+    return {"op7_line_dedup": op7_lines.query, "op9_toxicity": op9_toxicity.query}
 
 
 def oracle_sql() -> dict[str, str]:
