@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from corvane.llm import op7_lines, op9_toxicity
+from corvane.llm import op2_decontamination, op7_lines, op9_toxicity
 
 
 def queries() -> dict:
-    return {"op7_line_dedup": op7_lines.query, "op9_toxicity": op9_toxicity.query}
+    return {
+        "op2_decontamination": op2_decontamination.query,
+        "op7_line_dedup": op7_lines.query,
+        "op9_toxicity": op9_toxicity.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
