@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.llm import op2_decontamination, op7_lines, op9_toxicity
+from corvane.llm import op10_jaccard, op2_decontamination, op7_lines, op9_toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_decontamination": op2_decontamination.query,
         "op7_line_dedup": op7_lines.query,
         "op9_toxicity": op9_toxicity.query,
+        "op10_jaccard_join": op10_jaccard.query,
     }
 
 
