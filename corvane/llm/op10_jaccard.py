@@ -95,7 +95,8 @@ def digest(x: np.ndarray) -> bytes:
 # 1. Nodes
 
 _SENT = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("refs", pa.binary()), ("nodes", pa.binary()), ("own", pa.binary())])
-_COUNTS = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("n", pa.int32()), ("half", pa.int32()), ("shared", pa.int32()), ("row", pa.bool_())])
+_COUNTS = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("n", pa.int32()), ("half", pa.int32()), ("shared", pa.int32())])
+_SHARED = pa.schema([("piece", pa.int32()), ("nodes", pa.binary()), ("counts", pa.binary()), ("own", pa.binary())])
 
 
 def _send(buckets: int):
@@ -115,7 +116,7 @@ def _send(buckets: int):
             ref = np.where(count > 1, MANY, r[start]).astype(np.uint16)
             key = key[start]
             nodes = list(known)
-            mine = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids, keys_of, ns, [len(hashes[known[k]]) if k else 0 for k in keys_of], [int(shared[known[k]]) if k else 0 for k in keys_of], [True] * len(ids)), _COUNTS, strict=True)], schema=_COUNTS)
+            mine = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids, keys_of, ns, [len(hashes[known[k]]) if k else 0 for k in keys_of], [int(shared[known[k]]) if k else 0 for k in keys_of]), _COUNTS, strict=True)], schema=_COUNTS)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, _COUNTS) as w:
                 w.write_batch(mine)
@@ -130,7 +131,7 @@ def _send(buckets: int):
                     # Only the nodes that this bucket refers to go along.
                     real = used[used != MANY]
                     local = np.where(ref[x:y] == MANY, MANY, local).astype(np.uint16)
-                    rows.append({"bucket": k, "keys": pack(key[x:y].astype(np.uint32)), "refs": pack(local), "nodes": b"".join(nodes[v] for v in real.tolist()), "own": sink.getvalue().to_pybytes() if k == home else b""})
+                    rows.append({"bucket": k, "keys": pack(key[x:y].astype(np.uint32)), "refs": pack(local), "nodes": b"".join(nodes[v][:8] for v in real.tolist()), "own": sink.getvalue().to_pybytes() if k == home else b""})
             ids.clear(), ns.clear(), keys_of.clear(), hashes.clear(), known.clear()
             return pa.RecordBatch.from_pylist(rows, schema=_SENT)
 
@@ -154,34 +155,59 @@ def _send(buckets: int):
     return run
 
 
-def _count(batches):
-    keys, refs, nodes, base = [], [], [], 0
+def _count(pieces: int):
+    """Counts of shared keys by node (the first 8 bytes of its digest), for ``pieces`` parts of the nodes."""
+
+    def run(batches):
+        keys, refs, nodes, base = [], [], [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["own"]:
+                    yield pa.RecordBatch.from_pylist([{"piece": -1, "own": row["own"]}], schema=_SHARED)
+                r = np.frombuffer(row["refs"], np.uint16).astype(np.int64)
+                keys.append(np.frombuffer(row["keys"], np.uint32).astype(np.uint64) | np.uint64(row["bucket"] << 32))
+                refs.append(np.where(r == MANY, -1, r + base))
+                nodes.append(row["nodes"])
+                base += len(row["nodes"]) // 8
+        if not keys:
+            return
+        key, ref = np.concatenate(keys), np.concatenate(refs)
+        del keys, refs
+        order = np.argsort(key, kind="stable")
+        key, ref = key[order], ref[order]
+        same = key[1:] == key[:-1]
+        shared = np.zeros(len(key), bool)
+        shared[1:] |= same
+        shared[:-1] |= same
+        n = np.bincount(ref[shared & (ref >= 0)], minlength=base)
+        some = np.flatnonzero(n)
+        node = np.frombuffer(b"".join(nodes), np.uint64)[some]
+        part = node % np.uint64(pieces)
+        order = np.argsort(part, kind="stable")
+        node, n, cut = node[order], n[some][order], np.searchsorted(part[order], np.arange(pieces + 1))
+        rows = [{"piece": k, "nodes": pack(node[cut[k] : cut[k + 1]]), "counts": pack(n[cut[k] : cut[k + 1]].astype(np.uint32))} for k in range(pieces) if cut[k + 1] > cut[k]]
+        for k in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_pylist(rows[k : k + 64], schema=_SHARED)
+
+    return run
+
+
+def _sum(batches):
+    nodes, counts = [], []
+    for batch in batches:
+        nodes += [np.frombuffer(x, np.uint64) for x in batch.column(0).to_pylist()]
+        counts += [np.frombuffer(x, np.uint32) for x in batch.column(1).to_pylist()]
+    if nodes:
+        names, at = np.unique(np.concatenate(nodes), return_inverse=True)
+        total = np.bincount(at, np.concatenate(counts)).astype(np.int64)
+        raw = pack(names)
+        yield pa.RecordBatch.from_arrays([pa.array([raw[i : i + 8] for i in range(0, len(raw), 8)], pa.binary()), pa.array(total)], names=["short", "others"])
+
+
+def _own(batches):
     for batch in batches:
-        for row in batch.to_pylist():
-            if row["own"]:
-                yield from pa.ipc.open_stream(row["own"])
-            r = np.frombuffer(row["refs"], np.uint16).astype(np.int64)
-            keys.append(np.frombuffer(row["keys"], np.uint32).astype(np.uint64) | np.uint64(row["bucket"] << 32))
-            refs.append(np.where(r == MANY, -1, r + base))
-            nodes.append(row["nodes"])
-            base += len(row["nodes"]) // 16
-    if not keys:
-        return
-    key, ref = np.concatenate(keys), np.concatenate(refs)
-    del keys, refs
-    order = np.argsort(key, kind="stable")
-    key, ref = key[order], ref[order]
-    same = key[1:] == key[:-1]
-    shared = np.zeros(len(key), bool)
-    shared[1:] |= same
-    shared[:-1] |= same
-    n = np.bincount(ref[shared & (ref >= 0)], minlength=base)
-    table = b"".join(nodes)
-    for at in range(0, base, 50_000):
-        some = np.flatnonzero(n[at : at + 50_000]) + at
-        if len(some):
-            out = [pa.nulls(len(some), pa.int64()), pa.array([table[16 * k : 16 * k + 16] for k in some.tolist()], pa.binary()), pa.nulls(len(some), pa.int32()), pa.nulls(len(some), pa.int32()), pa.array(n[some].astype(np.int32)), pa.array(np.zeros(len(some), bool))]
-            yield pa.RecordBatch.from_arrays(out, schema=_COUNTS)
+        for x in batch.column(0).to_pylist():
+            yield from pa.ipc.open_stream(x)
 
 
 # 2. Regions
@@ -481,9 +507,14 @@ def jaccard_components(docs: DataFrame, broadcast_rows: int = 500_000) -> DataFr
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = parts(docs)
     sent = src.mapInArrow(_send(buckets), "bucket int, keys binary, refs binary, nodes binary, own binary")
-    counts = s.save(sent.repartition(buckets, "bucket").mapInArrow(_count, "doc_id long, node binary, n int, half int, shared int, row boolean"), "counts")
-    nodes = counts.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("half").alias("half"), F.sum("shared").alias("shared"))
+    pieces = max(1, buckets // 4)
+    counts = s.save(sent.repartition(buckets, "bucket").mapInArrow(_count(pieces), "piece int, nodes binary, counts binary, own binary"), "counts")
+    rows = s.save(counts.where("piece < 0").select("own").mapInArrow(_own, "doc_id long, node binary, n int, half int, shared int"), "rows")
+    others = counts.where("piece >= 0").repartition(pieces, "piece").select("nodes", "counts").mapInArrow(_sum, "short binary, others long")
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("half").alias("half"), F.sum("shared").alias("shared"))
+    nodes = nodes.withColumn("short", F.substring("node", 1, 8)).join(others, "short", "left").withColumn("shared", F.col("shared") + F.coalesce("others", F.lit(0))).drop("short", "others")
     nodes = s.save(nodes, "nodes")
+    s.drop("counts")
     may = nodes.where("5 * (half - shared) <= n")
     wanted = may.select("doc_id", "node")
     few = may.count() <= broadcast_rows
@@ -509,7 +540,6 @@ def jaccard_components(docs: DataFrame, broadcast_rows: int = 500_000) -> DataFr
     named = s.save(named, "named")
     least = named.groupBy("part").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "part").select("node", "component_id")
-    rows = counts.where("row")
     full = rows.where("node is not null").join(named, "node").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     none = rows.where("node is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return s.done(full.union(none))
