@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from corvane.llm import op10_jaccard, op2_decontamination, op3_token_counts, op6_packing, op7_lines, op9_toxicity
+from corvane.llm import op10_jaccard, op2_decontamination, op3_token_counts, op4_neighbours, op6_packing, op7_lines, op8_secrets, op9_toxicity
 
 
 def queries() -> dict:
     return {
         "op2_decontamination": op2_decontamination.query,
         "op3_token_counts": op3_token_counts.query,
+        "op4_neighbours": op4_neighbours.query,
         "op6_packing": op6_packing.query,
         "op7_line_dedup": op7_lines.query,
+        "op8_secrets": op8_secrets.query,
         "op9_toxicity": op9_toxicity.query,
         "op10_jaccard_join": op10_jaccard.query,
     }
