@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from corvane.llm import op10_jaccard, op2_decontamination, op3_token_counts, op4_neighbours, op6_packing, op7_lines, op8_secrets, op9_toxicity
+from corvane.llm import op1_suffixes, op10_jaccard, op2_decontamination, op3_token_counts, op4_neighbours, op6_packing, op7_lines, op8_secrets, op9_toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_substring_dedup": op1_suffixes.query,
         "op2_decontamination": op2_decontamination.query,
         "op3_token_counts": op3_token_counts.query,
         "op4_neighbours": op4_neighbours.query,
