@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.llm import op1_suffixes, op10_jaccard, op2_decontamination, op3_token_counts, op4_neighbours, op6_packing, op7_lines, op8_secrets, op9_toxicity
+from corvane.llm import op1_suffixes, op10_jaccard, op2_decontamination, op3_token_counts, op4_neighbours, op5_windows, op6_packing, op7_lines, op8_secrets, op9_toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_decontamination": op2_decontamination.query,
         "op3_token_counts": op3_token_counts.query,
         "op4_neighbours": op4_neighbours.query,
+        "op5_near_passages": op5_windows.query,
         "op6_packing": op6_packing.query,
         "op7_line_dedup": op7_lines.query,
         "op8_secrets": op8_secrets.query,

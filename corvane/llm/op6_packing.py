@@ -57,12 +57,15 @@ class Ids:
     words on their bytes, and each new word is encoded once; all others go to the library whole.
     """
 
-    def __init__(self, spec: str, most: int = 300_000):
+    def __init__(self, spec: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model, self.most = Tokenizer.from_str(spec), most
         self.special = [t["content"].encode() for t in json.loads(spec)["added_tokens"]]
+        vocab = json.loads(spec)["model"]["vocab"]
+        self.last = np.zeros(max(vocab.values()) + 1 + len(self.special), bool)  # tokens that end a word
+        self.last[[k for t, k in vocab.items() if t.endswith("</w>")]] = True
         self.classes, self.roll = _byte_classes(), Rolling(31)
         self.lower = np.arange(256, dtype=np.uint8)
         self.lower[65:91] += 32
@@ -73,9 +76,14 @@ class Ids:
         self.ids, self.start, self.size, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
     def _learn(self, keys: list[int], words: list[str]) -> None:
-        got = [e.ids for e in self.model.encode_batch(words, add_special_tokens=False)]
-        sizes = np.array([len(g) for g in got], np.int64)
-        flat = np.concatenate([np.array(g, np.uint32) for g in got]) if sizes.sum() else np.zeros(0, np.uint32)
+        # Words are encoded as one text, and parted after the tokens that end a word.
+        flat = np.array(self.model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        sizes = np.diff(np.flatnonzero(self.last[flat]), prepend=-1)
+        got = words
+        if len(sizes) != len(words) or sizes.sum() != len(flat):
+            got = [e.ids for e in self.model.encode_batch(words, add_special_tokens=False)]
+            sizes = np.array([len(g) for g in got], np.int64)
+            flat = np.concatenate([np.array(g, np.uint32) for g in got])
         n = len(self.known)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -148,7 +156,9 @@ class Ids:
         keys = unique.tolist()
         new = [k for k, x in enumerate(keys) if x not in self.known]
         if new:
-            self._learn([keys[k] for k in new], [low[s[f] : e[f]].tobytes().decode("utf-8", "replace") for f in first[new].tolist()])
+            for a in range(0, len(new), 1000):
+                some = new[a : a + 1000]
+                self._learn([keys[k] for k in some], [low[s[f] : e[f]].tobytes().decode("utf-8", "replace") for f in first[some].tolist()])
         slot = np.array([self.known[x] for x in keys], np.int64)[inverse] if len(keys) else np.zeros(0, np.int64)
         sizes = self.size[slot]
         flat = self.ids[ragged(self.start[slot], sizes)]
