@@ -4,12 +4,622 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corvane.functions import stats as S
+from corvane.functions import text as X
+from corvane.functions import vectors as V
+from corvane.operators import calibration as C
+from corvane.operators import graph as G
+from corvane.operators import kg as K
+from corvane.operators import terms as M
+from corvane.plans import sparql
+from corvane.plans.fixpoint import closure, components
+from corvane.plans.views import EXTRA_EDGES, HIERARCHY_SQL, ISOLATED, REGION_NAMESPACE, SUPPLIES_SQL, corpus, hierarchy, ontology, supplies, table, vectors
+from corvane.sources.readers import response_lines
+
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_S: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _Q[f.__name__] = f
+        if sql:
+            _S[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_S)
+
+
+_RX = X.TOKEN.replace("'", "''")
+_TOKS = f"regexp_extract_all(lower(text), '{_RX}')"
+
+# Text
+
+
+@query(f"""
+WITH kept AS (SELECT * FROM documents WHERE length(text) > 50), n AS (SELECT count(*)::DOUBLE AS n FROM kept),
+t AS (SELECT unnest(list_distinct({_TOKS})) AS token FROM kept)
+SELECT token, count(*) AS df, round(ln(any_value(n.n) / count(*)), 6) AS idf FROM t, n GROUP BY token HAVING count(*) >= 5""")
+def background_idf(spark, sf):
+    return M.background_idf(corpus(spark, sf))
+
+
+_STOPS = ", ".join(f"'{w}'" for w in X.STOP)
+_TERMS = f"""
+toks AS (SELECT doc_id, lang AS genre, {_TOKS} AS t FROM documents),
+runs AS (SELECT doc_id, genre, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM toks, (VALUES (2), (3)) v(n) WHERE len(t) >= n),
+terms AS (SELECT DISTINCT doc_id, genre, array_to_string(t[i:i + n - 1], ' ') AS term FROM runs WHERE t[i] NOT IN ({_STOPS}) AND t[i + n - 1] NOT IN ({_STOPS})),
+freq AS (SELECT term, count(*) AS frequency FROM terms GROUP BY term HAVING count(*) >= 2)"""
+_CVAL = """,
+sized AS (SELECT term, frequency, len(string_split(term, ' ')) AS words FROM freq),
+inside AS (SELECT a.term, sum(b.frequency) AS held, count(*) AS holders FROM sized a JOIN (SELECT * FROM sized WHERE words > 2) b ON b.words > a.words AND contains(b.term, a.term) GROUP BY a.term),
+cval AS (SELECT s.term, s.frequency, round((CASE WHEN words > 1 THEN log2(words::DOUBLE) ELSE 1 END) * (s.frequency - coalesce(held::DOUBLE / holders, 0)), 6) AS c_value FROM sized s LEFT JOIN inside i ON s.term = i.term)"""
+
+
+def _terms(spark, sf, common: int = 2):
+    t = M.candidate_terms(corpus(spark, sf))
+    return t, M.term_frequencies(t, common)
+
+
+@query(f"WITH {_TERMS} SELECT term, genre, count(*) AS df FROM terms GROUP BY GROUPING SETS ((term), (term, genre))")
+def genre_document_frequency(spark, sf):
+    return M.genre_frequencies(_terms(spark, sf)[0])
+
+
+@query(f"WITH {_TERMS}{_CVAL} SELECT term, frequency, c_value FROM cval")
+def term_cvalue(spark, sf):
+    return M.c_values(_terms(spark, sf)[1])
+
+
+_TFIDF = f""",
+kept AS (SELECT * FROM documents WHERE length(text) > 50), n AS (SELECT count(*)::DOUBLE AS n FROM kept), nd AS (SELECT count(*)::DOUBLE AS n FROM documents),
+idf AS (SELECT token, round(ln(any_value(n.n) / count(*)), 6) AS idf FROM (SELECT unnest(list_distinct({_TOKS})) AS token FROM kept), n GROUP BY token HAVING count(*) >= 5),
+words AS (SELECT term, unnest(string_split(term, ' ')) AS token FROM freq),
+best AS (SELECT term, max(coalesce(idf, 15.0)) AS idf FROM words LEFT JOIN idf USING (token) GROUP BY term),
+tfidf AS (SELECT f.term, round(f.frequency / nd.n * b.idf, 9) AS tfidf FROM freq f JOIN best b USING (term), nd)"""
+_COMBINED = """,
+tops AS (SELECT (SELECT max(c_value) FROM cval) AS cm, (SELECT max(tfidf) FROM tfidf) AS tm),
+scored AS (SELECT term, c_value, tfidf, round(0.5::DOUBLE * (CASE WHEN cm > 0 THEN coalesce(c_value, 0) / cm ELSE 0 END) + 0.5::DOUBLE * (CASE WHEN tm > 0 THEN coalesce(tfidf, 0) / tm ELSE 0 END), 6) AS combined FROM cval FULL JOIN tfidf USING (term), tops)"""
+
+
+def _scored(spark, sf):
+    t, f = _terms(spark, sf)
+    docs = corpus(spark, sf)
+    tf = M.term_tfidf(f, M.background_idf(docs).select("token", "idf"), docs.agg(F.count("*").cast("double").alias("n")))
+    return t, tf, M.combined(M.c_values(f), tf)
+
+
+@query(f"WITH {_TERMS}{_TFIDF} SELECT term, tfidf FROM tfidf")
+def term_tfidf(spark, sf):
+    return _scored(spark, sf)[1]
+
+
+@query(f"WITH {_TERMS}{_CVAL}{_TFIDF}{_COMBINED} SELECT term, c_value, tfidf, combined, row_number() OVER (ORDER BY combined DESC, term) AS rank FROM scored ORDER BY combined DESC, term LIMIT 500")
+def term_inventory_ranked(spark, sf):
+    return M.top_terms(_scored(spark, sf)[2])
+
+
+@query(f"WITH {_TERMS}{_CVAL}{_TFIDF}{_COMBINED}, g AS (SELECT genre, term, count(*) AS df FROM terms GROUP BY genre, term) SELECT genre, term, df, c_value, tfidf, combined, rank FROM (SELECT *, row_number() OVER (PARTITION BY genre ORDER BY combined DESC, term) AS rank FROM g JOIN scored USING (term)) WHERE rank <= 200")
+def genre_inventory_ranked(spark, sf):
+    t, _, s = _scored(spark, sf)
+    return M.top_terms_by_genre(s, t)
+
+
+@query("SELECT lang AS genre, count(*) AS documents, round(count(*)::DOUBLE / sum(count(*)) OVER (), 4) AS share FROM documents GROUP BY lang")
+def genre_proportions(spark, sf):
+    return M.genre_proportions(corpus(spark, sf))
+
+
+@query("SELECT lower(regexp_replace(trim(p_name), '\\s+', ' ', 'g')) AS term, list_sort(list_distinct(list(p_name))) AS raw_forms FROM (SELECT p_name FROM part UNION ALL SELECT upper(p_name) FROM part) GROUP BY 1")
+def term_raw_forms(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_name").alias("form"))
+    return M.raw_forms(p.union(p.select(F.upper("form"))))
+
+
+@query("SELECT doc_id, len(list_distinct(list_filter(list_transform(regexp_split_to_array(text, '\\s+'), lambda w: trim(lower(w), '.,;:!?\"''()[]{}—–')), lambda w: length(w) > 2))) AS n_terms FROM documents")
+def chunk_terms(spark, sf):
+    return corpus(spark, sf).select("doc_id", F.size(X.chunk_terms(F.col("text"))).cast("long").alias("n_terms"))
+
+
+_LABELS = ("NonConformanceReports", "Non-Conformance Report", "manufacturing_processes", "Assemblies", "OWLClasses", "batches", "shelves", "criteria", "chassis", "statuses", "boxes", "parts", "XMLHttpRequests", "bus", "is", "")
+
+
+def _singular(w: str) -> str:
+    rules = " ".join(f"WHEN ends_with({w}, '{a}') AND length({w}) >= {len(a) + n} THEN left({w}, length({w}) - {len(a)}) || '{b}'" for a, b, n in X.SUFFIXES)
+    return f"CASE WHEN length({w}) < 3 OR {w} IN ({', '.join(repr(x) for x in X.INVARIANT)}) THEN {w} {rules} ELSE {w} END"
+
+
+_NORM = f"""
+raw AS (SELECT DISTINCT label FROM (SELECT p_name AS label FROM part UNION ALL SELECT n_name FROM nation UNION ALL SELECT c_name FROM customer UNION ALL SELECT * FROM (VALUES {', '.join(f"('{x}')" for x in _LABELS)}) v(label))),
+flat AS (SELECT label, trim(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(replace(label, '_', ' '), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^0-9a-z\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS flat FROM raw),
+w AS (SELECT label, string_split(flat, ' ') AS words, string_split(flat, ' ')[-1] AS head FROM flat),
+norm AS (SELECT label, array_to_string(list_append(words[:-2], {_singular('head')}), ' ') AS norm FROM w)"""
+
+
+def _labels(spark, sf):
+    t = table(spark, sf, "part").select(F.col("p_name").alias("label")).union(table(spark, sf, "nation").select("n_name")).union(table(spark, sf, "customer").select("c_name"))
+    t = t.union(spark.createDataFrame([(x,) for x in _LABELS], "label string")).distinct()
+    return t.withColumn("norm", X.normalise_label(F.col("label")))
+
+
+@query(f"WITH {_NORM} SELECT label, norm FROM norm")
+def label_normalisation(spark, sf):
+    return _labels(spark, sf)
+
+
+@query(f"WITH {_NORM} SELECT label, norm FROM norm WHERE norm <> lower(trim(label))")
+def non_normalised_terms(spark, sf):
+    return _labels(spark, sf).where(F.col("norm") != F.lower(F.trim("label")))
+
+
+_SCORED = """
+prem AS (SELECT d.doc_id, b.item_id, list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]+')) AS p, list_filter(regexp_extract_all(lower(b.text), '[a-z0-9]+'), lambda w: length(w) > 2) AS h, l.quality AS truth, d.source
+         FROM labels l JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = d.doc_id % 40),
+scored AS (SELECT doc_id, item_id, truth, source, coalesce(len(list_filter(h, lambda w: list_contains(p, w)))::DOUBLE / nullif(len(h), 0), 0) AS score FROM prem)"""
+
+
+def _entailed(spark, sf):
+    d = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id").join(F.broadcast(table(spark, sf, "benchmark").select("item_id", F.col("text").alias("want"))), F.col("item_id") == F.col("doc_id") % 40)
+    return d.select("doc_id", "item_id", F.col("quality").alias("truth"), "source", X.lexical_entailment(F.col("text"), F.col("want")).alias("score"))
+
+
+@query(f"WITH {_SCORED} SELECT doc_id, item_id, round(score, 9) AS score FROM scored")
+def lexical_entailment(spark, sf):
+    return _entailed(spark, sf).select("doc_id", "item_id", F.round("score", 9).alias("score"))
+
+
+# Patterns
+
+_PAT = "pats AS (SELECT item_id AS pattern_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS a, array_to_string(string_split(text, ' ')[4:5], ' ') AS b FROM benchmark)"
+_HIT = f"{_PAT}, low AS (SELECT doc_id, lang AS genre, lower(text) AS low FROM documents), g AS (SELECT DISTINCT lang AS genre FROM documents), hit AS (SELECT pattern_id, genre, count(*) AS hits FROM low JOIN pats ON contains(low, lower(a)) OR contains(low, lower(b)) GROUP BY ALL), hits AS (SELECT p.pattern_id, g.genre, coalesce(h.hits, 0)::BIGINT AS hits FROM pats p CROSS JOIN g LEFT JOIN hit h ON p.pattern_id = h.pattern_id AND g.genre = h.genre)"
+
+
+def _patterns(spark, sf):
+    w = F.split("text", " ")
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("pattern_id"), F.array(F.array_join(F.slice(w, 1, 3), " "), F.array_join(F.slice(w, 4, 2), " ")).alias("alternates"))
+
+
+def _hits(spark, sf):
+    c = corpus(spark, sf)
+    return C.pattern_hits(c, _patterns(spark, sf), c.select("genre").distinct())
+
+
+@query(f"WITH {_HIT} SELECT pattern_id, genre, hits FROM hits")
+def pattern_hit_test(spark, sf):
+    return _hits(spark, sf)
+
+
+@query(f"WITH {_HIT}, rec AS (SELECT pattern_id // 3 AS cq_id, sum(hits) AS n FROM hits GROUP BY 1) SELECT cq_id, n = 0 AS zero_hit FROM rec UNION ALL SELECT -1, TRUE")
+def zero_hit_patterns(spark, sf):
+    rec = _patterns(spark, sf).groupBy((F.col("pattern_id") / 3).cast("long").alias("cq_id")).agg(F.collect_list("pattern_id").alias("pattern_ids"))
+    none = spark.createDataFrame([(-1, [])], "cq_id long, pattern_ids array<long>")
+    return C.zero_hits(rec.union(none), _hits(spark, sf))
+
+
+@query(f"WITH {_HIT} SELECT genre, count(*) AS patterns, avg((hits > 0)::INT::DOUBLE) AS hit_rate FROM hits GROUP BY genre")
+def pattern_hit_rate(spark, sf):
+    return _hits(spark, sf).groupBy("genre").agg(F.count("*").alias("patterns"), F.avg((F.col("hits") > 0).cast("int").cast("double")).alias("hit_rate"))
+
+
+@query("SELECT item_id, list_sort(list_distinct(list_filter([lower(w[1]), lower(w[2]), lower(w[3])], lambda x: x <> ''))) AS terms FROM (SELECT item_id, string_split(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), ' ') AS w FROM benchmark)")
+def alternation_terms(spark, sf):
+    w = F.split(F.regexp_replace("text", "[^a-zA-Z ]", ""), " ")
+    return table(spark, sf, "benchmark").select("item_id", X.split_alternation(F.concat(F.lit("("), F.array_join(F.slice(w, 1, 3), "|"), F.lit(").*"))).alias("terms"))
+
+
+@query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))")
+def leakage_pairs(spark, sf):
+    return C.leakage(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+# Vectors
+
+_VEC = "terms AS (SELECT vec_id AS term, embedding::DOUBLE[] AS v, label AS genre FROM embeddings WHERE vec_id >= 50), labs AS (SELECT vec_id AS label, embedding::DOUBLE[] AS w FROM embeddings WHERE vec_id < 50), sims AS (SELECT term, genre, label, list_dot_product(v, w) AS sim FROM terms, labs), best AS (SELECT term, any_value(genre) AS genre, arg_max(label, (sim, -label)) AS label, max(sim) AS sim FROM sims GROUP BY term)"
+
+
+@query(f"WITH {_VEC} SELECT term, label, round(sim, 6) AS similarity, sim >= 0.28 AS matched FROM best")
+def term_label_match(spark, sf):
+    return V.match_terms(*vectors(spark, sf), 0.28)
+
+
+@query(f"WITH {_VEC} SELECT term, label, round(sim, 6) AS similarity, sim >= 0.28 AS matched FROM best")
+def term_label_match_blocked(spark, sf):
+    return V.match_terms_blocked(*vectors(spark, sf), 0.28)
+
+
+def _matched(spark, sf):
+    t, w = vectors(spark, sf)
+    return V.match_terms(t, w, 0.28).join(t.select("term", "genre"), "term")
+
+
+@query(f"WITH {_VEC} SELECT genre, count(*) AS n_terms, sum((sim >= 0.28)::INT)::BIGINT AS n_matched, round(avg((sim >= 0.28)::INT::DOUBLE), 6) AS coverage FROM best GROUP BY genre")
+def coverage_by_genre(spark, sf):
+    return V.coverage(_matched(spark, sf), "genre")
+
+
+@query(f"WITH {_VEC}, c AS (SELECT genre, round(avg((sim >= 0.28)::INT::DOUBLE), 6) AS v FROM best GROUP BY genre), s AS (SELECT sum(v) AS t, count(*) AS g FROM c) SELECT CASE WHEN any_value(g) <= 1 THEN 1.0::DOUBLE WHEN any_value(t) = 0 THEN 0.0::DOUBLE ELSE round(sum(CASE WHEN v > 0 THEN -(v / t) * ln(v / t) ELSE 0 END) / ln(any_value(g)::DOUBLE), 6) END AS balance FROM c, s")
+def genre_coverage_balance(spark, sf):
+    return S.normalised_entropy(V.coverage(_matched(spark, sf), "genre"), "coverage")
+
+
+@query(f"WITH {_VEC} SELECT label, round(max(sim), 6) AS score FROM sims GROUP BY label HAVING max(sim) >= 0.3")
+def class_window_scores(spark, sf):
+    t, w = vectors(spark, sf)
+    return V.class_scores(w, t.select("term", "v"), 0.3)
+
+
+# Statistics
+
+_Z = S.Z
+
+
+def _wilson_sql(k: str, n: str) -> str:
+    c = f"(({k})::DOUBLE/({n}) + {_Z * _Z}/(2*({n})::DOUBLE)) / (1 + {_Z * _Z}/({n})::DOUBLE)"
+    h = f"{_Z} * sqrt((({k})::DOUBLE/({n}))*(1-({k})::DOUBLE/({n}))/({n}) + {_Z * _Z}/(4*({n})::DOUBLE*({n}))) / (1 + {_Z * _Z}/({n})::DOUBLE)"
+    e = lambda x: f"(CASE WHEN {x} < 1e-12 THEN 0.0::DOUBLE WHEN {x} > 1 - 1e-12 THEN 1.0::DOUBLE ELSE {x} END)"
+    return f"round(({k})::DOUBLE/({n}), 6) AS estimate, round({e(f'({c} - {h})')}, 6) AS lower, round({e(f'({c} + {h})')}, 6) AS upper, round({h}, 6) AS half_width"
+
+
+@query(f"WITH s AS (SELECT source, sum(quality)::BIGINT AS successes, count(*) AS trials FROM labels JOIN documents USING (doc_id) GROUP BY source) SELECT source, successes, trials, {_wilson_sql('successes', 'trials')} FROM s")
+def wilson_by_source(spark, sf):
+    t = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("quality").alias("successes"), F.count("*").alias("trials"))
+    w = S.wilson(F.col("successes"), F.col("trials"))
+    return t.withColumn("w", w).select("source", "successes", "trials", *[F.round(f"w.{c}", 6).alias(c) for c in ("estimate", "lower", "upper", "half_width")])
+
+
+@query(f"WITH {_SCORED}, s AS (SELECT source, sum((score >= 0.1)::INT)::BIGINT AS successes, count(*) AS trials FROM scored GROUP BY GROUPING SETS ((), (source))) SELECT source, successes, trials, {_wilson_sql('successes', 'trials')} FROM s")
+def precision_by_genre(spark, sf):
+    return K.precision(_entailed(spark, sf), "score", 0.1, "source")
+
+
+_TH = (0.0, 0.05, 0.1, 0.2, 0.5)
+
+
+@query(f"WITH {_SCORED} SELECT t::DOUBLE AS threshold, round(avg(CASE WHEN truth = 1 THEN (score >= t)::INT::DOUBLE END), 9) AS sensitivity, round(avg(CASE WHEN truth = 0 THEN (score < t)::INT::DOUBLE END), 9) AS specificity, round(avg(CASE WHEN truth = 1 THEN (score >= t)::INT::DOUBLE END) + avg(CASE WHEN truth = 0 THEN (score < t)::INT::DOUBLE END) - 1, 9) AS youden FROM scored, (SELECT unnest([{', '.join(map(str, _TH))}]::DOUBLE[]) AS t) GROUP BY t")
+def threshold_sweep_youden(spark, sf):
+    return S.threshold_sweep(_entailed(spark, sf), "score", "truth", list(_TH)).select("threshold", *[F.round(c, 9).alias(c) for c in ("sensitivity", "specificity", "youden")])
+
+
+@query(f"WITH {_SCORED} SELECT count_if(truth = 1) AS positives, count_if(truth = 1 AND score >= 0.1) AS true_positives, count_if(truth = 0) AS negatives, count_if(truth = 0 AND score < 0.1) AS true_negatives FROM scored")
+def sensitivity_specificity(spark, sf):
+    return S.rates(_entailed(spark, sf), "score", "truth", 0.1).drop("sensitivity", "specificity")
+
+
+def _strata(spark, sf):
+    return corpus(spark, sf).groupBy("genre").agg(F.count("*").alias("size"))
+
+
+@query("WITH s AS (SELECT lang AS genre, count(*) AS size FROM documents GROUP BY lang), q AS (SELECT *, 97.0::DOUBLE * size / sum(size) OVER ()::DOUBLE AS quota, sum(size) OVER () AS total FROM s), b AS (SELECT *, least(floor(quota), size) AS base FROM q), r AS (SELECT *, 97 - sum(base) OVER () AS rest, row_number() OVER (ORDER BY (size > base) DESC, quota - floor(quota) DESC, genre) AS turn FROM b) SELECT genre, size, (CASE WHEN 97 >= total THEN size ELSE base + (CASE WHEN size > base AND turn <= rest THEN 1 ELSE 0 END) END)::BIGINT AS allocated FROM r")
+def proportional_allocation(spark, sf):
+    return S.proportional_allocation(_strata(spark, sf), "genre", "size", 97)
+
+
+@query("WITH s AS (SELECT lang AS genre, count(*) AS size FROM documents GROUP BY lang), q AS (SELECT *, floor(600.0::DOUBLE * sqrt(size::DOUBLE) / sum(sqrt(size::DOUBLE)) OVER ())::BIGINT AS share FROM s) SELECT genre, size, share, least(share, size) AS allocated, greatest(share - size, 0) AS shortfall FROM q")
+def sqrt_allocation(spark, sf):
+    return S.sqrt_allocation(_strata(spark, sf), "genre", "size", 600)
+
+
+@query("WITH s AS (SELECT lang AS genre, count(*) AS size FROM documents GROUP BY lang), q AS (SELECT *, 97.0::DOUBLE * size / sum(size) OVER ()::DOUBLE AS quota FROM s), b AS (SELECT *, least(floor(quota), size) AS base FROM q), r AS (SELECT *, 97 - sum(base) OVER () AS rest, row_number() OVER (ORDER BY (size > base) DESC, quota - floor(quota) DESC, genre) AS turn FROM b), a AS (SELECT genre, base + (CASE WHEN size > base AND turn <= rest THEN 1 ELSE 0 END) AS n FROM r) SELECT doc_id, genre, place FROM (SELECT doc_id, lang AS genre, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR || '|7'), doc_id) AS place FROM documents) JOIN a USING (genre) WHERE place <= n")
+def stratified_sample(spark, sf):
+    a = S.proportional_allocation(_strata(spark, sf), "genre", "size", 97)
+    return C.stratified_sample(corpus(spark, sf).select("doc_id", "genre"), a, "genre", "doc_id", 7).select("doc_id", "genre", "place")
+
+
+@query("WITH d AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR || '|3'), doc_id) AS r FROM documents) SELECT doc_id, lang AS genre, CASE WHEN r <= 20 THEN 'a' ELSE 'b' END AS sample FROM d WHERE r <= 40")
+def two_sample_draw(spark, sf):
+    return C.two_samples(corpus(spark, sf).select("doc_id", "genre"), "genre", "doc_id", 20, 3)
+
+
+@query(f"WITH toks AS (SELECT doc_id, unnest(list_distinct({_TOKS})) AS term FROM documents), st AS (SELECT doc_id, least(floor(('0x' || left(md5(doc_id::VARCHAR || '|5'), 8))::BIGINT / 4294967296.0::DOUBLE * 10), 9)::INT AS step FROM documents), new AS (SELECT step, count(*) AS new_terms FROM (SELECT term, min(step) AS step FROM toks JOIN st USING (doc_id) GROUP BY term) GROUP BY step), s AS (SELECT step, count(*) AS documents FROM st GROUP BY step), j AS (SELECT s.step, documents, coalesce(new_terms, 0) AS new_terms FROM s LEFT JOIN new USING (step)) SELECT step, documents, new_terms, sum(documents) OVER (ORDER BY step)::BIGINT AS cum_documents, sum(new_terms) OVER (ORDER BY step)::BIGINT AS cum_terms FROM j")
+def saturation_curve(spark, sf):
+    c = corpus(spark, sf)
+    return C.saturation(c.select("doc_id", F.explode(X.token_set(F.col("text"))).alias("term")), c, "doc_id", 5)
+
+
+_P = "p AS (SELECT event_type AS family, user_id AS name, (1.0::DOUBLE / (1 + count(*))) / 10 AS p FROM events GROUP BY ALL)"
+
+
+@query(f"WITH {_P}, r AS (SELECT *, count(*) OVER (PARTITION BY family) AS m, row_number() OVER (PARTITION BY family ORDER BY p, name) AS r FROM p) SELECT family, name, round(p, 9) AS p, round(least(1.0, max(p * (m - r + 1)) OVER (PARTITION BY family ORDER BY r)), 9) AS adjusted FROM r")
+def holm_adjusted(spark, sf):
+    p = table(spark, sf, "events").groupBy(F.col("event_type").alias("family"), F.col("user_id").alias("name")).agg((F.lit(1.0) / (F.count("*") + 1) / 10).alias("p"))
+    return S.holm(p, "family", "name", "p").select("family", "name", F.round("p", 9).alias("p"), F.round("adjusted", 9).alias("adjusted"))
+
+
+@query("WITH r AS (SELECT event_type, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 7 END AS rank FROM events) SELECT event_type, round(avg(coalesce((rank <= 1)::INT, 0)::DOUBLE), 9) AS top1, round(avg(coalesce((rank <= 3)::INT, 0)::DOUBLE), 9) AS top3, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 9) AS mrr FROM r GROUP BY event_type")
+def mrr_topk(spark, sf):
+    r = table(spark, sf, "events").select("event_type", F.nullif(F.col("event_id") % 7, F.lit(0)).alias("rank"))
+    return S.ranking_quality(r, "event_type", "rank").select("event_type", *[F.round(c, 9).alias(c) for c in ("top1", "top3", "mrr")])
+
+
+@query("SELECT event_type, round(regr_slope(value, event_id), 12) AS slope, round(regr_intercept(value, event_id), 6) AS intercept, count(*) AS n FROM events GROUP BY event_type")
+def visibility_gradient(spark, sf):
+    return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.regr_slope("value", "event_id"), 12).alias("slope"), F.round(F.regr_intercept("value", "event_id"), 6).alias("intercept"), F.count("*").alias("n"))
+
+
+@query("WITH t AS (SELECT o_orderstatus a, o_orderpriority b, count(*)::DOUBLE n FROM orders GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY a) na, sum(n) OVER (PARTITION BY b) nb, sum(n) OVER () t FROM t) SELECT round(2 * sum(n/t * ln(n*t/(na*nb))) / (sum(-n/t*ln(na/t)) + sum(-n/t*ln(nb/t))), 9) AS nmi FROM m")
+def community_nmi(spark, sf):
+    return S.nmi(table(spark, sf, "orders"), "o_orderstatus", "o_orderpriority").select(F.round("nmi", 9).alias("nmi"))
+
+
+# Graphs
+
+_REC = f"e AS (SELECT DISTINCT s, o FROM ({HIERARCHY_SQL})), cl(s, o) AS (SELECT s, o FROM e UNION SELECT cl.s, e.o FROM cl JOIN e ON cl.o = e.s)"
+
+
+@query(f"WITH RECURSIVE {_REC} SELECT s, o FROM cl")
+def class_closure(spark, sf):
+    return closure(hierarchy(spark, sf))
+
+
+_ALL = f"nodes AS (SELECT s AS cls FROM e UNION SELECT o FROM e UNION SELECT '{ISOLATED[0]}')"
+_DEPTH = f"{_REC}, {_ALL}, cyc AS (SELECT DISTINCT s FROM cl WHERE s = o), bad AS (SELECT s FROM cyc UNION SELECT cl.s FROM cl JOIN cyc ON cl.o = cyc.s), ok AS (SELECT e.* FROM e WHERE s NOT IN (SELECT s FROM bad)), paths(cls, d) AS (SELECT cls, 0 FROM nodes WHERE cls NOT IN (SELECT s FROM e) UNION SELECT ok.s, d + 1 FROM paths JOIN ok ON ok.o = paths.cls), depth AS (SELECT n.cls, coalesce(max(d), -1)::INT AS depth FROM nodes n LEFT JOIN paths p ON n.cls = p.cls GROUP BY n.cls)"
+
+
+@query(f"WITH RECURSIVE {_DEPTH} SELECT cls, depth FROM depth")
+def class_depth(spark, sf):
+    e = hierarchy(spark, sf)
+    nodes = e.select(F.col("s").alias("cls")).union(e.select("o")).union(spark.createDataFrame([(x,) for x in ISOLATED], "cls string")).distinct()
+    return G.class_depth(nodes, e)
+
+
+@query(f"""WITH RECURSIVE {_DEPTH}, c AS (SELECT count(*) AS classes FROM nodes), k AS (SELECT count(*) AS edges, count(DISTINCT s) AS p FROM e), mp AS (SELECT count(*) AS m FROM (SELECT s FROM e GROUP BY s HAVING count(*) > 1))
+SELECT classes, edges, 2::BIGINT AS object_properties, 1::BIGINT AS data_properties, round(edges::DOUBLE / classes, 4) AS inheritance_richness, round(2.0::DOUBLE / (2 + edges), 4) AS relationship_richness, round(1.0::DOUBLE / classes, 4) AS attribute_richness,
+(SELECT max(depth) FROM depth WHERE depth >= 0) AS max_depth, round((SELECT avg(depth) FROM depth WHERE depth >= 0), 4) AS mean_depth, round((classes - p)::DOUBLE / classes, 4) AS orphan_rate, m AS multi_parent FROM c, k, mp""")
+def ontoqa_profile(spark, sf):
+    return G.structural_profile(ontology(spark, sf))
+
+
+@query(f"WITH e AS (SELECT DISTINCT s, o FROM ({HIERARCHY_SQL})), {_ALL} SELECT cls FROM nodes WHERE cls NOT IN (SELECT s FROM e)")
+def orphan_classes(spark, sf):
+    o = ontology(spark, sf)
+    return G.named_classes(o).join(G.subclass_edges(o).select(F.col("s").alias("cls")), "cls", "left_anti")
+
+
+_NS = ", ".join(f"({k}, '{v}')" for k, v in REGION_NAMESPACE)
+_AL = f"ns(k, iri) AS (VALUES {_NS}), e AS (SELECT DISTINCT s, coalesce(ns.iri, o) AS o FROM ({HIERARCHY_SQL}) h LEFT JOIN ns ON h.o = 'region:' || ns.k), cl(s, o) AS (SELECT s, o FROM e UNION SELECT cl.s, e.o FROM cl JOIN e ON cl.o = e.s), nodes AS (SELECT s AS cls FROM e UNION SELECT o FROM e), dom AS (SELECT cls FROM nodes WHERE NOT starts_with(cls, '{G.BFO}') AND NOT starts_with(cls, '{G.IOF}') AND NOT starts_with(cls, '{G.CCO}')), r AS (SELECT s, min(CASE WHEN starts_with(o, '{G.CCO}') THEN 1 WHEN starts_with(o, '{G.IOF}') OR o = '{G.BFO_144}' THEN 2 WHEN starts_with(o, '{G.BFO}') THEN 3 END) AS r FROM cl GROUP BY s), al AS (SELECT cls, CASE r WHEN 1 THEN 'CCO-aligned' WHEN 2 THEN 'IOF-aligned' WHEN 3 THEN 'BFO-only-aligned' ELSE 'unaligned' END AS alignment FROM dom LEFT JOIN r ON cls = s)"
+
+
+def _aligned(spark, sf):
+    ns = spark.createDataFrame(list(REGION_NAMESPACE), "k int, iri string").select(F.concat(F.lit("region:"), "k").alias("o"), "iri")
+    e = hierarchy(spark, sf).join(F.broadcast(ns), "o", "left").select("s", F.coalesce("iri", "o").alias("o")).distinct()
+    return G.alignment(e.select(F.col("s").alias("cls")).union(e.select("o")).distinct(), e)
+
+
+@query(f"WITH RECURSIVE {_AL} SELECT cls, alignment FROM al")
+def alignment_cascade(spark, sf):
+    return _aligned(spark, sf)
+
+
+@query(f"WITH RECURSIVE {_AL} SELECT alignment, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS rate FROM al GROUP BY alignment")
+def alignment_summary(spark, sf):
+    return G.alignment_summary(_aligned(spark, sf))
+
+
+@query(f"WITH t AS ({SUPPLIES_SQL}) SELECT s, count(DISTINCT o) AS n FROM t GROUP BY s HAVING count(DISTINCT o) > 1")
+def functional_violations(spark, sf):
+    return supplies(spark, sf).groupBy("s").agg(F.countDistinct("o").alias("n")).where("n > 1")
+
+
+@query(f"WITH t AS ({SUPPLIES_SQL}) SELECT o, count(DISTINCT s) AS n FROM t GROUP BY o HAVING count(DISTINCT s) > 1")
+def inverse_functional_violations(spark, sf):
+    return supplies(spark, sf).groupBy("o").agg(F.countDistinct("s").alias("n")).where("n > 1")
+
+
+_TRADE = "t AS (SELECT DISTINCT s_nationkey AS s, c_nationkey AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 49 AND l_linenumber = 1 AND month(o_orderdate) = 2)"
+
+
+def _trade(spark, sf):
+    li = table(spark, sf, "lineitem").where("l_quantity >= 49 and l_linenumber = 1")
+    o = table(spark, sf, "orders").where("month(o_orderdate) = 2")
+    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").alias("s"), F.col("c_nationkey").alias("o")).distinct()
+
+
+@query(f"WITH {_TRADE} SELECT a.s, a.o FROM t a JOIN t b ON a.s = b.o AND a.o = b.s WHERE a.s <> a.o")
+def asymmetric_pairs(spark, sf):
+    t = _trade(spark, sf)
+    return t.where("s <> o").join(t.select(F.col("o").alias("s"), F.col("s").alias("o")), ["s", "o"], "left_semi")
+
+
+@query(f"WITH {_TRADE} SELECT s, count(*) AS n FROM t WHERE s = o GROUP BY s")
+def irreflexive_violations(spark, sf):
+    return _trade(spark, sf).where("s = o").groupBy("s").agg(F.count("*").alias("n"))
+
+
+def _rule_graph(spark, sf):
+    """Assertions with seeded disjoint classes, a functional and an inverse functional property and a domain."""
+    iri = F.lit("iri")
+    t = supplies(spark, sf)
+    kg = t.select("s", F.lit("p:supplies").alias("p"), "o", iri.alias("o_kind"))
+    kg = kg.union(t.where("substr(s, -1) < '5'").select("s", F.lit(G.TYPE).alias("p"), F.lit("c:Part").alias("o"), iri.alias("o_kind"))).union(t.where("substr(s, -1) = '3'").select("s", F.lit(G.TYPE).alias("p"), F.lit("c:Steel").alias("o"), iri.alias("o_kind")))
+    rows = [("c:Part", G.TYPE, G.OWL + "Class"), ("c:Metal", G.TYPE, G.OWL + "Class"), ("c:Steel", G.TYPE, G.OWL + "Class"), ("c:Steel", G.SUB, "c:Metal"), ("c:Metal", G.OWL + "disjointWith", "c:Part"), ("p:supplies", G.TYPE, G.OWL + "ObjectProperty"), ("p:supplies", G.TYPE, G.OWL + "FunctionalProperty"), ("p:supplies", G.TYPE, G.OWL + "InverseFunctionalProperty"), ("p:supplies", G.RDFS + "domain", "c:Part")]
+    ont = spark.createDataFrame([(s, "iri", p, o, "iri") for s, p, o in rows], "s string, s_kind string, p string, o string, o_kind string")
+    return kg, ont
+
+
+@query(f"""WITH t AS (SELECT DISTINCT s, o FROM ({SUPPLIES_SQL})), d AS (SELECT DISTINCT s FROM t), n AS (
+SELECT 'violation' AS kind, 'disjoint_types' AS rule, count(*) AS n FROM d WHERE right(s, 1) = '3' UNION ALL
+SELECT 'violation', 'functional', count(*) FROM (SELECT s FROM t GROUP BY s HAVING count(*) > 1) UNION ALL SELECT 'violation', 'inverse_functional', count(*) FROM (SELECT o FROM t GROUP BY o HAVING count(*) > 1) UNION ALL
+SELECT 'near', 'untyped_domain', count(*) FROM t WHERE right(s, 1) >= '5') SELECT * FROM n UNION ALL
+SELECT k, r, 0 FROM (VALUES ('violation', 'irreflexive'), ('violation', 'asymmetric'), ('near', 'untyped_range'), ('punning', 'class_as_individual'), ('punning', 'individual_as_class'), ('anomaly', 'property_as_type'), ('anomaly', 'type_not_in_ontology')) v(k, r)""")
+def rule_check(spark, sf):
+    return G.rule_check(*_rule_graph(spark, sf))
+
+
+@query("WITH o AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT' AND month(o_orderdate) = 1) SELECT c_nationkey AS class_id, count(*) AS individuals, count(*) FILTER (k IS NULL) AS orphans, round(count(*) FILTER (k IS NULL)::DOUBLE / count(*), 6) AS orphan_rate FROM customer LEFT JOIN o ON c_custkey = k GROUP BY c_nationkey")
+def orphan_instances(spark, sf):
+    o = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT' and month(o_orderdate) = 1").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("has", F.lit(True))
+    t = table(spark, sf, "customer").join(o, "c_custkey", "left").groupBy(F.col("c_nationkey").alias("class_id")).agg(F.count("*").alias("individuals"), F.count_if(F.col("has").isNull()).alias("orphans"))
+    return t.withColumn("orphan_rate", F.round(F.col("orphans") / F.col("individuals"), 6))
+
+
+@query("SELECT count(DISTINCT p_brand) AS classes, count(DISTINCT CASE WHEN l_partkey IS NOT NULL THEN p_brand END) AS classes_used, round(count(DISTINCT CASE WHEN l_partkey IS NOT NULL THEN p_brand END)::DOUBLE / count(DISTINCT p_brand), 6) AS utilisation FROM part LEFT JOIN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity >= 50 AND l_linenumber = 7) ON p_partkey = l_partkey")
+def class_utilisation(spark, sf):
+    u = table(spark, sf, "lineitem").where("l_quantity >= 50 and l_linenumber = 7").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("used", F.lit(True))
+    t = table(spark, sf, "part").join(u, "p_partkey", "left").agg(F.countDistinct("p_brand").alias("classes"), F.countDistinct(F.when(F.col("used"), F.col("p_brand"))).alias("classes_used"))
+    return t.withColumn("utilisation", F.round(F.col("classes_used") / F.col("classes"), 6))
+
+
+@query("SELECT conv_id, count(*) AS turns, round(1000.0::DOUBLE * count(*) / sum(length(text)), 6) AS yield_per_1000 FROM conversations GROUP BY conv_id")
+def yield_per_1000(spark, sf):
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.round(F.lit(1000.0) * F.count("*") / F.sum(F.length("text")), 6).alias("yield_per_1000"))
+
+
+# SPARQL
+
+
+@query("SELECT 'nation:' || n_nationkey AS nation, r_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE contains(lower(r_name), 'a')")
+def bgp_join(spark, sf):
+    q = 'SELECT ?nation ?name WHERE { ?nation rdfs:subClassOf ?r . ?r rdfs:label ?name . ?nation rdfs:label ?own . FILTER(CONTAINS(LCASE(STR(?name)), "a")) }'
+    return sparql.values(sparql.run(ontology(spark, sf), q))
+
+
+@query(f"WITH RECURSIVE {_REC} SELECT DISTINCT s AS c FROM cl JOIN region ON cl.o = 'region:' || r_regionkey WHERE r_name = (SELECT min(r_name) FROM region)")
+def path_query(spark, sf):
+    first = table(spark, sf, "region").agg(F.min("r_name")).first()[0]
+    return sparql.values(sparql.run(ontology(spark, sf), f'SELECT DISTINCT ?c WHERE {{ ?c rdfs:subClassOf+ ?r . ?r rdfs:label "{first}" }}'))
+
+
+@query(f"WITH e AS (SELECT DISTINCT s, o FROM ({HIERARCHY_SQL})), {_ALL} SELECT cls AS c, CASE WHEN cls IN (SELECT o FROM e) THEN 'parent' ELSE 'leaf' END AS k FROM nodes")
+def exists_semi(spark, sf):
+    q = 'SELECT ?c ?k WHERE { ?c a owl:Class . BIND(IF(EXISTS { ?x rdfs:subClassOf ?c }, "parent", "leaf") AS ?k) }'
+    return sparql.values(sparql.run(ontology(spark, sf), q))
+
+
+@query(f"WITH e AS (SELECT DISTINCT s, o FROM ({HIERARCHY_SQL})) SELECT o AS p, count(*) AS n FROM e GROUP BY o")
+def sparql_group_count(spark, sf):
+    return sparql.values(sparql.run(ontology(spark, sf), "SELECT ?p (COUNT(?c) AS ?n) WHERE { ?c rdfs:subClassOf ?p } GROUP BY ?p ORDER BY ?p"))
+
+
+# Assembly, logs, reports
+
+
+def _lines(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return li.select(F.concat(F.lit("part "), "l_partkey").alias("subject"), F.when(F.col("l_linenumber") == 7, "Unknowns").otherwise("Parts").alias("subject_type"), F.when(F.col("l_returnflag") == "R", "returned from").otherwise("Supplied By").alias("predicate"), F.concat(F.lit("supplier "), "l_suppkey").alias("object"), F.when(F.col("l_linestatus") == "O", "Supplier").otherwise("Vendor").alias("object_type"), (F.col("l_quantity") > 45).alias("is_literal"), "l_orderkey", "l_linenumber")
+
+
+def _schema(spark):
+    return spark.createDataFrame([("class", "part", "c:Part", "Part"), ("class", "supplier", "c:Supplier", "Supplier"), ("object", "supplied by", "p:supplied", "supplied by")], "kind string, norm string, iri string, label string")
+
+
+@query("""WITH s AS (SELECT l_partkey, l_suppkey, CASE WHEN l_returnflag = 'R' THEN 'unknown_predicate' WHEN l_linenumber = 7 THEN 'unknown_subject_type' WHEN l_quantity > 45 THEN 'literal_for_object_property' WHEN l_linestatus <> 'O' THEN 'unknown_object_type' ELSE 'kept' END AS status FROM lineitem)
+SELECT status, count(*) AS n FROM s GROUP BY status UNION ALL SELECT 'duplicates', (SELECT count(*) FROM s WHERE status = 'kept') - (SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM s WHERE status = 'kept'))""")
+def conformance_tally(spark, sf):
+    return K.conformance_tally(K.conform(_lines(spark, sf), _schema(spark)), ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber) AS seen FROM lineitem QUALIFY seen > 1")
+def duplicate_triples(spark, sf):
+    w = Window.partitionBy("l_partkey", "l_suppkey").orderBy("l_orderkey", "l_linenumber")
+    return table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", F.row_number().over(w).alias("seen")).where("seen > 1")
+
+
+@query("SELECT event_type, count(*) AS lines, count_if(event_id % 7 = 0 OR event_id % 5 = 0) AS malformed FROM events GROUP BY event_type")
+def json_line_parse_stats(spark, sf):
+    body = F.to_json(F.struct(F.lit("s").alias("subject"), F.lit("c").alias("subject_type"), F.lit("p").alias("predicate"), F.when(F.col("event_id") % 5 == 0, "").otherwise("o").alias("object"), F.col("props").alias("evidence")))
+    line = F.when(F.col("event_id") % 7 == 0, F.substring(body, F.lit(1), F.length(body) - 3)).otherwise(body)
+    r = table(spark, sf, "events").select("event_type", F.concat(F.lit("```json\n"), line, F.lit("\n```")).alias("response"))
+    return response_lines(r).groupBy("event_type").agg(F.count("*").alias("lines"), F.count_if("malformed").alias("malformed"))
+
+
+@query("WITH d AS (SELECT o_orderstatus AS section, o_orderkey, o_orderpriority, CASE left(o_orderpriority, 1) WHEN '1' THEN 'critical' WHEN '2' THEN 'important' WHEN '3' THEN 'minor' WHEN '4' THEN 'info' ELSE 'other' END AS severity FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'important' THEN 1 WHEN 'minor' THEN 2 WHEN 'info' THEN 3 ELSE 9 END, o_orderkey) AS place, count(*) OVER (PARTITION BY section) AS n FROM d) SELECT section, o_orderkey AS defect_id, severity, place, greatest(n - 25, 0) AS omitted FROM r WHERE place <= 25")
+def capped_list_omitted(spark, sf):
+    p = F.substring("o_orderpriority", 1, 1)
+    sev = F.when(p == "1", "critical").when(p == "2", "important").when(p == "3", "minor").when(p == "4", "info").otherwise("other")
+    return C.capped(table(spark, sf, "orders").select(F.col("o_orderstatus").alias("section"), F.col("o_orderkey").alias("defect_id"), sev.alias("severity")), "section", 25)
+
+
+@query("WITH t AS (SELECT conv_id, turn, length(text) AS tokens FROM conversations), r AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn) AS e FROM t), b AS (SELECT *, e - tokens AS s FROM r) SELECT conv_id, turn, tokens, floor(s / 256.0)::BIGINT AS first_chunk, floor((greatest(e, s + 1) - 1) / 256.0)::BIGINT AS last_chunk, floor(s / 256.0) <> floor((greatest(e, s + 1) - 1) / 256.0) AS straddles FROM b")
+def token_chunks(spark, sf):
+    t = table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("tokens"))
+    return M.token_chunks(t, "turn", ["turn"], 256, "conv_id").select("conv_id", "turn", "tokens", "first_chunk", "last_chunk", "straddles")
+
+
+_AB = "a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 3 <> 0 AND month(o_orderdate) <= 4), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 3 <> 1 AND month(o_orderdate) <= 4)"
+
+
+def _halves(spark, sf):
+    o = table(spark, sf, "orders").where("month(o_orderdate) <= 4")
+    half = lambda k: o.where(F.col("o_orderkey") % 3 != k).select(F.col("o_custkey").alias("k")).distinct()
+    return half(0), half(1)
+
+
+@query(f"WITH {_AB} SELECT (SELECT count(*) FROM b WHERE k NOT IN (SELECT k FROM a)) AS added, (SELECT count(*) FROM a WHERE k NOT IN (SELECT k FROM b)) AS removed, round(((SELECT count(*) FROM b WHERE k NOT IN (SELECT k FROM a)) + (SELECT count(*) FROM a WHERE k NOT IN (SELECT k FROM b)))::DOUBLE / (SELECT count(*) FROM b), 6) AS delta_rate")
+def entity_delta(spark, sf):
+    a, b = _halves(spark, sf)
+    n = lambda d, c: d.agg(F.count("*").alias(c))
+    one = n(b.join(a, "k", "left_anti"), "added").crossJoin(n(a.join(b, "k", "left_anti"), "removed")).crossJoin(n(b, "total"))
+    return one.select("added", "removed", F.round((F.col("added") + F.col("removed")) / F.col("total"), 6).alias("delta_rate"))
+
+
+@query(f"WITH {_AB} SELECT k FROM a INTERSECT SELECT k FROM b")
+def shared_iris(spark, sf):
+    a, b = _halves(spark, sf)
+    return a.intersect(b)
+
+
+_PAIR = "e AS (SELECT DISTINCT 's' || l_suppkey AS s, 'p' || l_partkey AS o FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1 AND l_tax = 0.08)"
+
+
+@query(f"WITH RECURSIVE {_PAIR}, u AS (SELECT s, o FROM e UNION SELECT o, s FROM e), r(a, b) AS (SELECT s, s FROM u UNION SELECT r.a, u.o FROM r JOIN u ON r.b = u.s) SELECT a AS node, min(b) AS root FROM r GROUP BY a")
+def equivalence_clusters(spark, sf):
+    li = table(spark, sf, "lineitem").where("l_quantity = 50 and l_linenumber = 1 and l_tax = 0.08")
+    return components(li.select(F.concat(F.lit("s"), "l_suppkey").alias("s"), F.concat(F.lit("p"), "l_partkey").alias("o")).distinct())
+
+
+@query("WITH src AS (SELECT l_partkey AS k, l_suppkey % 4 AS source FROM lineitem WHERE l_quantity >= 48 AND l_linenumber = 1), d AS (SELECT p_partkey AS k, p_size FROM part), g AS (SELECT d.k, count(DISTINCT source) AS n FROM d LEFT JOIN src USING (k) GROUP BY d.k) SELECT CASE WHEN n = 0 THEN 'unroutable' WHEN n = 1 THEN 'single' ELSE 'multi' END AS route, count(*) AS defects FROM g GROUP BY 1")
+def defect_routing_split(spark, sf):
+    prov = table(spark, sf, "lineitem").where("l_quantity >= 48 and l_linenumber = 1").groupBy(F.col("l_partkey").alias("iri")).agg(F.array_sort(F.collect_set(F.col("l_suppkey") % 4)).alias("sources"))
+    d = table(spark, sf, "part").select(F.col("p_partkey").alias("defect_id"), F.array("p_partkey").alias("involved"))
+    return G.route_defects(d, prov).groupBy("route").agg(F.count("*").alias("defects"))
+
+
+@query("SELECT o_orderkey, left(sha256(o_orderkey || chr(31) || o_custkey || chr(31) || o_orderstatus || chr(31) || o_orderpriority), 16) AS triple_key FROM orders")
+def triple_identity_hash(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", X.triple_key(F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus"), F.col("o_orderpriority")).alias("triple_key"))
+
+
+@query("SELECT sha256(string_agg(line, chr(10) ORDER BY line)) AS sha256 FROM (SELECT '<nation:' || n_nationkey || '> <rdfs:label> \"' || n_name || '\" .' AS line FROM nation)")
+def kg_content_hash(spark, sf):
+    line = F.concat(F.lit("<nation:"), "n_nationkey", F.lit('> <rdfs:label> "'), "n_name", F.lit('" .'))
+    return K.content_hash(table(spark, sf, "nation").select(line.alias("line")))
+
+
+@query("SELECT c_mktsegment AS run_id, max(CASE WHEN r_name = 'ASIA' THEN n END) AS coverage_ASIA, max(CASE WHEN r_name = 'EUROPE' THEN n END) AS coverage_EUROPE FROM (SELECT c_mktsegment, r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL) GROUP BY c_mktsegment")
+def flat_score_rows(spark, sf):
+    from corvane.sources.writers import flat_scores
+
+    t = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("c_mktsegment").alias("run_id"), "r_name").agg(F.count("*").alias("n"))
+    return flat_scores(t, "run_id", "r_name", "n", "coverage", ["ASIA", "EUROPE"])
+
+
+@query()
+def mutation_set(spark, sf):
+    li = table(spark, sf, "lineitem").where("l_linenumber = 1 and l_quantity >= 45")
+    pos = li.select(F.concat("l_orderkey", F.lit("")).alias("key"), F.concat(F.lit("part:"), "l_partkey").alias("s"), F.lit("p:supplied").alias("p"), F.concat(F.lit("supplier:"), "l_suppkey").alias("o"), F.lit("part").alias("s_class"), F.lit("supplier").alias("o_class"), F.lit("object").alias("kind"))
+    ind = table(spark, sf, "supplier").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("iri"), F.lit("supplier").alias("cls"))
+    props = spark.createDataFrame([("p:supplied", "object"), ("p:made", "object")], "iri string, kind string")
+    return K.mutations(pos, ind, props)
+
+
+@query()
+def expansion_greedy(spark, sf):
+    t, _, s = _scored(spark, sf)
+    return C.greedy_expansions(t.select(F.col("genre").alias("cq_id"), "term").distinct().join(M.top_terms(s, 300), "term").select("cq_id", "term", F.col("combined").alias("score")), 10)
+
+
+@query()
+def trajectory_fit(spark, sf):
+    t = table(spark, sf, "events").groupBy("event_type", F.floor(F.col("event_id") / 1000).cast("double").alias("x")).agg(F.avg("value").alias("y"))
+    return S.fit_trajectories(t, "event_type", "x", "y")
