@@ -32,6 +32,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -182,9 +183,8 @@ class Shard:
 
     def __init__(self, table: pa.Table, told: list[bytes], buckets: int):
         shared = np.unique(np.frombuffer(b"".join(told), np.uint64)) if told else np.zeros(0, np.uint64)
-        self.ids = table["doc_id"].to_numpy(zero_copy_only=False)
-        self.known = ~table["doc_id"].combine_chunks().is_null().to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, bool)
-        self.ids = np.where(self.known, np.nan_to_num(self.ids), 0).astype(np.int64)
+        self.known = pc.is_valid(table["doc_id"]).to_numpy()
+        self.ids = pc.fill_null(table["doc_id"], 0).to_numpy()
         self.parts, rows = [], []
         column = table["text"].combine_chunks()
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) and column.num_chunks else column
@@ -380,8 +380,8 @@ def _dealt(shards: int):
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
-            known = ~ids.is_null().to_numpy(zero_copy_only=False)
-            n = np.where(known, np.nan_to_num(ids.to_numpy(zero_copy_only=False)), 0).astype(np.int64)
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            n = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
             # Rows without an id are only looked at for themselves and may lie anywhere.
             home = np.where(known, _home(n, shards), np.arange(len(n)) % shards)
             yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), ids, batch.column(1)], names=["shard", "doc_id", "text"])
