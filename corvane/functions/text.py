@@ -54,19 +54,27 @@ def chunk_terms(text: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: F.length(w) > 2))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ngrams(words: Column, low: int, high: int) -> Column:
     """All runs of ``low`` to ``high`` words that neither begin nor end with a stop word (noun-phrase substitute)."""
-    stop = F.array(*map(F.lit, STOP))
-    none = F.array().cast("array<array<string>>")
-    every = lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.slice(words, i, n))
-    runs = [F.when(F.size(words) >= n, every(n)).otherwise(none) for n in range(low, high + 1)]
-    kept = F.filter(F.concat(*runs), lambda r: ~F.array_contains(stop, r[0]) & ~F.array_contains(stop, F.element_at(r, -1)))
-    return F.transform(kept, lambda r: F.array_join(r, " "))
+    return _let(words, lambda w: _ngrams(w, low, high))
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once, however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def _ngrams(words: Column, low: int, high: int) -> Column:
+    # Starts and ends are tested on a word's place, so that only kept runs are built.
+    open_ = F.transform(words, lambda w: ~w.isin(*STOP))
+    none = F.array().cast("array<string>")
+
+    def runs(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.size(words) - n + 1)
+        kept = _let(open_, lambda o: F.filter(places, lambda i: F.element_at(o, i) & F.element_at(o, i + n - 1)))
+        return F.when(F.size(words) >= n, F.transform(kept, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(none)
+
+    return F.concat(*[runs(n) for n in range(low, high + 1)])
 
 
 def split_camel(label: Column) -> Column:
@@ -127,8 +135,8 @@ def lexical_entailment(premise: Column, hypothesis: Column) -> Column:
     """Share of the hypothesis words over two letters, with repeats, that the premise has; 0 without any."""
     have = F.array_distinct(F.regexp_extract_all(F.lower(premise), F.lit("[a-z0-9]+"), F.lit(0)))
     want = F.filter(F.regexp_extract_all(F.lower(hypothesis), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) > 2)
-    hit = F.filter(want, lambda w: F.array_contains(have, w))
-    return F.coalesce(F.try_divide(F.size(hit).cast("double"), F.size(want).cast("double")), F.lit(0.0))
+    hits = _let(have, lambda h: F.size(F.filter(want, lambda w: F.array_contains(h, w))))
+    return F.coalesce(F.try_divide(hits.cast("double"), F.size(want).cast("double")), F.lit(0.0))
 
 
 def verbalise(subject: Column, predicate: Column, obj: Column, subject_class: Column, object_class: Column, style: str = "plain") -> Column:
