@@ -31,8 +31,9 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def size_hint(df: DataFrame) -> int:
-    """Bytes that the optimizer expects of a frame, without running it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes that the optimizer expects of a frame, without running it; 0 where it can't tell."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 60 else 0
 
 
 def parts(df: DataFrame, mb: float = 8.0) -> int:
