@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corvane.functions import stats as S
 from corvane.functions import text as X
 from corvane.functions import vectors as V
+from corvane.operators import battery as B
 from corvane.operators import calibration as C
 from corvane.operators import graph as G
 from corvane.operators import kg as K
@@ -416,11 +417,11 @@ def inverse_functional_violations(spark, sf):
     return supplies(spark, sf).groupBy("o").agg(F.countDistinct("s").alias("n")).where("n > 1")
 
 
-_TRADE = "t AS (SELECT DISTINCT s_nationkey AS s, c_nationkey AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 49 AND l_linenumber = 1 AND month(o_orderdate) = 2)"
+_TRADE = "t AS (SELECT DISTINCT s_nationkey AS s, c_nationkey AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 40 AND l_linenumber = 1 AND month(o_orderdate) = 2)"
 
 
 def _trade(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_quantity >= 49 and l_linenumber = 1")
+    li = table(spark, sf, "lineitem").where("l_quantity >= 40 and l_linenumber = 1")
     o = table(spark, sf, "orders").where("month(o_orderdate) = 2")
     return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").alias("s"), F.col("c_nationkey").alias("o")).distinct()
 
@@ -623,3 +624,35 @@ def expansion_greedy(spark, sf):
 def trajectory_fit(spark, sf):
     t = table(spark, sf, "events").groupBy("event_type", F.floor(F.col("event_id") / 1000).cast("double").alias("x")).agg(F.avg("value").alias("y"))
     return S.fit_trajectories(t, "event_type", "x", "y")
+
+
+@query("WITH t AS (SELECT o_custkey, avg(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice END) AS a, avg(CASE WHEN o_orderpriority = '5-LOW' THEN o_totalprice END) AS b FROM orders GROUP BY o_custkey) SELECT count(*) AS pairs, round(avg(a - b), 4) AS difference, round(stddev_samp(a - b), 4) AS spread FROM t WHERE a - b IS NOT NULL")
+def paired_contrast(spark, sf):
+    t = B.paired_contrasts(table(spark, sf, "orders"), "o_custkey", "o_orderpriority", "o_totalprice", "1-URGENT", "5-LOW")
+    return t.select("pairs", F.round("difference", 4).alias("difference"), F.round("spread", 4).alias("spread"))
+
+
+@query("WITH o AS (SELECT o_custkey, o_orderstatus AS f, CASE WHEN month(o_orderdate) <= 6 THEN 'h1' ELSE 'h2' END AS g, o_totalprice AS v FROM orders), t AS (SELECT o_custkey, avg(CASE WHEN f = 'O' AND g = 'h2' THEN v END) - avg(CASE WHEN f = 'F' AND g = 'h2' THEN v END) - avg(CASE WHEN f = 'O' AND g = 'h1' THEN v END) + avg(CASE WHEN f = 'F' AND g = 'h1' THEN v END) AS d FROM o GROUP BY o_custkey) SELECT count(*) AS seeds, round(avg(d), 4) AS interaction FROM t WHERE d IS NOT NULL")
+def interaction_contrast(spark, sf):
+    o = table(spark, sf, "orders").withColumn("half", F.when(F.month("o_orderdate") <= 6, "h1").otherwise("h2"))
+    t = B.interaction_contrast(o, "o_custkey", "o_orderstatus", "half", "o_totalprice", (("F", "O"), ("h1", "h2")))
+    return t.select("seeds", F.round("interaction", 4).alias("interaction"))
+
+
+@query("WITH m AS (SELECT user_id, month(ts) AS m, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, m, n, n - lag(n) OVER (PARTITION BY user_id ORDER BY m) AS change FROM m")
+def round_delta(spark, sf):
+    m = table(spark, sf, "events").groupBy("user_id", F.month("ts").alias("m")).agg(F.count("*").alias("n"))
+    return B.round_delta(m, "user_id", "m", "n")
+
+
+@query("WITH a AS (SELECT c_nationkey AS k, count(*) AS before FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS k, count(*) AS after FROM supplier GROUP BY 1) SELECT coalesce(a.k, b.k) AS k, before, after, before - after AS loss FROM a FULL JOIN b ON a.k = b.k")
+def integration_loss(spark, sf):
+    n = lambda t, c: table(spark, sf, t).groupBy(F.col(c).alias("k")).agg(F.count("*").alias("v"))
+    return B.integration_loss(n("customer", "c_nationkey"), n("supplier", "s_nationkey"), "k", "v")
+
+
+@query("WITH t AS (SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n, avg(l_quantity) AS q FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_returnflag, l_linestatus), (l_returnflag, l_linestatus, l_linenumber))) SELECT l_returnflag, l_linestatus, l_linenumber, n, round(q, 6) AS visibility FROM t")
+def visibility_sets(spark, sf):
+    g = [["l_returnflag"], ["l_returnflag", "l_linestatus"], ["l_returnflag", "l_linestatus", "l_linenumber"]]
+    t = table(spark, sf, "lineitem").groupingSets([[F.col(c) for c in x] for x in g], "l_returnflag", "l_linestatus", "l_linenumber")
+    return t.agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 6).alias("visibility"))

@@ -188,3 +188,18 @@ def test_capped_rendering(spark):
     assert text == "### s\n- [critical] d0: x\n- [minor] d1: x\n(2 more omitted)"
     low = C.greedy_expansions(spark.createDataFrame([(1, "pump seal", 0.9), (1, "seal", 0.8), (1, "valve", 0.7)], "cq_id int, term string, score double"), 5)
     assert low.first()["accepted"] == ["pump seal", "valve"]
+
+
+def test_feedback_halves_its_caps(spark):
+    from corvane.operators import battery as B
+
+    v = spark.createDataFrame([("functional", 2), ("asymmetric", 0)], "rule string, n long")
+    p = spark.createDataFrame([(f"P{i:02d}", "minor", ["b", "a"]) for i in range(12)], "code string, severity string, affected array<string>")
+    c = spark.createDataFrame([("ncr", 0.1), ("jira", 0.9)], "genre string, coverage double")
+    found = B.defects(v, p, c, 0.5)
+    assert [r["defect_id"] for r in found.orderBy("defect_id").collect()] == [f"D{i:04d}" for i in range(14)]
+    text, caps, over = B.feedback(found, {"reasoner": 8, "pitfalls": 8, "coverage": 8}, 30)
+    assert over == 0 and caps["pitfalls"] < 8 and "omitted" in text and "functional x 2" in text
+    assert B.manifest({"b": 1, "a": 2}, {"q": "x"})["config"] == {"a": 2, "b": 1}
+    got = B.run_states([{"run_id": "b"}, {"run_id": "a"}], lambda s: 1 // (s["run_id"] == "a"), lambda x: x)
+    assert [s["error"] is None for s in got] == [True, False]
