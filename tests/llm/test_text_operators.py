@@ -326,3 +326,15 @@ def test_neighbours(spark):
     few = t.where("vec_id < 5")
     assert [r["vec_id"] for r in neighbours(few).orderBy("rank").collect()] == brute_neighbours(vs[:5])[0]
     assert neighbours(t.where("false")).count() == 0
+
+
+def test_sliding_minima_are_the_compact_windows_of_a_length():
+    from corvane.llm.op1_suffixes import _least
+    from corvane.llm.op5_windows import compact_windows
+
+    v = np.random.default_rng(9).permutation(200)
+    low = _least(v, 12)
+    found = compact_windows(v.tolist(), 12)
+    assert len(low) == 189
+    for i, x in enumerate(low.tolist()):
+        assert [v[c] for a, c, z in found if a <= i <= c and c <= i + 11 <= z] == [x]
