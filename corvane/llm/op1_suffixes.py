@@ -231,7 +231,7 @@ _STRETCH = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("sizes", p
 
 def _outgoing(buckets: int):
     def run(key, left, right):
-        shard = Shard(left, right["keys"].to_pylist(), buckets)
+        shard = Shard(left := undealt(left), right["keys"].to_pylist(), buckets)
         strings, rows = shard.strings(), []
         least = shard.least[shard.order]
         for b in np.unique(shard.bucket).tolist():
@@ -326,7 +326,7 @@ def _apply(buckets: int, keep: bool):
 
     def run(left, right):
         told = [r for r in right.to_pylist() if r["keys"] is not None]
-        shard = Shard(left, [r["keys"] for r in told], buckets)
+        shard = Shard(left := undealt(left), [r["keys"] for r in told], buckets)
         mask = np.zeros(len(shard.order), np.uint32)
         for r in right.to_pylist():
             if r["masks"] is not None:
@@ -368,15 +368,20 @@ def substring_dedup(docs: DataFrame, keep: bool = False) -> DataFrame:
     found = sent.where("bucket >= 0").repartition(buckets, "bucket").mapInArrow(_shared, "shard int, keys binary")
     told = s.save(found.union(sent.where("bucket < 0").select("shard", "keys")), "told")
     s.drop("sent")
-    dealt = src.mapInArrow(_dealt(shards), "shard int, doc_id long, text string")
-    out = dealt.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_outgoing(buckets), "bucket int, shard int, sizes binary, least binary, bytes binary")
+    rows = dealt(src, shards)
+    out = rows.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_outgoing(buckets), "bucket int, shard int, sizes binary, least binary, bytes binary")
     masks = s.save(out.repartition(buckets, "bucket").mapInArrow(_merge, "shard int, bucket int, masks binary"), "masks")
     answers = told.select("shard", F.lit(None).cast("int").alias("bucket"), "keys", F.lit(None).cast("binary").alias("masks")).union(masks.select("shard", "bucket", F.lit(None).cast("binary").alias("keys"), "masks"))
     kept = ", kept binary" if keep else ""
-    return s.done(dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_apply(buckets, keep), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + kept))
+    return s.done(rows.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_apply(buckets, keep), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + kept))
 
 
-def _dealt(shards: int):
+_ROWS = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+
+
+def dealt(src: DataFrame, shards: int) -> DataFrame:
+    """(shard, body): rows of doc_id and text by shard, a compressed body for each shard of a batch."""
+
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
@@ -384,9 +389,23 @@ def _dealt(shards: int):
             n = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
             # Rows without an id are only looked at for themselves and may lie anywhere.
             home = np.where(known, _home(n, shards), np.arange(len(n)) % shards)
-            yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), ids, batch.column(1)], names=["shard", "doc_id", "text"])
-
-    return run
+            order = np.argsort(home, kind="stable")
+            names, start = np.unique(home[order], return_index=True)
+            bodies = []
+            for some in np.split(order, start[1:]) if len(order) else []:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, _ROWS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    w.write_batch(pa.RecordBatch.from_arrays([c.take(pa.array(some)) for c in batch.columns], schema=_ROWS))
+                bodies.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(bodies, pa.binary())], names=["shard", "body"])
+
+    return src.mapInArrow(run, "shard int, body binary")
+
+
+def undealt(table: pa.Table) -> pa.Table:
+    """The rows of a shard."""
+    got = [pa.ipc.open_stream(x).read_all() for x in table["body"].to_pylist()]
+    return pa.concat_tables(got).combine_chunks() if got else _ROWS.empty_table()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

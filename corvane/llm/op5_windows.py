@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.blocks import blocks, mix, pack
-from corvane.llm.op1_suffixes import MANY, _bucket, _dealt, _home, _least, _shared
+from corvane.llm.op1_suffixes import MANY, _bucket, _home, _least, _shared, dealt, undealt
 from corvane.llm.op10_jaccard import _LOWER, _ROLL, _STEP, WORDS, components, words_of
 from corvane.llm.scratch import Scratch, parts
 
@@ -206,7 +206,7 @@ _PASSAGES = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("keys", p
 
 def _outgoing(buckets: int):
     def run(key, left, right):
-        s = Shard(left, right["keys"].to_pylist(), buckets)
+        s = Shard(undealt(left), right["keys"].to_pylist(), buckets)
         rows = []
         for b in np.unique(s.bucket).tolist():
             a, z = np.searchsorted(s.bucket, [b, b + 1])
@@ -247,7 +247,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_passages"
 def _apply(buckets: int):
     def run(left, right):
         got = right.to_pylist()
-        s = Shard(left, [r["keys"] for r in got if r["keys"] is not None], buckets)
+        s = Shard(undealt(left), [r["keys"] for r in got if r["keys"] is not None], buckets)
         lead = s.ids[s.sent].copy()
         for r in got:
             if r["leads"] is not None:
@@ -292,12 +292,12 @@ def passages(docs: DataFrame) -> DataFrame:
     found = sent.where("bucket >= 0").repartition(buckets, "bucket").mapInArrow(_shared, "shard int, keys binary")
     told = s.save(found.union(sent.where("bucket < 0").select("shard", "keys")), "told")
     s.drop("sent")
-    dealt = src.mapInArrow(_dealt(shards), "shard int, doc_id long, text string")
-    out = dealt.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_outgoing(buckets), "bucket int, shard int, keys binary, docs binary, items binary")
+    texts = dealt(src, shards)
+    out = texts.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_outgoing(buckets), "bucket int, shard int, keys binary, docs binary, items binary")
     answers = s.save(out.repartition(buckets, "bucket").mapInArrow(_verify, "shard int, bucket int, leads binary, more binary"), "answers")
     none = F.lit(None).cast("binary")
     both = told.select("shard", F.lit(None).cast("int").alias("bucket"), "keys", none.alias("leads"), none.alias("more")).union(answers.select("shard", "bucket", none.alias("keys"), "leads", "more"))
-    rows = s.save(dealt.groupBy("shard").cogroup(both.groupBy("shard")).applyInArrow(_apply(buckets), "doc_id long, n_words long, n_passages long, n_repeated_words long, spans string, leads array<long>"), "rows")
+    rows = s.save(texts.groupBy("shard").cogroup(both.groupBy("shard")).applyInArrow(_apply(buckets), "doc_id long, n_words long, n_passages long, n_repeated_words long, spans string, leads array<long>"), "rows")
     links = rows.select("doc_id", F.explode("leads").alias("lead")).where("doc_id <> lead")
     roots = components(links.select(F.col("doc_id").alias("u"), F.col("lead").alias("v")), s).select(F.col("node").alias("doc_id"), "root")
     named = rows.where("n_passages > 0").join(roots, "doc_id", "left").unionByName(rows.where("n_passages = 0").withColumn("root", F.lit(None).cast("long")))
