@@ -5,19 +5,21 @@ groups all subsequences by the place c of their minimum: those that begin in [l,
 ("compact window"). For passages of ``LEAST`` shingles the windows of a function cut the places where
 a passage can begin into intervals. An interval join of the ``ROWS`` functions of a band gives the
 intervals over which the whole signature is the same. Passages of two documents with Jaccard
-similarity s share a band's signature with probability s ** ROWS; with ``BANDS`` bands, and with all
-the passages that a longer repeat has, near-duplicates are found, exact repeats always.
-
-1. Tasks send each signature key once, with its shard; keys of one document only are dropped.
-2. Shards (documents by a hash of doc_id) compare their own documents' passages with the first one of
-   each signature, and send one passage (its shingles) for each class.
-3. For each signature the passages of all shards are verified against that of the smallest doc_id;
-   those that fail are verified against the smallest of their own, and so on, so none is dropped.
-4. Shards apply the answers. A document's class is the smallest doc_id it is connected with.
-
-A signature of a third of all documents costs one passage a shard. Nothing is capped. Passages are
-verified by the 16-bit hashes of their shingles, so a pair just below 0.8 may rarely pass; none that
-is 0.8 or more is lost by that.
+similarity s share a band's signature with probability s ** ROWS, so one passage is a candidate with
+probability 1 - (1 - s ** ROWS) ** BANDS; equal passages always are, whatever text is around them.
+
+1. Tasks send each signature key once for each shard and each distinct interval ("strip": the shingles
+   of all its passages). Keys of one document only are dropped; of those whose strips are all equal
+   only the doc_ids are needed.
+2. Shards (documents by a hash of doc_id) send their distinct strips of each shared signature.
+3. For each signature the strips of all shards are verified: two are alike if any passage of one is
+   0.8 similar to any of the other. Equal passages connect strips at once; the others are compared.
+4. Shards apply the answers. An interval with an alike one in another document is repeated as a whole.
+   A document's class is the smallest doc_id it is connected with.
+
+Nothing is capped. Passages are verified by the 16-bit hashes of their shingles, so a pair just below
+0.8 may rarely pass; none that is 0.8 or more is lost by that. Strips of one signature are told to be
+all equal by 32-bit hashes.
 
 Defined cases: null or empty texts and texts of fewer than ``LEAST`` shingles have no passages; rows
 with a null doc_id take no part and are in no class but their own; rows that share a doc_id don't
@@ -31,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.blocks import blocks, mix, pack
-from corvane.llm.op1_suffixes import MANY, _bucket, _home, _least, _shared, dealt, undealt
+from corvane.llm.blocks import Rolling, blocks, mix, pack, ragged
+from corvane.llm.op1_suffixes import _bucket, _home, _least, dealt, undealt
 from corvane.llm.op10_jaccard import _LOWER, _ROLL, _STEP, WORDS, components, words_of
 from corvane.llm.scratch import Scratch, parts
 
 LEAST, BANDS, ROWS = 46, 3, 3
+MOST = 64  # starts of an interval
+_WINDOW = Rolling(46)
 SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 
 
@@ -76,7 +80,7 @@ def signatures(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     words = np.diff(first)
     doc = np.repeat(np.arange(len(words)), words)[:n]
     good = np.arange(n) + LEAST + WORDS - 1 <= first[doc + 1]
-    out = []
+    out, place = [], np.arange(n)
     for b in range(BANDS):
         key, new = np.zeros(n, np.uint64), np.ones(n, bool)
         new[1:] = (doc[1:] != doc[:-1]) | (good[1:] != good[:-1])
@@ -86,6 +90,8 @@ def signatures(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
             low = _least(mix(h ^ SEEDS[b * ROWS + r]), LEAST)
             new[1:] |= low[1:] != low[:-1]
             key = mix(key + low)
+        # A shingle that recurs can be the minimum for longer than a passage; such intervals are cut, none is dropped.
+        new |= (place - np.maximum.accumulate(np.where(new, place, 0))) % MOST == 0
         a = np.flatnonzero(new)
         z = np.append(a[1:], n) - 1
         keep = good[a]
@@ -94,31 +100,46 @@ def signatures(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-_SENT = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("refs", pa.binary())])
+_SENT = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("refs", pa.binary()), ("bodies", pa.binary())])
+_SEVERAL, _DIFFER = np.uint32(1 << 31), np.uint64(1 << 63)
+
+
+def _short(key: np.ndarray, buckets: int) -> np.ndarray:
+    return _bucket(key, buckets) << np.uint64(32) | key & np.uint64(0xFFFFFFFF)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where the rows of sorted columns differ from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return new
+
+
+def strip_hash(h: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the shingles a .. z + LEAST - 1 that the passages of an interval have."""
+    _WINDOW.grow(len(h) + 1)
+    prefix = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _WINDOW.powers[: len(h)], out=prefix[1:])
+    return mix(_WINDOW.of(prefix, a, z + LEAST) + (z - a).astype(np.uint64))
 
 
 def _send(buckets: int, shards: int):
     def run(batches):
-        keys, docs, homes, size = [], [], [], 0
+        keys, bodies, docs, homes, size = [], [], [], [], 0
 
         def flush():
-            key, doc, home = np.concatenate(keys), np.concatenate(docs), np.array(homes)
-            key = _bucket(key, buckets) << np.uint64(32) | key & np.uint64(0xFFFFFFFF)
-            order = np.lexsort((doc, key))
-            key, doc = key[order], doc[order]
-            new = np.concatenate([[True], key[1:] != key[:-1]])
-            start = np.flatnonzero(new)
-            end = np.append(start[1:], len(key)) - 1
-            several = doc[start] != doc[end]
-            ref = np.where(several, MANY, home[doc[start]]).astype(np.uint32)
-            low, b = key[start].astype(np.uint32), (key[start] >> np.uint64(32)).astype(np.int64)
-            cut = np.searchsorted(b, np.arange(buckets + 1))
-            rows = [{"bucket": k, "shard": -1, "keys": pack(low[cut[k] : cut[k + 1]]), "refs": pack(ref[cut[k] : cut[k + 1]])} for k in range(buckets) if cut[k + 1] > cut[k]]
-            here = np.repeat(several, end - start + 1)
-            pair = np.unique(np.stack([home[doc[here]].astype(np.uint64), key[here]], 1), axis=0) if here.any() else np.zeros((0, 2), np.uint64)
-            cut = np.searchsorted(pair[:, 0], np.arange(shards + 1, dtype=np.uint64))
-            rows += [{"bucket": -1, "shard": k, "keys": pack(pair[cut[k] : cut[k + 1], 1]), "refs": b""} for k in range(shards) if cut[k + 1] > cut[k]]
-            keys.clear(), docs.clear(), homes.clear()
+            key, body, doc, home = np.concatenate(keys), np.concatenate(bodies), np.concatenate(docs), np.array(homes)
+            key, home = _short(key, buckets), home[doc].astype(np.uint32)
+            order = np.lexsort((doc, home, body, key))
+            key, body, doc, home = key[order], body[order], doc[order], home[order]
+            start = np.flatnonzero(_changes(key))
+            end = np.append(start[1:], len(key))
+            several = np.repeat(np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start), end - start)
+            once = _changes(key, body, home)
+            key, body, ref = key[once], body[once], home[once] | several[once] * _SEVERAL
+            cut = np.searchsorted(key >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+            rows = [{"bucket": k, "keys": pack(key[a:z].astype(np.uint32)), "refs": pack(ref[a:z]), "bodies": pack(body[a:z])} for k, (a, z) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if z > a]
+            keys.clear(), bodies.clear(), docs.clear(), homes.clear()
             for a in range(0, len(rows), 256):
                 yield pa.RecordBatch.from_pylist(rows[a : a + 256], schema=_SENT)
 
@@ -126,8 +147,8 @@ def _send(buckets: int, shards: int):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j, data, at in blocks(batch.column(1)):
                 h, first, _ = shingles_of(data, at)
-                key, _, _, doc = signatures(h, first)
-                keys.append(key), docs.append(doc + len(homes))
+                key, a, z, doc = signatures(h, first)
+                keys.append(key), bodies.append(strip_hash(h, a, z).astype(np.uint32)), docs.append(doc + len(homes))
                 homes += _home(ids[i:j], shards).tolist()
                 size += len(key)
                 if size > 1_000_000:
@@ -139,105 +160,256 @@ def _send(buckets: int, shards: int):
     return run
 
 
-def alike(a: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Which rows of shingle hashes have Jaccard similarity 0.8 or more with ``a``."""
-    same = (others == a).all(axis=1)
-    for i in np.flatnonzero(~same).tolist():
-        x, y = np.unique(a), np.unique(others[i])
-        n = len(np.intersect1d(x, y, assume_unique=True))
-        same[i] = 9 * n >= 4 * (len(x) + len(y))
-    return same
-
-
-def classes(group: np.ndarray, doc: np.ndarray, items: np.ndarray) -> np.ndarray:
-    """For passages sorted by (group, doc): the row of the passage each is verified against, itself if the first."""
-    if not len(group):
-        return np.zeros(0, np.int64)
-    new = np.concatenate([[True], group[1:] != group[:-1]])
-    start = np.flatnonzero(new)
-    lead = start[np.cumsum(new) - 1]
-    # Passages equal to the first of their group are done; only groups with others are gone through.
-    other = np.zeros(len(group), bool)
-    rest = np.flatnonzero(~new)
-    for a in range(0, len(rest), 100_000):
-        some = rest[a : a + 100_000]
-        other[some] = (items[some] != items[lead[some]]).any(axis=1)
-    end = np.append(start[1:], len(group))
-    for a in np.unique(lead[other]).tolist():
-        left = np.arange(a, end[np.searchsorted(start, a)])
-        while len(left):
-            ok = alike(items[left[0]], items[left])
-            lead[left[ok]] = left[0]
-            left = left[~ok]
-    return lead
+_TOLD = pa.schema([("shard", pa.int32()), ("keys", pa.binary())])
+
+
+def _tell(batches):
+    """The keys of several documents, for each shard that has them; marked where not all their intervals are equal."""
+    got = [row for batch in batches for row in batch.to_pylist()]
+    if not got:
+        return
+    key = np.concatenate([np.frombuffer(r["keys"], np.uint32).astype(np.uint64) | np.uint64(r["bucket"] << 32) for r in got])
+    ref, body = (np.concatenate([np.frombuffer(r[c], np.uint32) for r in got]) for c in ("refs", "bodies"))
+    order = np.argsort(key, kind="stable")
+    key, ref, body = key[order], ref[order], body[order]
+    start = np.flatnonzero(_changes(key))
+    n = np.diff(np.append(start, len(key)))
+    shared = np.repeat((n > 1) | (np.maximum.reduceat(ref, start) >= _SEVERAL), n)
+    differ = np.repeat(np.minimum.reduceat(body, start) != np.maximum.reduceat(body, start), n)
+    key, ref = (key | differ * _DIFFER)[shared], (ref & ~_SEVERAL)[shared]
+    order = np.lexsort((key, ref))
+    key, ref = key[order], ref[order]
+    once = _changes(key, ref)
+    key, ref = key[once], ref[once]
+    start = np.flatnonzero(_changes(ref))
+    rows = [{"shard": int(ref[a]), "keys": pack(k)} for a, k in zip(start, np.split(key, start[1:]), strict=True)] if len(ref) else []
+    for a in range(0, len(rows), 256):
+        yield pa.RecordBatch.from_pylist(rows[a : a + 256], schema=_TOLD)
 
 
 class Shard:
-    """The shared signatures of a shard's documents, in classes of verified passages."""
+    """The shared intervals of a shard's documents and the distinct ones ("strips") among those of a signature."""
 
     def __init__(self, table: pa.Table, told: list[bytes], buckets: int):
-        shared = np.unique(np.frombuffer(b"".join(told), np.uint64)) if told else np.zeros(0, np.uint64)
+        shared = np.frombuffer(b"".join(told), np.uint64)
+        shared = shared[np.argsort(shared & ~_DIFFER)]
+        differ, shared = shared >= _DIFFER, shared & ~_DIFFER
         self.doc = table["doc_id"].to_pylist()
         known = np.array([d is not None for d in self.doc], bool)
         ids = np.array([d or 0 for d in self.doc], np.int64)
         self.words = np.zeros(len(ids), np.int64)
-        rows = []
+        rows, items, base = [], [], 0
         if table.num_rows:
             for i, j, data, at in blocks(table["text"].combine_chunks()):
                 h, first, self.words[i:j] = shingles_of(data, at)
                 key, a, z, doc = signatures(h, first)
-                short = _bucket(key, buckets) << np.uint64(32) | key & np.uint64(0xFFFFFFFF)
+                short = _short(key, buckets)
                 k = np.minimum(np.searchsorted(shared, short), max(len(shared) - 1, 0))
                 keep = np.flatnonzero((shared[k] == short) & known[i + doc]) if len(shared) else np.zeros(0, np.int64)
-                at_ = a[keep, None] + np.arange(LEAST)
-                rows.append((key[keep], i + doc[keep], a[keep] - first[doc[keep]], z[keep] - first[doc[keep]], h[at_].astype(np.uint16).reshape(-1, LEAST)))
-        key, row, a, z, items = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, LEAST), np.uint16))
-        order = np.lexsort((a, ids[row] if len(row) else row, key, _bucket(key, buckets)))
+                short, a, z, doc, k = short[keep], a[keep], z[keep], doc[keep], k[keep]
+                rows.append((short, strip_hash(h, a, z), i + doc, a - first[doc], z - first[doc], a + base, differ[k]))
+                items.append(h.astype(np.uint16))
+                base += len(h)
+        none = np.zeros(0, np.int64)
+        key, body, row, a, z, at, differ = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else (none.astype(np.uint64), none.astype(np.uint64), none, none, none, none, none > 0)
+        order = np.lexsort((ids[row], body, key))
         self.key, self.row, self.first, self.last = key[order], row[order], a[order], z[order]
-        self.ids = ids[self.row] if len(row) else row
-        self.lead = classes(self.key, self.ids, items[order])
-        self.sent = np.flatnonzero(self.lead == np.arange(len(order)))
-        self.items = items[order][self.sent]
-        self.bucket = _bucket(self.key[self.sent], buckets).astype(np.int64)
+        self.ids = ids[self.row]
+        new = _changes(self.key, body[order])
+        self.strip = np.cumsum(new) - 1
+        self.sent = np.flatnonzero(new)  # the interval of the smallest doc_id
+        end = np.append(self.sent[1:], len(order))
+        self.several = self.ids[self.sent] != self.ids[end - 1]
+        # Where all intervals of a signature are equal their shingles aren't needed.
+        self.size = np.where(differ[order], self.last - self.first + LEAST, 0)[self.sent]
+        self.at, self.all = at[order][self.sent], items
+        self.bucket = (self.key[self.sent] >> np.uint64(32)).astype(np.int64)
+
+    def items(self) -> np.ndarray:
+        return np.concatenate(self.all)[ragged(self.at, self.size)] if self.all else np.zeros(0, np.uint16)
 
 
-_PASSAGES = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("items", pa.binary())])
+_PASSAGES = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("several", pa.binary()), ("sizes", pa.binary()), ("items", pa.binary())])
 
 
 def _outgoing(buckets: int):
     def run(key, left, right):
         s = Shard(undealt(left), right["keys"].to_pylist(), buckets)
+        items, cut = s.items(), np.concatenate([[0], np.cumsum(s.size)])
         rows = []
         for b in np.unique(s.bucket).tolist():
             a, z = np.searchsorted(s.bucket, [b, b + 1])
-            rows.append({"bucket": b, "shard": int(key[0].as_py()), "keys": pack(s.key[s.sent[a:z]].astype(np.uint32)), "docs": pack(s.ids[s.sent[a:z]]), "items": pack(s.items[a:z])})
+            at = s.sent[a:z]
+            rows.append({"bucket": b, "shard": int(key[0].as_py()), "keys": pack(s.key[at].astype(np.uint32)), "docs": pack(s.ids[at]), "several": pack(s.several[a:z].astype(np.uint8)), "sizes": pack(s.size[a:z].astype(np.uint8)), "items": pack(items[cut[a] : cut[z]])})
         return pa.Table.from_pylist(rows, schema=_PASSAGES)
 
     return run
 
 
+def roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The smallest node of each node's connected part."""
+    root = np.arange(n)
+    while True:
+        a, b = root[u], root[v]
+        if (a == b).all():
+            return root
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != root[root]).any():
+            root = root[root]
+
+
+class Strips:
+    """The strips of signatures (sorted by group, then document), and which of them are alike.
+
+    Two strips are alike if any passage of one and any of the other have Jaccard similarity 0.8 or more.
+    """
+
+    def __init__(self, group: np.ndarray, doc: np.ndarray, several: np.ndarray, size: np.ndarray, items: np.ndarray):
+        self.group, self.doc, self.several, self.size, self.items = group, doc, several, size, items
+        self.start = np.cumsum(size) - size
+        self.repeated = several.copy()
+        self.u, self.v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def runs(self, key: np.ndarray, strip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, starts of runs of equal keys, whether several documents have the run's key)."""
+        order = np.argsort(key, kind="stable")
+        start = np.flatnonzero(_changes(key[order]))
+        if not len(order):
+            return order, start, np.zeros(0, bool)
+        s = strip[order]
+        return order, start, (np.minimum.reduceat(self.doc[s], start) != np.maximum.reduceat(self.doc[s], start)) | np.maximum.reduceat(self.several[s], start)
+
+    def link(self, key: np.ndarray, strip: np.ndarray) -> None:
+        """Connects the strips of each key that several documents have."""
+        order, start, many = self.runs(key, strip)
+        n = np.diff(np.append(start, len(order)))
+        here, lead = order[np.repeat(many, n)], np.repeat(order[start[many]], n[many])
+        self.repeated[strip[here]] = True
+        self.u.append(strip[here]), self.v.append(strip[lead])
+
+    def join(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first strip of each strip's class, and whether another document has a passage like one of it."""
+        n = len(self.group)
+        whole = np.flatnonzero(self.size == 0)
+        self.link(self.group[whole], whole)
+        strip = np.repeat(np.arange(n), np.maximum(self.size - LEAST + 1, 0))
+        at = ragged(self.start, np.maximum(self.size - LEAST + 1, 0))
+        h = strip_hash(mix(self.items.astype(np.uint64) + np.uint64(1)), at, at)
+        self.link(mix(h ^ mix(self.group[strip].astype(np.uint64))), strip)
+        root = roots(n, np.concatenate(self.u), np.concatenate(self.v))
+        start = np.flatnonzero(_changes(self.group))
+        if n:
+            mixed = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
+            left = np.flatnonzero(np.repeat(mixed, np.diff(np.append(start, n))))
+            self.near(left[self.size[left] > 0], root)
+        return roots(n, np.concatenate(self.u), np.concatenate(self.v)), self.repeated
+
+    def near(self, left: np.ndarray, root: np.ndarray) -> None:
+        """Connects the alike ones among ``left``, which equal passages don't connect."""
+        if not len(left):
+            return
+        size = self.size[left]
+        at = ragged(self.start[left], size)
+        strip = np.repeat(np.arange(len(left)), size)
+        items, pos = self.items[at].astype(np.uint64), ragged(np.zeros(len(left), np.int64), size)
+        # Shingles of one document only are in no intersection; a passage with too many of them is like no other.
+        order, start, many = self.runs(self.group[left][strip].astype(np.uint64) << np.uint64(16) | items, left[strip])
+        own = np.empty(len(items), np.int64)
+        own[order] = np.repeat(~many, np.diff(np.append(start, len(order))))
+        order = np.argsort(strip.astype(np.uint64) << np.uint64(16) | items, kind="stable")
+        again = np.flatnonzero((strip[order][1:] == strip[order][:-1]) & (items[order][1:] == items[order][:-1]))
+        before = np.full(len(items), -1)
+        before[order[again + 1]] = pos[order[again]]
+        first = np.cumsum(size) - size
+        # A shingle repeats another of a passage if the passage begins no later than the one before.
+        twice = np.zeros(len(items) + 1, np.int64)
+        close = np.flatnonzero((before >= 0) & (pos - before < LEAST))
+        base = first[strip[close]]
+        np.add.at(twice, base + np.maximum(pos[close] - LEAST + 1, 0), 1)
+        np.add.at(twice, base + before[close] + 1, -1)
+        count = size - LEAST + 1
+        window, of = ragged(first, count), np.repeat(np.arange(len(left)), count)
+        sets = LEAST - np.cumsum(twice)[window]
+        own = np.concatenate([[0], np.cumsum(own)])
+        shared = LEAST - (own[window + LEAST] - own[window])
+        begin = np.flatnonzero(_changes(of))
+        fewest = np.minimum.reduceat(sets, begin)
+        groups = np.flatnonzero(_changes(self.group[left]))
+        ends = np.append(groups[1:], len(left))
+        least = np.repeat(np.minimum.reduceat(fewest, groups), ends - groups)
+        may = np.maximum.reduceat(9 * shared >= 4 * (sets + least[of]), begin)
+        for a, z in zip(groups.tolist(), ends.tolist(), strict=True):
+            some = a + np.flatnonzero(may[a:z])
+            if len(some) > 1 and (root[left[some]] != root[left[some[0]]]).any():
+                self.group_near(left[some], root[left[some]], fewest[some], [items[first[k] : first[k] + size[k]] for k in some.tolist()], [before[first[k] : first[k] + size[k]] for k in some.tolist()])
+
+    def group_near(self, strip: np.ndarray, root: np.ndarray, fewest: np.ndarray, items: list[np.ndarray], before: list[np.ndarray]) -> None:
+        """Every strip is compared with all that aren't connected with it yet, until no more are alike."""
+        k, doc, several = len(strip), self.doc[strip], self.several[strip]
+        width = max(map(len, items))
+        distinct = np.full((k, width), 65536)
+        for i, (x, b) in enumerate(zip(items, before, strict=True)):
+            distinct[i, : len(x)] = np.where(b < 0, x, 65536)
+        parts_: dict[int, list] = {}
+        mark, new = np.zeros(65537, bool), np.ones(k, bool)
+
+        def of(i):
+            """For each passage of a strip: the places of its distinct shingles, and their number."""
+            if i not in parts_:
+                p, w = np.arange(len(items[i])), np.arange(len(items[i]) - LEAST + 1)[:, None]
+                f = ((p >= w) & (p < w + LEAST) & (before[i] < w)).astype(np.float32)
+                parts_[i] = f, f.sum(axis=1)
+            return parts_[i]
+
+        for seed in range(k):
+            if not new[seed]:
+                continue
+            queue = np.flatnonzero(new & (root == root[seed])).tolist()
+            new[queue] = False
+            while queue:
+                x = queue.pop()
+                rest = np.flatnonzero(new & ((doc != doc[x]) | several | several[x]))
+                if not len(rest):
+                    continue
+                mark[distinct[x]] = True
+                mark[65536] = False
+                rest = rest[9 * mark[distinct[rest]].sum(axis=1) >= 4 * (fewest[x] + fewest[rest])]
+                mark[distinct[x]] = False
+                f, n = of(x) if len(rest) else (None, None)
+                for y in rest.tolist():
+                    if not new[y]:
+                        continue
+                    g, m = of(y)
+                    both = f @ (items[x][:, None] == items[y]).astype(np.float32) @ g.T
+                    if (9 * both >= 4 * (n[:, None] + m)).any():
+                        self.repeated[strip[[x, y]]] = True
+                        self.u.append(strip[[x]]), self.v.append(strip[[y]])
+                        more = np.flatnonzero(new & (root == root[y]))
+                        new[more] = False
+
+
 _FOUND = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("leads", pa.binary()), ("more", pa.binary())])
 
 
 def _verify(batches):
-    """The smallest doc_id that each passage sent is verified with, and whether another document's passage was verified with it."""
+    """The smallest doc_id that each strip sent is connected with, and whether another document has a passage like one of it."""
     got = [row for batch in batches for row in batch.to_pylist()]
     if not got:
         return
     key = np.concatenate([np.frombuffer(r["keys"], np.uint32).astype(np.uint64) | np.uint64(r["bucket"] << 32) for r in got])
     doc = np.concatenate([np.frombuffer(r["docs"], np.int64) for r in got])
-    items = np.concatenate([np.frombuffer(r["items"], np.uint16) for r in got]).reshape(-1, LEAST)
+    several = np.concatenate([np.frombuffer(r["several"], np.uint8) for r in got]) > 0
+    size = np.concatenate([np.frombuffer(r["sizes"], np.uint8) for r in got]).astype(np.int64)
+    items = np.concatenate([np.frombuffer(r["items"], np.uint16) for r in got])
     order = np.lexsort((doc, key))
-    row = classes(key[order], doc[order], items[order])
-    d = doc[order]
-    more = np.zeros(len(key), bool)
-    np.logical_or.at(more, row, d != d[row])
-    lead, led = np.empty(len(key), np.int64), np.empty(len(key), np.uint8)
-    lead[order], led[order] = d[row], more[row]
+    items = items[ragged((np.cumsum(size) - size)[order], size[order])]
+    row, repeated = Strips(np.cumsum(_changes(key[order])), doc[order], several[order], size[order], items).join()
+    lead, more = np.empty(len(key), np.int64), np.empty(len(key), np.uint8)
+    lead[order], more[order] = doc[order][row], repeated
     a = 0
     for r in got:
         z = a + len(r["keys"]) // 4
-        yield pa.RecordBatch.from_pylist([{"shard": r["shard"], "bucket": r["bucket"], "leads": pack(lead[a:z]), "more": pack(led[a:z])}], schema=_FOUND)
+        yield pa.RecordBatch.from_pylist([{"shard": r["shard"], "bucket": r["bucket"], "leads": pack(lead[a:z]), "more": pack(more[a:z])}], schema=_FOUND)
         a = z
 
 
@@ -248,22 +420,12 @@ def _apply(buckets: int):
     def run(left, right):
         got = right.to_pylist()
         s = Shard(undealt(left), [r["keys"] for r in got if r["keys"] is not None], buckets)
-        lead = s.ids[s.sent].copy()
+        lead, more = s.ids[s.sent].copy(), s.several.copy()
         for r in got:
             if r["leads"] is not None:
                 a, z = np.searchsorted(s.bucket, [r["bucket"], r["bucket"] + 1])
-                lead[a:z] = np.frombuffer(r["leads"], np.int64)
-        slot = np.zeros(len(s.key), np.int64)
-        slot[s.sent] = np.arange(len(s.sent))
-        to = lead[slot[s.lead]] if len(s.key) else s.ids
-        # A lead's own passages are marked too: some other document has them.
-        led = np.zeros(len(s.sent), bool)
-        led[slot[s.lead[s.ids != s.ids[s.lead]]]] = True
-        answered = {r["bucket"]: np.frombuffer(r["more"], np.uint8) for r in got if r["more"] is not None}
-        for b, x in answered.items():
-            a, z = np.searchsorted(s.bucket, [b, b + 1])
-            led[a:z] |= x > 0
-        hit = (to != s.ids) | led[slot[s.lead]] if len(s.key) else np.zeros(0, bool)
+                lead[a:z], more[a:z] = np.frombuffer(r["leads"], np.int64), np.frombuffer(r["more"], np.uint8) > 0
+        to, hit = lead[s.strip], more[s.strip]
         rows = []
         order = np.flatnonzero(hit)
         order = order[np.argsort(s.row[order], kind="stable")]
@@ -288,12 +450,10 @@ def passages(docs: DataFrame) -> DataFrame:
     s = Scratch(spark)
     buckets = shards = parts(docs, 4.0)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sent = s.save(src.where("doc_id is not null").mapInArrow(_send(buckets, shards), "bucket int, shard int, keys binary, refs binary"), "sent")
-    found = sent.where("bucket >= 0").repartition(buckets, "bucket").mapInArrow(_shared, "shard int, keys binary")
-    told = s.save(found.union(sent.where("bucket < 0").select("shard", "keys")), "told")
-    s.drop("sent")
+    sent = src.where("doc_id is not null").mapInArrow(_send(buckets, shards), "bucket int, keys binary, refs binary, bodies binary")
+    told = s.save(sent.repartition(buckets, "bucket").mapInArrow(_tell, "shard int, keys binary"), "told")
     texts = dealt(src, shards)
-    out = texts.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_outgoing(buckets), "bucket int, shard int, keys binary, docs binary, items binary")
+    out = texts.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_outgoing(buckets), "bucket int, shard int, keys binary, docs binary, several binary, sizes binary, items binary")
     answers = s.save(out.repartition(buckets, "bucket").mapInArrow(_verify, "shard int, bucket int, leads binary, more binary"), "answers")
     none = F.lit(None).cast("binary")
     both = told.select("shard", F.lit(None).cast("int").alias("bucket"), "keys", none.alias("leads"), none.alias("more")).union(answers.select("shard", "bucket", none.alias("keys"), "leads", "more"))

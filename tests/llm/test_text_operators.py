@@ -285,6 +285,71 @@ def test_near_passages(spark):
     assert passages(frame(spark, [])).count() == 0
 
 
+def say(r, n):
+    return [str(x) for x in r.integers(10**6, 10**9, n)]
+
+
+def test_near_passages_in_other_surroundings(spark):
+    from corvane.llm.op5_windows import passages
+
+    r = np.random.default_rng(11)
+    docs = []
+    for k in range(400):
+        shared = say(r, 50 + k % 6)
+        docs += [(2 * k, " ".join(say(r, 60) + shared + say(r, 60))), (2 * k + 1, " ".join(say(r, 60) + shared + say(r, 60)))]
+    got = passages(frame(spark, docs)).collect()
+    assert [d["doc_id"] for d in got if not d["repeated"] or d["class_id"] != d["doc_id"] // 2 * 2] == []
+    for d in got:
+        spans = [list(map(int, x.split(":"))) for x in d["spans"].split(",")]
+        assert any(a <= 60 and z >= 110 + d["doc_id"] // 2 % 6 for a, z in spans)
+
+
+def alike_brute(x, y):
+    sets = lambda v: [set(v[i : i + 46].tolist()) for i in range(len(v) - 45)]
+    return any(9 * len(a & b) >= 4 * (len(a) + len(b)) for a in sets(x) for b in sets(y))
+
+
+def drifting(seed, step):
+    """Strips of groups whose members drift away from each other, with shifts, repeated shingles and several strips of a document."""
+    r = np.random.default_rng(seed)
+    group, doc, items = [], [], []
+    for g in range(12):
+        text = r.integers(0, 40 if g % 4 == 3 else 60_000, 75)
+        for d in range(10):
+            a, z = r.integers(0, 4), r.integers(50, 70)
+            group.append(g), doc.append(d // 2 if g % 3 == 2 else d), items.append(text[a:z].astype(np.uint16))
+            at = r.integers(10, 50)
+            text = text.copy()
+            text[at : at + step] = r.integers(0, 60_000, step)
+    order = np.lexsort((doc, group))
+    return np.array(group)[order], np.array(doc)[order], [items[i] for i in order]
+
+
+def check_strips(group, doc, items):
+    from corvane.llm.op5_windows import Strips
+
+    n = len(group)
+    size = np.array([len(x) for x in items])
+    root, repeated = Strips(group, doc, np.zeros(n, bool), size, np.concatenate(items)).join()
+    up, want = list(range(n)), set()
+    find = lambda x: x if up[x] == x else find(up[x])
+    for i in range(n):
+        for j in range(i):
+            if group[i] == group[j] and doc[i] != doc[j] and alike_brute(items[i], items[j]):
+                up[max(find(i), find(j))] = min(find(i), find(j))
+                want |= {i, j}
+    return root.tolist(), [find(i) for i in range(n)], set(np.flatnonzero(repeated).tolist()), want
+
+
+def test_two_strips_are_alike_if_any_of_their_passages_are():
+    for seed in range(6):
+        group, doc, items = drifting(seed, 5)
+        for g in range(12):
+            i = np.flatnonzero(group == g)[:2]
+            root, up, repeated, want = check_strips(group[i], np.array([0, 1]), [items[k] for k in i])
+            assert root == up and repeated == want
+
+
 def test_compact_windows_are_the_cartesian_tree():
     from corvane.llm.op5_windows import compact_windows
 
