@@ -13,7 +13,8 @@ probability 1 - (1 - s ** ROWS) ** BANDS; equal passages always are, whatever te
    only the doc_ids are needed.
 2. Shards (documents by a hash of doc_id) send their distinct strips of each shared signature.
 3. For each signature the strips of all shards are verified: two are alike if any passage of one is
-   0.8 similar to any of the other. Equal passages connect strips at once; the others are compared.
+   0.8 similar to any of the other. Equal passages connect strips at once; each
+   strip is then compared with all that aren't connected with it yet, so chains stay whole.
 4. Shards apply the answers. An interval with an alike one in another document is repeated as a whole.
    A document's class is the smallest doc_id it is connected with.
 
@@ -386,6 +387,7 @@ class Strips:
                         self.u.append(strip[[x]]), self.v.append(strip[[y]])
                         more = np.flatnonzero(new & (root == root[y]))
                         new[more] = False
+                        queue += more.tolist()
 
 
 _FOUND = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("leads", pa.binary()), ("more", pa.binary())])

@@ -350,6 +350,18 @@ def test_two_strips_are_alike_if_any_of_their_passages_are():
             assert root == up and repeated == want
 
 
+def test_strips_that_drift_apart_stay_connected():
+    chains = 0
+    for seed in range(6):
+        for step in (1, 2):
+            group, doc, items = drifting(seed, step)
+            root, up, repeated, want = check_strips(group, doc, items)
+            assert root == up and repeated == want
+            # A chain: a strip that is connected with its class's first without being like it.
+            chains += sum(i != x and not alike_brute(items[i], items[x]) for i, x in enumerate(root))
+    assert chains > 100
+
+
 def test_compact_windows_are_the_cartesian_tree():
     from corvane.llm.op5_windows import compact_windows
 
