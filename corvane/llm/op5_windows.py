@@ -39,7 +39,7 @@ from corvane.llm.op1_suffixes import _bucket, _home, _least, dealt, undealt
 from corvane.llm.op10_jaccard import _LOWER, _ROLL, _STEP, WORDS, components, words_of
 from corvane.llm.scratch import Scratch, parts
 
-LEAST, BANDS, ROWS = 46, 3, 3
+LEAST, BANDS, ROWS = 46, 8, 2
 MOST = 64  # starts of an interval
 _WINDOW = Rolling(46)
 SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))

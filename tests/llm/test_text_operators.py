@@ -350,6 +350,19 @@ def test_two_strips_are_alike_if_any_of_their_passages_are():
             assert root == up and repeated == want
 
 
+def test_passages_at_the_threshold_are_found(spark):
+    from corvane.llm.op5_windows import passages
+
+    # 50 words with one changed: 41 of 51 shingles are shared, 0.804.
+    r = np.random.default_rng(12)
+    docs = []
+    for k in range(500):
+        text = say(r, 50)
+        docs += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(text[: 5 + k % 40] + ["other"] + text[6 + k % 40 :]))]
+    got = passages(frame(spark, docs)).where("repeated and class_id = 2 * floor(doc_id / 2)").count()
+    assert got >= 995
+
+
 def test_strips_that_drift_apart_stay_connected():
     chains = 0
     for seed in range(6):
