@@ -41,8 +41,9 @@ from corvane.llm.scratch import Scratch, parts
 
 LEAST, BANDS, ROWS = 46, 8, 2
 MOST = 64  # starts of an interval
+SOME = 250_000  # shingles that are verified at once
 _WINDOW = Rolling(46)
-SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
+SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def compact_windows(values: list[int], least: int) -> list[tuple[int, int, int]]:
@@ -81,23 +82,24 @@ def signatures(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     words = np.diff(first)
     doc = np.repeat(np.arange(len(words)), words)[:n]
     good = np.arange(n) + LEAST + WORDS - 1 <= first[doc + 1]
-    out, place = [], np.arange(n)
+    place, out = np.arange(n), []
     for b in range(BANDS):
-        key, new = np.zeros(n, np.uint64), np.ones(n, bool)
+        new, lows = np.ones(n, bool), []
         new[1:] = (doc[1:] != doc[:-1]) | (good[1:] != good[:-1])
         for r in range(ROWS):
             # The minimum of a passage is the place whose compact window holds it; the intervals of starts
-            # of the functions are joined where any of them changes.
-            low = _least(mix(h ^ SEEDS[b * ROWS + r]), LEAST)
-            new[1:] |= low[1:] != low[:-1]
-            key = mix(key + low)
+            # of the functions are joined where any of them changes. A function is the high half of a product.
+            lows.append(_least((h * SEEDS[b * ROWS + r] >> np.uint64(32)).astype(np.uint32), LEAST))
+            new[1:] |= lows[-1][1:] != lows[-1][:-1]
         # A shingle that recurs can be the minimum for longer than a passage; such intervals are cut, none is dropped.
         new |= (place - np.maximum.accumulate(np.where(new, place, 0))) % MOST == 0
         a = np.flatnonzero(new)
         z = np.append(a[1:], n) - 1
         keep = good[a]
-        a, z = a[keep], z[keep]
-        out.append((mix(key[a] + np.uint64(b)), a, z, doc[a]))
+        a, z, key = a[keep], z[keep], np.uint64(b)
+        for low in lows:
+            key = mix(key + low[a])
+        out.append((key, a, z, doc[a]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -404,10 +406,17 @@ def _verify(batches):
     size = np.concatenate([np.frombuffer(r["sizes"], np.uint8) for r in got]).astype(np.int64)
     items = np.concatenate([np.frombuffer(r["items"], np.uint16) for r in got])
     order = np.lexsort((doc, key))
-    items = items[ragged((np.cumsum(size) - size)[order], size[order])]
-    row, repeated = Strips(np.cumsum(_changes(key[order])), doc[order], several[order], size[order], items).join()
+    new = _changes(key[order])
+    group, begin, at = np.cumsum(new), np.append(np.flatnonzero(new), len(key)), np.cumsum(size) - size
+    ends = np.concatenate([[0], np.cumsum(size[order])])[begin]
     lead, more = np.empty(len(key), np.int64), np.empty(len(key), np.uint8)
-    lead[order], more[order] = doc[order][row], repeated
+    i = 0
+    while i < len(begin) - 1:  # whole groups of about SOME shingles
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + SOME, "right")) - 1)
+        some = order[begin[i] : begin[j]]
+        row, repeated = Strips(group[begin[i] : begin[j]], doc[some], several[some], size[some], items[ragged(at[some], size[some])]).join()
+        lead[some], more[some] = doc[some][row], repeated
+        i = j
     a = 0
     for r in got:
         z = a + len(r["keys"]) // 4
