@@ -350,9 +350,9 @@ class Strips:
         """Every strip is compared with all that aren't connected with it yet, until no more are alike."""
         k, doc, several = len(strip), self.doc[strip], self.several[strip]
         width = max(map(len, items))
-        distinct = np.full((k, width), 65536)
-        for i, (x, b) in enumerate(zip(items, before, strict=True)):
-            distinct[i, : len(x)] = np.where(b < 0, x, 65536)
+        padded = np.full((k, width), 65536)
+        for i, x in enumerate(items):
+            padded[i, : len(x)] = x
         parts_: dict[int, list] = {}
         mark, new = np.zeros(65537, bool), np.ones(k, bool)
 
@@ -374,10 +374,14 @@ class Strips:
                 rest = np.flatnonzero(new & ((doc != doc[x]) | several | several[x]))
                 if not len(rest):
                     continue
-                mark[distinct[x]] = True
-                mark[65536] = False
-                rest = rest[9 * mark[distinct[rest]].sum(axis=1) >= 4 * (fewest[x] + fewest[rest])]
-                mark[distinct[x]] = False
+                # Only a passage with enough shingles of the whole other strip can be like one of it.
+                mark[items[x]] = True
+                held = np.cumsum(mark[padded[rest]], axis=1, dtype=np.int16)
+                mark[items[x]] = False
+                most = held[:, LEAST - 1].copy()
+                if width > LEAST:
+                    np.maximum(most, (held[:, LEAST:] - held[:, :-LEAST]).max(axis=1), out=most)
+                rest = rest[9 * most.astype(np.int64) >= 4 * (fewest[x] + fewest[rest])]
                 f, n = of(x) if len(rest) else (None, None)
                 for y in rest.tolist():
                     if not new[y]:
@@ -463,9 +467,13 @@ def passages(docs: DataFrame) -> DataFrame:
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sent = src.where("doc_id is not null").mapInArrow(_send(buckets, shards), "bucket int, keys binary, refs binary, bodies binary")
     told = s.save(sent.repartition(buckets, "bucket").mapInArrow(_tell, "shard int, keys binary"), "told")
+    del sent
+    s.free()
     texts = dealt(src, shards)
     out = texts.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_outgoing(buckets), "bucket int, shard int, keys binary, docs binary, several binary, sizes binary, items binary")
     answers = s.save(out.repartition(buckets, "bucket").mapInArrow(_verify, "shard int, bucket int, leads binary, more binary"), "answers")
+    del out
+    s.free()
     none = F.lit(None).cast("binary")
     both = told.select("shard", F.lit(None).cast("int").alias("bucket"), "keys", none.alias("leads"), none.alias("more")).union(answers.select("shard", "bucket", none.alias("keys"), "leads", "more"))
     rows = s.save(texts.groupBy("shard").cogroup(both.groupBy("shard")).applyInArrow(_apply(buckets), "doc_id long, n_words long, n_passages long, n_repeated_words long, spans string, leads array<long>"), "rows")
