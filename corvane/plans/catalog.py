@@ -558,7 +558,10 @@ def _halves(spark, sf):
 
 @query(f"WITH {_AB} SELECT (SELECT count(*) FROM b WHERE k NOT IN (SELECT k FROM a)) AS added, (SELECT count(*) FROM a WHERE k NOT IN (SELECT k FROM b)) AS removed, round(((SELECT count(*) FROM b WHERE k NOT IN (SELECT k FROM a)) + (SELECT count(*) FROM a WHERE k NOT IN (SELECT k FROM b)))::DOUBLE / (SELECT count(*) FROM b), 6) AS delta_rate")
 def entity_delta(spark, sf):
-    a, b = _halves(spark, sf)
+    return _delta(*_halves(spark, sf))
+
+
+def _delta(a, b):
     n = lambda d, c: d.agg(F.count("*").alias(c))
     one = n(b.join(a, "k", "left_anti"), "added").crossJoin(n(a.join(b, "k", "left_anti"), "removed")).crossJoin(n(b, "total"))
     return one.select("added", "removed", F.round((F.col("added") + F.col("removed")) / F.col("total"), 6).alias("delta_rate"))
@@ -586,6 +589,60 @@ def defect_routing_split(spark, sf):
     return G.route_defects(d, prov).groupBy("route").agg(F.count("*").alias("defects"))
 
 
+# The same operators over all rows of their tables. The queries above keep the slices that their SQL has.
+
+
+_PLACES = "SELECT p_partkey || ':' || n AS k, p_brand || ':' || n AS cls FROM part, range(1, 8) r(n)"
+
+
+def _places(spark, sf):
+    """Every part at every line number, and the lines by part and line number."""
+    p = table(spark, sf, "part").select("p_partkey", "p_brand", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("n"))
+    li = table(spark, sf, "lineitem").select(F.concat_ws(":", "l_partkey", "l_linenumber").alias("k"), (F.col("l_suppkey") % 4).alias("source"))
+    return p.select(F.concat_ws(":", "p_partkey", "n").alias("k"), F.concat_ws(":", "p_brand", "n").alias("cls")), li
+
+
+@query(f"WITH d AS ({_PLACES}), u AS (SELECT DISTINCT l_partkey || ':' || l_linenumber AS k FROM lineitem) SELECT count(*) AS classes, count(u.k) AS classes_used, round(count(u.k)::DOUBLE / count(*), 6) AS utilisation FROM d LEFT JOIN u USING (k)")
+def class_utilisation_whole(spark, sf):
+    d, li = _places(spark, sf)
+    t = d.join(li.select("k", F.lit(True).alias("used")).distinct(), "k", "left").agg(F.countDistinct("k").alias("classes"), F.countDistinct(F.when(F.col("used"), F.col("k"))).alias("classes_used"))
+    return t.withColumn("utilisation", F.round(F.col("classes_used") / F.col("classes"), 6))
+
+
+@query(f"WITH d AS ({_PLACES}), g AS (SELECT d.k, count(DISTINCT l_suppkey % 4) AS n FROM d LEFT JOIN lineitem ON d.k = l_partkey || ':' || l_linenumber GROUP BY d.k) SELECT CASE WHEN n = 0 THEN 'unroutable' WHEN n = 1 THEN 'single' ELSE 'multi' END AS route, count(*) AS defects FROM g GROUP BY 1")
+def defect_routing_whole(spark, sf):
+    d, li = _places(spark, sf)
+    prov = li.groupBy(F.col("k").alias("iri")).agg(F.array_sort(F.collect_set("source")).alias("sources"))
+    return G.route_defects(d.select(F.col("k").alias("defect_id"), F.array("k").alias("involved")), prov).groupBy("route").agg(F.count("*").alias("defects"))
+
+
+_AB_WHOLE = "o AS (SELECT o_orderkey, o_custkey || ':' || month(o_orderdate) AS k FROM orders), a AS (SELECT DISTINCT k FROM o WHERE o_orderkey % 3 <> 0), b AS (SELECT DISTINCT k FROM o WHERE o_orderkey % 3 <> 1)"
+
+
+def _whole_halves(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", F.concat_ws(":", "o_custkey", F.month("o_orderdate")).alias("k"))
+    half = lambda k: o.where(F.col("o_orderkey") % 3 != k).select("k").distinct()
+    return half(0), half(1)
+
+
+@query(f"WITH {_AB_WHOLE}, n AS (SELECT (SELECT count(*) FROM b WHERE k NOT IN (SELECT k FROM a)) AS added, (SELECT count(*) FROM a WHERE k NOT IN (SELECT k FROM b)) AS removed) SELECT added, removed, round((added + removed)::DOUBLE / (SELECT count(*) FROM b), 6) AS delta_rate FROM n")
+def entity_delta_whole(spark, sf):
+    return _delta(*_whole_halves(spark, sf))
+
+
+@query(f"WITH {_AB_WHOLE} SELECT k FROM a INTERSECT SELECT k FROM b")
+def shared_iris_whole(spark, sf):
+    a, b = _whole_halves(spark, sf)
+    return a.intersect(b)
+
+
+@query()
+def equivalence_clusters_whole(spark, sf):
+    """Parts and suppliers of all lines, linked where a supplier ships a part on a day."""
+    at = lambda kind, c: F.concat(F.lit(kind), c, F.lit(":"), F.date_format("l_shipdate", "yyyy-MM-dd"))
+    return components(table(spark, sf, "lineitem").select(at("s", "l_suppkey").alias("s"), at("p", "l_partkey").alias("o")).distinct())
+
+
 @query("SELECT o_orderkey, left(sha256(o_orderkey || chr(31) || o_custkey || chr(31) || o_orderstatus || chr(31) || o_orderpriority), 16) AS triple_key FROM orders")
 def triple_identity_hash(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", X.triple_key(F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus"), F.col("o_orderpriority")).alias("triple_key"))

@@ -203,3 +203,40 @@ def test_feedback_halves_its_caps(spark):
     assert B.manifest({"b": 1, "a": 2}, {"q": "x"})["config"] == {"a": 2, "b": 1}
     got = B.run_states([{"run_id": "b"}, {"run_id": "a"}], lambda s: 1 // (s["run_id"] == "a"), lambda x: x)
     assert [s["error"] is None for s in got] == [True, False]
+
+
+def test_whole_tables_against_brute_force(spark, tmp_path):
+    import datetime
+    import random
+    from collections import defaultdict
+
+    from corvane.plans import catalog
+
+    r = random.Random(3)
+    day = lambda: datetime.date(2020, 1, 1) + datetime.timedelta(r.randrange(90))
+    lines = [(r.randrange(30), r.randrange(8), r.choice([1, 1, 1, 2, 2, 3, 7]), r.randrange(1, 51), 0.01 * r.randrange(9), day()) for _ in range(400)]
+    orders = [(i, r.randrange(60), day()) for i in range(300)]
+    parts = [(i, f"b{i % 5}") for i in range(30)]
+    for name, rows, schema in (("lineitem", lines, "l_partkey long, l_suppkey long, l_linenumber int, l_quantity int, l_tax double, l_shipdate date"), ("orders", orders, "o_orderkey long, o_custkey long, o_orderdate date"), ("part", parts, "p_partkey long, p_brand string")):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = lambda name: [tuple(x) for x in catalog.queries()[name](spark, str(tmp_path)).collect()]
+
+    sources = defaultdict(set)
+    for p, s, n, *_ in lines:
+        sources[p, n].add(s % 4)
+    assert got("class_utilisation_whole") == [(210, len(sources), round(len(sources) / 210, 6))]
+    one = sum(len(x) == 1 for x in sources.values())
+    assert dict(got("defect_routing_whole")) == {"unroutable": 210 - len(sources), "single": one, "multi": len(sources) - one}
+
+    a, b = ({f"{c}:{d.month}" for k, c, d in orders if k % 3 != x} for x in (0, 1))
+    assert a - b and b - a and a & b
+    assert got("entity_delta_whole") == [(len(b - a), len(a - b), round(len(a ^ b) / len(b), 6))]
+    assert {x for (x,) in got("shared_iris_whole")} == a & b
+
+    up = {}
+    find = lambda x: x if up.setdefault(x, x) == x else find(up[x])
+    for p, s, _, _, _, d in lines:
+        x, y = find(f"s{s}:{d}"), find(f"p{p}:{d}")
+        up[max(x, y)] = min(x, y)
+    clusters = dict(got("equivalence_clusters_whole"))
+    assert clusters == {x: find(x) for x in up} and len(set(clusters.values())) > 50
