@@ -38,6 +38,7 @@ YOU = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vo
 LEET = str.maketrans("013457@$!", "oieastasi")
 
 WORD = re.compile(r"[^\W_]+(?:[0-9@$!*]+[^\W_]+)*")
+BEYOND = re.compile(r"[^\x00-\x7F]")
 PREFIXES = (4, 5, 6)
 FEATURES = 15
 
@@ -98,7 +99,7 @@ def features(text: str | None, lexicon: dict[str, float], known: dict[str, float
         gap = np.minimum(np.abs(b[np.minimum(k, len(b) - 1)] - a), np.abs(b[np.maximum(k - 1, 0)] - a))
         near = int((gap <= 5).sum())
     marks = text.count("!"), text.count("?")
-    capitals = sum(map(str.isupper, text)) if len(text) < 2_000 else sum(text.count(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    capitals = sum(text.count(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ") + sum(map(str.isupper, () if text.isascii() else BEYOND.findall(text)))
     return [len(hits), len(set(hits)), 1000 * len(hits) / n, total, best, 1000 * total / n, near, 1000 * len(you) / n, capitals / chars, upper / n, 1000 * marks[0] / chars, 1000 * marks[1] / chars, odd / n, odd_hits, math.log1p(len(words))]
 
 
