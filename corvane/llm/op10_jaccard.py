@@ -221,6 +221,14 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.int32()), pa.array(c, pa.binary())], names=["node", "n", "items"])
 
 
+def _null_sets(batches):
+    for batch in batches:
+        got = [(digest(x), len(x), pack(x)) for x in sets_of(batch.column(0)) if len(x)]
+        if got:
+            a, b, c = zip(*got, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.int32()), pa.array(c, pa.binary())], names=["node", "n", "items"])
+
+
 def _slots(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return (x % np.uint64(width)).astype(np.int64), ((x >> np.uint64(32)) % np.uint64(width)).astype(np.int64)
 
@@ -516,10 +524,13 @@ def jaccard_components(docs: DataFrame, broadcast_rows: int = 500_000) -> DataFr
     nodes = s.save(nodes, "nodes")
     s.drop("counts")
     may = nodes.where("5 * (half - shared) <= n")
-    wanted = may.select("doc_id", "node")
+    wanted, nameless = may.where("doc_id is not null").select("doc_id", "node"), may.where("doc_id is null").select("node")
     few = may.count() <= broadcast_rows
     texts = src.join(F.broadcast(wanted) if few else wanted, "doc_id").select("text", "node")
-    sets = s.save(texts.mapInArrow(_sets, "node binary, n int, items binary"), "sets")
+    # Nodes without any doc_id have their texts found by digest.
+    lost = src.where("doc_id is null").select("text").mapInArrow(_null_sets, "node binary, n int, items binary")
+    lost = lost.join(F.broadcast(nameless) if few else nameless, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("items").alias("items"))
+    sets = s.save(texts.mapInArrow(_sets, "node binary, n int, items binary").union(lost), "sets")
     pieces, width = 16, 1 << 16
     items = sets.agg(F.sum("n")).first()[0] or 0
     while width < min(WIDTH, items):
