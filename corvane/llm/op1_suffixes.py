@@ -1,4 +1,4 @@
-"""Substring dedup by merging the Burrows-Wheeler transforms of shards.
+"""Substring dedup by an anchor filter and a grouping of windows by hashes of their halves.
 
 A byte goes if some ``SPAN``-byte string over it also starts in a document with a smaller doc_id. Of
 all ``SPAN``-byte suffixes heads ("windows") only those matter that are in two documents, so:
@@ -8,13 +8,10 @@ all ``SPAN``-byte suffixes heads ("windows") only those matter that are in two d
    windows out. What is left are runs of windows with a common anchor ("stretches", 50 to 76 bytes).
 2. Every shard (documents by a hash of doc_id) sends its distinct stretches by anchor, each with the
    smallest doc_id that has it.
-3. For each group of anchors the windows of all shards are read over an alphabet of half windows, as
-   strings of two symbols. Each shard's transform is its symbols in the order of its suffixes; the
-   transforms are merged by interleave refinement: from the interleave of suffixes sorted by h symbols
-   a stable pass over the preceding symbols gives the interleave for h + 1. Suffixes themselves are
-   never compared. Where a refinement leaves neighbours in one block they have a common prefix of h
-   symbols; after two, a block is a repeated interval of ``SPAN`` bytes, and its smallest doc_id
-   decides which of its windows go.
+3. For each group of anchors the windows of all shards are read as strings of two symbols, their
+   halves, and grouped by two stable passes over these. No shard builds a transform and windows are in
+   no suffix order. A block is a repeated string of ``SPAN`` bytes, and its smallest doc_id decides
+   which of its windows go.
 4. Shards apply the answers, one bit for each window, to their documents.
 
 Copies cost one stretch for each shard, and a string of a third of all documents one for each shard.
