@@ -1,16 +1,20 @@
 """Toxicity scores: gradient-boosted trees over dense features, with isotonic calibration.
 
-What is learned comes from at most ``SAMPLE`` labelled documents (in order of a hash of doc_id):
-one half gives a lexicon of words and word beginnings that mark toxic documents, the other half
-trains the trees on lexicon densities, second-person proximity, capitals, punctuation and
-obfuscation rates. Two models, each trained on half of that half, score the rest of it, and
-isotonic regression on these scores calibrates the model trained on all of it. Every document is
-then scored where it lies; only the lexicon and the trees are sent out, and both are bounded.
+What is learned comes from at most ``SAMPLE`` labelled documents (in order of a hash of doc_id). They
+are dealt in two halves by another hash. Each half gives a lexicon of words and word beginnings that
+mark toxic documents; a document's features (lexicon densities, second-person proximity, capitals,
+punctuation and obfuscation rates) are taken with the lexicon of the half it isn't in, and the trees
+are trained on all of them. Two models, each trained on half of the rows, score the rest, and isotonic
+regression on these scores calibrates the model trained on all. Every document is then scored where it
+lies, with the lexicon of the whole sample; only the lexicon and the trees are sent out. Both follow
+the sample and not the corpus. Nothing depends on how many labels there are or how long a text is.
 
 Defined cases: a null or empty text is scored as a text without words; labels that are null or not
-0/1, and labels of no document, are left out, and of several labels of a doc_id the largest counts;
-repeated rows are scored each; without positive or without negative labels all scores are the share
-of positives (0 without labels); rows with a null doc_id are not held out and never train.
+0/1, and labels of no document, are left out and take no place in the sample; of several labels of a
+doc_id the largest counts, of several texts of a doc_id the one with the smallest hash trains; repeated
+rows are scored each; without positive or without negative labels all scores are the share of positives
+(0 without labels); rows with a null doc_id are not held out and never train; no rows give no rows; other
+columns pass unchanged (``score`` names its column, and tells if it is taken).
 """
 
 from __future__ import annotations
@@ -25,12 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.scratch import Scratch
+from corvane.llm.scratch import Scratch, bound_batches, fresh
 
 #: Labelled documents that the model is fitted on at most.
 SAMPLE = 20_000
-#: Entries of the learned lexicon at most.
-LEXICON = 4_000
 THRESHOLD = 0.7
 
 # Second-person words of the corpus languages, and digits and signs that stand for letters.
@@ -204,9 +206,11 @@ class Model:
 def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     good = good.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded: the parameter of the fit
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    good = good.join(texts.select("doc_id"), "doc_id", "left_semi")
+    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded: the parameter of the fit
     found = texts.join(F.broadcast(good), "doc_id")
+    found = found.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     return found.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2)))
 
 
@@ -220,7 +224,8 @@ def _count_marks(batches):
             yield pa.RecordBatch.from_arrays([pa.array(marks, pa.string()), pa.array(toxic, pa.int32()), pa.array(list(n.values()), pa.int64())], names=["mark", "toxic", "n"])
 
 
-def _lexicon(sample: DataFrame, most: int) -> dict[str, float]:
+def _lexicon(sample: DataFrame) -> dict[str, float]:
+    """The marks of toxic documents and their log odds; as many as the sample's words give."""
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     p, n = sizes.get(1, 0), sizes.get(0, 0)
     if not p or not n:
@@ -228,7 +233,7 @@ def _lexicon(sample: DataFrame, most: int) -> dict[str, float]:
     counted = sample.select("text", "toxic").mapInArrow(_count_marks, "mark string, toxic int, n long").groupBy("mark").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("n"))
     least = max(2, round(0.006 * p))
     odds = F.log((F.col("p") + 0.5) / (p + 1.0)) - F.log((F.col("n") + 0.5) / (n + 1.0))
-    top = counted.where(F.col("p") >= least).withColumn("odds", odds).where(F.col("odds") > 2.5).orderBy(F.desc(F.col("odds") * F.col("p")), "mark").limit(most)
+    top = counted.where(F.col("p") >= least).withColumn("odds", odds).where(F.col("odds") > 2.5)
     return {r["mark"]: r["odds"] for r in top.collect()}
 
 
@@ -242,17 +247,18 @@ def _featured(shared):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int = LEXICON) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     spark = docs.sparkSession
     s = Scratch(spark)
     rows = s.save(_labelled(docs, labels, sample), "labelled")
-    size = rows.count()
-    # Too few for two halves: the lexicon is learned on all of them.
-    words = _lexicon(rows.where("half = 0") if size >= 200 else rows, lexicon)
-    shared = spark.sparkContext.broadcast(words)
-    train = (rows.where("half = 1") if size >= 200 else rows).select("text", "toxic", "doc_id").mapInArrow(_featured(shared), "x array<double>, toxic int, doc_id long")
-    got = sorted(((r["doc_id"], r["toxic"], list(r["x"])) for r in train.collect()))
+    got = []
+    for half in (0, 1):
+        shared = spark.sparkContext.broadcast(_lexicon(rows.where(F.col("half") != half)))
+        train = rows.where(F.col("half") == half).select("text", "toxic", "doc_id").mapInArrow(_featured(shared), "x array<double>, toxic int, doc_id long")
+        got += [(r["doc_id"], r["toxic"], list(r["x"])) for r in train.collect()]  # a row for each doc_id of the sample
+    words = _lexicon(rows)
     s.drop("labelled")
+    got.sort()
     x = np.array([g[2] for g in got]).reshape(-1, FEATURES)
     y = np.array([g[1] for g in got], float)
     return Model(words, x, y, float(y.mean()) if len(y) else 0.0)
@@ -264,19 +270,22 @@ def _scored(shared, schema: pa.Schema):
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             x = np.array([features(t, model.lexicon, known) for t in texts]).reshape(-1, FEATURES)
-            cols = {f.name: batch.column(i) for i, f in enumerate(batch.schema)} | {"_score": pa.array(model.score(x), pa.float64())}
-            yield pa.RecordBatch.from_arrays([cols[f.name].cast(f.type) for f in schema], schema=schema)
+            cols = [*batch.columns, pa.array(model.score(x), pa.float64())]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     return run
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``_score``, the calibrated probability that a document is toxic."""
+def score(docs: DataFrame, model: Model, name: str = "_score") -> DataFrame:
+    """``docs`` with a last column ``name``, the calibrated probability that a document is toxic."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    docs = docs.drop("_score").withColumn("text", F.col("text").cast("string"))
-    out = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
+    if fresh(docs.columns, name) != name:
+        raise ValueError(f"{name} is a column already")
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    out = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(_scored(shared, to_arrow_schema(out)), out)
 
 
