@@ -1,23 +1,27 @@
 """Secret scans with multipart credential linking.
 
-Base findings are those of three patterns, leftmost and non-overlapping for each kind. Access
-identifiers stand for themselves; the method adds the weak parts that complete a credential. Weak
-candidates (40-character key material, endpoints of services) are reported only when an interval
-join finds a complementary part within ``SCOPE`` code points in the same text: key material near an
-access identifier, an endpoint near both an identifier and key material or near an assigned secret.
-The join is over sorted spans, by binary search of each span's window, so its cost follows the
-number of spans and not their pairs.
+Base findings are those of three patterns, leftmost and non-overlapping for each kind. They stand for
+themselves; the method adds the weak parts that complete a credential. Weak candidates are identifiers
+(temporary access ids, account and user names that are assigned), secrets (40-character key material)
+and endpoints (URLs, hosts of services). They are reported only when an interval join finds
+complementary parts within ``SCOPE`` code points in the same text: a secret near any identifier, an
+identifier near a secret or an assigned one, an endpoint near an assigned secret or near both an
+identifier and a secret. Complements are base findings and weak candidates alike; a weak one counts only
+if it is reported itself, but for the pair of a weak identifier and a weak secret, which are near each other.
+The join is a sweep over sorted spans with running maxima of ends, so its cost follows the number of
+spans and not their pairs or lengths; patterns are linear in the text.
 
 Scopes never cross documents, so documents are scanned where they lie, with no shuffle; a document is
 scanned whole. Defined cases: null and empty texts have no spans; every row is reported, repeated or
-not; positions are code points, ends exclusive; other columns aren't used.
+not; positions are code points, ends exclusive; other columns aren't used; no rows give no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,9 +38,12 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST_VALUE, LEAST_ACCESS = 8, 16
 
 KEY = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")
-ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[A-Za-z0-9._~/%+-]*)?|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws\.com|internal|corp|local)\b")
+IDENT = re.compile(r"""(?<![A-Z0-9])(?:ASIA|AIDA|AROA)[A-Z0-9]{16}(?![A-Z0-9])|(?:user(?:_?name)?|login|client_?id|account(?:_?id)?)["']?\x20{0,8}[:=]\x20{0,8}["']?[A-Za-z0-9_.@-]{3,}""")
+URL = re.compile(r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[A-Za-z0-9._~/%+-]*)?")
+NAME = re.compile(r"[A-Za-z0-9_.-]+")
+SERVICE = re.compile(r"\.(?:amazonaws\.com|internal|corp|local)(?![A-Za-z0-9_-])")
 
-KINDS = ("assign", "access", "hex", "key", "endpoint")
+KINDS = ("assign", "access", "hex", "key", "endpoint", "ident")
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
 
 
@@ -52,34 +59,46 @@ def base_spans(text: str) -> list[Span]:
 
 
 def near(spans: list[Span], others: list[Span], scope: int = SCOPE) -> list[bool]:
-    """For each span, whether one of ``others`` begins or ends within ``scope`` of it (an interval join)."""
+    """For each span, whether one of ``others`` begins or ends within ``scope`` of it (an interval join by a sweep)."""
+    others = sorted(others)
     starts = [s for s, _, _ in others]
-    longest = max((e - s for s, _, e in others), default=0)
-    found = []
-    for s, _, e in spans:
-        i = bisect_left(starts, s - scope - longest)
-        hit = False
-        while i < len(others) and others[i][0] <= e + scope:
-            if others[i][2] >= s - scope:
-                hit = True
-                break
-            i += 1
-        found.append(hit)
-    return found
+    reach = list(accumulate((e for _, _, e in others), max))
+    return [(i := bisect_right(starts, e + scope)) > 0 and reach[i - 1] >= s - scope for s, _, e in spans]
+
+
+def _endpoints(text: str) -> list[Span]:
+    out = [(m.start(), 4, m.end()) for m in URL.finditer(text)]
+    taken = 0
+    urls = iter([*out, (len(text) + 1, 4, len(text) + 1)])
+    url = next(urls)
+    for m in NAME.finditer(text) if any(x in text for x in (".amazonaws.com", ".internal", ".corp", ".local")) else ():
+        while url[2] <= m.start():
+            url = next(urls)
+        if url[0] < m.end():
+            continue  # a part of that URL
+        for hit in SERVICE.finditer(m[0]):
+            taken = hit.end()
+        if taken:
+            host = m[0][:taken].lstrip("._-")
+            if len(host) > 0 and not host.startswith("."):
+                out.append((m.start() + taken - len(host), 4, m.start() + taken))
+            taken = 0
+    return sorted(out)
 
 
 def linked_spans(text: str, base: list[Span], scope: int = SCOPE) -> list[Span]:
     """Weak candidates that complete a credential with parts in their scope."""
     access = [x for x in base if x[1] == 1]
     assign = [x for x in base if x[1] == 0]
-    if not access and not assign:
-        return []
     keys = [(m.start(), 3, m.end()) for m in KEY.finditer(text)]
-    secret = [k for k, ok in zip(keys, near(keys, access, scope), strict=True) if ok]
-    ends = [(m.start(), 4, m.end()) for m in ENDPOINT.finditer(text)]
-    parts = sorted(secret + assign)
-    to_access, to_parts, to_assign = near(ends, access, scope), near(ends, parts, scope), near(ends, assign, scope)
-    return secret + [x for x, a, p, s in zip(ends, to_access, to_parts, to_assign, strict=True) if a and p or s]
+    if not (access or assign or keys):
+        return []
+    names = [(m.start(), 5, m.end()) for m in IDENT.finditer(text)]
+    keys = [k for k, ok in zip(keys, near(keys, access + names, scope), strict=True) if ok]
+    names = [x for x, ok in zip(names, near(names, keys + assign, scope), strict=True) if ok]
+    ends = _endpoints(text)
+    marks = zip(ends, near(ends, access + names, scope), near(ends, keys + assign, scope), near(ends, assign, scope), strict=True)
+    return keys + names + [x for x, ident, secret, known in marks if ident and secret or known]
 
 
 def render(spans: list[Span]) -> str:
@@ -98,11 +117,9 @@ def _scan(scope: int):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 base = base_spans(text) if text else []
-                if not base:
-                    rows.append((doc, 0, 0, 0, _EMPTY, ""))
-                    continue
+                more = linked_spans(text, base, scope) if text else []
                 n = [sum(k == i for _, k, _ in base) for i in range(3)]
-                rows.append((doc, *n, hashlib.sha256(render(base).encode()).hexdigest(), render(base + linked_spans(text, base, scope))))
+                rows.append((doc, *n, hashlib.sha256(render(base).encode()).hexdigest() if base else _EMPTY, render(base + more)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
