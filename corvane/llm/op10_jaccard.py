@@ -8,21 +8,25 @@ are one node. The join works on what can link at all, and in this order:
    the hash space is counted (by 32-bit keys within buckets, where a clash only keeps a node); the
    tasks send one entry for each key and block of documents, so common shingles don't pile up.
 2. Regions. Sets that link share a shingle among their floor(n / 5) + 1 first in any fixed order. The
-   order is by estimated frequency (a sketch of bounded size), so common passages come last. Nodes
-   that share such a shingle and may have fitting lengths are in one region; so regions hold all
-   links, and a region is the connected part of these.
-3. Pivots. In a region pivots are chosen far from each other. All sets within r of a pivot link with
-   it. The others belong to the Voronoi cell of their nearest pivot and are replicated to cells where
-   the triangle inequality allows a link (distances to the two pivots that differ by 2 r at most);
-   cells are joined recursively. Where cells no longer shrink, sets outside the largest component are
-   compared with the rest, in the windows that distances to all pivots leave.
+   order is by estimated frequency (a sketch that grows with the sets up to ``WIDTH`` counters), so common
+   passages come last. Nodes that share such a shingle and may have fitting lengths are in one region;
+   so regions hold all links, and a region is the connected part of these.
+3. Pivots. A region of more than ``LEAF`` shingles is split by all tasks: pivots are chosen far from
+   each other, every set is measured against them, and sets within r of a pivot link with it. The
+   others belong to the Voronoi cell of their nearest pivot and are replicated to the cells where the
+   triangle inequality allows a link (distances to the two pivots that differ by 2 r at most); cells are
+   regions of the next round. Where cells don't shrink, the sets outside the region's largest component
+   are compared with all blocks of it, in the windows that the distances to all pivots leave. Small
+   regions are joined in the same way by one task each.
 
 Copies are never expanded, and pairs within a component are not compared. Decisions are exact
-(9 * shared >= 4 * (n1 + n2)) on 64-bit shingle hashes; equal sets are told by 128-bit digests.
+(9 * shared >= 4 * (n1 + n2)) on 64-bit shingle hashes; equal sets are told by 128-bit digests. With
+more shingles than the sketch is made for regions may be larger, and are split more; results stay the same.
 
 Defined cases: null, empty or blank texts have an empty set and component_id = doc_id; texts of 1 to
 4 words have one shingle; repeated rows link with each other; a null doc_id takes the component's
-smallest doc_id, null if there is none.
+smallest doc_id, null if there is none; other columns aren't used (``one_of_each`` passes them
+unchanged); no rows give no rows.
 """
 
 from __future__ import annotations
@@ -35,12 +39,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.blocks import Rolling, blocks, mix, pack, ragged
-from corvane.llm.scratch import Scratch, parts
+from corvane.llm.scratch import Scratch, fresh, groups, parts
 
 WORDS = 5
 MANY = 65_535
-#: Frequency counters at most (2 bytes each are broadcast).
-WIDTH = 1 << 22
+#: Frequency counters at most (2 bytes each are broadcast: 64 MB).
+WIDTH = 1 << 25
+#: Shingles of a region that is joined by one task, and of a block of a larger one.
+LEAF, BLOCK_OF = 1 << 15, 1 << 18
+PIVOTS = 6
+#: Rows that are broadcast at most.
+BROADCAST = 500_000
+#: Centres of stars that are broadcast at most; the others have few neighbours each.
+CENTRES = 50_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -124,7 +135,7 @@ def _send(buckets: int):
             cut = np.searchsorted(b, np.arange(buckets + 1))
             home = int.from_bytes((nodes[0] if nodes else b"\0")[:4], "little") % buckets
             rows = []
-            for k in range(buckets):
+            for k in np.unique(np.append(b, home)).tolist():
                 x, y = cut[k], cut[k + 1]
                 if y > x or k == home:
                     used, local = np.unique(ref[x:y], return_inverse=True)
@@ -156,21 +167,18 @@ def _send(buckets: int):
 
 
 def _count(pieces: int):
-    """Counts of shared keys by node (the first 8 bytes of its digest), for ``pieces`` parts of the nodes."""
-
-    def run(batches):
-        keys, refs, nodes, base = [], [], [], 0
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["own"]:
-                    yield pa.RecordBatch.from_pylist([{"piece": -1, "own": row["own"]}], schema=_SHARED)
-                r = np.frombuffer(row["refs"], np.uint16).astype(np.int64)
-                keys.append(np.frombuffer(row["keys"], np.uint32).astype(np.uint64) | np.uint64(row["bucket"] << 32))
-                refs.append(np.where(r == MANY, -1, r + base))
-                nodes.append(row["nodes"])
-                base += len(row["nodes"]) // 8
-        if not keys:
-            return
+    """Counts of a bucket's shared keys by node (the first 8 bytes of its digest), for ``pieces`` parts of the nodes."""
+
+    def run(table):
+        keys, refs, nodes, rows, base = [], [], [], [], 0
+        for row in table.to_pylist():
+            if row["own"]:
+                rows.append({"piece": -1, "own": row["own"]})
+            r = np.frombuffer(row["refs"], np.uint16).astype(np.int64)
+            keys.append(np.frombuffer(row["keys"], np.uint32))
+            refs.append(np.where(r == MANY, -1, r + base))
+            nodes.append(row["nodes"])
+            base += len(row["nodes"]) // 8
         key, ref = np.concatenate(keys), np.concatenate(refs)
         del keys, refs
         order = np.argsort(key, kind="stable")
@@ -182,12 +190,12 @@ def _count(pieces: int):
         n = np.bincount(ref[shared & (ref >= 0)], minlength=base)
         some = np.flatnonzero(n)
         node = np.frombuffer(b"".join(nodes), np.uint64)[some]
-        part = node % np.uint64(pieces)
+        part = (node % np.uint64(pieces)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        node, n, cut = node[order], n[some][order], np.searchsorted(part[order], np.arange(pieces + 1))
-        rows = [{"piece": k, "nodes": pack(node[cut[k] : cut[k + 1]]), "counts": pack(n[cut[k] : cut[k + 1]].astype(np.uint32))} for k in range(pieces) if cut[k + 1] > cut[k]]
-        for k in range(0, len(rows), 64):
-            yield pa.RecordBatch.from_pylist(rows[k : k + 64], schema=_SHARED)
+        node, n, part = node[order], n[some][order].astype(np.uint32), part[order]
+        names, first = np.unique(part, return_index=True)
+        rows += [{"piece": k, "nodes": pack(x), "counts": pack(y)} for k, x, y in zip(names.tolist(), np.split(node, first[1:]), np.split(n, first[1:]), strict=True)] if len(part) else []
+        return pa.Table.from_pylist(rows, schema=_SHARED)
 
     return run
 
@@ -213,20 +221,21 @@ def _own(batches):
 # 2. Regions
 
 
-def _sets(batches):
-    for batch in batches:
-        got = [(k, len(x), pack(x)) for k, x in zip(batch.column(1).to_pylist(), sets_of(batch.column(0)), strict=True) if len(x) and digest(x) == k]
-        if got:
-            a, b, c = zip(*got, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.int32()), pa.array(c, pa.binary())], names=["node", "n", "items"])
+_SETS = pa.schema([("node", pa.binary()), ("n", pa.int32()), ("items", pa.binary())])
 
 
-def _null_sets(batches):
+def _sets(batches):
+    """The sets of texts, each once for a task; with a second column only those of that digest."""
+    seen: set[bytes] = set()
     for batch in batches:
-        got = [(digest(x), len(x), pack(x)) for x in sets_of(batch.column(0)) if len(x)]
+        got = []
+        wanted = batch.column(1).to_pylist() if batch.num_columns > 1 else [None] * len(batch)
+        for k, x in zip(wanted, sets_of(batch.column(0)), strict=True):
+            if len(x) and (d := digest(x)) not in seen and k in (None, d):
+                seen.add(d)
+                got.append((d, len(x), pack(x)))
         if got:
-            a, b, c = zip(*got, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.int32()), pa.array(c, pa.binary())], names=["node", "n", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), _SETS, strict=True)], schema=_SETS)
 
 
 def _slots(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -313,12 +322,10 @@ def _prefixes(shared, width: int, buckets: int):
             end = np.append(new[1:], True)
             keep = new | end
             key, n, v = key[keep], n[keep], v[keep]
-            b = (key >> np.uint64(40)) % np.uint64(buckets)
-            rows = []
-            for k in range(buckets):
-                at = np.flatnonzero(b == k)
-                if len(at):
-                    rows.append({"bucket": k, "keys": pack(key[at]), "n": pack(n[at].astype(np.int32)), "nodes": b"".join(nodes[x] for x in v[at].tolist()), "edges": b""})
+            b = ((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(b, kind="stable")
+            names, first = np.unique(b[order], return_index=True)
+            rows = [{"bucket": k, "keys": pack(key[at]), "n": pack(n[at].astype(np.int32)), "nodes": b"".join(nodes[x] for x in v[at].tolist()), "edges": b""} for k, at in zip(names.tolist(), np.split(order, first[1:]), strict=True)]
             if len(edges):
                 rows.append({"bucket": int.from_bytes(nodes[0][:4], "little") % buckets, "keys": b"", "n": b"", "nodes": b"", "edges": b"".join(nodes[a] + nodes[b_] for a, b_ in edges.tolist())})
             keys.clear(), sizes.clear(), nodes.clear()
@@ -346,25 +353,22 @@ def _prefixes(shared, width: int, buckets: int):
 _EDGES = pa.schema([("u", pa.binary()), ("v", pa.binary())])
 
 
-def _edges(batches):
+def _edges(table):
     keys, sizes, names = [], [], []
     out: set[tuple[bytes, bytes]] = set()
-    for batch in batches:
-        for r in batch.to_pylist():
-            if r["edges"]:
-                e = r["edges"]
-                out.update((e[i : i + 16], e[i + 16 : i + 32]) for i in range(0, len(e), 32))
-            if r["keys"]:
-                keys.append(np.frombuffer(r["keys"], np.uint64)), sizes.append(np.frombuffer(r["n"], np.int32))
-                names.append(r["nodes"])
+    for r in table.to_pylist():
+        if r["edges"]:
+            e = r["edges"]
+            out.update((e[i : i + 16], e[i + 16 : i + 32]) for i in range(0, len(e), 32))
+        if r["keys"]:
+            keys.append(np.frombuffer(r["keys"], np.uint64)), sizes.append(np.frombuffer(r["n"], np.int32))
+            names.append(r["nodes"])
     if keys:
-        table = np.frombuffer(b"".join(names), "V16")
-        unique, v = _unique16(table)
+        unique, v = _unique16(np.frombuffer(b"".join(names), "V16"))
         for a, b in _forest(_chain(np.concatenate(keys), np.concatenate(sizes).astype(np.int64), v), len(unique)).tolist():
             out.add((unique[a], unique[b]))
-    if out:
-        u, v = zip(*sorted(out), strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], schema=_EDGES)
+    u, v = zip(*sorted(out), strict=True) if out else ([], [])
+    return pa.Table.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], schema=_EDGES)
 
 
 def _unique16(table: np.ndarray) -> tuple[list[bytes], np.ndarray]:
@@ -376,24 +380,32 @@ def _unique16(table: np.ndarray) -> tuple[list[bytes], np.ndarray]:
 def components(edges: DataFrame, s: Scratch, name: str = "cc") -> DataFrame:
     """(node, root): the smallest node of the connected part of each node of ``edges`` (u, v).
 
-    Rounds of large and small stars; minima are summed in each task before the shuffle.
+    Rounds of large and small stars; minima are summed in each task before the shuffle. A node with more
+    than one in ``CENTRES`` of all ends has its minimum broadcast, so no star lands in one task.
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     e = s.save(e, f"{name}0")
-    before, k = None, 0
+    before, k, n = None, 0, e.count()
+
+    def to_least(ends: DataFrame) -> DataFrame:
+        """``ends`` with m, the least neighbour of u."""
+        low = ends.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
+        crowded = 2 * n // CENTRES + 1_000
+        hot = F.broadcast(low.where(F.col("d") > crowded).drop("d"))  # fewer than CENTRES rows
+        cold = low.where(F.col("d") <= crowded).drop("d")
+        return ends.join(hot, "u").unionByName(ends.join(hot, "u", "left_anti").join(cold, "u"))
+
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
+        large = to_least(both).withColumn("m", F.least("u", "m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = to_least(large).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
         k += 1
         e = s.save(small, f"{name}{k}")
         s.drop(f"{name}{k - 1}")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = tuple(now)
+        before, n = tuple(now), now[0]
 
 
 # 3. Pivots
@@ -402,13 +414,16 @@ def components(edges: DataFrame, s: Scratch, name: str = "cc") -> DataFrame:
 class Region:
     """Sets as rows of a sparse matrix; ``join`` gives the component of each."""
 
-    def __init__(self, sets: list[np.ndarray], leaf: int = 16, pivots: int = 6):
+    def __init__(self, sets: list[np.ndarray], labels: list[bytes] | None = None, leaf: int = 16, pivots: int = PIVOTS):
         self.n = np.array([len(x) for x in sets], np.int64)
         self.ptr = np.concatenate([[0], np.cumsum(self.n)])
         _, self.ids = np.unique(np.concatenate(sets), return_inverse=True)
         self.up = np.arange(len(sets))
         self.flag = np.zeros(int(self.ids.max()) + 1, bool)
         self.leaf, self.pivots = leaf, pivots
+        if labels:  # sets of one label are known to be connected
+            first: dict[bytes, int] = {}
+            self.up = np.array([first.setdefault(x, i) for i, x in enumerate(labels)], np.int64)
 
     def find(self, x: int) -> int:
         while self.up[x] != x:
@@ -492,33 +507,171 @@ class Region:
             self.against(x, some[self.roots(some) != self.find(x)] if len(some) else some)
 
 
-def _join(batches):
-    groups: dict[bytes, list[tuple[bytes, bytes]]] = {}
-    for batch in batches:
-        for root, node, items in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            groups.setdefault(root, []).append((node, items))
-    out = []
-    for got in groups.values():
-        got.sort()
-        if len(got) > 1:
-            top = Region([np.frombuffer(x, np.uint64) for _, x in got]).join()
-            out += [(got[i][0], got[t][0]) for i, t in enumerate(top.tolist())]
-    if out:
-        a, b = zip(*out, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["node", "part"])
-
-
-def jaccard_components(docs: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, component_id."""
+    def against_all(self, some: np.ndarray, rows: np.ndarray, d: np.ndarray) -> list[tuple[int, int]]:
+        """Links between ``some`` and ``rows`` of other components; ``d`` has the distances of all to the pivots."""
+        out = []
+        for x in some.tolist():
+            fit = (np.abs(d[rows] - d[x]) <= 0.2 + 1e-6).all(axis=1) & (5 * self.n[rows] >= 4 * self.n[x]) & (4 * self.n[rows] <= 5 * self.n[x])
+            near = rows[fit]
+            near = near[self.roots(near) != self.find(x)] if len(near) else near
+            if len(near):
+                shared = self.shared(x, near)
+                for y in near[9 * shared >= 4 * (self.n[x] + self.n[near])].tolist():
+                    a, b = self.find(x), self.find(y)
+                    if a != b:
+                        self.up[max(a, b)] = min(a, b)
+                        out.append((x, y))
+        return out
+
+
+_PARTS = pa.schema([("node", pa.binary()), ("part", pa.binary())])
+
+
+def _join(table):
+    """The first node of each node's connected part of a region."""
+    got = sorted(zip(table["node"].to_pylist(), table["items"].to_pylist(), table["label"].to_pylist(), strict=True))
+    top = Region([np.frombuffer(x, np.uint64) for _, x, _ in got], [x for _, _, x in got]).join().tolist() if len(got) > 1 else []
+    return pa.Table.from_arrays([pa.array([got[i][0] for i in range(len(top))], pa.binary()), pa.array([got[t][0] for t in top], pa.binary())], schema=_PARTS)
+
+
+_PICKED = pa.schema([("region", pa.binary()), ("cell", pa.int32()), ("pivot", pa.binary()), ("items", pa.binary())])
+
+
+def _pick(key, table):
+    """Pivots of a region, far from each other, of a sample of its sets."""
+    got = sorted(zip(table["node"].to_pylist(), table["items"].to_pylist(), strict=True))
+    r = Region([np.frombuffer(x, np.uint64) for _, x in got])
+    rows, near, chosen, pick = np.arange(len(got)), np.full(len(got), 2.0), [], 0
+    while len(chosen) < PIVOTS and near[pick] > 0:
+        chosen.append(pick)
+        shared = r.shared(pick, rows)
+        near = np.minimum(near, 1 - shared / (r.n[pick] + r.n - shared))
+        pick = int(np.argmax(near))
+    return pa.Table.from_pylist([{"region": key[0].as_py(), "cell": k, "pivot": got[i][0], "items": got[i][1]} for k, i in enumerate(chosen)], schema=_PICKED)
+
+
+_MEASURED = pa.schema([("region", pa.binary()), ("node", pa.binary()), ("label", pa.binary()), ("n", pa.int32()), ("d", pa.list_(pa.float64())), ("cells", pa.list_(pa.int32())), ("pivots", pa.list_(pa.binary()))])
+
+
+def _measure(key, left, right):
+    """For sets of a region: distances to its pivots, the cells in which they may have links, and the pivots they link with."""
+    if not left.num_rows or not right.num_rows:
+        return _MEASURED.empty_table()
+    pivots = sorted(zip(right["cell"].to_pylist(), right["pivot"].to_pylist(), right["items"].to_pylist(), strict=True))
+    r = Region([np.frombuffer(x, np.uint64) for x in [p[2] for p in pivots] + left["items"].to_pylist()])
+    p, rows = len(pivots), np.arange(len(pivots), len(pivots) + left.num_rows)
+    shared = np.stack([r.shared(k, rows) for k in range(p)], 1)
+    total = r.n[rows][:, None] + r.n[:p]
+    d = 1 - shared / (total - shared)
+    least = d.min(axis=1)[:, None]
+    links, cells = 9 * shared >= 4 * total, d - least <= 0.4 + 1e-9
+    names = [x[1] for x in pivots]
+    out = [left["region"].to_pylist(), left["node"].to_pylist(), left["label"].to_pylist(), r.n[rows].tolist(), d.tolist(), [np.flatnonzero(x).tolist() for x in cells], [[names[k] for k in np.flatnonzero(x)] for x in links]]
+    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(out, _MEASURED, strict=True)], schema=_MEASURED)
+
+
+_CLASSES = pa.schema([("region", pa.binary()), ("pivot", pa.binary()), ("label", pa.binary())])
+
+
+def _classes(key, table):
+    """The classes of a region's pivots that some sets link with each other; ``pivots`` has the distinct combinations."""
+    of: dict[bytes, set[bytes]] = {}
+    for some in table["pivots"].to_pylist():
+        whole = set(some).union(*(of[p] for p in some if p in of))
+        for p in whole:
+            of[p] = whole
+    return pa.Table.from_pylist([{"region": key[0].as_py(), "pivot": p, "label": min(x)} for p, x in of.items()], schema=_CLASSES)
+
+
+def _blocks(key, left, right):
+    """Links of loose sets (right) with a block of their region (left)."""
+    if not left.num_rows or not right.num_rows:
+        return _EDGES.empty_table()
+    both = pa.concat_tables([left.select(["node", "items", "label", "d"]), right.select(["node", "items", "label", "d"])])
+    node = both["node"].to_pylist()
+    r = Region([np.frombuffer(x, np.uint64) for x in both["items"].to_pylist()], both["label"].to_pylist())
+    links = r.against_all(np.arange(left.num_rows, len(node)), np.arange(left.num_rows), np.array(both["d"].to_pylist()))
+    return pa.Table.from_arrays([pa.array([node[x[i]] for x in links], pa.binary()) for i in (0, 1)], schema=_EDGES)
+
+
+def _small(table: DataFrame, most: int = BROADCAST) -> DataFrame:
+    return F.broadcast(table) if table.count() <= most else table
+
+
+def _spread(name: str, n, salt: int):
+    return F.pmod(F.xxhash64(name, F.lit(salt)), F.greatest(n, F.lit(1)).cast("long"))
+
+
+def _all(n):
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)).cast("long") - 1))
+
+
+def split(work: DataFrame, sets: DataFrame, s: Scratch, leaf: int, block: int) -> DataFrame:
+    """(node, root) of the sets of large regions: ``work`` has region, node, n, label (the same for sets known to be connected) and the region's ``size`` in shingles and ``rows``."""
+    kind = "node binary, part binary"
+    found, k = [], 0
+    while True:
+        k += 1
+        wide = work.join(sets.select("node", "items"), "node")
+        # About 64 sets of a region by a hash that changes with the round; a region without any is measured in the next one.
+        sample = wide.where(F.pmod(F.xxhash64("node", F.lit(k)), F.greatest(F.floor(F.col("rows") / 64), F.lit(1)).cast("long")) == 0)
+        pivots = s.save(sample.groupBy("region").applyInArrow(_pick, "region binary, cell int, pivot binary, items binary"), f"pivots{k}")
+        sized = pivots.join(_small(work.groupBy("region").agg(F.first("size").alias("size"))), "region")
+        asked = sized.withColumn("salt", _all(F.ceil(F.col("size") / block))).drop("size")
+        rows = wide.withColumn("salt", _spread("node", F.ceil(F.col("size") / block), 7)).select("region", "salt", "node", "label", "items")
+        measured = rows.groupBy("region", "salt").cogroup(asked.groupBy("region", "salt")).applyInArrow(_measure, "region binary, node binary, label binary, n int, d array<double>, cells array<int>, pivots array<binary>")
+        measured = s.save(measured, f"measured{k}")
+        found.append(s.save(measured.select(F.col("node").alias("u"), F.explode("pivots").alias("v")).where("u <> v"), f"links{k}"))
+        # Sets that link with pivots are in the class of these; the others keep the label they had.
+        classes = measured.where(F.size("pivots") > 0).select("region", "pivots").distinct().groupBy("region").applyInArrow(_classes, "region binary, pivot binary, label binary")
+        classes = s.save(classes, f"classes{k}")
+        measured = measured.withColumn("pivot", F.get("pivots", F.lit(0))).withColumnRenamed("label", "before").join(_small(classes), ["region", "pivot"], "left")
+        measured = s.save(measured.select("region", "node", "n", "d", "cells", F.coalesce("label", "before").alias("label")), f"labelled{k}")
+        # Regions that are one component are done; the others go on in cells, if these shrink, or in blocks.
+        of = measured.groupBy("region", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("size"))
+        of = of.groupBy("region").agg(F.sum("rows").alias("all"), F.sum("size").alias("size"), F.max_by("label", F.struct("rows", "label")).alias("main"), F.max_by("size", F.struct("rows", "label")).alias("held"), F.count("*").alias("labels")).where("labels > 1")
+        cells = measured.select("region", F.explode("cells").alias("cell")).groupBy("region", "cell").count().groupBy("region").agg(F.max("count").alias("most"))
+        state = s.save(of.join(cells, "region"), f"state{k}")
+        stuck = _small(state.where(F.col("most") > 0.7 * F.col("all")).select("region", F.col("size").alias("of"), "main", (F.col("size") - F.col("held")).alias("loose")))
+        mine = measured.join(stuck, "region").withColumn("b", F.ceil(F.col("of") / block)).withColumn("c", F.ceil(F.col("loose") / block)).join(sets.select("node", "items"), "node")
+        mine = s.save(mine, f"stuck{k}")
+        left = mine.withColumn("i", _spread("node", F.col("b"), 1)).withColumn("j", _all(F.col("c"))).select("region", "i", "j", "node", "items", "label", "d")
+        right = s.read(f"stuck{k}").where("label <> main").withColumn("j", _spread("node", F.col("c"), 2)).withColumn("i", _all(F.col("b"))).select("region", "i", "j", "node", "items", "label", "d")
+        found.append(s.save(left.groupBy("region", "i", "j").cogroup(right.groupBy("region", "i", "j")).applyInArrow(_blocks, "u binary, v binary"), f"blocks{k}"))
+        going = _small(state.where(F.col("most") <= 0.7 * F.col("all")).select("region"))
+        cells = measured.join(going, "region").select("region", "node", "n", "label", F.explode("cells").alias("cell"))
+        cells = cells.select(F.unhex(F.md5(F.concat("region", F.encode(F.col("cell").cast("string"), "utf-8")))).alias("region"), "node", "n", "label")
+        # A region whose sample was empty stays as it is.
+        missed = work.join(_small(pivots.select("region").distinct()), "region", "left_anti").select("region", "node", "n", "label")
+        cells = s.save(cells.union(missed), f"cells{k}")
+        sizes = cells.groupBy("region").agg(F.sum("n").alias("size"), F.count("*").alias("rows"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").drop("x", "y")
+        work = s.save(cells.join(_small(sizes), "region"), f"work{k}")
+        ready = work.where(F.col("size") <= leaf).join(sets.select("node", "items"), "node")
+        joined = ready.repartition(parts(groups(sets)), "region").groupBy("region").applyInArrow(_join, kind)
+        found.append(s.save(joined.select(F.col("node").alias("u"), F.col("part").alias("v")), f"joined{k}"))
+        work = work.where(F.col("size") > leaf)
+        s.drop(f"pivots{k}", f"stuck{k}", f"classes{k}", f"measured{k}", f"labelled{k}", f"state{k}", f"cells{k}", f"work{k - 1}")
+        if work.isEmpty():
+            return components(_union(found), s, "split")
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.union(t)
+    return out
+
+
+def linked(docs: DataFrame, s: Scratch, broadcast_rows: int = BROADCAST, leaf: int = LEAF, block: int = BLOCK_OF, width: int = WIDTH) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, node (the digest of its set, null if empty), n, part (the same for all linked ones)."""
     spark: SparkSession = docs.sparkSession
-    s = Scratch(spark)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    buckets = parts(docs)
+    buckets = groups(docs)
     sent = src.mapInArrow(_send(buckets), "bucket int, keys binary, refs binary, nodes binary, own binary")
     pieces = max(1, buckets // 4)
-    counts = s.save(sent.repartition(buckets, "bucket").mapInArrow(_count(pieces), "piece int, nodes binary, counts binary, own binary"), "counts")
+    counts = s.save(sent.repartition(parts(buckets), "bucket").groupBy("bucket").applyInArrow(_count(pieces), "piece int, nodes binary, counts binary, own binary"), "counts")
     rows = s.save(counts.where("piece < 0").select("own").mapInArrow(_own, "doc_id long, node binary, n int, half int, shared int"), "rows")
-    others = counts.where("piece >= 0").repartition(pieces, "piece").select("nodes", "counts").mapInArrow(_sum, "short binary, others long")
+    others = counts.where("piece >= 0").repartition(parts(pieces), "piece").select("nodes", "counts").mapInArrow(_sum, "short binary, others long")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("half").alias("half"), F.sum("shared").alias("shared"))
     nodes = nodes.withColumn("short", F.substring("node", 1, 8)).join(others, "short", "left").withColumn("shared", F.col("shared") + F.coalesce("others", F.lit(0))).drop("short", "others")
     nodes = s.save(nodes, "nodes")
@@ -528,33 +681,88 @@ def jaccard_components(docs: DataFrame, broadcast_rows: int = 500_000) -> DataFr
     few = may.count() <= broadcast_rows
     texts = src.join(F.broadcast(wanted) if few else wanted, "doc_id").select("text", "node")
     # Nodes without any doc_id have their texts found by digest.
-    lost = src.where("doc_id is null").select("text").mapInArrow(_null_sets, "node binary, n int, items binary")
+    lost = src.where("doc_id is null").select("text").mapInArrow(_sets, "node binary, n int, items binary")
     lost = lost.join(F.broadcast(nameless) if few else nameless, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("items").alias("items"))
+    # Tasks that have equal rows may give a set more than once.
     sets = s.save(texts.mapInArrow(_sets, "node binary, n int, items binary").union(lost), "sets")
-    pieces, width = 16, 1 << 16
-    items = sets.agg(F.sum("n")).first()[0] or 0
-    while width < min(WIDTH, items):
-        width *= 2
-    got = sets.select("items").mapInArrow(_tally(width, pieces), "piece int, at binary, n binary").repartition(pieces, "piece").mapInArrow(_total(width // pieces), "piece int, n binary").collect()
-    table = np.zeros(width, np.uint16)
+    counters, items = 1 << 16, sets.agg(F.sum("n")).first()[0] or 0
+    while counters < min(width, items):
+        counters *= 2
+    pieces = counters >> 16
+    got = sets.select("items").mapInArrow(_tally(counters, pieces), "piece int, at binary, n binary").repartition(min(pieces, parts(buckets)), "piece").mapInArrow(_total(counters // pieces), "piece int, n binary").collect()
+    table = np.zeros(counters, np.uint16)
     for r in got:  # ``pieces`` rows, 2 * WIDTH bytes at most
-        at = r["piece"] * (width // pieces)
-        table[at : at + width // pieces] = np.frombuffer(r["n"], np.uint16)
-    buckets = parts(sets)
-    sent = sets.mapInArrow(_prefixes(spark.sparkContext.broadcast(table), width, buckets), "bucket int, keys binary, n binary, nodes binary, edges binary")
-    edges = s.save(sent.repartition(buckets, "bucket").mapInArrow(_edges, "u binary, v binary"), "edges")
+        at = r["piece"] * (counters // pieces)
+        table[at : at + counters // pieces] = np.frombuffer(r["n"], np.uint16)
+    buckets = groups(sets)
+    sent = sets.mapInArrow(_prefixes(spark.sparkContext.broadcast(table), counters, buckets), "bucket int, keys binary, n binary, nodes binary, edges binary")
+    edges = s.save(sent.repartition(parts(buckets), "bucket").groupBy("bucket").applyInArrow(_edges, "u binary, v binary"), "edges")
     regions = components(edges, s)
-    regions = regions.union(regions.select(F.col("root").alias("node"), "root").distinct())
-    joined = sets.join(regions, "node").select("root", "node", "items").repartition(buckets, "root").mapInArrow(_join, "node binary, part binary")
+    regions = regions.union(regions.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "region")
+    regions = regions.join(nodes.select("node", "n"), "node")
+    sizes = regions.groupBy("region").agg(F.sum("n").alias("size"), F.count("*").alias("rows"))
+    regions = s.save(regions.join(sizes, "region"), "regions")
+    ready = regions.where(F.col("size") <= leaf).select("node", "region", F.col("node").alias("label")).join(sets.select("node", "items"), "node")
+    joined = ready.repartition(parts(buckets), "region").groupBy("region").applyInArrow(_join, "node binary, part binary")
+    large = regions.where(F.col("size") > leaf).withColumn("label", F.col("node"))
+    if not large.isEmpty():
+        roots = split(large, sets, s, leaf, block)
+        joined = joined.union(roots.select("node", F.col("root").alias("part"))).union(roots.select(F.col("root").alias("node"), F.col("root").alias("part")).distinct())
     joined = s.save(joined.groupBy("node").agg(F.min("part").alias("part")), "joined")
-    named = nodes.select("node", "doc_id").join(joined, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    named = s.save(named, "named")
-    least = named.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "part").select("node", "component_id")
-    full = rows.where("node is not null").join(named, "node").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    none = rows.where("node is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    named = rows.where("node is not null").join(joined, "node", "left").select("doc_id", "node", "n", F.coalesce("part", "node").alias("part"))
+    return s.save(named.union(rows.where("node is null").select("doc_id", "node", "n", F.lit(None).cast("binary").alias("part"))), "linked")
+
+
+def jaccard_components(docs: DataFrame, **limits) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_shingles, component_id."""
+    s = Scratch(docs.sparkSession)
+    rows = linked(docs, s, **limits)
+    full = rows.where("part is not null")
+    least = full.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    full = full.join(least, "part").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    none = rows.where("part is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return s.done(full.union(none))
 
 
+def _with_node(schema: pa.Schema):
+    def run(batches):
+        for batch in batches:
+            nodes = [digest(x) if len(x) else None for x in sets_of(batch.column(batch.schema.get_field_index("text")))]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*batch.columns, pa.array(nodes, pa.binary())], schema, strict=True)], schema=schema)
+
+    return run
+
+
+def one_of_each(docs: DataFrame, **limits) -> DataFrame:
+    """``docs`` with one row of each linked group: that of the smallest doc_id (a null one comes last).
+
+    Rows go one by one: a doc_id that other texts have too keeps those that aren't linked with a kept row.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
+    s = Scratch(docs.sparkSession)
+    rows = linked(docs, s, **limits)
+    keep = rows.where("part is not null").groupBy("part").agg(F.count("*").alias("k"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("keep")).where("k > 1")
+    gone = rows.join(keep, "part").where(~(F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("node") == F.col("keep.node")))).select("doc_id", "node").distinct()
+    gone = s.save(gone, "gone")
+    many = s.save(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"), "many")
+    # A doc_id of one row goes by its number; rows that share one, or have none, go by their own sets.
+    plain = docs.where("doc_id is not null").join(_small(gone.select("doc_id").where("doc_id is not null").union(many).distinct()), "doc_id", "left_anti")
+    shared = docs.join(_small(many), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    node = fresh(docs.columns, "_node")
+    out = type(docs.schema)([*docs.schema.fields]).add(node, "binary")
+    shared = shared.mapInArrow(_with_node(to_arrow_schema(out)), out)
+    once = shared.where(F.col(node).isNotNull()).dropDuplicates(["doc_id", node])
+    d_, n_ = fresh([*docs.columns, node], "_d"), fresh([*docs.columns, node], "_n")
+    other = gone.select(F.col("doc_id").alias(d_), F.col("node").alias(n_))
+    once = once.join(_small(other), F.col("doc_id").eqNullSafe(F.col(d_)) & (F.col(node) == F.col(n_)), "left_anti")
+    rest = once.unionByName(shared.where(F.col(node).isNull())).drop(node)
+    out = s.save(plain.unionByName(rest).select(*[F.col(f"`{c}`") for c in docs.columns]), "kept")
+    s.drop(*[n for n in s.paths if n != "kept"])
+    s.keep("kept")
+    return out
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.blocks import Rolling, blocks, mix, pack, ragged
-from corvane.llm.scratch import Scratch, parts
+from corvane.llm.scratch import Scratch, groups, parts
 
 SPAN, GRAM = 50, 24
 WIDTH = SPAN - GRAM + 1  # grams in a window
@@ -359,7 +359,7 @@ def substring_dedup(docs: DataFrame, keep: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row, and the ``kept`` bytes if wanted."""
     spark: SparkSession = docs.sparkSession
     s = Scratch(spark)
-    buckets = shards = parts(docs, 4.0)
+    buckets = shards = groups(docs, 4.0)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sent = s.save(src.where("doc_id is not null").mapInArrow(_send(buckets, shards), "bucket int, shard int, keys binary, refs binary"), "sent")
     found = sent.where("bucket >= 0").repartition(buckets, "bucket").mapInArrow(_shared, "shard int, keys binary")

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from corvane.llm.blocks import Rolling, blocks, mix, pack, ragged
 from corvane.llm.op1_suffixes import _bucket, _home, _least, dealt, undealt
 from corvane.llm.op10_jaccard import _LOWER, _ROLL, _STEP, WORDS, components, words_of
-from corvane.llm.scratch import Scratch, parts
+from corvane.llm.scratch import Scratch, groups, parts
 
 LEAST, BANDS, ROWS = 46, 8, 2
 MOST = 64  # starts of an interval
@@ -463,7 +463,7 @@ def passages(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: its near-duplicate passages (word spans) and its class."""
     spark: SparkSession = docs.sparkSession
     s = Scratch(spark)
-    buckets = shards = parts(docs, 4.0)
+    buckets = shards = groups(docs, 4.0)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sent = src.where("doc_id is not null").mapInArrow(_send(buckets, shards), "bucket int, keys binary, refs binary, bodies binary")
     told = s.save(sent.repartition(buckets, "bucket").mapInArrow(_tell, "shard int, keys binary"), "told")

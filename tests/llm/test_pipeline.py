@@ -27,3 +27,20 @@ def test_stages(spark, tmp_path):
     out = P.run(spark, sf)
     assert {r["doc_id"] for r in out.collect()} == set(ids) - {900}
     assert [n for n, _ in P.STAGES] == ["toxicity", "line_dedup", "jaccard_join", "decontamination", "packing"]
+
+
+def test_empty_tables_and_names_of_the_stages_own(spark, tmp_path):
+    import corpus_pipeline as P
+
+    docs = frame(spark, [(1, "calm words here"), (2, "other words there")])
+    for name, rows in (("empty", docs.where("false")), ("full", docs)):
+        sf = f"{tmp_path}/{name}"
+        rows.selectExpr("doc_id", "text", "'mine' as _score", "'mine' as _lines", "'mine' as _leaks", "'mine' as _node", "'mine' as node").write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+        kept = spark.read.parquet(f"{sf}/documents.parquet")
+        for _, stage in P.STAGES[:-1]:
+            kept = stage(spark, kept, sf)
+            assert kept.columns == ["doc_id", "text", "_score", "_lines", "_leaks", "_node", "node"]
+            assert kept.where("_score = 'mine' and _lines = 'mine' and _leaks = 'mine' and _node = 'mine'").count() == rows.count()
+        assert P.run(spark, sf).count() == rows.count()
