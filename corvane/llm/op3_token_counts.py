@@ -1,26 +1,32 @@
 """Token counts by a compiled finite-state tokenizer.
 
-``compile_tokenizer`` turns the pre-tokenizer of a byte-level BPE vocabulary into a deterministic
-transducer over character classes. A transition is annotated with what it emits: an arc end before
-the character it reads, or before the one before that (white space and ``'r``, ``'v``, ``'l`` are
-decided a character late). The pieces between arc ends are word arcs, each annotated with the number
-of tokens that the vocabulary's merges make of it; word arcs are compiled when first met.
-
-A block of texts is one character stream, cut in lanes that are read side by side. As a lane's start
-state isn't known, the first pass computes the lane's state map (end state for each start state;
-lanes mostly forget their start state within a few characters). The maps are composed by a parallel
-prefix scan, which gives each lane's true start state, and the second pass emits. Nothing depends on
-where a document or lane is cut.
+A byte-level BPE vocabulary file is compiled into two deterministic transducers.
+
+1. The pre-tokenizer, over character classes. A transition is annotated with what it emits: an arc end
+   before the character it reads, or before the one before that (white space and ``'r``, ``'v``, ``'l``
+   are decided a character late). The pieces between arc ends are word arcs.
+2. The merges, over bytes. A transition is annotated with how many tokens more (or, where a byte lets
+   earlier ones merge, fewer) the arc read so far has. A state holds what the future of an arc depends on:
+   for every suffix that some token begins with, the token before it and the tokens since. A token may
+   follow another if no merge across their border comes before the merges that made them, which decides
+   the one last token of every prefix. Transitions are compiled when first taken, and kept.
+
+A block of texts is one character stream, cut in lanes that are read side by side by the first
+transducer. As a lane's start state isn't known, the first pass computes the lane's state map (end state
+for each start state; lanes mostly forget their start state within a few characters). The maps are
+composed by a parallel prefix scan, which gives each lane's true start state, and the second pass emits.
+Nothing depends on where a document or lane is cut. Word arcs are read once for each distinct arc of a
+block (told apart by 64-bit hashes there, and by their text from block to block).
 
 Defined cases: null and empty texts have 0 tokens; texts of any length are read whole; special
 strings inside texts are one token each and part the text, as the library's default has it; every
-row counts for itself, repeated or not; other columns aren't used.
+row counts for itself, repeated or not; no rows give no rows; other columns aren't used. Vocabularies
+of other kinds, or whose merges can't be compiled, are refused.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import unicodedata
 from pathlib import Path
 
@@ -126,35 +132,158 @@ class Lanes:
         return out.T.ravel()[: len(stream)]
 
 
+def byte_letters() -> dict[str, int]:
+    """The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
+
+
+NEVER = 1 << 30
+
+
+class Merges:
+    """The merges of a vocabulary as a transducer over bytes; ``count`` gives the tokens of a word arc."""
+
+    def __init__(self, merges: list, most: int = 200_000):
+        letters = byte_letters()
+        names: dict[bytes, int] = {bytes([b]): b for b in range(256)}
+        self.parts: list[tuple[int, int] | None] = [None] * 256
+        self.rank: dict[tuple[int, int], int] = {}
+        made = [-1] * 256  # the rank of the merge that makes a token
+        for rank, pair in enumerate(merges):
+            left, right = (bytes(letters[c] for c in x) for x in (pair if isinstance(pair, list) else pair.split(" ")))
+            if left not in names or right not in names:
+                raise ValueError("a merge is of a token that no earlier merge makes")
+            two = names[left], names[right]
+            self.rank[two] = rank
+            if left + right not in names:
+                names[left + right] = len(self.parts)
+                self.parts.append(two)
+                made.append(rank)
+        # The tokens along the border of a token, each with the rank of the merge that takes it in.
+        self.last, self.first = [], []
+        for t, two in enumerate(self.parts):
+            self.last.append([(t, NEVER)] + ([(x, min(r, made[t])) for x, r in self.last[two[1]]] if two else []))
+            self.first.append([(t, NEVER)] + ([(x, min(r, made[t])) for x, r in self.first[two[0]]] if two else []))
+        # A trie of the tokens that their own merges make: a node is (children, token or None).
+        self.root: list = [{}, None]
+        for name, t in names.items():
+            if t < 256 or not self.crossed(*self.parts[t], made[t]):
+                node = self.root
+                for b in name:
+                    node = node[0].setdefault(b, [{}, None])
+                node[1] = t
+        self.most, self.pairs = most, {}
+        self.clear()
+
+    def crossed(self, left: int, right: int, before: int = NEVER) -> bool:
+        """Whether a merge across the border of two tokens comes before those that made them, and before a rank."""
+        rank = self.rank
+        for a, until_a in self.last[left]:
+            for b, until_b in self.first[right]:
+                r = rank.get((a, b), NEVER)
+                if r < before and r < until_a and r <= until_b:
+                    return True
+        return False
+
+    def clear(self) -> None:
+        start = ((self.root, -1, 0),)
+        self.numbers = {self.key(start): 0}
+        self.states, self.go = [start], [{}]
+
+    @staticmethod
+    def key(state) -> tuple:
+        return tuple((id(node), last, n) for node, last, n in state)
+
+    def step(self, state: int, byte: int) -> tuple[int, int]:
+        """Compiles a transition: the next state, and the tokens that the arc has more."""
+        alive, found = [], None
+        for node, last, n in self.states[state]:
+            child = node[0].get(byte)
+            if child is not None:
+                t = child[1]
+                if t is not None and found is None:
+                    if last < 0:
+                        found = t, n
+                    else:
+                        ok = self.pairs.get((last, t))
+                        if ok is None:
+                            ok = self.pairs[last, t] = not self.crossed(last, t)
+                        if ok:
+                            found = t, n
+                if child[0]:
+                    alive.append((child, last, n))
+        if found is None:
+            raise ValueError("these merges have no single last token")
+        token, n = found
+        more = n + 1  # counts are kept relative to the place that has been reached
+        to = tuple([(node, last, k - more) for node, last, k in alive] + [(self.root, token, 0)])
+        key = self.key(to)
+        number = self.numbers.get(key)
+        if number is None:
+            number = self.numbers[key] = len(self.states)
+            self.states.append(to)
+            self.go.append({})
+        self.go[state][byte] = number, more
+        return number, more
+
+    def count(self, word: bytes) -> int:
+        if len(self.states) > self.most:
+            self.clear()
+        if len(self.pairs) > 4 * self.most:
+            self.pairs.clear()
+        go, state, total = self.go, 0, 0
+        for k, b in enumerate(word):
+            to = go[state].get(b)
+            if to is None:
+                to = self.step(state, b)
+                if len(self.states) > 2 * self.most:  # a very long arc: go on from where it is
+                    here = self.states[to[0]]
+                    self.clear()
+                    self.states.append(here), self.go.append({})
+                    self.numbers[self.key(here)] = 1
+                    to, go = (1, to[1]), self.go
+            state, more = to
+            total += more
+        return total
+
+
 class Arcs:
-    """Values of word arcs by 64-bit hash; those that aren't known are compiled in one call."""
+    """The tokens of word arcs; those that aren't known are read by the merges' transducer."""
 
-    def __init__(self, compile_, most: int = 300_000):
-        self.compile, self.most, self.known = compile_, most, {}
+    def __init__(self, read, most: int = 300_000):
+        self.read, self.most, self.known = read, most, {}
 
     def values(self, h: np.ndarray, text_of) -> np.ndarray:
-        unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         if len(self.known) > self.most:
             self.known.clear()
-        known = self.known
-        keys = unique.tolist()
-        new = [i for i, k in enumerate(keys) if k not in known]
-        if new:
-            known.update(zip([keys[i] for i in new], self.compile([text_of(int(first[i])) for i in new]), strict=True))
-        return np.array([known[k] for k in keys], np.int64)[inverse]
+        known, read, out = self.known, self.read, []
+        for i in first.tolist():
+            word = text_of(i)
+            n = known.get(word)
+            if n is None:
+                n = read(word.encode())
+                if len(word) < 100:
+                    known[word] = n
+            out.append(n)
+        return np.array(out, np.int64)[inverse]
 
 
 class Compiled:
     """A byte-level BPE vocabulary file, compiled. ``count`` gives tokens for the documents of a column."""
 
     def __init__(self, spec: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_str(spec)
-        self.special = [t["content"].encode() for t in json.loads(spec)["added_tokens"]]
+        spec = json.loads(spec)
+        model, pre = spec["model"], spec["pre_tokenizer"] or {}
+        plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        odd = any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        if model["type"] != "BPE" or not plain or odd or spec["normalizer"] or any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
+            raise ValueError("not a byte-level BPE vocabulary")
+        self.special = [t["content"].encode() for t in spec["added_tokens"]]
         self.classes, self.lanes = classes(), Lanes(*transducer())
-        self.arcs = Arcs(lambda texts: [len(e.ids) for e in self.model.encode_batch(texts, add_special_tokens=False)])
+        self.arcs = Arcs(Merges(model["merges"]).count)
         rng = np.random.default_rng(5)
         self.value = rng.integers(0, 1 << 63, 0x10000, np.uint64) * np.uint64(2) + np.uint64(1)
         self.base = np.uint64(0x9E3779B97F4A7C15 | 5)
@@ -219,13 +348,25 @@ class Compiled:
         return np.diff(total[np.searchsorted(s, char_at)])
 
 
+class Shared:
+    """What is sent out: the file. A worker compiles it once and keeps what it has compiled for its later tasks."""
+
+    def __init__(self, spec: str):
+        self.spec, self.made = spec, None
+
+    def __getstate__(self):
+        return {"spec": self.spec, "made": None}
+
+    def compiled(self) -> Compiled:
+        self.made = self.made or Compiled(self.spec)
+        return self.made
+
+
 def _counted(shared):
     def run(batches):
-        spec, made = shared.value, None
         for batch in batches:
-            made = made or Compiled(spec)
             size = np.array(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), np.int64)
-            n = made.count(batch.column(1))
+            n = shared.value.compiled().count(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(n), pa.array(n > LIMIT)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return run
@@ -235,7 +376,7 @@ def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row; ``tokenizer`` is the path of a vocabulary file on the driver."""
     spark: SparkSession = docs.sparkSession
     bound_batches(spark)
-    shared = spark.sparkContext.broadcast(Path(tokenizer).read_text())
+    shared = spark.sparkContext.broadcast(Shared(Path(tokenizer).read_text()))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return src.mapInArrow(_counted(shared), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 

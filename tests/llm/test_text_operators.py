@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,6 +168,31 @@ def test_token_counts(spark):
     assert rows(token_counts(frame(spark, []), path)) == []
 
 
+def test_merges_compile_to_what_the_library_counts():
+    import json
+    import random
+    from pathlib import Path
+
+    from corvane.llm.op3_token_counts import Compiled, Merges
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, spec = tokenizers.Tokenizer.from_file(path), Path(path).read_text()
+    r = random.Random(4)
+    parts = ["a", "b", "e", "t", "h", " ", "é", "中", "😀", "\u00ad", "0", "9", "'", "s", "!", "-", "\n", "\t", "ing", "tion", " the", "aaaa", "\0", "ß", "  ", "'re", "\u3000", "<|endoftext|>"]
+    some = ["".join(r.choice(parts) for _ in range(r.randint(0, 80))) for _ in range(3000)]
+    some += ["".join(chr(r.choice([r.randint(33, 126), r.randint(0xA0, 0x2FF), r.randint(0x4E00, 0x4F00)])) for _ in range(r.randint(1, 60))) for _ in range(2000)]
+    some += ["a" * 20_000, "ab" * 10_000, "".join(r.choice("abcdefghij") for _ in range(50_000)), "=-" * 5000]
+    want = [len(e.ids) for e in lib.encode_batch(some, add_special_tokens=False)]
+    got = Compiled(spec)
+    assert got.count(pa.array(some)).tolist() == want
+    # A transducer that forgets its states now and then, also within an arc, counts the same.
+    forgetful = Compiled(spec)
+    forgetful.arcs.read = Merges(json.loads(spec)["model"]["merges"], most=50).count
+    assert forgetful.count(pa.array(some)).tolist() == want
+    with pytest.raises(ValueError):
+        Compiled(Path(public_tokenizers.path("word_bpe_49k.json")).read_text())
+
+
 def test_lanes_do_not_depend_on_their_width():
     from corvane.llm.op3_token_counts import END, Lanes, transducer
 
