@@ -1,25 +1,35 @@
-"""Substring dedup by an anchor filter and a grouping of windows by hashes of their halves.
+"""Substring dedup by merging the shards' Burrows-Wheeler transforms.
 
 A byte goes if some ``SPAN``-byte string over it also starts in a document with a smaller doc_id. Of
-all ``SPAN``-byte suffixes heads ("windows") only those matter that are in two documents, so:
+all ``SPAN``-byte suffix heads ("windows") only those matter that are in two documents, so:
 
 1. Each window has an anchor, its least ``GRAM``-byte hash (leftmost of equal ones), which depends on
-   the window's bytes alone. Tasks send each anchor key once; a key of one document only rules its
-   windows out. What is left are runs of windows with a common anchor ("stretches", 50 to 76 bytes).
+   the window's bytes alone. Tasks send each anchor key once for each shard; a key of one document only
+   rules its windows out. What is left are runs of windows with a common anchor ("stretches", 50 to 76
+   bytes). Stretches of an anchor that very many shards have are cut into single windows, each with a
+   key of its own, so they go to as many buckets as there are different ones.
 2. Every shard (documents by a hash of doc_id) sends its distinct stretches by anchor, each with the
    smallest doc_id that has it.
-3. For each group of anchors the windows of all shards are read as strings of two symbols, their
-   halves, and grouped by two stable passes over these. No shard builds a transform and windows are in
-   no suffix order. A block is a repeated string of ``SPAN`` bytes, and its smallest doc_id decides
+3. For each group of anchors every shard has a transform: a stretch is read as text over words of
+   ``WORD`` bytes, the shard's suffixes are sorted, and the transform is the word before each of them.
+   (It is built from the stretches where they are merged, as they are smaller than it.) The transforms
+   are merged by refining an interleave, which lists only the shard of each suffix. It starts in the
+   order of the suffixes' first words, which the shards' word counts give. A round reads it from the
+   start, takes the next word of the named shard's transform, and puts the shard in the next free slot of
+   that word: the interleave of suffixes one word longer. No suffixes of different shards are ever
+   compared or sorted again. Where neighbours differ in a round gives the words they have in common, and
+   an interval with all words of a window in common is a repeated string; its smallest doc_id decides
    which of its windows go.
 4. Shards apply the answers, one bit for each window, to their documents.
 
 Copies cost one stretch for each shard, and a string of a third of all documents one for each shard.
-Symbols are 64-bit hashes of 25 bytes each, so windows are compared by 128 bits.
+Words are compared by 64-bit hashes in the rounds; what is then taken for equal, stretches and windows,
+is confirmed on the bytes.
 
 Defined cases: null and empty texts have no bytes and the digest of nothing; texts under ``SPAN``
 bytes stay whole; rows with a null doc_id stay whole and remove nothing; rows that share a doc_id
-don't remove from each other; other columns aren't used. Texts of any length are read whole.
+don't remove from each other; no rows give no rows; other columns aren't used. Texts of any length are
+read whole.
 """
 
 from __future__ import annotations
@@ -38,7 +48,10 @@ from corvane.llm.scratch import Scratch, groups, parts
 
 SPAN, GRAM = 50, 24
 WIDTH = SPAN - GRAM + 1  # grams in a window
-MANY = 0xFFFFFFFF
+WORD = SPAN // 2
+#: Shards and tasks that send an anchor, from which its stretches are cut into windows.
+HOT = 4_000
+_SEVERAL, _HOT = np.uint32(1 << 31), np.uint64(1 << 63)
 _ROLL = Rolling(211)
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -88,7 +101,11 @@ def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
 
 # 1. Anchor keys
 
-_SENT = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("refs", pa.binary())])
+_SENT = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("refs", pa.binary())])
+
+
+def _short(key: np.ndarray, buckets: int) -> np.ndarray:
+    return _bucket(key, buckets) << np.uint64(32) | key & np.uint64(0xFFFFFFFF)
 
 
 def _send(buckets: int, shards: int):
@@ -96,34 +113,18 @@ def _send(buckets: int, shards: int):
         keys, docs, homes, size = [], [], [], 0
 
         def flush():
-            key, doc = np.concatenate(keys), np.concatenate(docs)
-            home = np.array(homes)
-            key = _bucket(key, buckets) << np.uint64(32) | key & np.uint64(0xFFFFFFFF)
-            order = np.argsort(key, kind="stable")
-            key, doc = key[order], doc[order]
+            key, doc = _short(np.concatenate(keys), buckets), np.concatenate(docs)
+            home = np.array(homes, np.uint32)[doc]
+            order = np.lexsort((home, key))
+            key, doc, home = key[order], doc[order], home[order]
             new = np.ones(len(key), bool)
             new[1:] = key[1:] != key[:-1]
             start = np.flatnonzero(new)
-            run_ = np.cumsum(new) - 1
-            several = np.zeros(len(start), bool)
-            several[run_[1:][(doc[1:] != doc[:-1]) & ~new[1:]]] = True
-            ref = np.where(several, MANY, home[doc[start]]).astype(np.uint32)
-            rows = []
-            b = (key[start] >> np.uint64(32)).astype(np.int64)
-            cut = np.searchsorted(b, np.arange(buckets + 1))
-            low = key[start].astype(np.uint32)
-            rows += [{"bucket": k, "shard": -1, "keys": pack(low[cut[k] : cut[k + 1]]), "refs": pack(ref[cut[k] : cut[k + 1]])} for k in range(buckets) if cut[k + 1] > cut[k]]
-            # Keys of several documents here are known to be shared; their shards are told at once.
-            here = several[run_]
-            h, k = home[doc[here]], key[here]
-            order = np.lexsort((k, h))
-            h, k = h[order], k[order]
-            once = np.ones(len(h), bool)
-            once[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
-            h, k = h[once], k[once]
-            for s in np.unique(h).tolist():
-                a, z = np.searchsorted(h, [s, s + 1])
-                rows.append({"bucket": -1, "shard": s, "keys": pack(k[a:z]), "refs": b""})
+            several = np.repeat(np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start), np.diff(np.append(start, len(key))))
+            new[1:] |= home[1:] != home[:-1]
+            key, ref = key[new], home[new] | several[new] * _SEVERAL
+            names, first = np.unique(key >> np.uint64(32), return_index=True)
+            rows = [{"bucket": k, "keys": pack(x.astype(np.uint32)), "refs": pack(y)} for k, x, y in zip(names.tolist(), np.split(key, first[1:]), np.split(ref, first[1:]), strict=True)]
             keys.clear(), docs.clear(), homes.clear()
             for a in range(0, len(rows), 256):
                 yield pa.RecordBatch.from_pylist(rows[a : a + 256], schema=_SENT)
@@ -138,7 +139,7 @@ def _send(buckets: int, shards: int):
                 if size > 1_000_000:
                     yield from flush()
                     size = 0
-        if keys:
+        if size:
             yield from flush()
 
     return run
@@ -147,29 +148,24 @@ def _send(buckets: int, shards: int):
 _SHARED = pa.schema([("shard", pa.int32()), ("keys", pa.binary())])
 
 
-def _shared(batches):
-    keys, refs, bucket = [], [], []
-    for batch in batches:
-        for b, k, r in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
-            keys.append(np.frombuffer(k, np.uint32).astype(np.uint64) | np.uint64(b << 32))
-            refs.append(np.frombuffer(r, np.uint32))
-    if not keys:
-        return
-    key, ref = np.concatenate(keys), np.concatenate(refs)
-    order = np.argsort(key, kind="stable")
-    key, ref = key[order], ref[order]
-    same = key[1:] == key[:-1]
-    shared = np.zeros(len(key), bool)
-    shared[1:] |= same
-    shared[:-1] |= same
-    shared &= ref != MANY
-    key, ref = key[shared], ref[shared]
-    order = np.argsort(ref, kind="stable")
-    key, ref = key[order], ref[order]
-    start = np.flatnonzero(np.concatenate([[True], ref[1:] != ref[:-1]])) if len(ref) else []
-    rows = [{"shard": int(ref[a]), "keys": pack(k)} for a, k in zip(start, np.split(key, start[1:]), strict=True)] if len(ref) else []
-    for a in range(0, len(rows), 256):
-        yield pa.RecordBatch.from_pylist(rows[a : a + 256], schema=_SHARED)
+def _shared(hot: int):
+    def run(key, table):
+        """The keys of several documents, for each shard that has them; marked where very many sent them."""
+        keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint32).astype(np.uint64) | np.uint64(key[0].as_py() << 32)
+        ref = np.frombuffer(b"".join(table["refs"].to_pylist()), np.uint32)
+        order = np.argsort(keys, kind="stable")
+        keys, ref = keys[order], ref[order]
+        start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        n = np.diff(np.append(start, len(keys)))
+        shared = np.repeat((n > 1) | (np.maximum.reduceat(ref, start) >= _SEVERAL), n)
+        keys, ref = (keys | np.repeat(n >= hot, n) * _HOT)[shared], (ref & ~_SEVERAL)[shared]
+        order = np.lexsort((keys, ref))
+        keys, ref = keys[order], ref[order]
+        names, first = np.unique(ref, return_index=True)
+        rows = [{"shard": s, "keys": pack(np.unique(k))} for s, k in zip(names.tolist(), np.split(keys, first[1:]), strict=True)] if len(ref) else []
+        return pa.Table.from_pylist(rows, schema=_SHARED)
+
+    return run
 
 
 # 2. Stretches of a shard
@@ -179,7 +175,9 @@ class Shard:
     """The shared stretches of a shard's documents and their distinct strings ("variants")."""
 
     def __init__(self, table: pa.Table, told: list[bytes], buckets: int):
-        shared = np.unique(np.frombuffer(b"".join(told), np.uint64)) if told else np.zeros(0, np.uint64)
+        shared = np.unique(np.frombuffer(b"".join(told), np.uint64))
+        shared = shared[np.argsort(shared & ~_HOT, kind="stable")]
+        hot, shared = shared >= _HOT, shared & ~_HOT
         self.known = pc.is_valid(table["doc_id"]).to_numpy()
         self.ids = pc.fill_null(table["doc_id"], 0).to_numpy()
         self.parts, rows = [], []
@@ -188,10 +186,16 @@ class Shard:
         if table.num_rows:
             for i, j, data, at in blocks(column):
                 first, last, key, prefix, doc = stretches(data, at)
-                short = _bucket(key, buckets) << np.uint64(32) | key & np.uint64(0xFFFFFFFF)
+                short = _short(key, buckets)
                 k = np.minimum(np.searchsorted(shared, short), max(len(shared) - 1, 0))
                 keep = (shared[k] == short) & self.known[i + doc] if len(shared) else np.zeros(len(short), bool)
-                first, last, key, doc = first[keep], last[keep], key[keep], doc[keep]
+                first, last, key, doc, k = first[keep], last[keep], key[keep], doc[keep], k[keep]
+                if len(k) and hot[k].any():
+                    n = np.where(hot[k], last - first + 1, 1)
+                    at_, cut = np.repeat(np.arange(len(k)), n), np.repeat(hot[k], n)
+                    begin = ragged(first, n)
+                    first, last, key, doc = begin, np.where(cut, begin, last[at_]), key[at_], doc[at_]
+                    key[cut] = mix(_ROLL.of(prefix, begin[cut], begin[cut] + SPAN))
                 text = _ROLL.of(prefix, first, last + SPAN) if len(first) else np.zeros(0, np.uint64)
                 text = mix(text + (last - first).astype(np.uint64))
                 self.parts.append((i, data, at, first, last))
@@ -242,76 +246,136 @@ def _outgoing(buckets: int):
 # 3. Merging
 
 
-def refine(interleave: np.ndarray, block: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One refinement: the interleave and blocks of suffixes longer by the symbol before.
+class Transform:
+    """The transform of a shard's strings over numbered words.
 
-    ``interleave`` lists strings (of all transforms) in the order of their suffixes of h symbols, with
-    the number of its block of equal suffixes for each; ``symbols`` has each string's preceding symbol.
+    ``order`` lists the suffixes that begin with a whole word, sorted by their first two words (a missing
+    one is least); ``first`` and ``before`` have their first words and the words before them (-1: none).
     """
-    before = symbols[interleave]
-    order = np.argsort(before, kind="stable")
-    s, b = before[order], block[order]
-    new = np.ones(len(s), bool)
-    new[1:] = (s[1:] != s[:-1]) | (b[1:] != b[:-1])
-    return interleave[order], np.cumsum(new) - 1
 
+    def __init__(self, word: np.ndarray, after: np.ndarray, before: np.ndarray):
+        self.order = np.argsort(word << np.int64(32) | after + 1, kind="stable")
+        self.first, self.before, self.whole = word[self.order], before[self.order], after[self.order] >= 0
 
-def repeated(symbols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave and blocks of whole strings, given as one array for each place of a symbol."""
-    n = len(symbols[0])
-    interleave, block = np.arange(n), np.zeros(n, np.int64)
-    for column in reversed(symbols):
-        interleave, block = refine(interleave, block, column)
-    return interleave, block
+
+def merge(transforms: list[Transform]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffixes of two words or more of all shards, in order of their first two.
+
+    Gives the shard of each, its place among the shard's suffixes of two words, and how many words (2 at
+    most) it has in common with the one before.
+    """
+    size = [len(t.first) for t in transforms]
+    first, before = (np.concatenate([getattr(t, n) for t in transforms]) for n in ("first", "before"))
+    # One word: the slots of a word are filled shard by shard, as many as the shard has.
+    order = np.argsort(first, kind="stable")
+    z = np.repeat(np.arange(len(transforms), dtype=np.uint16 if len(size) < 1 << 16 else np.int64), size)[order]
+    block = np.cumsum(np.append(False, np.diff(first[order]) != 0))[: len(z)]
+    z, block, word = refine(z, block, before)
+    common = np.zeros(len(z), np.int64)
+    common[1:] = (word[1:] == word[:-1]) * (1 + (block[1:] == block[:-1]))
+    place = np.empty(len(z), np.int64)
+    order = np.argsort(z, kind="stable")
+    n = np.bincount(z, minlength=len(size))
+    place[order] = np.arange(len(z)) - np.repeat(np.cumsum(n) - n, n)
+    return z.astype(np.int64), place, common
+
+
+def refine(z: np.ndarray, block: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One round: the interleave of the suffixes longer by the word before, their words, and the blocks of what follows these.
+
+    ``z`` has the shard of each suffix, ``block`` numbers suffixes that are equal so far, and ``before``
+    has the shards' transforms, one after the other. Suffixes without a word before them fall out.
+    """
+    at = np.empty(len(z), np.int64)
+    at[np.argsort(z, kind="stable")] = np.arange(len(z))  # the next place of each shard's transform
+    word = before[at]
+    have = np.flatnonzero(word >= 0)
+    order = have[np.argsort(word[have], kind="stable")]
+    return z[order], block[order], word[order]
+
+
+def _differ(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes at ``a`` and at ``b`` differ."""
+    out = np.zeros(len(a), bool)
+    for i in range(0, len(a), 100_000):
+        n = size[i : i + 100_000]
+        odd = data[ragged(a[i : i + 100_000], n)] != data[ragged(b[i : i + 100_000], n)]
+        out[i : i + 100_000] = np.maximum.reduceat(odd, np.cumsum(n) - n)
+    return out
+
+
+def first_documents(size: np.ndarray, shard: np.ndarray, least: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For strings (sorted by shard): the entry of each, and for each window of each entry the smallest doc_id that has it.
+
+    An entry is a string that is in the transform of the first shard that has it; ``least`` has the
+    smallest doc_id of each string. Gives entries, the entries' numbers of windows, and the doc_ids.
+    """
+    start = np.cumsum(size) - size
+    prefix = _ROLL.prefix(data)
+    _, lead, entry = np.unique(mix(_ROLL.of(prefix, start, start + size) + size.astype(np.uint64)), return_index=True, return_inverse=True)
+    far = lead[entry]
+    odd = np.flatnonzero(far != np.arange(len(far)))
+    odd = odd[(size[odd] != size[far[odd]]) | _differ(data, start[odd], start[far[odd]], np.minimum(size[odd], size[far[odd]]))] if len(odd) else odd
+    if len(odd):  # equal hashes of different strings: entries of their own
+        entry[odd] = len(lead) + np.arange(len(odd))
+        lead = np.append(lead, odd)
+    order = np.argsort(lead, kind="stable")  # entries by shard
+    rank = np.empty(len(lead), np.int64)
+    rank[order] = np.arange(len(lead))
+    lead, entry = lead[order], rank[entry]
+    low = np.full(len(lead), np.iinfo(np.int64).max)
+    np.minimum.at(low, entry, least)
+    # Words at every place of the entries, numbered in the order of their hashes.
+    count = size[lead] - WORD + 1
+    at, inside = ragged(start[lead], count), ragged(np.zeros(len(lead), np.int64), count)
+    owner = np.repeat(np.arange(len(lead)), count)
+    _, word = np.unique(_ROLL.of(prefix, at, at + WORD), return_inverse=True)
+    after, before = np.full(len(word), -1), np.full(len(word), -1)
+    two = np.flatnonzero(inside + WORD < count[owner])  # suffixes of two words: the windows
+    after[two], before[two + WORD] = word[two + WORD], word[two]
+    cut = np.searchsorted(owner, np.flatnonzero(np.append(True, np.diff(shard[lead]) != 0)))
+    ends = np.append(cut[1:], len(word))
+    transforms = [Transform(word[a:z], after[a:z], before[a:z]) for a, z in zip(cut.tolist(), ends.tolist(), strict=True)]
+    z, place, common = merge(transforms)
+    whole = [t.order[t.whole] + a for t, a in zip(transforms, cut.tolist(), strict=True)]
+    base = np.cumsum([0] + [len(x) for x in whole])
+    suffix = np.concatenate(whole)[base[z] + place]  # windows in order
+    new = common < 2
+    head = suffix[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    check = np.flatnonzero(head != suffix)
+    odd = check[_differ(data, at[head[check]], at[suffix[check]], np.full(len(check), SPAN))] if len(check) else check
+    doc = low[owner[suffix]]
+    best = np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1] if len(doc) else doc
+    if len(odd):  # equal hashes of different words: these blocks are told apart by their bytes
+        blocks_ = np.cumsum(new)
+        some = np.flatnonzero(np.isin(blocks_, blocks_[odd]))
+        seen: dict[bytes, int] = {}
+        names = [data[at[k] : at[k] + SPAN].tobytes() for k in suffix[some].tolist()]
+        for x, d in zip(names, doc[some].tolist(), strict=True):
+            seen[x] = min(seen.get(x, d), d)
+        best[some] = [seen[x] for x in names]
+    first = np.empty(len(word), np.int64)
+    first[suffix] = best
+    return entry, size[lead] - SPAN + 1, first[two]
 
 
 _MASKS = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("masks", pa.binary())])
 
 
-def _merge(batches):
-    got = [row for batch in batches for row in batch.to_pylist()]
-    got.sort(key=lambda r: (r["bucket"], r["shard"]))
-    at = 0
-    while at < len(got):
-        end = at
-        while end < len(got) and got[end]["bucket"] == got[at]["bucket"]:
-            end += 1
-        some = got[at:end]
-        at = end
-        size = np.concatenate([np.frombuffer(r["sizes"], np.uint8) for r in some]).astype(np.int64)
-        least = np.concatenate([np.frombuffer(r["least"], np.int64) for r in some])
-        data = np.frombuffer(b"".join(zlib.decompress(r["bytes"]) for r in some), np.uint8)
-        # Equal strings of several shards are one entry for the smallest doc_id of all.
-        start = np.cumsum(size) - size
-        prefix = _ROLL.prefix(data)
-        text = mix(_ROLL.of(prefix, start, start + size) + size.astype(np.uint64))
-        _, entry = np.unique(text, return_inverse=True)
-        low = np.full(int(entry.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(low, entry, least)
-        lead = np.zeros(len(low), np.int64)
-        lead[entry[::-1]] = np.arange(len(entry))[::-1]
-        count = size[lead] - SPAN + 1
-        window = ragged(start[lead], count)
-        owner = np.repeat(np.arange(len(low)), count)
-        half = SPAN // 2
-        interleave, block = repeated([_ROLL.of(prefix, window, window + half), _ROLL.of(prefix, window + half, window + SPAN)])
-        best = np.minimum.reduceat(low[owner[interleave]], np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])))
-        first = np.empty(len(window), np.int64)
-        first[interleave] = best[block]  # the smallest doc_id that has each window
-        place = np.cumsum(count) - count
-        # A bit for each window of each sender's string: is it in a smaller document than the sender's least?
-        which = ragged(place[entry], count[entry])
-        sender = np.repeat(np.arange(len(entry)), count[entry])
-        gone = first[which] < least[sender]
-        bit = np.arange(len(which)) - np.repeat(np.cumsum(count[entry]) - count[entry], count[entry])
-        mask = np.bincount(sender, gone * (2.0**bit), minlength=len(entry)).astype(np.uint32)
-        a = 0
-        rows = []
-        for r in some:
-            z = a + len(r["sizes"])
-            rows.append({"shard": r["shard"], "bucket": r["bucket"], "masks": pack(mask[a:z])})
-            a = z
-        yield pa.RecordBatch.from_pylist(rows, schema=_MASKS)
+def _merge(key, table):
+    some = sorted(table.to_pylist(), key=lambda r: r["shard"])
+    size = np.concatenate([np.frombuffer(r["sizes"], np.uint8) for r in some]).astype(np.int64)
+    least = np.concatenate([np.frombuffer(r["least"], np.int64) for r in some])
+    shard = np.repeat(np.arange(len(some)), [len(r["sizes"]) for r in some])
+    data = np.frombuffer(b"".join(zlib.decompress(r["bytes"]) for r in some), np.uint8)
+    entry, count, first = first_documents(size, shard, least, data)
+    # A bit for each window of each sender's string: is it in a smaller document than the sender's least?
+    n, place = count[entry], np.cumsum(count) - count
+    sender = np.repeat(np.arange(len(entry)), n)
+    gone = first[ragged(place[entry], n)] < least[sender]
+    mask = np.bincount(sender, gone * (2.0 ** ragged(np.zeros(len(n), np.int64), n)), minlength=len(entry)).astype(np.uint32)
+    cut = np.cumsum([0] + [len(r["sizes"]) for r in some])
+    return pa.Table.from_pylist([{"shard": r["shard"], "bucket": r["bucket"], "masks": pack(mask[a:z])} for r, a, z in zip(some, cut[:-1], cut[1:], strict=True)], schema=_MASKS)
 
 
 # 4. Applying
@@ -355,19 +419,17 @@ def _apply(buckets: int, keep: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, keep: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, keep: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row, and the ``kept`` bytes if wanted."""
     spark: SparkSession = docs.sparkSession
     s = Scratch(spark)
     buckets = shards = groups(docs, 4.0)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sent = s.save(src.where("doc_id is not null").mapInArrow(_send(buckets, shards), "bucket int, shard int, keys binary, refs binary"), "sent")
-    found = sent.where("bucket >= 0").repartition(buckets, "bucket").mapInArrow(_shared, "shard int, keys binary")
-    told = s.save(found.union(sent.where("bucket < 0").select("shard", "keys")), "told")
-    s.drop("sent")
+    sent = src.where("doc_id is not null").mapInArrow(_send(buckets, shards), "bucket int, keys binary, refs binary")
+    told = s.save(sent.repartition(parts(buckets), "bucket").groupBy("bucket").applyInArrow(_shared(hot), "shard int, keys binary"), "told")
     rows = dealt(src, shards)
     out = rows.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_outgoing(buckets), "bucket int, shard int, sizes binary, least binary, bytes binary")
-    masks = s.save(out.repartition(buckets, "bucket").mapInArrow(_merge, "shard int, bucket int, masks binary"), "masks")
+    masks = s.save(out.repartition(parts(buckets), "bucket").groupBy("bucket").applyInArrow(_merge, "shard int, bucket int, masks binary"), "masks")
     answers = told.select("shard", F.lit(None).cast("int").alias("bucket"), "keys", F.lit(None).cast("binary").alias("masks")).union(masks.select("shard", "bucket", F.lit(None).cast("binary").alias("keys"), "masks"))
     kept = ", kept binary" if keep else ""
     return s.done(rows.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_apply(buckets, keep), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + kept))

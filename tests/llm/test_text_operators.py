@@ -46,19 +46,54 @@ def test_substrings(spark):
     from corvane.llm.op1_suffixes import substring_dedup
 
     assert rows(substring_dedup(frame(spark))) == brute_substrings(texts())
+    assert rows(substring_dedup(frame(spark), hot=2)) == brute_substrings(texts())
     assert rows(substring_dedup(frame(spark, []))) == []
 
 
-def test_interleave_refinement_sorts_like_suffixes():
-    from corvane.llm.op1_suffixes import repeated
+def test_merged_transforms_are_the_suffixes_of_all_shards_in_order():
+    from corvane.llm.op1_suffixes import Transform, merge
 
     rng = np.random.default_rng(0)
-    columns = [rng.integers(0, 4, 300) for _ in range(3)]
-    order, block = repeated(columns)
-    want = sorted(range(300), key=lambda i: tuple(c[i] for c in columns))
-    assert order.tolist() == want
-    keys = [tuple(c[i] for c in columns) for i in order]
-    assert all((keys[i] == keys[i + 1]) == (block[i] == block[i + 1]) for i in range(299))
+    for _ in range(20):
+        shards, transforms = [], []
+        for _ in range(rng.integers(1, 5)):
+            suffixes, columns = [], []
+            for _ in range(rng.integers(1, 12)):
+                words = rng.integers(0, 4, rng.integers(1, 7)).tolist()
+                for i, w in enumerate(words):
+                    suffixes.append(words[i : i + 2])
+                    columns.append((w, words[i + 1] if i + 1 < len(words) else -1, words[i - 1] if i else -1))
+            transforms.append(Transform(*np.array(columns, np.int64).T))
+            shards.append(suffixes)
+        z, place, common = merge(transforms)
+        whole = [[shards[k][i] for i in t.order[t.whole].tolist()] for k, t in enumerate(transforms)]
+        got = [whole[k][i] for k, i in zip(z.tolist(), place.tolist(), strict=True)]
+        assert got == sorted(x for s in shards for x in s if len(x) == 2)
+        assert sorted(zip(z.tolist(), place.tolist())) == [(k, i) for k, s in enumerate(whole) for i in range(len(s))]
+        want = [0] + [next((i for i in range(2) if a[i] != b[i]), 2) for a, b in zip(got, got[1:])]
+        assert common.tolist() == want[: len(got)]
+
+
+def test_equal_hashes_of_different_words_do_not_make_them_equal(monkeypatch):
+    from corvane.llm import op1_suffixes as O
+
+    rng = np.random.default_rng(1)
+    base = rng.integers(97, 123, 400).astype(np.uint8)
+    parts = [base[a : a + n].copy() for a, n in zip(rng.integers(0, 300, 60).tolist(), rng.integers(50, 77, 60).tolist())]
+    for k in range(0, 60, 4):
+        parts[k][rng.integers(0, 50)] = 65
+    size, shard, least = np.array([len(x) for x in parts]), np.sort(rng.integers(0, 5, 60)), rng.integers(0, 30, 60)
+    seen = defaultdict(lambda: 99)
+    for x, d in zip(parts, least.tolist()):
+        for p in range(len(x) - 49):
+            seen[x[p : p + 50].tobytes()] = min(seen[x[p : p + 50].tobytes()], d)
+    want = [[seen[x[p : p + 50].tobytes()] for p in range(len(x) - 49)] for x in parts]
+    for weak in (False, True):
+        if weak:  # most words and strings have the same hash
+            monkeypatch.setattr(O._ROLL, "of", lambda prefix, a, b, real=O._ROLL.of: real(prefix, a, b) & np.uint64(3))
+        entry, count, first = O.first_documents(size, shard, least, np.concatenate(parts))
+        place = np.cumsum(count) - count
+        assert [first[place[e] : place[e] + count[e]].tolist() for e in entry.tolist()] == want
 
 
 def test_decontamination(spark):
