@@ -39,7 +39,7 @@ from corvane.llm.op1_suffixes import _bucket, _home, _least, dealt, undealt
 from corvane.llm.op10_jaccard import _LOWER, _ROLL, _STEP, WORDS, components, words_of
 from corvane.llm.scratch import Scratch, groups, parts
 
-LEAST, BANDS, ROWS = 46, 8, 2
+LEAST, BANDS, ROWS = 46, 6, 2
 MOST = 64  # starts of an interval
 SOME = 250_000  # shingles that are verified at once
 _WINDOW = Rolling(46)
@@ -140,8 +140,9 @@ def _send(buckets: int, shards: int):
             several = np.repeat(np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start), end - start)
             once = _changes(key, body, home)
             key, body, ref = key[once], body[once], home[once] | several[once] * _SEVERAL
-            cut = np.searchsorted(key >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
-            rows = [{"bucket": k, "keys": pack(key[a:z].astype(np.uint32)), "refs": pack(ref[a:z]), "bodies": pack(body[a:z])} for k, (a, z) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if z > a]
+            names, first = np.unique(key >> np.uint64(32), return_index=True)
+            ends = np.append(first[1:], len(key))
+            rows = [{"bucket": k, "keys": pack(key[a:z].astype(np.uint32)), "refs": pack(ref[a:z]), "bodies": pack(body[a:z])} for k, a, z in zip(names.tolist(), first.tolist(), ends.tolist(), strict=True)]
             keys.clear(), bodies.clear(), docs.clear(), homes.clear()
             for a in range(0, len(rows), 256):
                 yield pa.RecordBatch.from_pylist(rows[a : a + 256], schema=_SENT)
@@ -166,13 +167,10 @@ def _send(buckets: int, shards: int):
 _TOLD = pa.schema([("shard", pa.int32()), ("keys", pa.binary())])
 
 
-def _tell(batches):
+def _tell(bucket, table):
     """The keys of several documents, for each shard that has them; marked where not all their intervals are equal."""
-    got = [row for batch in batches for row in batch.to_pylist()]
-    if not got:
-        return
-    key = np.concatenate([np.frombuffer(r["keys"], np.uint32).astype(np.uint64) | np.uint64(r["bucket"] << 32) for r in got])
-    ref, body = (np.concatenate([np.frombuffer(r[c], np.uint32) for r in got]) for c in ("refs", "bodies"))
+    key = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint32).astype(np.uint64) | np.uint64(bucket[0].as_py() << 32)
+    ref, body = (np.frombuffer(b"".join(table[c].to_pylist()), np.uint32) for c in ("refs", "bodies"))
     order = np.argsort(key, kind="stable")
     key, ref, body = key[order], ref[order], body[order]
     start = np.flatnonzero(_changes(key))
@@ -185,9 +183,7 @@ def _tell(batches):
     once = _changes(key, ref)
     key, ref = key[once], ref[once]
     start = np.flatnonzero(_changes(ref))
-    rows = [{"shard": int(ref[a]), "keys": pack(k)} for a, k in zip(start, np.split(key, start[1:]), strict=True)] if len(ref) else []
-    for a in range(0, len(rows), 256):
-        yield pa.RecordBatch.from_pylist(rows[a : a + 256], schema=_TOLD)
+    return pa.Table.from_pylist([{"shard": int(ref[a]), "keys": pack(k)} for a, k in zip(start, np.split(key, start[1:]), strict=True)] if len(ref) else [], schema=_TOLD)
 
 
 class Shard:
@@ -399,11 +395,9 @@ class Strips:
 _FOUND = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("leads", pa.binary()), ("more", pa.binary())])
 
 
-def _verify(batches):
+def _verify(bucket, table):
     """The smallest doc_id that each strip sent is connected with, and whether another document has a passage like one of it."""
-    got = [row for batch in batches for row in batch.to_pylist()]
-    if not got:
-        return
+    got = table.to_pylist()
     key = np.concatenate([np.frombuffer(r["keys"], np.uint32).astype(np.uint64) | np.uint64(r["bucket"] << 32) for r in got])
     doc = np.concatenate([np.frombuffer(r["docs"], np.int64) for r in got])
     several = np.concatenate([np.frombuffer(r["several"], np.uint8) for r in got]) > 0
@@ -421,11 +415,8 @@ def _verify(batches):
         row, repeated = Strips(group[begin[i] : begin[j]], doc[some], several[some], size[some], items[ragged(at[some], size[some])]).join()
         lead[some], more[some] = doc[some][row], repeated
         i = j
-    a = 0
-    for r in got:
-        z = a + len(r["keys"]) // 4
-        yield pa.RecordBatch.from_pylist([{"shard": r["shard"], "bucket": r["bucket"], "leads": pack(lead[a:z]), "more": pack(more[a:z])}], schema=_FOUND)
-        a = z
+    cut = np.cumsum([0] + [len(r["keys"]) // 4 for r in got])
+    return pa.Table.from_pylist([{"shard": r["shard"], "bucket": r["bucket"], "leads": pack(lead[a:z]), "more": pack(more[a:z])} for r, a, z in zip(got, cut[:-1], cut[1:], strict=True)], schema=_FOUND)
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_passages", pa.int64()), ("n_repeated_words", pa.int64()), ("spans", pa.string()), ("leads", pa.list_(pa.int64()))])
@@ -466,12 +457,12 @@ def passages(docs: DataFrame) -> DataFrame:
     buckets = shards = groups(docs, 4.0)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sent = src.where("doc_id is not null").mapInArrow(_send(buckets, shards), "bucket int, keys binary, refs binary, bodies binary")
-    told = s.save(sent.repartition(buckets, "bucket").mapInArrow(_tell, "shard int, keys binary"), "told")
+    told = s.save(sent.repartition(parts(buckets), "bucket").groupBy("bucket").applyInArrow(_tell, "shard int, keys binary"), "told")
     del sent
     s.free()
     texts = dealt(src, shards)
     out = texts.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_outgoing(buckets), "bucket int, shard int, keys binary, docs binary, several binary, sizes binary, items binary")
-    answers = s.save(out.repartition(buckets, "bucket").mapInArrow(_verify, "shard int, bucket int, leads binary, more binary"), "answers")
+    answers = s.save(out.repartition(parts(buckets), "bucket").groupBy("bucket").applyInArrow(_verify, "shard int, bucket int, leads binary, more binary"), "answers")
     del out
     s.free()
     none = F.lit(None).cast("binary")
