@@ -84,3 +84,53 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(sizes)
     return np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def sort_order(*keys: np.ndarray) -> np.ndarray:
+    """The stable order of rows by integer keys of 0 or more, the first key first.
+
+    As many bits as fit are sorted at once, with a row's place in the low bits of a word.
+    """
+    n = len(keys[0])
+    if n < 2:
+        return np.arange(n)
+    place = n.bit_length()
+    room, mask = 64 - place, np.uint64((1 << place) - 1)
+    # Pieces of at most ``room`` bits, the least first; small neighbours share one.
+    pieces: list[list] = []
+    for key in reversed(keys):
+        key = key.astype(np.uint64, copy=False)
+        left, at = int(key.max()).bit_length(), 0
+        while at < left:
+            used = pieces[-1][1] if pieces else room
+            take = min(left - at, room - used)
+            if take < left - at and take < 16:  # rather a new piece than a sliver
+                take, used = min(left - at, room), room
+            if used >= room:
+                pieces.append([[], 0])
+                used = 0
+            pieces[-1][0].append((key, at, take, used))
+            pieces[-1][1] += take
+            at += take
+    order = None
+    for some, _ in pieces:
+        word = np.zeros(n, np.uint64)
+        for key, at, take, used in some:
+            x = key if order is None else key[order]
+            word |= (x >> np.uint64(at) & np.uint64((1 << take) - 1)) << np.uint64(used)
+        word <<= np.uint64(place)
+        word |= np.arange(n, dtype=np.uint64)
+        word.sort()
+        found = (word & mask).astype(np.int64)
+        order = found if order is None else order[found]
+    return np.arange(n) if order is None else order
+
+
+def numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row of each distinct key, number of each row's key), keys in rising order."""
+    order = sort_order(key)
+    new = np.ones(len(key), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    number = np.empty(len(key), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number

@@ -38,13 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.blocks import Rolling, blocks, mix, pack, ragged
+from corvane.llm.blocks import Rolling, blocks, mix, pack, ragged, sort_order
 from corvane.llm.scratch import Scratch, fresh, groups, parts
 
 WORDS = 5
 MANY = 65_535
-#: Frequency counters at most (2 bytes each are broadcast: 64 MB).
-WIDTH = 1 << 25
+#: Frequency counters at most (2 bytes each are broadcast: 8 MB).
+WIDTH = 1 << 22
 #: Shingles of a region that is joined by one task, and of a block of a larger one.
 LEAF, BLOCK_OF = 1 << 15, 1 << 18
 PIVOTS = 6
@@ -117,7 +117,7 @@ def _send(buckets: int):
         def flush():
             h, r = np.concatenate(hashes), np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
             key = (h >> np.uint64(40)) % np.uint64(buckets) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
-            order = np.argsort(key, kind="stable")
+            order = sort_order(key)
             key, r = key[order], r[order]
             new = np.ones(len(key), bool)
             new[1:] = key[1:] != key[:-1]
@@ -181,7 +181,7 @@ def _count(pieces: int):
             base += len(row["nodes"]) // 8
         key, ref = np.concatenate(keys), np.concatenate(refs)
         del keys, refs
-        order = np.argsort(key, kind="stable")
+        order = sort_order(key)
         key, ref = key[order], ref[order]
         same = key[1:] == key[:-1]
         shared = np.zeros(len(key), bool)
@@ -280,7 +280,7 @@ _PREFIX = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("n", pa.bin
 
 def _chain(key: np.ndarray, n: np.ndarray, node: np.ndarray) -> np.ndarray:
     """Links of neighbours, in order of size, among the entries of a key, where sizes fit."""
-    order = np.lexsort((n, key))
+    order = sort_order(key, n)
     k, m, v = key[order], n[order], node[order]
     fit = (k[1:] == k[:-1]) & (5 * m[:-1] >= 4 * m[1:]) & (v[1:] != v[:-1])
     return np.stack([v[:-1][fit], v[1:][fit]], 1)
@@ -315,7 +315,7 @@ def _prefixes(shared, width: int, buckets: int):
             edges = _forest(_chain(key, n, v), len(keys))
             # Of the entries of a key in a size class, all linked here, the smallest and the largest stand for all.
             size = (np.log(n) / np.log(1.25)).astype(np.int64)
-            order = np.lexsort((n, size, key))
+            order = sort_order(key, size, n)
             key, n, v, size = key[order], n[order], v[order], size[order]
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (size[1:] != size[:-1])

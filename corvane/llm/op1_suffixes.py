@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.blocks import Rolling, blocks, mix, pack, ragged
+from corvane.llm.blocks import Rolling, blocks, mix, numbered, pack, ragged, sort_order
 from corvane.llm.scratch import Scratch, groups, parts
 
 SPAN, GRAM = 50, 24
@@ -115,7 +115,7 @@ def _send(buckets: int, shards: int):
         def flush():
             key, doc = _short(np.concatenate(keys), buckets), np.concatenate(docs)
             home = np.array(homes, np.uint32)[doc]
-            order = np.lexsort((home, key))
+            order = sort_order(key, home)
             key, doc, home = key[order], doc[order], home[order]
             new = np.ones(len(key), bool)
             new[1:] = key[1:] != key[:-1]
@@ -153,16 +153,16 @@ def _shared(hot: int):
         """The keys of several documents, for each shard that has them; marked where very many sent them."""
         keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint32).astype(np.uint64) | np.uint64(key[0].as_py() << 32)
         ref = np.frombuffer(b"".join(table["refs"].to_pylist()), np.uint32)
-        order = np.argsort(keys, kind="stable")
+        order = sort_order(keys)
         keys, ref = keys[order], ref[order]
         start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         n = np.diff(np.append(start, len(keys)))
         shared = np.repeat((n > 1) | (np.maximum.reduceat(ref, start) >= _SEVERAL), n)
         keys, ref = (keys | np.repeat(n >= hot, n) * _HOT)[shared], (ref & ~_SEVERAL)[shared]
-        order = np.lexsort((keys, ref))
+        order = sort_order(ref, keys & ~_HOT)
         keys, ref = keys[order], ref[order]
         names, first = np.unique(ref, return_index=True)
-        rows = [{"shard": s, "keys": pack(np.unique(k))} for s, k in zip(names.tolist(), np.split(keys, first[1:]), strict=True)] if len(ref) else []
+        rows = [{"shard": s, "keys": pack(k[np.append(True, k[1:] != k[:-1])])} for s, k in zip(names.tolist(), np.split(keys, first[1:]), strict=True)] if len(ref) else []
         return pa.Table.from_pylist(rows, schema=_SHARED)
 
     return run
@@ -175,8 +175,8 @@ class Shard:
     """The shared stretches of a shard's documents and their distinct strings ("variants")."""
 
     def __init__(self, table: pa.Table, told: list[bytes], buckets: int):
-        shared = np.unique(np.frombuffer(b"".join(told), np.uint64))
-        shared = shared[np.argsort(shared & ~_HOT, kind="stable")]
+        shared = np.frombuffer(b"".join(told), np.uint64)
+        shared = shared[sort_order(shared & ~_HOT)]
         hot, shared = shared >= _HOT, shared & ~_HOT
         self.known = pc.is_valid(table["doc_id"]).to_numpy()
         self.ids = pc.fill_null(table["doc_id"], 0).to_numpy()
@@ -202,7 +202,7 @@ class Shard:
                 rows.append((key, text, self.ids[i + doc]))
         key, text, ids = (np.concatenate([r[k] for r in rows]) if rows else np.zeros(0, np.uint64) for k in range(3))
         ids = ids.astype(np.int64)
-        order = np.lexsort((ids, text, key))
+        order = sort_order(key, text, ids - ids.min(initial=0))
         new = np.ones(len(order), bool)
         new[1:] = (key[order][1:] != key[order][:-1]) | (text[order][1:] != text[order][:-1])
         self.variant = np.empty(len(order), np.int64)
@@ -210,21 +210,17 @@ class Shard:
         self.sample = order[new]  # a stretch of each variant, of the smallest doc_id
         self.key, self.least, self.of = key[self.sample], ids[self.sample], ids
         bucket = _bucket(self.key, buckets).astype(np.int64)
-        self.order = np.argsort(bucket, kind="stable")  # variants by bucket, then key
+        self.order = sort_order(bucket)  # variants by bucket, then key
         self.bucket = bucket[self.order]
 
-    def strings(self) -> list[np.ndarray]:
-        """The bytes of each variant, in the order in which they are sent."""
-        base = np.cumsum([0] + [len(p[3]) for p in self.parts])
-        part = np.searchsorted(base, self.sample, "right") - 1
-        out = [None] * len(self.sample)
-        for p in np.unique(part).tolist():
-            _, data, _, first, last = self.parts[p]
-            at = np.flatnonzero(part == p)
-            k = self.sample[at] - base[p]
-            for v, a, z in zip(at.tolist(), first[k].tolist(), (last[k] + SPAN).tolist(), strict=True):
-                out[v] = data[a:z]
-        return [out[v] for v in self.order.tolist()]
+    def strings(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and bytes of the variants, in the order in which they are sent."""
+        if not len(self.sample):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        shift = np.cumsum([0] + [len(p[1]) for p in self.parts[:-1]])
+        first, last = (np.concatenate([p[k] + x for p, x in zip(self.parts, shift, strict=True)])[self.sample[self.order]] for k in (3, 4))
+        size = last - first + SPAN
+        return size, np.concatenate([p[1] for p in self.parts])[ragged(first, size)]
 
 
 _STRETCH = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("sizes", pa.binary()), ("least", pa.binary()), ("bytes", pa.binary())])
@@ -233,11 +229,11 @@ _STRETCH = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("sizes", p
 def _outgoing(buckets: int):
     def run(key, left, right):
         shard = Shard(left := undealt(left), right["keys"].to_pylist(), buckets)
-        strings, rows = shard.strings(), []
-        least = shard.least[shard.order]
-        for b in np.unique(shard.bucket).tolist():
-            a, z = np.searchsorted(shard.bucket, [b, b + 1])
-            rows.append({"bucket": b, "shard": int(key[0].as_py()), "sizes": pack(np.array([len(x) for x in strings[a:z]], np.uint8)), "least": pack(least[a:z]), "bytes": zlib.compress(b"".join(x.tobytes() for x in strings[a:z]), 1)})
+        size, data = shard.strings()
+        least, ends, rows = shard.least[shard.order], np.append(0, np.cumsum(size)), []
+        names, first = np.unique(shard.bucket, return_index=True)
+        for b, a, z in zip(names.tolist(), first.tolist(), np.append(first[1:], len(size)).tolist(), strict=True):
+            rows.append({"bucket": b, "shard": int(key[0].as_py()), "sizes": pack(size[a:z].astype(np.uint8)), "least": pack(least[a:z]), "bytes": zlib.compress(pack(data[ends[a] : ends[z]]), 1)})
         return pa.Table.from_pylist(rows, schema=_STRETCH)
 
     return run
@@ -254,7 +250,7 @@ class Transform:
     """
 
     def __init__(self, word: np.ndarray, after: np.ndarray, before: np.ndarray):
-        self.order = np.argsort(word << np.int64(32) | after + 1, kind="stable")
+        self.order = sort_order(word, after + 1)
         self.first, self.before, self.whole = word[self.order], before[self.order], after[self.order] >= 0
 
 
@@ -267,7 +263,7 @@ def merge(transforms: list[Transform]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     size = [len(t.first) for t in transforms]
     first, before = (np.concatenate([getattr(t, n) for t in transforms]) for n in ("first", "before"))
     # One word: the slots of a word are filled shard by shard, as many as the shard has.
-    order = np.argsort(first, kind="stable")
+    order = sort_order(first)
     z = np.repeat(np.arange(len(transforms), dtype=np.uint16 if len(size) < 1 << 16 else np.int64), size)[order]
     block = np.cumsum(np.append(False, np.diff(first[order]) != 0))[: len(z)]
     z, block, word = refine(z, block, before)
@@ -290,7 +286,7 @@ def refine(z: np.ndarray, block: np.ndarray, before: np.ndarray) -> tuple[np.nda
     at[np.argsort(z, kind="stable")] = np.arange(len(z))  # the next place of each shard's transform
     word = before[at]
     have = np.flatnonzero(word >= 0)
-    order = have[np.argsort(word[have], kind="stable")]
+    order = have[sort_order(word[have])]
     return z[order], block[order], word[order]
 
 
@@ -312,24 +308,24 @@ def first_documents(size: np.ndarray, shard: np.ndarray, least: np.ndarray, data
     """
     start = np.cumsum(size) - size
     prefix = _ROLL.prefix(data)
-    _, lead, entry = np.unique(mix(_ROLL.of(prefix, start, start + size) + size.astype(np.uint64)), return_index=True, return_inverse=True)
+    lead, entry = numbered(mix(_ROLL.of(prefix, start, start + size) + size.astype(np.uint64)))
     far = lead[entry]
     odd = np.flatnonzero(far != np.arange(len(far)))
     odd = odd[(size[odd] != size[far[odd]]) | _differ(data, start[odd], start[far[odd]], np.minimum(size[odd], size[far[odd]]))] if len(odd) else odd
     if len(odd):  # equal hashes of different strings: entries of their own
         entry[odd] = len(lead) + np.arange(len(odd))
         lead = np.append(lead, odd)
-    order = np.argsort(lead, kind="stable")  # entries by shard
+    order = sort_order(lead)  # entries by shard
     rank = np.empty(len(lead), np.int64)
     rank[order] = np.arange(len(lead))
     lead, entry = lead[order], rank[entry]
-    low = np.full(len(lead), np.iinfo(np.int64).max)
-    np.minimum.at(low, entry, least)
+    order = sort_order(entry)
+    low = np.minimum.reduceat(least[order], np.flatnonzero(np.append(True, np.diff(entry[order]) != 0)))
     # Words at every place of the entries, numbered in the order of their hashes.
     count = size[lead] - WORD + 1
     at, inside = ragged(start[lead], count), ragged(np.zeros(len(lead), np.int64), count)
     owner = np.repeat(np.arange(len(lead)), count)
-    _, word = np.unique(_ROLL.of(prefix, at, at + WORD), return_inverse=True)
+    _, word = numbered(_ROLL.of(prefix, at, at + WORD))
     after, before = np.full(len(word), -1), np.full(len(word), -1)
     two = np.flatnonzero(inside + WORD < count[owner])  # suffixes of two words: the windows
     after[two], before[two + WORD] = word[two + WORD], word[two]
@@ -400,13 +396,11 @@ def _apply(buckets: int, keep: bool):
         for i, data, at, first, last in shard.parts:
             some = bits[base : base + len(first)]
             base += len(first)
-            count = last - first + 1
+            hit = np.flatnonzero(some)
+            some, first, count = some[hit], first[hit], (last - first + 1)[hit]
             window = ragged(first, count)
-            gone = (np.repeat(some, count) >> (window - np.repeat(first, count)).astype(np.uint32) & np.uint32(1)) > 0
-            edge = np.zeros(len(data) + 1, np.int32)
-            window = window[gone]
-            np.add.at(edge, window, 1)
-            np.add.at(edge, window + SPAN, -1)
+            window = window[(np.repeat(some, count) >> (window - np.repeat(first, count)).astype(np.uint32) & np.uint32(1)) > 0]
+            edge = np.bincount(window, minlength=len(data) + 1) - np.bincount(window + SPAN, minlength=len(data) + 1)
             cover = np.cumsum(edge[:-1]) > 0
             for d in range(len(at) - 1):
                 c, text = cover[at[d] : at[d + 1]], data[at[d] : at[d + 1]]

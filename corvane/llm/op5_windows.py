@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.blocks import Rolling, blocks, mix, pack, ragged
+from corvane.llm.blocks import Rolling, blocks, mix, pack, ragged, sort_order
 from corvane.llm.op1_suffixes import _bucket, _home, _least, dealt, undealt
 from corvane.llm.op10_jaccard import _LOWER, _ROLL, _STEP, WORDS, components, words_of
 from corvane.llm.scratch import Scratch, groups, parts
@@ -42,6 +42,7 @@ from corvane.llm.scratch import Scratch, groups, parts
 LEAST, BANDS, ROWS = 46, 6, 2
 MOST = 64  # starts of an interval
 SOME = 250_000  # shingles that are verified at once
+PAIRED = 32  # strips of a group whose pairs are counted at once
 _WINDOW = Rolling(46)
 SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -133,7 +134,7 @@ def _send(buckets: int, shards: int):
         def flush():
             key, body, doc, home = np.concatenate(keys), np.concatenate(bodies), np.concatenate(docs), np.array(homes)
             key, home = _short(key, buckets), home[doc].astype(np.uint32)
-            order = np.lexsort((doc, home, body, key))
+            order = sort_order(key, body, home, doc)
             key, body, doc, home = key[order], body[order], doc[order], home[order]
             start = np.flatnonzero(_changes(key))
             end = np.append(start[1:], len(key))
@@ -171,14 +172,14 @@ def _tell(bucket, table):
     """The keys of several documents, for each shard that has them; marked where not all their intervals are equal."""
     key = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint32).astype(np.uint64) | np.uint64(bucket[0].as_py() << 32)
     ref, body = (np.frombuffer(b"".join(table[c].to_pylist()), np.uint32) for c in ("refs", "bodies"))
-    order = np.argsort(key, kind="stable")
+    order = sort_order(key)
     key, ref, body = key[order], ref[order], body[order]
     start = np.flatnonzero(_changes(key))
     n = np.diff(np.append(start, len(key)))
     shared = np.repeat((n > 1) | (np.maximum.reduceat(ref, start) >= _SEVERAL), n)
     differ = np.repeat(np.minimum.reduceat(body, start) != np.maximum.reduceat(body, start), n)
     key, ref = (key | differ * _DIFFER)[shared], (ref & ~_SEVERAL)[shared]
-    order = np.lexsort((key, ref))
+    order = sort_order(ref, key)
     key, ref = key[order], ref[order]
     once = _changes(key, ref)
     key, ref = key[once], ref[once]
@@ -191,7 +192,7 @@ class Shard:
 
     def __init__(self, table: pa.Table, told: list[bytes], buckets: int):
         shared = np.frombuffer(b"".join(told), np.uint64)
-        shared = shared[np.argsort(shared & ~_DIFFER)]
+        shared = shared[sort_order(shared & ~_DIFFER)]
         differ, shared = shared >= _DIFFER, shared & ~_DIFFER
         self.doc = table["doc_id"].to_pylist()
         known = np.array([d is not None for d in self.doc], bool)
@@ -211,7 +212,7 @@ class Shard:
                 base += len(h)
         none = np.zeros(0, np.int64)
         key, body, row, a, z, at, differ = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else (none.astype(np.uint64), none.astype(np.uint64), none, none, none, none, none > 0)
-        order = np.lexsort((ids[row], body, key))
+        order = sort_order(key, body, ids[row] - ids.min(initial=0))
         self.key, self.row, self.first, self.last = key[order], row[order], a[order], z[order]
         self.ids = ids[self.row]
         new = _changes(self.key, body[order])
@@ -257,6 +258,13 @@ def roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
+def passages_of(before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each passage of a strip: the places of its distinct shingles, and their number. ``before`` has the last place of the same shingle."""
+    p, w = np.arange(len(before)), np.arange(len(before) - LEAST + 1)[:, None]
+    f = ((p >= w) & (p < w + LEAST) & (before < w)).astype(np.float32)
+    return f, f.sum(axis=1)
+
+
 class Strips:
     """The strips of signatures (sorted by group, then document), and which of them are alike.
 
@@ -271,7 +279,7 @@ class Strips:
 
     def runs(self, key: np.ndarray, strip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(order, starts of runs of equal keys, whether several documents have the run's key)."""
-        order = np.argsort(key, kind="stable")
+        order = sort_order(key)
         start = np.flatnonzero(_changes(key[order]))
         if not len(order):
             return order, start, np.zeros(0, bool)
@@ -315,7 +323,7 @@ class Strips:
         order, start, many = self.runs(self.group[left][strip].astype(np.uint64) << np.uint64(16) | items, left[strip])
         own = np.empty(len(items), np.int64)
         own[order] = np.repeat(~many, np.diff(np.append(start, len(order))))
-        order = np.argsort(strip.astype(np.uint64) << np.uint64(16) | items, kind="stable")
+        order = sort_order(strip, items)
         again = np.flatnonzero((strip[order][1:] == strip[order][:-1]) & (items[order][1:] == items[order][:-1]))
         before = np.full(len(items), -1)
         before[order[again + 1]] = pos[order[again]]
@@ -337,10 +345,107 @@ class Strips:
         ends = np.append(groups[1:], len(left))
         least = np.repeat(np.minimum.reduceat(fewest, groups), ends - groups)
         may = np.maximum.reduceat(9 * shared >= 4 * (sets + least[of]), begin)
+        most = np.repeat(ends - groups, ends - groups)
+        single = np.maximum.reduceat(before, first) < 0  # strips without a shingle that recurs
+        held = self.held(left, strip, items, pos)
+        x, y, up = [], [], root
+        for reach in (2, PAIRED):  # neighbours first, which connects most; then what is not connected yet
+            i, j, doubt = self.aligned(left, fewest, most, up, sets, begin, single, reach, *held)
+            x, y = np.append(x, i).astype(np.int64), np.append(y, j).astype(np.int64)
+            up = roots(len(root), np.concatenate([left[i], np.arange(len(root))]), np.concatenate([left[j], up]))
+            mixed = np.repeat(np.minimum.reduceat(up[left], groups) != np.maximum.reduceat(up[left], groups), ends - groups)
+            held = tuple(c[mixed[held[1]]] for c in held)
+        may &= most > PAIRED
+        known: dict[int, tuple] = {}
+        again = []
+
+        def of(i):
+            if i not in known:
+                known[i] = passages_of(before[first[i] : first[i] + size[i]])
+            return known[i]
+
+        for i, j in zip(*doubt, strict=True):
+            # Strips that pairs before have connected needn't be compared.
+            if up[left[i]] != up[left[j]]:
+                (f, n), (g, m) = of(i), of(j)
+                both = f @ (items[first[i] : first[i] + size[i]][:, None] == items[first[j] : first[j] + size[j]]).astype(np.float32) @ g.T
+                if (9 * both >= 4 * (n[:, None] + m)).any():
+                    again.append((i, j))
+                    up[up == max(up[left[i]], up[left[j]])] = min(up[left[i]], up[left[j]])
+        if again:
+            x, y = np.append(x, [i for i, _ in again]), np.append(y, [j for _, j in again])
+        self.repeated[left[x]] = self.repeated[left[y]] = True
+        self.u.append(left[x]), self.v.append(left[y])
         for a, z in zip(groups.tolist(), ends.tolist(), strict=True):
             some = a + np.flatnonzero(may[a:z])
-            if len(some) > 1 and (root[left[some]] != root[left[some[0]]]).any():
-                self.group_near(left[some], root[left[some]], fewest[some], [items[first[k] : first[k] + size[k]] for k in some.tolist()], [before[first[k] : first[k] + size[k]] for k in some.tolist()])
+            if len(some) > 1 and (up[left[some]] != up[left[some[0]]]).any():
+                self.group_near(left[some], up[left[some]], fewest[some], [items[first[k] : first[k] + size[k]] for k in some.tolist()], [before[first[k] : first[k] + size[k]] for k in some.tolist()])
+
+    def held(self, left: np.ndarray, strip: np.ndarray, items: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(run, strip, place) of each shingle of each strip, once, where a run is a shingle of a group."""
+        group = np.cumsum(_changes(self.group[left]))[strip]
+        order = sort_order(group, items, strip)
+        group, items, strip, pos = group[order], items[order], strip[order], pos[order]
+        run = np.cumsum(_changes(group, items))
+        once = _changes(run, strip)
+        return run[once], strip[once], pos[once]
+
+    def aligned(self, left, fewest, count, root, sets, window, single, reach, run, strip, pos) -> tuple[np.ndarray, np.ndarray, tuple[list, list]]:
+        """(pairs of strips that are alike, pairs that may be), of strips that aren't connected yet.
+
+        Pairs with too few shingles in common are like no other. Of the rest those are found alike that have
+        enough at one distance of their places. Groups of more than ``PAIRED`` strips are left for ``group_near``.
+        A strip is paired with the ``reach`` next ones that have a shingle. ``window`` has the first passage of
+        each strip, whose set sizes are ``sets``.
+        """
+        doc, several, size = self.doc[left], self.several[left], self.size[left]
+        some = count[strip] <= PAIRED
+        run, strip, pos = run[some], strip[some], pos[some]
+        i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for d in range(1, reach + 1):
+            k = np.flatnonzero(run[d:] == run[:-d]) if len(run) > d else i[0]
+            if not len(k):
+                break
+            x, y = strip[k], strip[k + d]
+            k = k[(root[left[x]] != root[left[y]]) & ((doc[x] != doc[y]) | several[x] | several[y])]
+            i.append(k), j.append(k + d)
+        i, j = np.concatenate(i), np.concatenate(j)
+        if not len(i):
+            return i, j, ([], [])
+        a, b, shift = strip[i], strip[j], pos[j] - pos[i]
+        order = sort_order(a, b, shift + 256, pos[i])
+        a, b, shift, place = a[order], b[order], shift[order], pos[i][order]
+        new = _changes(a, b)
+        start = np.flatnonzero(new)
+        shared = np.diff(np.append(start, len(a)))
+        good = 9 * shared >= 4 * (fewest[a[start]] + fewest[b[start]])
+        # Only a passage with enough shingles of the whole other strip can be like one of it.
+        pair = np.cumsum(new) - 1
+        for at in (place, place + shift):
+            o = sort_order(pair, at)
+            code = pair[o] << 9 | at[o]
+            inside = np.searchsorted(code, code + LEAST) - np.arange(len(code))
+            enough = 9 * np.maximum.reduceat(inside, start) >= 4 * (fewest[a[start]] + fewest[b[start]])
+            good &= enough | ~single[a[start]] | ~single[b[start]]
+        # The most common distance of each such pair, and the passages that begin at a shared shingle.
+        rows = np.flatnonzero(_changes(a, b, shift))
+        times = np.diff(np.append(rows, len(a)))
+        top = np.maximum.reduceat(times << 32 | np.arange(len(rows)), np.searchsorted(rows, start)) & 0xFFFFFFFF
+        first_a, first_b = a[start], b[start]
+        top = top[good]
+        e = ragged(rows[top], times[top])
+        a, b, shift, place, pair = a[e], b[e], shift[e], place[e], pair[e]
+        w = np.maximum(np.minimum(place, np.minimum(size[a], size[b] - shift) - LEAST), np.maximum(0, -shift))
+        fits = (w <= size[a] - LEAST) & (w + shift <= size[b] - LEAST)
+        a, b, shift, w, at = a[fits], b[fits], shift[fits], w[fits], pair[fits] << 9
+        code = pair << 9 | place
+        both = np.searchsorted(code, at + w + LEAST) - np.searchsorted(code, at + w)
+        hit = pair[fits][9 * both >= 4 * (sets[window[a] + w] + sets[window[b] + w + shift])]
+        alike = np.zeros(len(start), bool)
+        alike[hit] = True
+        x, y = first_a[alike], first_b[alike]
+        doubt = np.flatnonzero(good & ~alike)
+        return x, y, (first_a[doubt].tolist(), first_b[doubt].tolist())
 
     def group_near(self, strip: np.ndarray, root: np.ndarray, fewest: np.ndarray, items: list[np.ndarray], before: list[np.ndarray]) -> None:
         """Every strip is compared with all that aren't connected with it yet, until no more are alike."""
@@ -353,11 +458,8 @@ class Strips:
         mark, new = np.zeros(65537, bool), np.ones(k, bool)
 
         def of(i):
-            """For each passage of a strip: the places of its distinct shingles, and their number."""
             if i not in parts_:
-                p, w = np.arange(len(items[i])), np.arange(len(items[i]) - LEAST + 1)[:, None]
-                f = ((p >= w) & (p < w + LEAST) & (before[i] < w)).astype(np.float32)
-                parts_[i] = f, f.sum(axis=1)
+                parts_[i] = passages_of(before[i])
             return parts_[i]
 
         for seed in range(k):
@@ -403,7 +505,7 @@ def _verify(bucket, table):
     several = np.concatenate([np.frombuffer(r["several"], np.uint8) for r in got]) > 0
     size = np.concatenate([np.frombuffer(r["sizes"], np.uint8) for r in got]).astype(np.int64)
     items = np.concatenate([np.frombuffer(r["items"], np.uint16) for r in got])
-    order = np.lexsort((doc, key))
+    order = sort_order(key, doc - doc.min())
     new = _changes(key[order])
     group, begin, at = np.cumsum(new), np.append(np.flatnonzero(new), len(key)), np.cumsum(size) - size
     ends = np.concatenate([[0], np.cumsum(size[order])])[begin]
