@@ -46,7 +46,7 @@ MANY = 65_535
 #: Frequency counters at most (2 bytes each are broadcast: 8 MB).
 WIDTH = 1 << 22
 #: Shingles of a region that is joined by one task, and of a block of a larger one.
-LEAF, BLOCK_OF = 1 << 15, 1 << 18
+LEAF, BLOCK_OF = 1 << 19, 1 << 19
 PIVOTS = 6
 #: Rows that are broadcast at most.
 BROADCAST = 500_000
