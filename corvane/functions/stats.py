@@ -123,3 +123,18 @@ def fit_trajectories(rows: DataFrame, key: str, x: str, y: str) -> DataFrame:
 
 def checkpoint_rounds(last: int) -> list[int]:
     return sorted({0, *(round(i * last / 3) for i in (1, 2, 3))})
+
+
+def gradient(rows: DataFrame, by: str, y: str, x: str) -> DataFrame:
+    """Slope and intercept of a value on its position, for each group."""
+    return rows.groupBy(by).agg(F.round(F.regr_slope(y, x), 12).alias("slope"), F.round(F.regr_intercept(y, x), 6).alias("intercept"), F.count("*").alias("n"))
+
+
+def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
+    """Newman's modularity of communities (node, community) over undirected edges (s, o), each given once."""
+    c = lambda side: communities.select(F.col("node").alias(side), F.col("community").alias(f"{side}_c"))
+    t = edges.join(c("s"), "s").join(c("o"), "o")
+    inside = t.agg(F.sum((F.col("s_c") == F.col("o_c")).cast("double")).alias("l"), F.count("*").cast("double").alias("m"))
+    degree = t.select(F.col("s_c").alias("c")).union(t.select("o_c")).groupBy("c").agg(F.count("*").cast("double").alias("d"))
+    squares = degree.agg(F.sum(F.col("d") * F.col("d")).alias("q"))
+    return inside.crossJoin(squares).select((F.col("l") / F.col("m") - F.col("q") / (4 * F.col("m") * F.col("m"))).alias("modularity"))

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Genres that were dropped, and the vocabulary that only labels or types.
+# Genres that were dropped, primary question types, and predicates that join no classes.
 DROPPED = ("PRC", "CAR", "STR", "ERP", "MES")
-LABELLING = ("a", "rdf:type", "rdfs:label", "skos:prefLabel", "skos:altLabel", "rdfs:comment", "skos:definition", "score:normLabel", "score:rawLabel")
+PRIMARY = ("relational", "multi-hop", "R", "M")
+NO_JOIN = (
+    "rdfs:label", "rdf:type", "a", "rdfs:subClassOf", "rdfs:comment", "skos:definition", "skos:prefLabel", "skos:altLabel",
+    "<http://www.w3.org/2000/01/rdf-schema#label>", "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>", "<http://www.w3.org/2000/01/rdf-schema#subClassOf>",
+)
 SEVERITY = ("critical", "important", "minor", "info")
 
 
@@ -29,14 +33,23 @@ def zero_hits(records: DataFrame, hits: DataFrame) -> DataFrame:
     return e.groupBy("cq_id").agg((F.coalesce(F.max("hits"), F.lit(0)) == 0).alias("zero_hit"))
 
 
-def greedy_expansions(scored: DataFrame, limit: int) -> DataFrame:
-    """Terms accepted for each question in order of score while none accepted before holds or is held by them.
+def greedy_expansions(candidates: DataFrame, questions: DataFrame) -> DataFrame:
+    """(cq_id, accepted): for each question, in order, the candidates that no term it has already holds or is held by.
 
-    A fold over a question's candidates (term, score), which are few; (cq_id, accepted).
+    ``candidates`` (cq_id, place, source, term), ``questions`` (cq_id, alternates); an accepted term counts
+    for those after it. A fold over one question's candidates.
     """
-    t = scored.groupBy("cq_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "term"))).alias("c"))
-    ok = lambda acc, x: (F.size(acc) < limit) & ~F.exists(acc, lambda y: F.contains(y, x["term"]) | F.contains(x["term"], y))
-    return t.select("cq_id", F.aggregate("c", F.array().cast("array<string>"), lambda acc, x: F.when(ok(acc, x), F.concat(acc, F.array(x["term"]))).otherwise(acc)).alias("accepted"))
+    t = candidates.groupBy("cq_id").agg(F.array_sort(F.collect_list(F.struct("place", "source", "term"))).alias("c"))
+    t = questions.join(t, "cq_id", "left").withColumn("c", F.coalesce("c", F.array().cast(t.schema["c"].dataType)))
+    low = lambda x: F.trim(F.lower(x))
+    start = F.struct(F.transform("alternates", F.lower).alias("known"), F.array().cast("array<struct<source:string,term:string>>").alias("out"))
+
+    def step(acc, x):
+        held = F.exists(acc["known"], lambda y: F.contains(y, low(x["term"])) | F.contains(low(x["term"]), y))
+        more = F.struct(F.concat(acc["known"], F.array(low(x["term"]))).alias("known"), F.concat(acc["out"], F.array(F.struct(x["source"].alias("source"), x["term"].alias("term")))).alias("out"))
+        return F.when(held, acc).otherwise(more)
+
+    return t.select("cq_id", F.aggregate("c", start, step, lambda acc: acc["out"]).alias("accepted"))
 
 
 def first_seen(terms: DataFrame) -> DataFrame:
@@ -50,12 +63,88 @@ def dropped_tags(tags: Column) -> Column:
 
 
 def needs_join_review(qtype: Column, n_patterns: Column, query: Column) -> Column:
-    """Primary questions with under two patterns or no relation between variables besides labels and types."""
-    body = F.regexp_replace(query, r"(?m)(?<!<[^>\n]{0,200})#[^\n>]*$", "")
-    body = F.regexp_replace(body, r'"[^"]*"', "")
-    body = F.regexp_replace(body, r"(?is)FILTER\s*\((?:[^()]|\([^()]*\))*\)", "")
-    preds = F.regexp_extract_all(body, F.lit(r"\?\w+\s+([^\s?;.]+)\s+\?\w+"), F.lit(1))
-    return qtype.isin("R", "M") & ((n_patterns < 2) | (F.size(F.array_except(preds, F.array(*map(F.lit, LABELLING)))) == 0))
+    """Primary questions with under two patterns, or none of whose triple patterns joins by more than labels and types.
+
+    A variable predicate joins. Comments, filters and strings are taken out before.
+    """
+    body = F.regexp_replace(query, r"#.*", "")
+    body = F.regexp_replace(body, r"(?is)FILTER\s*\(.*?\)\s*(?=[.}\n])", " ")
+    body = F.regexp_replace(body, r'"[^"]*"', '""')
+    preds = F.regexp_extract_all(body, F.lit(r"\?\w+\s+(\S+)\s+\?\w+"), F.lit(1))
+    return qtype.isin(*PRIMARY) & ((n_patterns < 2) | (F.size(F.array_except(preds, F.array(*map(F.lit, NO_JOIN)))) == 0))
+
+
+def question_problems(questions: DataFrame, strata: tuple[str, ...] = ("existential", "relational", "multi-hop", "definitional")) -> DataFrame:
+    """(cq_id, problem): repeated ids, unknown strata, queries that aren't of the subset, terms that aren't normalised.
+
+    ``questions`` (place, cq_id, qtype, sparql, pattern) is a hand-written asset: queries are compiled in the driver.
+    """
+    from corvane.functions import text as X
+    from corvane.plans import sparql
+
+    w = Window.partitionBy("cq_id").orderBy("place")
+    t = questions.withColumn("seen", F.row_number().over(w))
+    out = t.where("seen > 1").select("cq_id", F.lit("duplicate id").alias("problem"))
+    out = out.union(t.where(~F.coalesce(F.col("qtype").isin(*strata), F.lit(False))).select("cq_id", F.concat(F.lit("unknown stratum '"), F.coalesce("qtype", F.lit("")), F.lit("'"))))
+    bad = []
+    for r in questions.select("cq_id", "place", "sparql").collect():
+        try:
+            sparql.Parser(r["sparql"] or "", None).parse()
+        except sparql.SparqlError:
+            bad.append((r["cq_id"], "SPARQL does not parse"))
+    if bad:
+        out = out.union(questions.sparkSession.createDataFrame(bad, "cq_id string, problem string"))
+    term = t.select("cq_id", F.explode(X.pattern_terms(F.col("pattern"))).alias("term")).withColumn("norm", X.normalise_label(F.col("term"))).where(F.col("norm") != F.lower(F.trim("term")))
+    out = out.union(term.select("cq_id", F.concat(F.lit("pattern term '"), "term", F.lit("' is not in normalised form ('"), "norm", F.lit("')"))))
+    none = questions.agg(F.count_if(F.col("qtype").isin(*PRIMARY)).alias("n")).where("n = 0").select(F.lit("*"), F.lit("no primary-stratum questions in the set"))
+    return out.union(none)
+
+
+def patched_query(query: Column, expansions: Column) -> Column:
+    """A query with the first place of each quoted pattern widened; ``expansions`` is an array of (pattern, terms) in order."""
+    from corvane.functions import text as X
+
+    def widen(q, e):
+        old = F.concat(F.lit('"'), e["pattern"], F.lit('"'))
+        at = F.instr(q, old)
+        new = F.concat(F.lit('"'), X.widen_pattern(e["pattern"], e["terms"]), F.lit('"'))
+        return F.when((at == 0) | (F.size(e["terms"]) == 0), q).otherwise(F.concat(F.substring(q, F.lit(1), at - 1), new, F.substring(q, at + F.length(old), F.length(q))))
+
+    return F.aggregate(expansions, query, widen)
+
+
+def pitfall_summary(reports: DataFrame, key: str) -> DataFrame:
+    """Counts by severity and the distinct codes of each report's pitfalls (code, severity)."""
+    p = F.col("pitfalls")
+    n = lambda s: F.size(F.filter(p, lambda x: x["severity"] == s))
+    return reports.select(key, F.size(p).alias("total_pitfalls"), *[n(s).alias(s) for s in SEVERITY[:3]], F.array_sort(F.array_distinct(F.transform(p, lambda x: x["code"]))).alias("pitfall_codes"))
+
+
+def split_half(doc_terms: DataFrame, key: str, seed: int, k: int) -> DataFrame:
+    """Jaccard similarity of the ``k`` most frequent terms of two halves of the documents, dealt by a hash."""
+    half = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}"))), 1, 8), 16, 10).cast("long") % 2
+    n = doc_terms.withColumn("half", half).groupBy("half", "term").agg(F.count("*").alias("n"))
+    top = n.withColumn("r", F.row_number().over(Window.partitionBy("half").orderBy(F.desc("n"), "term"))).where(F.col("r") <= k)
+    both = top.groupBy("term").agg(F.count("*").alias("halves"))
+    return both.agg(F.count("*").alias("terms"), F.count_if(F.col("halves") == 2).alias("shared")).withColumn("jaccard", F.round(F.try_divide(F.col("shared").cast("double"), F.col("terms").cast("double")), 6))
+
+
+def reserved_links(links: DataFrame, documents: DataFrame, key: str) -> DataFrame:
+    """The links whose documents are all reserved: those of ``documents`` stay."""
+    return links.join(documents.select(key).distinct(), key, "left_semi")
+
+
+def match_answers(answers: DataFrame, labels: DataFrame, by: str, score, threshold: float) -> DataFrame:
+    """Each answer's best label of its question, where ``score(answer, label)`` reaches the threshold."""
+    t = answers.join(labels, by).withColumn("score", score(F.col("answer"), F.col("label")))
+    best = t.groupBy(by, "answer").agg(F.max_by(F.struct("label", "score"), F.struct("score", "label")).alias("b"))
+    return best.select(by, "answer", F.when(F.col("b.score") >= threshold, F.col("b.label")).alias("label"), F.col("b.score").alias("score"))
+
+
+def contamination(rates: DataFrame, condition: str, expected: str, observed: str, limit: float = 0.05) -> DataFrame:
+    """Share of unexpected alignments by condition, flagged where it is over the limit."""
+    t = rates.groupBy(condition).agg(F.avg((~F.col(expected).eqNullSafe(F.col(observed))).cast("double")).alias("rate"))
+    return t.select(condition, F.round("rate", 6).alias("rate"), (F.col("rate") > limit).alias("contaminated"))
 
 
 def cq_report(results: DataFrame) -> DataFrame:

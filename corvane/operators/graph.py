@@ -183,13 +183,70 @@ def window_triples(triples: DataFrame, allowed: DataFrame, schema_predicates: tu
     return t.where(F.col("p").isin(*schema_predicates) | (F.col("o_kind") == "literal")).union(both).distinct()
 
 
-def select_window(scores: DataFrame, edges: DataFrame, sizes: DataFrame, budget: int, fan_out: int = 5) -> DataFrame:
-    """(iri, phase): scored seeds, all their ancestors, neighbours up to a fan-out, then a fill within the budget."""
-    seeds = scores.select(F.col("cls").alias("iri"))
-    up = closure(edges).join(seeds.select(F.col("iri").alias("s")), "s", "left_semi").select(F.col("o").alias("iri")).distinct()
-    near = edges.select(F.col("o").alias("seed"), F.col("s").alias("iri")).join(seeds.select(F.col("iri").alias("seed")), "seed", "left_semi")
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("seed").orderBy("iri"))).where(F.col("r") <= fan_out).select("iri")
-    phases = seeds.withColumn("phase", F.lit(1)).union(up.withColumn("phase", F.lit(2))).union(near.withColumn("phase", F.lit(3))).groupBy("iri").agg(F.min("phase").alias("phase"))
-    every = sizes.join(phases, "iri", "left").join(scores.select(F.col("cls").alias("iri"), "score"), "iri", "left").withColumn("phase", F.coalesce("phase", F.lit(4)))
-    w = Window.partitionBy().orderBy("phase", F.desc_nulls_last("score"), "iri").rowsBetween(Window.unboundedPreceding, 0)
-    return every.withColumn("used", F.sum("tokens").over(w)).where((F.col("phase") <= 2) | (F.col("used") <= budget)).select("iri", "phase", "tokens", "used")
+def select_window(scores: DataFrame, edges: DataFrame, sizes: DataFrame, budget: int, fan_out: int = 5, injected: DataFrame | None = None) -> DataFrame:
+    """(iri, phase): the classes of a window. ``scores`` (cls, score), ``edges`` (s, o), ``sizes`` (iri, tokens) of all classes.
+
+    Phase 0: everything fits. Else 1: scored classes; 2: all their ancestors; 3: of each scored class's
+    siblings and children, without those of phases 1 and 2, the first ``fan_out`` by IRI; 4: the rest by
+    score, then IRI, as long as the budget holds; the first that doesn't fit ends it. ``injected`` classes
+    (iri) are always shown and take no part in the fill. A window's classes are an ontology's: few.
+    """
+    total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()["t"]
+    if total <= budget:
+        return sizes.select("iri", F.lit(0).alias("phase"))
+    seeds = scores.select(F.col("cls").alias("iri")).distinct()
+    pairs = edges.select("s", "o").distinct()
+    ours = lambda side: seeds.select(F.col("iri").alias(side))
+    up = closure(edges).join(ours("s"), "s", "left_semi").select(F.col("o").alias("iri")).distinct().join(seeds, "iri", "left_anti")
+    children = pairs.join(ours("o"), "o", "left_semi").select(F.col("o").alias("seed"), F.col("s").alias("iri"))
+    parents = pairs.join(ours("s"), "s", "left_semi").select(F.col("s").alias("seed"), "o")
+    siblings = parents.join(pairs, "o").select("seed", F.col("s").alias("iri")).where("seed <> iri")
+    near = children.union(siblings).distinct().join(seeds, "iri", "left_anti").join(up, "iri", "left_anti")
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("seed").orderBy("iri"))).where(F.col("r") <= fan_out).select("iri").distinct()
+    chosen = cut(seeds.withColumn("phase", F.lit(1)).union(up.withColumn("phase", F.lit(2))).union(near.withColumn("phase", F.lit(3))))
+    used = chosen.join(sizes, "iri").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()["t"]
+    rest = sizes.join(chosen, "iri", "left_anti")
+    if injected is not None:
+        rest = rest.join(injected, "iri", "left_anti")
+    rest = rest.join(scores.groupBy(F.col("cls").alias("iri")).agg(F.max("score").alias("score")), "iri", "left")
+    w = Window.partitionBy().orderBy(F.desc(F.coalesce("score", F.lit(0.0))), "iri").rowsBetween(Window.unboundedPreceding, 0)
+    fill = rest.withColumn("used", F.sum("tokens").over(w) + used).where((F.col("used") <= budget) & F.lit(used < budget))
+    return chosen.union(fill.select("iri", F.lit(4)))
+
+
+def functional(facts: DataFrame, key: str, value: list[str]) -> DataFrame:
+    """Keys with more than one distinct value."""
+    return facts.groupBy(key).agg(F.countDistinct(*value).alias("n")).where("n > 1")
+
+
+def both_ways(facts: DataFrame) -> DataFrame:
+    """Pairs that are stated in both directions."""
+    t = facts.where("s <> o").distinct()
+    return t.join(t.select(F.col("o").alias("s"), F.col("s").alias("o")), ["s", "o"], "left_semi")
+
+
+def reflexive(facts: DataFrame) -> DataFrame:
+    """Entities in relation to themselves, with the number of statements."""
+    return facts.where("s = o").groupBy("s").agg(F.count("*").alias("n"))
+
+
+def canonical_mapping(matches: DataFrame, least: float = 0.5) -> DataFrame:
+    """(node, root): clusters over matches (s, o, relation, confidence) that state equality with enough confidence."""
+    from corvane.plans.fixpoint import components
+
+    return components(matches.where((F.col("relation") == "=") & (F.col("confidence") >= least)).select("s", "o"))
+
+
+def integrated(triples: DataFrame, roots: DataFrame) -> DataFrame:
+    """The redirected graph without the old declarations, with an equivalence from each old term to its root."""
+    old = roots.where("node <> root")
+    kept = triples.join(old.select(F.col("node").alias("s")).withColumn("gone", F.lit(True)), "s", "left")
+    kept = kept.where(F.col("gone").isNull() | (F.col("p") != TYPE) | ~F.col("o").isin(OWL + "Class", OWL + "ObjectProperty", OWL + "DatatypeProperty")).select("s", "p", "o")
+    same = old.select(F.col("node").alias("s"), F.lit(OWL + "equivalentClass").alias("p"), F.col("root").alias("o"))
+    return canonical_redirect(kept, roots).select("s", "p", "o").union(same).distinct()
+
+
+def rule_totals(checked: DataFrame) -> DataFrame:
+    """Violations in all, and those rules that have any."""
+    v = checked.where("kind = 'violation'")
+    return v.agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.concat("rule", F.lit("="), F.col("n").cast("string"))))).alias("rules"))

@@ -89,17 +89,62 @@ def precision(verified: DataFrame, score: str, threshold: float, genre: str) ->
     return t.withColumn("w", wilson(F.col("successes"), F.col("trials"))).select(genre, "successes", "trials", F.round("w.estimate", 6).alias("estimate"), F.round("w.lower", 6).alias("lower"), F.round("w.upper", 6).alias("upper"), F.round("w.half_width", 6).alias("half_width"))
 
 
-def mutations(positives: DataFrame, individuals: DataFrame, properties: DataFrame, limit: int = 500) -> DataFrame:
-    """One mutation of each positive: another object of the class, else another subject, else another predicate.
+def hashed(key: Column, what: str, seed: int) -> Column:
+    """A number of 32 bits that follows from a key and a seed."""
+    return F.conv(F.substring(F.md5(F.concat(key, F.lit(f"|{what}|{seed}"))), 1, 8), 16, 10).cast("long")
 
-    Choices are the smallest by a hash, so they are repeatable; (key, s, p, o, s_class, o_class, kind of p).
+
+def mutations(records: DataFrame, individuals: DataFrame, properties: DataFrame, seed: int = 1, limit: int = 500) -> DataFrame:
+    """(key, s, p, o, label, mutation): positives with support, and one mutation of each that is possible.
+
+    ``records`` (key, s, p, o, s_class, o_class, is_literal, supported), ``individuals`` (iri, cls),
+    ``properties`` (iri, is_literal). The first operator of a positive is drawn, then come object,
+    subject and predicate swaps. A swap takes a place in the sorted members of the class by the key's
+    hash, past the own one, so no member meets another and a class of any size costs a join on its place.
     """
-    base = positives.orderBy(F.md5("key"), "key").limit(limit)
-    def pick(side: str, cls: str) -> DataFrame:
-        c = individuals.select(F.col("iri").alias("alt"), F.col("cls").alias(cls))
-        m = base.join(c, cls).where(F.col("alt") != F.col(side))
-        return m.groupBy("key").agg(F.min_by("alt", F.md5(F.concat("key", F.lit("|"), "alt"))).alias(f"{side}_alt"))
-    pr = base.join(properties.select(F.col("iri").alias("alt"), "kind"), "kind").where("alt <> p").groupBy("key").agg(F.min_by("alt", F.md5(F.concat("key", F.lit("|"), "alt"))).alias("p_alt"))
-    t = base.join(pick("o", "o_class"), "key", "left").join(pick("s", "s_class"), "key", "left").join(pr, "key", "left")
-    op = F.when(F.col("o_alt").isNotNull(), "object_swap").when(F.col("s_alt").isNotNull(), "subject_swap").when(F.col("p_alt").isNotNull(), "predicate_swap")
-    return t.withColumn("mutation", op).where("mutation is not null").select("key", "mutation", F.when(F.col("mutation") == "subject_swap", F.col("s_alt")).otherwise(F.col("s")).alias("s"), F.when(F.col("mutation") == "predicate_swap", F.col("p_alt")).otherwise(F.col("p")).alias("p"), F.when(F.col("mutation") == "object_swap", F.col("o_alt")).otherwise(F.col("o")).alias("o"))
+    key = F.col("key")
+    base = records.where("supported").withColumn("h", hashed(key, "order", seed)).orderBy("h", "key").limit(limit).drop("h", "supported")
+    place = lambda t, cls: t.distinct().withColumn("at", F.row_number().over(Window.partitionBy(cls).orderBy("iri")) - 1).withColumn("n", F.count("*").over(Window.partitionBy(cls)))
+    people, props = place(individuals.select("iri", "cls"), "cls"), place(properties.select("iri", "is_literal"), "is_literal")
+
+    def swap(t: DataFrame, side: str, cls: str, members: DataFrame, by: str, name: str) -> DataFrame:
+        own = members.select(F.col("iri").alias(side), F.col(by).alias(cls), F.col("at").alias("own"), "n")
+        t = t.join(own, [side, cls], "left")
+        size = members.groupBy(by).agg(F.first("n").alias("m")).select(F.col(by).alias(cls), "m")
+        t = t.join(F.broadcast(size), cls, "left")
+        # A member that isn't in the class may be swapped for any; one that is, for any other.
+        inside = F.col("own").isNotNull()
+        to = F.when(inside, (F.col("own") + 1 + hashed(key, name, seed) % F.greatest(F.col("m") - 1, F.lit(1))) % F.col("m")).otherwise(hashed(key, name, seed) % F.col("m"))
+        t = t.withColumn("to", F.when(F.col("m") > F.when(inside, 1).otherwise(0), to))
+        alt = members.select(F.col("iri").alias(name), F.col(by).alias(cls), F.col("at").alias("to"))
+        return t.join(alt, [cls, "to"], "left").drop("own", "n", "m", "to")
+
+    t = swap(swap(swap(base, "s", "s_class", people, "cls", "subject_swap"), "o", "o_class", people, "cls", "object_swap"), "p", "is_literal", props, "is_literal", "predicate_swap")
+    t = t.withColumn("object_swap", F.when(~F.col("is_literal"), F.col("object_swap")))
+    first = F.element_at(F.array(*map(F.lit, ("subject_swap", "object_swap", "predicate_swap"))), (hashed(key, "op", seed) % 3 + 1).cast("int"))
+    order = F.concat(F.array(first), F.array(*map(F.lit, ("object_swap", "subject_swap", "predicate_swap"))))
+    can = F.create_map(*(x for n in ("subject_swap", "object_swap", "predicate_swap") for x in (F.lit(n), F.col(n).isNotNull())))
+    t = t.withColumn("mutation", F.get(F.filter(order, lambda n: can[n]), F.lit(0)))
+    none = base.select("key", "s", "p", "o", F.lit(True).alias("label"), F.lit("none").alias("mutation"))
+    col = lambda c, n: F.when(F.col("mutation") == n, F.col(n)).otherwise(F.col(c)).alias(c)
+    return none.union(t.where("mutation is not null").select("key", col("s", "subject_swap"), col("p", "predicate_swap"), col("o", "object_swap"), F.lit(False), "mutation"))
+
+
+def repeats(triples: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The triples that came before, in order of arrival, with their number."""
+    return triples.withColumn("seen", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("seen > 1")
+
+
+def entity_delta(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """Entities that two rounds don't share, as a share of the later one's."""
+    n = lambda d, c: d.agg(F.count("*").alias(c))
+    one = n(after.join(before, key, "left_anti"), "added").crossJoin(n(before.join(after, key, "left_anti"), "removed")).crossJoin(n(after, "total"))
+    return one.select("added", "removed", F.round((F.col("added") + F.col("removed")) / F.col("total"), 6).alias("delta_rate"))
+
+
+def shared_entities(tables: list[DataFrame], key: str) -> DataFrame:
+    """Entities of two tables or more."""
+    from functools import reduce
+
+    t = reduce(DataFrame.union, [d.select(key, F.lit(i).alias("source")) for i, d in enumerate(tables)])
+    return t.groupBy(key).agg(F.countDistinct("source").alias("n")).where("n > 1").select(key)

@@ -33,15 +33,31 @@ def genre_frequencies(terms: DataFrame) -> DataFrame:
     return terms.groupingSets([["term"], ["term", "genre"]], "term", "genre").agg(F.count("*").alias("df"))
 
 
+def length_band(terms: DataFrame, low: int = 2, high: int = 5) -> DataFrame:
+    """Terms of ``low`` to ``high`` words."""
+    return terms.where(F.size(F.split("term", " ")).between(low, high))
+
+
 def c_values(terms: DataFrame) -> DataFrame:
-    """C-values; the longer terms that hold a term are found by an equi-join on their substrings, not by a nested loop."""
-    t = terms.select("term", "frequency", F.size(F.split("term", " ")).alias("words"), F.length("term").alias("chars"))
-    n = F.length("term")
-    starts = F.sequence(F.lit(1), n)
-    pieces = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(F.col("term"), i, k)))))
-    pieces = F.filter(pieces, lambda p: p.contains(" ") & (F.length(p) >= 3))
-    longer = t.where("words > 2").select(F.col("frequency").alias("f"), F.col("words").alias("w"), F.explode(pieces).alias("term"))
-    inside = longer.join(t.select("term", "words"), "term").where("w > words").groupBy("term").agg(F.sum("f").alias("held"), F.count("*").alias("holders"))
+    """C-values. A longer term that holds a term as text, from within a word to within a word, is found by an equi-join.
+
+    What of a longer term a shorter one of k words can be is a piece of k neighbouring words: the ends of the first,
+    whole words, and the beginnings of the last. The pieces are cut at all letters of the two outer words only.
+    """
+    t = terms.select("term", "frequency", F.size(F.split("term", " ")).alias("words"))
+    w = F.split("term", " ")
+    runs = F.flatten(F.transform(F.sequence(F.lit(2), F.col("words") - 1), lambda k: F.transform(F.sequence(F.lit(1), F.col("words") - k + 1), lambda i: F.slice(w, i, k))))
+
+    def pieces(r):
+        head, tail, middle = F.element_at(r, 1), F.element_at(r, -1), F.slice(r, 2, F.size(r) - 2)
+        ends = F.transform(F.sequence(F.lit(1), F.length(head)), lambda i: F.substring(head, i, F.length(head)))
+        starts = F.transform(F.sequence(F.lit(1), F.length(tail)), lambda i: F.substring(tail, F.lit(1), i))
+        return F.flatten(F.transform(ends, lambda a: F.transform(starts, lambda b: F.array_join(F.concat(F.array(a), middle, F.array(b)), " "))))
+
+    # A term that a holder has twice counts once.
+    longer = t.where("words > 2").select(F.col("frequency").alias("f"), F.explode(F.array_distinct(F.flatten(F.transform(runs, pieces)))).alias("term"))
+    held = longer.join(t.select("term"), "term")
+    inside = held.groupBy("term").agg(F.sum("f").alias("held"), F.count("*").alias("holders"))
     base = F.when(F.col("words") > 1, F.log2(F.col("words").cast("double"))).otherwise(1.0)
     return t.join(inside, "term", "left").select("term", "frequency", F.round(base * (F.col("frequency") - F.coalesce(F.col("held") / F.col("holders"), F.lit(0.0))), 6).alias("c_value"))
 

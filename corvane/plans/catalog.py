@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import stats as S
@@ -64,7 +64,10 @@ terms AS (SELECT DISTINCT doc_id, genre, array_to_string(t[i:i + n - 1], ' ') AS
 freq AS (SELECT term, count(*) AS frequency FROM terms GROUP BY term HAVING count(*) >= 2)"""
 _CVAL = """,
 sized AS (SELECT term, frequency, len(string_split(term, ' ')) AS words FROM freq),
-inside AS (SELECT a.term, sum(b.frequency) AS held, count(*) AS holders FROM sized a JOIN (SELECT * FROM sized WHERE words > 2) b ON b.words > a.words AND contains(b.term, a.term) GROUP BY a.term),
+ends AS (SELECT term AS whole, frequency AS f, string_split(term, ' ') AS w, unnest(range(1, words)) AS k FROM sized WHERE words > 2),
+lefts AS (SELECT *, unnest(range(1, length(w[k]) + 1)) AS i FROM ends),
+pieces AS (SELECT DISTINCT whole, f, substr(w[k], i) || ' ' || left(w[k + 1], j) AS term FROM (SELECT *, unnest(range(1, length(w[k + 1]) + 1)) AS j FROM lefts)),
+inside AS (SELECT term, sum(f) AS held, count(*) AS holders FROM pieces JOIN sized USING (term) WHERE words = 2 GROUP BY term),
 cval AS (SELECT s.term, s.frequency, round((CASE WHEN words > 1 THEN log2(words::DOUBLE) ELSE 1 END) * (s.frequency - coalesce(held::DOUBLE / holders, 0)), 6) AS c_value FROM sized s LEFT JOIN inside i ON s.term = i.term)"""
 
 
@@ -345,7 +348,7 @@ def mrr_topk(spark, sf):
 
 @query("SELECT event_type, round(regr_slope(value, event_id), 12) AS slope, round(regr_intercept(value, event_id), 6) AS intercept, count(*) AS n FROM events GROUP BY event_type")
 def visibility_gradient(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.regr_slope("value", "event_id"), 12).alias("slope"), F.round(F.regr_intercept("value", "event_id"), 6).alias("intercept"), F.count("*").alias("n"))
+    return S.gradient(table(spark, sf, "events"), "event_type", "value", "event_id")
 
 
 @query("WITH t AS (SELECT o_orderstatus a, o_orderpriority b, count(*)::DOUBLE n FROM orders GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY a) na, sum(n) OVER (PARTITION BY b) nb, sum(n) OVER () t FROM t) SELECT round(2 * sum(n/t * ln(n*t/(na*nb))) / (sum(-n/t*ln(na/t)) + sum(-n/t*ln(nb/t))), 9) AS nmi FROM m")
@@ -409,12 +412,12 @@ def alignment_summary(spark, sf):
 
 @query(f"WITH t AS ({SUPPLIES_SQL}) SELECT s, count(DISTINCT o) AS n FROM t GROUP BY s HAVING count(DISTINCT o) > 1")
 def functional_violations(spark, sf):
-    return supplies(spark, sf).groupBy("s").agg(F.countDistinct("o").alias("n")).where("n > 1")
+    return G.functional(supplies(spark, sf), "s", ["o"])
 
 
 @query(f"WITH t AS ({SUPPLIES_SQL}) SELECT o, count(DISTINCT s) AS n FROM t GROUP BY o HAVING count(DISTINCT s) > 1")
 def inverse_functional_violations(spark, sf):
-    return supplies(spark, sf).groupBy("o").agg(F.countDistinct("s").alias("n")).where("n > 1")
+    return G.functional(supplies(spark, sf), "o", ["s"])
 
 
 _TRADE = "t AS (SELECT DISTINCT s_nationkey AS s, c_nationkey AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 40 AND l_linenumber = 1 AND month(o_orderdate) = 2)"
@@ -428,13 +431,12 @@ def _trade(spark, sf):
 
 @query(f"WITH {_TRADE} SELECT a.s, a.o FROM t a JOIN t b ON a.s = b.o AND a.o = b.s WHERE a.s <> a.o")
 def asymmetric_pairs(spark, sf):
-    t = _trade(spark, sf)
-    return t.where("s <> o").join(t.select(F.col("o").alias("s"), F.col("s").alias("o")), ["s", "o"], "left_semi")
+    return G.both_ways(_trade(spark, sf))
 
 
 @query(f"WITH {_TRADE} SELECT s, count(*) AS n FROM t WHERE s = o GROUP BY s")
 def irreflexive_violations(spark, sf):
-    return _trade(spark, sf).where("s = o").groupBy("s").agg(F.count("*").alias("n"))
+    return G.reflexive(_trade(spark, sf))
 
 
 def _rule_graph(spark, sf):
@@ -522,8 +524,7 @@ def conformance_tally(spark, sf):
 
 @query("SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber) AS seen FROM lineitem QUALIFY seen > 1")
 def duplicate_triples(spark, sf):
-    w = Window.partitionBy("l_partkey", "l_suppkey").orderBy("l_orderkey", "l_linenumber")
-    return table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", F.row_number().over(w).alias("seen")).where("seen > 1")
+    return K.repeats(table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber"), ["l_partkey", "l_suppkey"], ["l_orderkey", "l_linenumber"])
 
 
 @query("SELECT event_type, count(*) AS lines, count_if(event_id % 7 = 0 OR event_id % 5 = 0) AS malformed FROM events GROUP BY event_type")
@@ -562,15 +563,12 @@ def entity_delta(spark, sf):
 
 
 def _delta(a, b):
-    n = lambda d, c: d.agg(F.count("*").alias(c))
-    one = n(b.join(a, "k", "left_anti"), "added").crossJoin(n(a.join(b, "k", "left_anti"), "removed")).crossJoin(n(b, "total"))
-    return one.select("added", "removed", F.round((F.col("added") + F.col("removed")) / F.col("total"), 6).alias("delta_rate"))
+    return K.entity_delta(a, b, "k")
 
 
 @query(f"WITH {_AB} SELECT k FROM a INTERSECT SELECT k FROM b")
 def shared_iris(spark, sf):
-    a, b = _halves(spark, sf)
-    return a.intersect(b)
+    return K.shared_entities(list(_halves(spark, sf)), "k")
 
 
 _PAIR = "e AS (SELECT DISTINCT 's' || l_suppkey AS s, 'p' || l_partkey AS o FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1 AND l_tax = 0.08)"
@@ -662,21 +660,6 @@ def flat_score_rows(spark, sf):
     return flat_scores(t, "run_id", "r_name", "n", "coverage", ["ASIA", "EUROPE"])
 
 
-@query()
-def mutation_set(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_linenumber = 1 and l_quantity >= 45")
-    pos = li.select(F.concat("l_orderkey", F.lit("")).alias("key"), F.concat(F.lit("part:"), "l_partkey").alias("s"), F.lit("p:supplied").alias("p"), F.concat(F.lit("supplier:"), "l_suppkey").alias("o"), F.lit("part").alias("s_class"), F.lit("supplier").alias("o_class"), F.lit("object").alias("kind"))
-    ind = table(spark, sf, "supplier").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("iri"), F.lit("supplier").alias("cls"))
-    props = spark.createDataFrame([("p:supplied", "object"), ("p:made", "object")], "iri string, kind string")
-    return K.mutations(pos, ind, props)
-
-
-@query()
-def expansion_greedy(spark, sf):
-    t, _, s = _scored(spark, sf)
-    return C.greedy_expansions(t.select(F.col("genre").alias("cq_id"), "term").distinct().join(M.top_terms(s, 300), "term").select("cq_id", "term", F.col("combined").alias("score")), 10)
-
-
 @query()
 def trajectory_fit(spark, sf):
     t = table(spark, sf, "events").groupBy("event_type", F.floor(F.col("event_id") / 1000).cast("double").alias("x")).agg(F.avg("value").alias("y"))
@@ -713,3 +696,6 @@ def visibility_sets(spark, sf):
     g = [["l_returnflag"], ["l_returnflag", "l_linestatus"], ["l_returnflag", "l_linestatus", "l_linenumber"]]
     t = table(spark, sf, "lineitem").groupingSets([[F.col(c) for c in x] for x in g], "l_returnflag", "l_linestatus", "l_linenumber")
     return t.agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 6).alias("visibility"))
+
+
+from corvane.plans import more  # noqa: E402, F401  registers its queries

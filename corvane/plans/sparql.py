@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -402,7 +403,7 @@ def score_questions(triples: DataFrame, questions: list[dict], label: str, injec
                 row[key] = n["ok"] > 0
                 if key == "answered":
                     row["rows"], row["injection_only"] = n["ok"], n["inj"]
-            except Exception as e:
+            except (SparqlError, AnalysisException) as e:
                 row["error"] = str(e)[:200]
                 break
         out.append(row)

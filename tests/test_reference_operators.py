@@ -186,8 +186,90 @@ def test_capped_rendering(spark):
     d = spark.createDataFrame([("s", f"d{i}", "minor" if i else "critical", "x") for i in range(4)], "section string, defect_id string, severity string, description string")
     text = C.render_sections(d, "section", 2).first()["text"]
     assert text == "### s\n- [critical] d0: x\n- [minor] d1: x\n(2 more omitted)"
-    low = C.greedy_expansions(spark.createDataFrame([(1, "pump seal", 0.9), (1, "seal", 0.8), (1, "valve", 0.7)], "cq_id int, term string, score double"), 5)
-    assert low.first()["accepted"] == ["pump seal", "valve"]
+
+
+def test_expansions_depend_on_what_is_there_and_on_earlier_ones(spark):
+    import random
+
+    r = random.Random(3)
+    words = ["pump", "seal", "valve", "gear", "shaft"]
+    say = lambda: " ".join(r.choice(words) for _ in range(r.randint(1, 3)))
+    questions = [(q, [say() for _ in range(r.randint(0, 2))]) for q in range(20)]
+    found = [(q, k, say(), r.choice([str.title, str.upper, str.lower])(say()) + r.choice(["", " "])) for q in range(20) for k in range(r.randint(0, 12))]
+    want = {}
+    for q, known in questions:
+        known, out = [x.lower() for x in known], []
+        for _, _, source, term in sorted(f for f in found if f[0] == q):
+            low = term.lower().strip()
+            if not any(low in x or x in low for x in known):
+                known.append(low)
+                out.append((source, term))
+        want[q] = out
+    got = C.greedy_expansions(spark.createDataFrame(found, "cq_id int, place int, source string, term string"), spark.createDataFrame(questions, "cq_id int, alternates array<string>"))
+    assert {x["cq_id"]: [tuple(y) for y in x["accepted"]] for x in got.collect()} == want
+
+
+def test_window_selection_is_that_of_its_phases(spark):
+    import random
+
+    r = random.Random(5)
+    for case in range(4):
+        n = [f"c{i:02d}" for i in range(30)]
+        edges = {(n[i], n[r.randrange(i)]) for i in range(1, 30) for _ in range(r.randint(1, 2))}
+        scores = {x: round(r.random(), 3) for x in r.sample(n, 3)}
+        tokens = {x: r.randint(1, 9) for x in n}
+        injected = set(r.sample(n, 4))
+        for budget in (1000, 60, 100):
+            want = {x: 0 for x in n}
+            if sum(tokens.values()) > budget:
+                seeds = set(scores)
+                up, todo = set(), list(seeds)
+                while todo:
+                    for a, b in edges:
+                        if a == todo[-1] and b not in up:
+                            up.add(b)
+                            todo.insert(0, b)
+                    todo.pop()
+                up -= seeds
+                near = set()
+                for x in seeds:
+                    mates = {a for a, b in edges if b == x} | {a for a, b in edges for y, z in edges if y == x and b == z and a != x}
+                    near |= set(sorted(mates - seeds - up)[:2])
+                want = dict.fromkeys(seeds, 1) | dict.fromkeys(up, 2) | dict.fromkeys(near, 3)
+                used = sum(tokens[x] for x in want)
+                for x in sorted(set(n) - set(want) - injected):
+                    if used >= budget or used + tokens[x] > budget:
+                        break
+                    used += tokens[x]
+                    want[x] = 4
+            f = spark.createDataFrame
+            got = G.select_window(f(list(scores.items()), "cls string, score double"), f(sorted(edges), "s string, o string"), f(list(tokens.items()), "iri string, tokens int"), budget, 2, f([(x,) for x in injected], "iri string"))
+            assert {x["iri"]: x["phase"] for x in got.collect()} == want
+
+
+def test_trajectories_of_known_curves(spark):
+    import math
+
+    from corvane.functions import stats as S
+
+    curves = {"a": (0.9, 0.2, 0.5), "b": (0.4, 0.1, 0.08)}
+    rows = [(k, float(x), a - (a - f) * math.exp(-c * x)) for k, (a, f, c) in curves.items() for x in range(30)]
+    for x in S.fit_trajectories(spark.createDataFrame(rows, "k string, x double, y double"), "k", "x", "y").collect():
+        a, f, c = curves[x["k"]]
+        assert abs(x["asymptote"] - a) < 0.02 and abs(x["start"] - f) < 0.02 and abs(x["rate"] / c - 1) < 0.05 and abs(x["x90"] * c - math.log(10)) < 0.15
+
+
+def test_pattern_terms_may_begin_and_end_within_words(spark):
+    from corvane.operators import terms as M
+
+    t = {"ab cd": 5, "b c": 7, "ab cd ef": 3, "xab cde fg": 2, "cd ef": 4, "b cd ef gh": 2}
+    got = {r["term"]: r["c_value"] for r in M.c_values(spark.createDataFrame(list(t.items()), "term string, frequency long")).collect()}
+    import math
+
+    for a, f in t.items():
+        holders = [b for b in t if len(b.split()) > len(a.split()) and a in b]
+        want = math.log2(len(a.split())) * (f - (sum(t[b] for b in holders) / len(holders) if holders else 0))
+        assert abs(got[a] - want) < 1e-5, a
 
 
 def test_feedback_halves_its_caps(spark):
