@@ -74,6 +74,13 @@ def utilisation(kg: DataFrame, classes: DataFrame, properties: DataFrame) -> Dat
     return one.withColumn("orphan_rate", F.coalesce(F.try_divide(F.col("orphans").cast("double"), F.col("individuals").cast("double")), F.lit(0.0)))
 
 
+def orphan_rates(individuals: DataFrame, related: DataFrame, key: str, cls: str) -> DataFrame:
+    """Individuals of each class, and those that are in no relation."""
+    t = individuals.join(related.select(key, F.lit(True).alias("related")).distinct(), key, "left")
+    t = t.groupBy(cls).agg(F.count("*").alias("individuals"), F.count_if(F.col("related").isNull()).alias("orphans"))
+    return t.withColumn("orphan_rate", F.round(F.col("orphans") / F.col("individuals"), 6))
+
+
 def content_hash(triples: DataFrame) -> DataFrame:
     """sha256 of the sorted N-Triples lines, joined by newlines."""
     return triples.select(F.col("line")).agg(F.sha2(F.expr("listagg(line, '\n') within group (order by line)").cast("binary"), 256).alias("sha256"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -420,13 +421,14 @@ def inverse_functional_violations(spark, sf):
     return G.functional(supplies(spark, sf), "o", ["s"])
 
 
-_TRADE = "t AS (SELECT DISTINCT s_nationkey AS s, c_nationkey AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 40 AND l_linenumber = 1 AND month(o_orderdate) = 2)"
+_TRADE = "t AS (SELECT DISTINCT 'nation:' || s_nationkey || ':' || o_orderdate::DATE AS s, 'nation:' || c_nationkey || ':' || o_orderdate::DATE AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"
 
 
 def _trade(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_quantity >= 40 and l_linenumber = 1")
-    o = table(spark, sf, "orders").where("month(o_orderdate) = 2")
-    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").alias("s"), F.col("c_nationkey").alias("o")).distinct()
+    """Nations that sold to nations on a day, over all lines."""
+    at = lambda c: F.concat_ws(":", F.lit("nation"), c, F.date_format("o_orderdate", "yyyy-MM-dd"))
+    t = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return t.select(at("s_nationkey").alias("s"), at("c_nationkey").alias("o")).distinct()
 
 
 @query(f"WITH {_TRADE} SELECT a.s, a.o FROM t a JOIN t b ON a.s = b.o AND a.o = b.s WHERE a.s <> a.o")
@@ -440,37 +442,54 @@ def irreflexive_violations(spark, sf):
 
 
 def _rule_graph(spark, sf):
-    """Assertions with seeded disjoint classes, a functional and an inverse functional property and a domain."""
+    """Assertions that break each rule: parts of two disjoint classes, trade within a nation and both ways, regions as types."""
     iri = F.lit("iri")
-    t = supplies(spark, sf)
-    kg = t.select("s", F.lit("p:supplies").alias("p"), "o", iri.alias("o_kind"))
-    kg = kg.union(t.where("substr(s, -1) < '5'").select("s", F.lit(G.TYPE).alias("p"), F.lit("c:Part").alias("o"), iri.alias("o_kind"))).union(t.where("substr(s, -1) = '3'").select("s", F.lit(G.TYPE).alias("p"), F.lit("c:Steel").alias("o"), iri.alias("o_kind")))
-    rows = [("c:Part", G.TYPE, G.OWL + "Class"), ("c:Metal", G.TYPE, G.OWL + "Class"), ("c:Steel", G.TYPE, G.OWL + "Class"), ("c:Steel", G.SUB, "c:Metal"), ("c:Metal", G.OWL + "disjointWith", "c:Part"), ("p:supplies", G.TYPE, G.OWL + "ObjectProperty"), ("p:supplies", G.TYPE, G.OWL + "FunctionalProperty"), ("p:supplies", G.TYPE, G.OWL + "InverseFunctionalProperty"), ("p:supplies", G.RDFS + "domain", "c:Part")]
+    t, trade, n = supplies(spark, sf), _trade(spark, sf), table(spark, sf, "nation")
+    a = lambda d, s, p, o: d.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), iri.alias("o_kind"))
+    nation, region = F.concat(F.lit("nation:"), "n_nationkey"), F.concat(F.lit("region:"), "n_regionkey")
+    punned = spark.createDataFrame([("c:Part",), ("c:Steel",)], "s string")
+    facts = [
+        a(t, F.col("s"), "p:supplies", F.col("o")),
+        a(t.where("substr(s, -1) < '5'"), F.col("s"), G.TYPE, F.lit("c:Part")),
+        a(t.where("substr(s, -1) = '3'"), F.col("s"), G.TYPE, F.lit("c:Steel")),
+        a(trade, F.col("s"), "p:trades", F.col("o")),
+        a(trade.where("substr(o, -1) < '5'"), F.col("o"), G.TYPE, F.lit("c:Nation")),
+        a(n, nation, G.TYPE, region),
+        a(n, region, G.TYPE, F.lit(G.OWL + "NamedIndividual")),
+        a(n.where("n_regionkey = 0"), nation, G.TYPE, F.lit("p:supplies")),
+        a(punned, F.col("s"), G.TYPE, F.lit(G.OWL + "NamedIndividual")),
+    ]
+    rows = [(c, G.TYPE, G.OWL + "Class") for c in ("c:Part", "c:Metal", "c:Steel", "c:Nation")]
+    rows += [(p, G.TYPE, G.OWL + "ObjectProperty") for p in ("p:supplies", "p:trades")]
+    rows += [("p:supplies", G.TYPE, G.OWL + k) for k in ("FunctionalProperty", "InverseFunctionalProperty")]
+    rows += [("p:trades", G.TYPE, G.OWL + k) for k in ("IrreflexiveProperty", "AsymmetricProperty")]
+    rows += [("c:Steel", G.SUB, "c:Metal"), ("c:Metal", G.OWL + "disjointWith", "c:Part"), ("p:supplies", G.RDFS + "domain", "c:Part"), ("p:trades", G.RDFS + "range", "c:Nation")]
     ont = spark.createDataFrame([(s, "iri", p, o, "iri") for s, p, o in rows], "s string, s_kind string, p string, o string, o_kind string")
-    return kg, ont
+    return reduce(DataFrame.union, facts), ont
 
 
-@query(f"""WITH t AS (SELECT DISTINCT s, o FROM ({SUPPLIES_SQL})), d AS (SELECT DISTINCT s FROM t), n AS (
+@query(f"""WITH {_TRADE}, u AS (SELECT DISTINCT s, o FROM ({SUPPLIES_SQL})), d AS (SELECT DISTINCT s FROM u)
 SELECT 'violation' AS kind, 'disjoint_types' AS rule, count(*) AS n FROM d WHERE right(s, 1) = '3' UNION ALL
-SELECT 'violation', 'functional', count(*) FROM (SELECT s FROM t GROUP BY s HAVING count(*) > 1) UNION ALL SELECT 'violation', 'inverse_functional', count(*) FROM (SELECT o FROM t GROUP BY o HAVING count(*) > 1) UNION ALL
-SELECT 'near', 'untyped_domain', count(*) FROM t WHERE right(s, 1) >= '5') SELECT * FROM n UNION ALL
-SELECT k, r, 0 FROM (VALUES ('violation', 'irreflexive'), ('violation', 'asymmetric'), ('near', 'untyped_range'), ('punning', 'class_as_individual'), ('punning', 'individual_as_class'), ('anomaly', 'property_as_type'), ('anomaly', 'type_not_in_ontology')) v(k, r)""")
+SELECT 'violation', 'functional', count(*) FROM (SELECT s FROM u GROUP BY s HAVING count(*) > 1) UNION ALL
+SELECT 'violation', 'inverse_functional', count(*) FROM (SELECT o FROM u GROUP BY o HAVING count(*) > 1) UNION ALL
+SELECT 'violation', 'irreflexive', count(*) FROM t WHERE s = o UNION ALL
+SELECT 'violation', 'asymmetric', count(*) FROM t a JOIN t b ON a.s = b.o AND a.o = b.s WHERE a.s <> a.o UNION ALL
+SELECT 'near', 'untyped_domain', count(*) FROM u WHERE right(s, 1) >= '5' UNION ALL
+SELECT 'near', 'untyped_range', count(*) FROM t WHERE right(o, 1) >= '5' UNION ALL
+SELECT 'punning', 'class_as_individual', 2 UNION ALL
+SELECT 'punning', 'individual_as_class', count(DISTINCT n_regionkey) FROM nation UNION ALL
+SELECT 'anomaly', 'property_as_type', count(*) FROM nation WHERE n_regionkey = 0 UNION ALL
+SELECT 'anomaly', 'type_not_in_ontology', count(*) FROM nation""")
 def rule_check(spark, sf):
     return G.rule_check(*_rule_graph(spark, sf))
 
 
-@query("WITH o AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT' AND month(o_orderdate) = 1) SELECT c_nationkey AS class_id, count(*) AS individuals, count(*) FILTER (k IS NULL) AS orphans, round(count(*) FILTER (k IS NULL)::DOUBLE / count(*), 6) AS orphan_rate FROM customer LEFT JOIN o ON c_custkey = k GROUP BY c_nationkey")
+@query("WITH d AS (SELECT c_nationkey, c_custkey || ':' || m AS k FROM customer, range(1, 13) r(m)), o AS (SELECT DISTINCT o_custkey || ':' || month(o_orderdate) AS k FROM orders) SELECT c_nationkey AS class_id, count(*) AS individuals, count(*) - count(o.k) AS orphans, round((count(*) - count(o.k))::DOUBLE / count(*), 6) AS orphan_rate FROM d LEFT JOIN o ON d.k = o.k GROUP BY c_nationkey")
 def orphan_instances(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT' and month(o_orderdate) = 1").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("has", F.lit(True))
-    t = table(spark, sf, "customer").join(o, "c_custkey", "left").groupBy(F.col("c_nationkey").alias("class_id")).agg(F.count("*").alias("individuals"), F.count_if(F.col("has").isNull()).alias("orphans"))
-    return t.withColumn("orphan_rate", F.round(F.col("orphans") / F.col("individuals"), 6))
-
-
-@query("SELECT count(DISTINCT p_brand) AS classes, count(DISTINCT CASE WHEN l_partkey IS NOT NULL THEN p_brand END) AS classes_used, round(count(DISTINCT CASE WHEN l_partkey IS NOT NULL THEN p_brand END)::DOUBLE / count(DISTINCT p_brand), 6) AS utilisation FROM part LEFT JOIN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity >= 50 AND l_linenumber = 7) ON p_partkey = l_partkey")
-def class_utilisation(spark, sf):
-    u = table(spark, sf, "lineitem").where("l_quantity >= 50 and l_linenumber = 7").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("used", F.lit(True))
-    t = table(spark, sf, "part").join(u, "p_partkey", "left").agg(F.countDistinct("p_brand").alias("classes"), F.countDistinct(F.when(F.col("used"), F.col("p_brand"))).alias("classes_used"))
-    return t.withColumn("utilisation", F.round(F.col("classes_used") / F.col("classes"), 6))
+    """Months of all customers; those without an order are orphans."""
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("class_id"), "c_custkey", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("m"))
+    o = table(spark, sf, "orders").select(F.concat_ws(":", "o_custkey", F.month("o_orderdate")).alias("k"))
+    return K.orphan_rates(c.select("class_id", F.concat_ws(":", "c_custkey", "m").alias("k")), o, "k", "class_id")
 
 
 @query("SELECT conv_id, count(*) AS turns, round(1000.0::DOUBLE * count(*) / sum(length(text)), 6) AS yield_per_1000 FROM conversations GROUP BY conv_id")
@@ -548,48 +567,6 @@ def token_chunks(spark, sf):
     return M.token_chunks(t, "turn", ["turn"], 256, "conv_id").select("conv_id", "turn", "tokens", "first_chunk", "last_chunk", "straddles")
 
 
-_AB = "a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 3 <> 0 AND month(o_orderdate) <= 4), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 3 <> 1 AND month(o_orderdate) <= 4)"
-
-
-def _halves(spark, sf):
-    o = table(spark, sf, "orders").where("month(o_orderdate) <= 4")
-    half = lambda k: o.where(F.col("o_orderkey") % 3 != k).select(F.col("o_custkey").alias("k")).distinct()
-    return half(0), half(1)
-
-
-@query(f"WITH {_AB} SELECT (SELECT count(*) FROM b WHERE k NOT IN (SELECT k FROM a)) AS added, (SELECT count(*) FROM a WHERE k NOT IN (SELECT k FROM b)) AS removed, round(((SELECT count(*) FROM b WHERE k NOT IN (SELECT k FROM a)) + (SELECT count(*) FROM a WHERE k NOT IN (SELECT k FROM b)))::DOUBLE / (SELECT count(*) FROM b), 6) AS delta_rate")
-def entity_delta(spark, sf):
-    return _delta(*_halves(spark, sf))
-
-
-def _delta(a, b):
-    return K.entity_delta(a, b, "k")
-
-
-@query(f"WITH {_AB} SELECT k FROM a INTERSECT SELECT k FROM b")
-def shared_iris(spark, sf):
-    return K.shared_entities(list(_halves(spark, sf)), "k")
-
-
-_PAIR = "e AS (SELECT DISTINCT 's' || l_suppkey AS s, 'p' || l_partkey AS o FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1 AND l_tax = 0.08)"
-
-
-@query(f"WITH RECURSIVE {_PAIR}, u AS (SELECT s, o FROM e UNION SELECT o, s FROM e), r(a, b) AS (SELECT s, s FROM u UNION SELECT r.a, u.o FROM r JOIN u ON r.b = u.s) SELECT a AS node, min(b) AS root FROM r GROUP BY a")
-def equivalence_clusters(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_quantity = 50 and l_linenumber = 1 and l_tax = 0.08")
-    return components(li.select(F.concat(F.lit("s"), "l_suppkey").alias("s"), F.concat(F.lit("p"), "l_partkey").alias("o")).distinct())
-
-
-@query("WITH src AS (SELECT l_partkey AS k, l_suppkey % 4 AS source FROM lineitem WHERE l_quantity >= 48 AND l_linenumber = 1), d AS (SELECT p_partkey AS k, p_size FROM part), g AS (SELECT d.k, count(DISTINCT source) AS n FROM d LEFT JOIN src USING (k) GROUP BY d.k) SELECT CASE WHEN n = 0 THEN 'unroutable' WHEN n = 1 THEN 'single' ELSE 'multi' END AS route, count(*) AS defects FROM g GROUP BY 1")
-def defect_routing_split(spark, sf):
-    prov = table(spark, sf, "lineitem").where("l_quantity >= 48 and l_linenumber = 1").groupBy(F.col("l_partkey").alias("iri")).agg(F.array_sort(F.collect_set(F.col("l_suppkey") % 4)).alias("sources"))
-    d = table(spark, sf, "part").select(F.col("p_partkey").alias("defect_id"), F.array("p_partkey").alias("involved"))
-    return G.route_defects(d, prov).groupBy("route").agg(F.count("*").alias("defects"))
-
-
-# The same operators over all rows of their tables. The queries above keep the slices that their SQL has.
-
-
 _PLACES = "SELECT p_partkey || ':' || n AS k, p_brand || ':' || n AS cls FROM part, range(1, 8) r(n)"
 
 
@@ -601,41 +578,40 @@ def _places(spark, sf):
 
 
 @query(f"WITH d AS ({_PLACES}), u AS (SELECT DISTINCT l_partkey || ':' || l_linenumber AS k FROM lineitem) SELECT count(*) AS classes, count(u.k) AS classes_used, round(count(u.k)::DOUBLE / count(*), 6) AS utilisation FROM d LEFT JOIN u USING (k)")
-def class_utilisation_whole(spark, sf):
+def class_utilisation(spark, sf):
     d, li = _places(spark, sf)
     t = d.join(li.select("k", F.lit(True).alias("used")).distinct(), "k", "left").agg(F.countDistinct("k").alias("classes"), F.countDistinct(F.when(F.col("used"), F.col("k"))).alias("classes_used"))
     return t.withColumn("utilisation", F.round(F.col("classes_used") / F.col("classes"), 6))
 
 
 @query(f"WITH d AS ({_PLACES}), g AS (SELECT d.k, count(DISTINCT l_suppkey % 4) AS n FROM d LEFT JOIN lineitem ON d.k = l_partkey || ':' || l_linenumber GROUP BY d.k) SELECT CASE WHEN n = 0 THEN 'unroutable' WHEN n = 1 THEN 'single' ELSE 'multi' END AS route, count(*) AS defects FROM g GROUP BY 1")
-def defect_routing_whole(spark, sf):
+def defect_routing_split(spark, sf):
     d, li = _places(spark, sf)
     prov = li.groupBy(F.col("k").alias("iri")).agg(F.array_sort(F.collect_set("source")).alias("sources"))
     return G.route_defects(d.select(F.col("k").alias("defect_id"), F.array("k").alias("involved")), prov).groupBy("route").agg(F.count("*").alias("defects"))
 
 
-_AB_WHOLE = "o AS (SELECT o_orderkey, o_custkey || ':' || month(o_orderdate) AS k FROM orders), a AS (SELECT DISTINCT k FROM o WHERE o_orderkey % 3 <> 0), b AS (SELECT DISTINCT k FROM o WHERE o_orderkey % 3 <> 1)"
+_AB = "o AS (SELECT o_orderkey, o_custkey || ':' || month(o_orderdate) AS k FROM orders), a AS (SELECT DISTINCT k FROM o WHERE o_orderkey % 3 <> 0), b AS (SELECT DISTINCT k FROM o WHERE o_orderkey % 3 <> 1)"
 
 
-def _whole_halves(spark, sf):
+def _halves(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", F.concat_ws(":", "o_custkey", F.month("o_orderdate")).alias("k"))
     half = lambda k: o.where(F.col("o_orderkey") % 3 != k).select("k").distinct()
     return half(0), half(1)
 
 
-@query(f"WITH {_AB_WHOLE}, n AS (SELECT (SELECT count(*) FROM b WHERE k NOT IN (SELECT k FROM a)) AS added, (SELECT count(*) FROM a WHERE k NOT IN (SELECT k FROM b)) AS removed) SELECT added, removed, round((added + removed)::DOUBLE / (SELECT count(*) FROM b), 6) AS delta_rate FROM n")
-def entity_delta_whole(spark, sf):
-    return _delta(*_whole_halves(spark, sf))
+@query(f"WITH {_AB}, n AS (SELECT (SELECT count(*) FROM b WHERE k NOT IN (SELECT k FROM a)) AS added, (SELECT count(*) FROM a WHERE k NOT IN (SELECT k FROM b)) AS removed) SELECT added, removed, round((added + removed)::DOUBLE / (SELECT count(*) FROM b), 6) AS delta_rate FROM n")
+def entity_delta(spark, sf):
+    return K.entity_delta(*_halves(spark, sf), "k")
 
 
-@query(f"WITH {_AB_WHOLE} SELECT k FROM a INTERSECT SELECT k FROM b")
-def shared_iris_whole(spark, sf):
-    a, b = _whole_halves(spark, sf)
-    return a.intersect(b)
+@query(f"WITH {_AB} SELECT k FROM a INTERSECT SELECT k FROM b")
+def shared_iris(spark, sf):
+    return K.shared_entities(list(_halves(spark, sf)), "k")
 
 
 @query()
-def equivalence_clusters_whole(spark, sf):
+def equivalence_clusters(spark, sf):
     """Parts and suppliers of all lines, linked where a supplier ships a part on a day."""
     at = lambda kind, c: F.concat(F.lit(kind), c, F.lit(":"), F.date_format("l_shipdate", "yyyy-MM-dd"))
     return components(table(spark, sf, "lineitem").select(at("s", "l_suppkey").alias("s"), at("p", "l_partkey").alias("o")).distinct())

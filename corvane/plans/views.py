@@ -51,12 +51,12 @@ def ontology(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def supplies(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts of the lines of one ship month and their suppliers, as assertions."""
-    li = table(spark, sf, "lineitem").where("l_linenumber = 1 and month(l_shipdate) = 3")
-    return li.select(F.concat(F.lit("part:"), "l_partkey").alias("s"), F.concat(F.lit("supplier:"), "l_suppkey").alias("o"))
+    """Parts and suppliers of a ship day, of all lines, as assertions."""
+    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    return table(spark, sf, "lineitem").select(F.concat_ws(":", F.lit("part"), day, "l_partkey").alias("s"), F.concat_ws(":", F.lit("supplier"), day, "l_suppkey").alias("o"))
 
 
-SUPPLIES_SQL = "SELECT 'part:' || l_partkey AS s, 'supplier:' || l_suppkey AS o FROM lineitem WHERE l_linenumber = 1 AND month(l_shipdate) = 3"
+SUPPLIES_SQL = "SELECT 'part:' || l_shipdate::DATE || ':' || l_partkey AS s, 'supplier:' || l_shipdate::DATE || ':' || l_suppkey AS o FROM lineitem"
 
 
 def vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -306,19 +306,19 @@ def test_whole_tables_against_brute_force(spark, tmp_path):
     sources = defaultdict(set)
     for p, s, n, *_ in lines:
         sources[p, n].add(s % 4)
-    assert got("class_utilisation_whole") == [(210, len(sources), round(len(sources) / 210, 6))]
+    assert got("class_utilisation") == [(210, len(sources), round(len(sources) / 210, 6))]
     one = sum(len(x) == 1 for x in sources.values())
-    assert dict(got("defect_routing_whole")) == {"unroutable": 210 - len(sources), "single": one, "multi": len(sources) - one}
+    assert dict(got("defect_routing_split")) == {"unroutable": 210 - len(sources), "single": one, "multi": len(sources) - one}
 
     a, b = ({f"{c}:{d.month}" for k, c, d in orders if k % 3 != x} for x in (0, 1))
     assert a - b and b - a and a & b
-    assert got("entity_delta_whole") == [(len(b - a), len(a - b), round(len(a ^ b) / len(b), 6))]
-    assert {x for (x,) in got("shared_iris_whole")} == a & b
+    assert got("entity_delta") == [(len(b - a), len(a - b), round(len(a ^ b) / len(b), 6))]
+    assert {x for (x,) in got("shared_iris")} == a & b
 
     up = {}
     find = lambda x: x if up.setdefault(x, x) == x else find(up[x])
     for p, s, _, _, _, d in lines:
         x, y = find(f"s{s}:{d}"), find(f"p{p}:{d}")
         up[max(x, y)] = min(x, y)
-    clusters = dict(got("equivalence_clusters_whole"))
+    clusters = dict(got("equivalence_clusters"))
     assert clusters == {x: find(x) for x in up} and len(set(clusters.values())) > 50
