@@ -100,7 +100,8 @@ def rule_check(kg: DataFrame, ontology: DataFrame) -> DataFrame:
     classes = is_("Class").where(~F.col("s").startswith("_:")).select(F.col("s").alias("c"))
     props = is_("ObjectProperty").union(is_("DatatypeProperty")).union(is_("AnnotationProperty")).distinct().select(F.col("s").alias("prop"))
     rule = lambda name: ontology.where((F.col("p") == RDFS + name) & (F.col("o_kind") == "iri")).select(F.col("s").alias("prop"), F.col("o").alias("c")).join(props, "prop", "left_semi").distinct()
-    kg = kg.dropDuplicates(["s", "p", "o", "o_kind"])
+    # Eleven rules read the graph: it is made once, in the shared folder.
+    kg = cut(kg.dropDuplicates(["s", "p", "o", "o_kind"]))
     typed = kg.where((F.col("p") == TYPE) & (F.col("o_kind") == "iri") & (F.col("o") != OWL + "NamedIndividual")).select(F.col("s").alias("x"), F.col("o").alias("c")).distinct()
     have = typed.select("x").distinct().withColumn("has", F.lit(True))
     facts = kg.where(F.col("p") != TYPE).select("s", F.col("p").alias("prop"), "o", "o_kind")
@@ -108,7 +109,7 @@ def rule_check(kg: DataFrame, ontology: DataFrame) -> DataFrame:
     ran = facts.where("o_kind = 'iri'").join(F.broadcast(rule("range")), "prop").select(F.col("o").alias("x"), "c")
     inferred = typed.union(dom).union(ran).distinct()
     up = closure(subclass_edges(ontology), reflexive=True)
-    closed = inferred.join(up.select(F.col("s").alias("c"), F.col("o").alias("a")), "c", "left").select("x", F.coalesce("a", "c").alias("a")).union(inferred.select("x", F.col("c").alias("a"))).distinct()
+    closed = cut(inferred.join(up.select(F.col("s").alias("c"), F.col("o").alias("a")), "c", "left").select("x", F.coalesce("a", "c").alias("a")).union(inferred.select("x", F.col("c").alias("a"))).distinct())
     clash = closed.join(F.broadcast(disjoint_pairs(ontology)), "a").select("x", F.col("b").alias("a")).join(closed, ["x", "a"]).select("x").distinct()
     marked = lambda name: facts.join(F.broadcast(is_(name).select(F.col("s").alias("prop"))), "prop", "left_semi")
     asym = marked("AsymmetricProperty").where("s <> o")
