@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": op7_lines.SQL}
+    return {"op1_substring_dedup": op1_suffixes.SQL, "op7_line_dedup": op7_lines.SQL, "op10_jaccard_join": op10_jaccard.SQL}

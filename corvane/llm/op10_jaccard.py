@@ -764,5 +764,19 @@ def one_of_each(docs: DataFrame, **limits) -> DataFrame:
     return out
 
 
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (SELECT doc_id, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+g AS (SELECT DISTINCT doc_id, shingle FROM (SELECT doc_id, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS shingle, i, n
+  FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE i = 1 OR i <= n - 4),
+s AS (SELECT doc_id, shingle, count(*) OVER (PARTITION BY doc_id) AS n FROM g),
+link AS (SELECT a.doc_id AS u, b.doc_id AS v FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.v FROM r JOIN e ON r.other = e.u)
+SELECT r.doc_id, (SELECT count(*) FROM g WHERE g.doc_id = r.doc_id) AS n_shingles, min(other) AS component_id FROM r GROUP BY r.doc_id
+"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

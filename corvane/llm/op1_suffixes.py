@@ -461,5 +461,22 @@ def undealt(table: pa.Table) -> pa.Table:
     return pa.concat_tables(got).combine_chunks() if got else _ROWS.empty_table()
 
 
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+part AS (SELECT doc_id, q, substr(h, 2000 * q + 1, 2098) AS h FROM (SELECT doc_id, h, unnest(range(greatest(length(h) // 2 + 950, 0) // 1000)) AS q FROM d)),
+w AS (SELECT doc_id, 1000 * q + i AS p, substr(h, 2 * i + 1, 100) AS s FROM (SELECT *, unnest(range(length(h) // 2 - 49)) AS i FROM part)),
+m AS (SELECT s, min(doc_id) AS lowest FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT w.doc_id, p FROM w JOIN m ON w.s = m.s WHERE lowest < w.doc_id),
+run AS (SELECT doc_id, p, sum(CASE WHEN p <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS k
+  FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM hit)),
+span AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS z FROM run GROUP BY doc_id, k),
+gap AS (SELECT doc_id, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS a, a AS z FROM (SELECT * FROM span UNION ALL SELECT doc_id, length(h) // 2, NULL FROM d)),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (z - a)), '' ORDER BY a) AS h FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, ((length(d.h) - length(kept.h)) // 2)::BIGINT AS n_removed,
+  (SELECT count(*) FROM span WHERE span.doc_id = d.doc_id) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM d JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
