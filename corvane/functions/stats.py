@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,14 +93,44 @@ def ranking_quality(ranks: DataFrame, by: str, rank: str) -> DataFrame:
     return ranks.groupBy(by).agg(F.avg(F.coalesce((r <= 1).cast("double"), F.lit(0.0))).alias("top1"), F.avg(F.coalesce((r <= 3).cast("double"), F.lit(0.0))).alias("top3"), F.avg(F.coalesce(F.try_divide(F.lit(1.0), r.cast("double")), F.lit(0.0))).alias("mrr"))
 
 
-def nmi(labels: DataFrame, a: str, b: str) -> DataFrame:
-    """Normalised mutual information of two groupings (arithmetic mean of their entropies)."""
+def _information(labels: DataFrame, a: str, b: str) -> DataFrame:
+    """(t, mi, ha, hb) of two groupings: rows, mutual information and entropies."""
     t = labels.groupBy(a, b).agg(F.count("*").cast("double").alias("n"))
     t = t.withColumn("na", F.sum("n").over(Window.partitionBy(a))).withColumn("nb", F.sum("n").over(Window.partitionBy(b)))
     total = labels.agg(F.count("*").cast("double").alias("t"))
     t = t.crossJoin(F.broadcast(total))
-    part = t.agg(F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("na") * F.col("nb")))).alias("mi"), F.sum(-F.col("n") / F.col("t") * F.ln(F.col("na") / F.col("t"))).alias("ha"), F.sum(-F.col("n") / F.col("t") * F.ln(F.col("nb") / F.col("t"))).alias("hb"))
-    return part.select(F.when(F.col("ha") + F.col("hb") == 0, 1.0).otherwise(2 * F.col("mi") / (F.col("ha") + F.col("hb"))).alias("nmi"))
+    return t.agg(F.max("t").alias("t"), F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("na") * F.col("nb")))).alias("mi"), F.sum(-F.col("n") / F.col("t") * F.ln(F.col("na") / F.col("t"))).alias("ha"), F.sum(-F.col("n") / F.col("t") * F.ln(F.col("nb") / F.col("t"))).alias("hb"))
+
+
+def nmi(labels: DataFrame, a: str, b: str) -> DataFrame:
+    """Normalised mutual information of two groupings (arithmetic mean of their entropies)."""
+    return _information(labels, a, b).select(F.when(F.col("ha") + F.col("hb") == 0, 1.0).otherwise(2 * F.col("mi") / (F.col("ha") + F.col("hb"))).alias("nmi"))
+
+
+def log_factorial(n: Column) -> Column:
+    """ln(n!) of whole numbers by Stirling's series from n + 8 on, good to 1e-11."""
+    z = n + F.lit(8.0)
+    low = reduce(lambda x, k: x * (n + F.lit(float(k))), range(2, 8), n + F.lit(1.0))
+    series = 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z) - 1 / (1680 * z * z * z * z * z * z * z)
+    return (z - 0.5) * F.ln(z) - z + math.log(2 * math.pi) / 2 + series - F.ln(low)
+
+
+def ami(labels: DataFrame, a: str, b: str) -> DataFrame:
+    """Mutual information of two groupings beyond what chance gives, over the mean entropy beyond it.
+
+    Chance shares rows between groups hypergeometrically. Groups of one size expect the same, so only distinct
+    sizes meet: fewer than sqrt(2 * rows) on a side.
+    """
+    sizes = lambda c, s, m: labels.groupBy(c).agg(F.count("*").alias(s)).groupBy(s).agg(F.count("*").alias(m))
+    info = _information(labels, a, b)
+    t = sizes(a, "x", "mx").crossJoin(sizes(b, "y", "my")).crossJoin(F.broadcast(info.select("t")))
+    t = t.withColumn("n", F.explode(F.sequence(F.greatest(F.lit(1), F.col("x") + F.col("y") - F.col("t").cast("long")), F.least("x", "y"))))
+    x, y, n, rows = (F.col(c).cast("double") for c in ("x", "y", "n", "t"))
+    g = log_factorial
+    chance = F.exp(g(x) + g(y) + g(rows - x) + g(rows - y) - g(rows) - g(n) - g(x - n) - g(y - n) - g(rows - x - y + n))
+    emi = t.agg(F.coalesce(F.sum(F.col("mx") * F.col("my") * n / rows * F.ln(rows * n / (x * y)) * chance), F.lit(0.0)).alias("emi"))
+    most = (F.col("ha") + F.col("hb")) / 2 - F.col("emi")
+    return info.crossJoin(emi).select(F.when((F.col("ha") + F.col("hb") == 0) | (F.abs(most) < 1e-12), 1.0).otherwise((F.col("mi") - F.col("emi")) / most).alias("ami"))
 
 
 def fit_trajectories(rows: DataFrame, key: str, x: str, y: str) -> DataFrame:

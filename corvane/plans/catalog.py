@@ -357,6 +357,16 @@ def community_nmi(spark, sf):
     return S.nmi(table(spark, sf, "orders"), "o_orderstatus", "o_orderpriority").select(F.round("nmi", 9).alias("nmi"))
 
 
+@query("""WITH t AS (SELECT o_orderstatus a, o_orderpriority b, count(*)::DOUBLE n FROM orders GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY a) na, sum(n) OVER (PARTITION BY b) nb, sum(n) OVER () t FROM t),
+i AS (SELECT max(t) AS t, sum(n/t * ln(n*t/(na*nb))) AS mi, sum(-n/t*ln(na/t)) AS ha, sum(-n/t*ln(nb/t)) AS hb FROM m),
+x AS (SELECT a, sum(n) AS x FROM t GROUP BY a), y AS (SELECT b, sum(n) AS y FROM t GROUP BY b),
+p AS (SELECT x, y, t, unnest(range(greatest(1, x + y - t)::BIGINT, least(x, y)::BIGINT + 1))::DOUBLE AS n FROM x, y, i),
+c AS (SELECT sum(n / t * ln(t * n / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(t - x + 1) + lgamma(t - y + 1) - lgamma(t + 1) - lgamma(n + 1) - lgamma(x - n + 1) - lgamma(y - n + 1) - lgamma(t - x - y + n + 1))) AS emi FROM p)
+SELECT round((mi - emi) / ((ha + hb) / 2 - emi), 9) AS ami FROM i, c""")
+def community_ami(spark, sf):
+    return S.ami(table(spark, sf, "orders"), "o_orderstatus", "o_orderpriority").select(F.round("ami", 9).alias("ami"))
+
+
 # Graphs
 
 _REC = f"e AS (SELECT DISTINCT s, o FROM ({HIERARCHY_SQL})), cl(s, o) AS (SELECT s, o FROM e UNION SELECT cl.s, e.o FROM cl JOIN e ON cl.o = e.s)"

@@ -322,3 +322,20 @@ def test_whole_tables_against_brute_force(spark, tmp_path):
         up[max(x, y)] = min(x, y)
     clusters = dict(got("equivalence_clusters"))
     assert clusters == {x: find(x) for x in up} and len(set(clusters.values())) > 50
+
+
+def test_agreement_beyond_chance_against_all_permutations(spark):
+    import itertools
+
+    def mutual(a, b):
+        n = len(a)
+        return sum(k / n * math.log(k * n / (a.count(x) * b.count(y))) for x, y in set(zip(a, b)) for k in [list(zip(a, b)).count((x, y))])
+
+    got = lambda a, b: S.ami(spark.createDataFrame(list(zip(a, b)), "a int, b int"), "a", "b").first()[0]
+    a, b = [0, 0, 0, 1, 1, 2, 2], [0, 0, 1, 1, 1, 2, 0]
+    all_ = [mutual(a, list(p)) for p in itertools.permutations(b)]
+    emi, most = sum(all_) / len(all_), (mutual(a, a) + mutual(b, b)) / 2
+    assert abs(got(a, b) - (mutual(a, b) - emi) / (most - emi)) < 1e-9
+    assert abs(got(a, a) - 1) < 1e-9 and abs(got([0, 0, 0, 0], [0, 1, 2, 3])) < 1e-9 and got([0, 0], [1, 1]) == 1
+    facts = spark.range(200).select(S.log_factorial(F.col("id").cast("double"))).collect()
+    assert max(abs(x - math.lgamma(k + 1)) for k, (x,) in enumerate(facts)) < 1e-9
