@@ -286,13 +286,13 @@ def injected_inventory(spark, sf):
     return B.injection_inventory(t, K.SKOS_DEFINITION, 10_000)
 
 
-_AB = ("SELECT 'part:' || l_partkey AS s, 'supplier:' || l_suppkey AS o FROM lineitem WHERE l_linenumber = 1", "SELECT 'part:' || l_partkey AS s, 'supplier:' || l_suppkey AS o FROM lineitem WHERE l_linenumber = 2")
+_AB = ("SELECT 'part:' || l_partkey AS s, 'supplier:' || l_suppkey AS o FROM lineitem WHERE l_linenumber % 2 = 0", "SELECT 'part:' || l_partkey AS s, 'supplier:' || l_suppkey AS o FROM lineitem WHERE l_linenumber % 2 = 1")
 
 
 @query(f"SELECT DISTINCT s, o FROM ({_AB[0]} UNION ALL {_AB[1]})")
 def graph_union(spark, sf):
     t = _links(spark, sf)
-    return reduce(DataFrame.union, [t.where(F.col("source") == k).select("s", "o") for k in (1, 2)]).distinct()
+    return reduce(DataFrame.union, [t.where(F.col("source") % 2 == k).select("s", "o") for k in (0, 1)]).distinct()
 
 
 _SAME = "'part:' || l_partkey AS s, CASE WHEN l_returnflag = 'R' THEN 'p:price' ELSE 'p:supplied' END AS p, 'supplier:' || l_suppkey AS o"
