@@ -8,20 +8,21 @@ are one node. The join works on what can link at all, and in this order:
    the hash space is counted (by 32-bit keys within buckets, where a clash only keeps a node); the
    tasks send one entry for each key and block of documents, so common shingles don't pile up.
 2. Regions. Sets that link share a shingle among their floor(n / 5) + 1 first in any fixed order. The
-   order is by estimated frequency (a sketch that grows with the sets up to ``WIDTH`` counters), so common
-   passages come last. Nodes that share such a shingle and may have fitting lengths are in one region;
-   so regions hold all links, and a region is the connected part of these.
+   order is by frequency, counted by 32-bit keys within buckets that shards of sets ask, so common
+   passages come last however many sets there are. Nodes that share such a shingle and may have fitting
+   lengths are in one region; so regions hold all links, and a region is the connected part of these.
 3. Pivots. A region of more than ``LEAF`` shingles is split by all tasks: pivots are chosen far from
    each other, every set is measured against them, and sets within r of a pivot link with it. The
    others belong to the Voronoi cell of their nearest pivot and are replicated to the cells where the
    triangle inequality allows a link (distances to the two pivots that differ by 2 r at most); cells are
-   regions of the next round. Where cells don't shrink, the sets outside the region's largest component
-   are compared with all blocks of it, in the windows that the distances to all pivots leave. Small
+   regions of the next round. Where cells don't shrink, or repeat too many sets, the sets outside the
+   region's largest component are compared with all blocks of it, in the windows that the distances to
+   all pivots leave; some blocks of them at a time, so that the copies sent are bounded by the sets. Small
    regions are joined in the same way by one task each.
 
 Copies are never expanded, and pairs within a component are not compared. Decisions are exact
-(9 * shared >= 4 * (n1 + n2)) on 64-bit shingle hashes; equal sets are told by 128-bit digests. With
-more shingles than the sketch is made for regions may be larger, and are split more; results stay the same.
+(9 * shared >= 4 * (n1 + n2)) on 64-bit shingle hashes; equal sets are told by 128-bit digests. Two
+shingles with one key count as one in the order, which may join regions; results stay the same.
 
 Defined cases: null, empty or blank texts have an empty set and component_id = doc_id; texts of 1 to
 4 words have one shingle; repeated rows link with each other; a null doc_id takes the component's
@@ -43,8 +44,10 @@ from corvane.llm.scratch import Scratch, fresh, groups, parts
 
 WORDS = 5
 MANY = 65_535
-#: Frequency counters at most (2 bytes each are broadcast: 8 MB).
-WIDTH = 1 << 22
+#: Shingles whose keys a task holds before it sends them.
+WIDTH = 1 << 20
+#: Sets that all cells of a region have together, for each set of the region, at most.
+CELLS = 1.5
 #: Shingles of a region that is joined by one task, and of a block of a larger one.
 LEAF, BLOCK_OF = 1 << 19, 1 << 19
 PIVOTS = 6
@@ -238,39 +241,65 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), _SETS, strict=True)], schema=_SETS)
 
 
-def _slots(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    return (x % np.uint64(width)).astype(np.int64), ((x >> np.uint64(32)) % np.uint64(width)).astype(np.int64)
+_ASKED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("homes", pa.binary()), ("counts", pa.binary())])
+_TOLD = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
-def _tally(width: int, pieces: int):
-    per = width // pieces
+def _keys(x: np.ndarray, buckets: int) -> np.ndarray:
+    return (x >> np.uint64(40)) % np.uint64(buckets) << np.uint64(32) | x & np.uint64(0xFFFFFFFF)
+
+
+def _ask(buckets: int, kind: type, width: int):
+    """The keys of the sets of shards, by bucket, and how many sets of a task and a shard have each."""
 
     def run(batches):
-        table = np.zeros(width, np.uint16)
+        items, homes, held = [], [], 0
+
+        def flush():
+            key, home = _keys(np.concatenate(items), buckets), np.repeat(np.array(homes, kind), [len(x) for x in items])
+            order = sort_order(key, home)
+            key, home = key[order], home[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (home[1:] != home[:-1])
+            start = np.flatnonzero(new)
+            count = np.minimum(np.diff(np.append(start, len(key))), MANY).astype(np.uint16)
+            key, home = key[start], home[start]
+            names, first = np.unique(key >> np.uint64(32), return_index=True)
+            rows = [{"bucket": int(k), "keys": pack(x.astype(np.uint32)), "homes": pack(y), "counts": pack(z)} for k, x, y, z in zip(names, *(np.split(c, first[1:]) for c in (key, home, count)), strict=True)]
+            items.clear(), homes.clear()
+            return pa.RecordBatch.from_pylist(rows, schema=_ASKED)
+
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                for at in _slots(np.frombuffer(x, np.uint64), width):
-                    at = at[table[at] < 60_000]
-                    table[at] += 1
-        some = np.flatnonzero(table)
-        cut = np.searchsorted(some, np.arange(0, width + 1, per))
-        for b in range(pieces):
-            at = some[cut[b] : cut[b + 1]]
-            if len(at):
-                yield pa.RecordBatch.from_pylist([{"piece": b, "at": pack((at - b * per).astype(np.uint32)), "n": pack(table[at])}], schema=pa.schema([("piece", pa.int32()), ("at", pa.binary()), ("n", pa.binary())]))
+            for shard, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                items.append(np.frombuffer(x, np.uint64)), homes.append(shard)
+                held += len(items[-1])
+                if held > width:
+                    yield flush()
+                    held = 0
+        if items:
+            yield flush()
 
     return run
 
 
-def _total(per: int):
-    def run(batches):
-        held = {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                t = held.setdefault(r["piece"], np.zeros(per, np.uint32))
-                t[np.frombuffer(r["at"], np.uint32)] += np.frombuffer(r["n"], np.uint16)
-        for b, t in held.items():
-            yield pa.RecordBatch.from_pylist([{"piece": b, "n": pack(np.minimum(t, 65_535).astype(np.uint16))}], schema=pa.schema([("piece", pa.int32()), ("n", pa.binary())]))
+def _tell(kind: type):
+    def run(key, table):
+        """The keys of a bucket that several sets have, and how many, for each shard that has them."""
+        keys, homes, counts = (np.frombuffer(b"".join(table[c].to_pylist()), k) for c, k in (("keys", np.uint32), ("homes", kind), ("counts", np.uint16)))
+        order = sort_order(keys)
+        keys, homes, counts = keys[order], homes[order], counts[order]
+        start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        total = np.repeat(np.add.reduceat(counts.astype(np.int64), start), np.diff(np.append(start, len(keys))))
+        some = total > 1
+        keys, homes, total = keys[some], homes[some], np.minimum(total[some], MANY).astype(np.uint16)
+        order = sort_order(homes, keys)
+        keys, homes, total = keys[order], homes[order], total[order]
+        once = np.ones(len(keys), bool)
+        once[1:] = (homes[1:] != homes[:-1]) | (keys[1:] != keys[:-1])
+        keys, homes, total = keys[once], homes[once], total[once]
+        names, first = np.unique(homes, return_index=True)
+        rows = [{"shard": int(h), "bucket": key[0].as_py(), "keys": pack(x), "counts": pack(y)} for h, x, y in zip(names, np.split(keys, first[1:]), np.split(total, first[1:]), strict=True)] if len(keys) else []
+        return pa.Table.from_pylist(rows, schema=_TOLD)
 
     return run
 
@@ -305,47 +334,45 @@ def _forest(edges: np.ndarray, n: int) -> np.ndarray:
     return np.stack([some, root[some]], 1)
 
 
-def _prefixes(shared, width: int, buckets: int):
-    def run(batches):
-        table = shared.value
-        keys, sizes, nodes, held = [], [], [], 0
-
-        def flush():
-            key, n, v = np.concatenate(keys), np.repeat(np.array(sizes), [len(k) for k in keys]), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-            edges = _forest(_chain(key, n, v), len(keys))
-            # Of the entries of a key in a size class, all linked here, the smallest and the largest stand for all.
-            size = (np.log(n) / np.log(1.25)).astype(np.int64)
-            order = sort_order(key, size, n)
-            key, n, v, size = key[order], n[order], v[order], size[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (size[1:] != size[:-1])
-            end = np.append(new[1:], True)
-            keep = new | end
-            key, n, v = key[keep], n[keep], v[keep]
-            b = ((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(b, kind="stable")
-            names, first = np.unique(b[order], return_index=True)
-            rows = [{"bucket": k, "keys": pack(key[at]), "n": pack(n[at].astype(np.int32)), "nodes": b"".join(nodes[x] for x in v[at].tolist()), "edges": b""} for k, at in zip(names.tolist(), np.split(order, first[1:]), strict=True)]
-            if len(edges):
-                rows.append({"bucket": int.from_bytes(nodes[0][:4], "little") % buckets, "keys": b"", "n": b"", "nodes": b"", "edges": b"".join(nodes[a] + nodes[b_] for a, b_ in edges.tolist())})
-            keys.clear(), sizes.clear(), nodes.clear()
-            return pa.RecordBatch.from_pylist(rows, schema=_PREFIX)
-
-        for batch in batches:
-            for node, n, items in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                x = np.frombuffer(items, np.uint64)
-                a, b = _slots(x, width)
-                often = np.minimum(table[a], table[b])
-                first = np.lexsort((x, often))[: n // 5 + 1]
-                x = x[first[often[first] > 1]]
-                if len(x):
-                    keys.append(x), sizes.append(n), nodes.append(node)
-                    held += len(x)
-                if held > 400_000:
-                    yield flush()
-                    held = 0
-        if keys:
-            yield flush()
+def _prefixes(buckets: int):
+    def run(left, right):
+        """The prefixes of a shard's sets, as far as other sets have their shingles."""
+        told = sorted(zip(right["bucket"].to_pylist(), right["keys"].to_pylist(), right["counts"].to_pylist(), strict=True))
+        known = np.concatenate([np.frombuffer(x, np.uint32).astype(np.uint64) | np.uint64(k << 32) for k, x, _ in told]) if told else np.zeros(0, np.uint64)
+        times = np.frombuffer(b"".join(x for _, _, x in told), np.uint16)
+        keys, sizes, nodes, seen = [], [], [], set()
+        for node, n, items in zip(*(left[c].to_pylist() for c in ("node", "n", "items")), strict=True):
+            if node in seen or not len(known):
+                continue
+            seen.add(node)
+            x = np.frombuffer(items, np.uint64)
+            key = _keys(x, buckets)
+            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            often = np.where(known[at] == key, times[at], 1)
+            first = np.lexsort((x, often))[: n // 5 + 1]
+            x = x[first[often[first] > 1]]
+            if len(x):
+                keys.append(x), sizes.append(n), nodes.append(node)
+        if not keys:
+            return _PREFIX.empty_table()
+        key, n, v = np.concatenate(keys), np.repeat(np.array(sizes), [len(k) for k in keys]), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        edges = _forest(_chain(key, n, v), len(keys))
+        # Of the entries of a key in a size class, all linked here, the smallest and the largest stand for all.
+        size = (np.log(n) / np.log(1.25)).astype(np.int64)
+        order = sort_order(key, size, n)
+        key, n, v, size = key[order], n[order], v[order], size[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (size[1:] != size[:-1])
+        end = np.append(new[1:], True)
+        keep = new | end
+        key, n, v = key[keep], n[keep], v[keep]
+        b = ((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(b, kind="stable")
+        names, first = np.unique(b[order], return_index=True)
+        rows = [{"bucket": k, "keys": pack(key[at]), "n": pack(n[at].astype(np.int32)), "nodes": b"".join(nodes[x] for x in v[at].tolist()), "edges": b""} for k, at in zip(names.tolist(), np.split(order, first[1:]), strict=True)]
+        if len(edges):
+            rows.append({"bucket": int.from_bytes(nodes[0][:4], "little") % buckets, "keys": b"", "n": b"", "nodes": b"", "edges": b"".join(nodes[a] + nodes[b_] for a, b_ in edges.tolist())})
+        return pa.Table.from_pylist(rows, schema=_PREFIX)
 
     return run
 
@@ -607,9 +634,10 @@ def _all(n):
 
 
 def split(work: DataFrame, sets: DataFrame, s: Scratch, leaf: int, block: int) -> DataFrame:
-    """(node, root) of the sets of large regions: ``work`` has region, node, n, label (the same for sets known to be connected) and the region's ``size`` in shingles and ``rows``."""
+    """(node, root) of the sets of large regions: ``work`` has region, node, n, label (the same for sets known to be connected) and the region's ``size`` in shingles and ``rows``; ``sets`` has no others."""
     kind = "node binary, part binary"
     found, k = [], 0
+    total = sets.agg(F.sum("n")).first()[0]
     while True:
         k += 1
         wide = work.join(sets.select("node", "items"), "node")
@@ -630,15 +658,22 @@ def split(work: DataFrame, sets: DataFrame, s: Scratch, leaf: int, block: int) -
         # Regions that are one component are done; the others go on in cells, if these shrink, or in blocks.
         of = measured.groupBy("region", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("size"))
         of = of.groupBy("region").agg(F.sum("rows").alias("all"), F.sum("size").alias("size"), F.max_by("label", F.struct("rows", "label")).alias("main"), F.max_by("size", F.struct("rows", "label")).alias("held"), F.count("*").alias("labels")).where("labels > 1")
-        cells = measured.select("region", F.explode("cells").alias("cell")).groupBy("region", "cell").count().groupBy("region").agg(F.max("count").alias("most"))
+        cells = measured.select("region", F.explode("cells").alias("cell")).groupBy("region", "cell").count().groupBy("region").agg(F.max("count").alias("most"), F.sum("count").alias("held_in_cells"))
         state = s.save(of.join(cells, "region"), f"state{k}")
-        stuck = _small(state.where(F.col("most") > 0.7 * F.col("all")).select("region", F.col("size").alias("of"), "main", (F.col("size") - F.col("held")).alias("loose")))
+        shrinks = (F.col("most") <= 0.7 * F.col("all")) & (F.col("held_in_cells") <= CELLS * F.col("all"))
+        stuck = _small(state.where(~shrinks).select("region", F.col("size").alias("of"), "main", (F.col("size") - F.col("held")).alias("loose")))
         mine = measured.join(stuck, "region").withColumn("b", F.ceil(F.col("of") / block)).withColumn("c", F.ceil(F.col("loose") / block)).join(sets.select("node", "items"), "node")
         mine = s.save(mine, f"stuck{k}")
-        left = mine.withColumn("i", _spread("node", F.col("b"), 1)).withColumn("j", _all(F.col("c"))).select("region", "i", "j", "node", "items", "label", "d")
-        right = s.read(f"stuck{k}").where("label <> main").withColumn("j", _spread("node", F.col("c"), 2)).withColumn("i", _all(F.col("b"))).select("region", "i", "j", "node", "items", "label", "d")
-        found.append(s.save(left.groupBy("region", "i", "j").cogroup(right.groupBy("region", "i", "j")).applyInArrow(_blocks, "u binary, v binary"), f"blocks{k}"))
-        going = _small(state.where(F.col("most") <= 0.7 * F.col("all")).select("region"))
+        # Loose blocks go in turns, each of which sends about as many shingles again as there are, or those of one block a region.
+        sent, turns = mine.select("region", "of", "c").distinct().agg(F.sum("of"), F.max("c")).first()
+        step = max(1, total // sent) if sent else 1
+        for turn, at in enumerate(range(0, turns or 0, step)):
+            now = F.least(F.col("c"), F.lit(at + step))
+            left = mine.where(F.col("c") > at).withColumn("i", _spread("node", F.col("b"), 1)).withColumn("j", F.explode(F.sequence(F.lit(at).cast("long"), now.cast("long") - 1))).select("region", "i", "j", "node", "items", "label", "d")
+            right = s.read(f"stuck{k}").where("label <> main").withColumn("j", _spread("node", F.col("c"), 2)).where((F.col("j") >= at) & (F.col("j") < at + step))
+            right = right.withColumn("i", _all(F.col("b"))).select("region", "i", "j", "node", "items", "label", "d")
+            found.append(s.save(left.groupBy("region", "i", "j").cogroup(right.groupBy("region", "i", "j")).applyInArrow(_blocks, "u binary, v binary"), f"blocks{k}_{turn}"))
+        going = _small(state.where(shrinks).select("region"))
         cells = measured.join(going, "region").select("region", "node", "n", "label", F.explode("cells").alias("cell"))
         cells = cells.select(F.unhex(F.md5(F.concat("region", F.encode(F.col("cell").cast("string"), "utf-8")))).alias("region"), "node", "n", "label")
         # A region whose sample was empty stays as it is.
@@ -664,7 +699,6 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 
 def linked(docs: DataFrame, s: Scratch, broadcast_rows: int = BROADCAST, leaf: int = LEAF, block: int = BLOCK_OF, width: int = WIDTH) -> DataFrame:
     """One row for each row of ``docs``: doc_id, node (the digest of its set, null if empty), n, part (the same for all linked ones)."""
-    spark: SparkSession = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = groups(docs)
     sent = src.mapInArrow(_send(buckets), "bucket int, keys binary, refs binary, nodes binary, own binary")
@@ -685,18 +719,14 @@ def linked(docs: DataFrame, s: Scratch, broadcast_rows: int = BROADCAST, leaf: i
     lost = lost.join(F.broadcast(nameless) if few else nameless, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("items").alias("items"))
     # Tasks that have equal rows may give a set more than once.
     sets = s.save(texts.mapInArrow(_sets, "node binary, n int, items binary").union(lost), "sets")
-    counters, items = 1 << 16, sets.agg(F.sum("n")).first()[0] or 0
-    while counters < min(width, items):
-        counters *= 2
-    pieces = counters >> 16
-    got = sets.select("items").mapInArrow(_tally(counters, pieces), "piece int, at binary, n binary").repartition(min(pieces, parts(buckets)), "piece").mapInArrow(_total(counters // pieces), "piece int, n binary").collect()
-    table = np.zeros(counters, np.uint16)
-    for r in got:  # ``pieces`` rows, 2 * WIDTH bytes at most
-        at = r["piece"] * (counters // pieces)
-        table[at : at + counters // pieces] = np.frombuffer(r["n"], np.uint16)
     buckets = groups(sets)
-    sent = sets.mapInArrow(_prefixes(spark.sparkContext.broadcast(table), counters, buckets), "bucket int, keys binary, n binary, nodes binary, edges binary")
+    kind = np.uint16 if buckets <= 1 << 16 else np.uint32
+    homed = sets.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(buckets)).cast("int"))
+    asked = homed.select("shard", "items").mapInArrow(_ask(buckets, kind, width), "bucket int, keys binary, homes binary, counts binary")
+    told = s.save(asked.repartition(parts(buckets), "bucket").groupBy("bucket").applyInArrow(_tell(kind), "shard int, bucket int, keys binary, counts binary"), "told")
+    sent = homed.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_prefixes(buckets), "bucket int, keys binary, n binary, nodes binary, edges binary")
     edges = s.save(sent.repartition(parts(buckets), "bucket").groupBy("bucket").applyInArrow(_edges, "u binary, v binary"), "edges")
+    s.drop("told")
     regions = components(edges, s)
     regions = regions.union(regions.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "region")
     regions = regions.join(nodes.select("node", "n"), "node")
@@ -706,7 +736,9 @@ def linked(docs: DataFrame, s: Scratch, broadcast_rows: int = BROADCAST, leaf: i
     joined = ready.repartition(parts(buckets), "region").groupBy("region").applyInArrow(_join, "node binary, part binary")
     large = regions.where(F.col("size") > leaf).withColumn("label", F.col("node"))
     if not large.isEmpty():
-        roots = split(large, sets, s, leaf, block)
+        own = sets.join(_small(large.select("node")), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("items").alias("items"))
+        roots = split(large, s.save(own, "large"), s, leaf, block)
+        s.drop("large")
         joined = joined.union(roots.select("node", F.col("root").alias("part"))).union(roots.select(F.col("root").alias("node"), F.col("root").alias("part")).distinct())
     joined = s.save(joined.groupBy("node").agg(F.min("part").alias("part")), "joined")
     named = rows.where("node is not null").join(joined, "node", "left").select("doc_id", "node", "n", F.coalesce("part", "node").alias("part"))

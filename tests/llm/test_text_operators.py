@@ -427,6 +427,44 @@ def test_large_regions(spark, block):
     assert len({w[2] for w in want}) > 4
 
 
+def test_common_passages_join_no_regions(spark, monkeypatch):
+    from corvane.llm import op10_jaccard
+
+    # Pairs of near copies, each with two passages that other pairs have; 400,000 shingles in all.
+    r = np.random.default_rng(23)
+    common, docs = [say(r, 30) for _ in range(200)], []
+    for k in range(1000):
+        text = say(r, 70) + common[k % 200] + say(r, 70) + common[7 * k % 199]
+        docs += [(2 * k, " ".join(text)), (2 * k + 1, " ".join([*text[:-1], "other"]))]
+    saved, save = {}, op10_jaccard.Scratch.save
+
+    def spy(self, df, name):
+        out = save(self, df, name)
+        if name == "regions":
+            saved[name] = out.agg(F.max("rows"), F.count("*")).first()
+        return out
+
+    monkeypatch.setattr(op10_jaccard.Scratch, "save", spy)
+    got = rows(op10_jaccard.jaccard_components(frame(spark, docs), width=1 << 16).select("doc_id", "component_id"))
+    assert got == sorted(((d, d // 2 * 2) for d, _ in docs), key=repr)
+    assert tuple(saved["regions"]) == (2, 2000)
+
+
+def test_only_sets_of_large_regions_are_split(spark, monkeypatch):
+    from corvane.llm import op10_jaccard
+
+    r = np.random.default_rng(24)
+    docs, base = [], say(r, 60)
+    for k in range(30):
+        docs.append((k, " ".join(base[:k] + say(r, 2) + base[k + 2 :])))
+        text = say(r, 60)
+        docs += [(100 + 2 * k, " ".join(text)), (101 + 2 * k, " ".join([*text, "more"]))]
+    sent, split = [], op10_jaccard.split
+    monkeypatch.setattr(op10_jaccard, "split", lambda work, sets, *a: sent.append(sets.count()) or split(work, sets, *a))
+    assert rows(op10_jaccard.jaccard_components(frame(spark, docs), leaf=1000, block=300)) == brute_jaccard(docs)
+    assert sent == [30]
+
+
 def test_one_row_of_each_group_stays(spark):
     from corvane.llm.op10_jaccard import one_of_each
 
