@@ -465,6 +465,22 @@ def test_only_sets_of_large_regions_are_split(spark, monkeypatch):
     assert sent == [30]
 
 
+def test_stage_splits_only_sets_of_large_regions(spark, monkeypatch):
+    from corvane.llm import op10_jaccard
+
+    r = np.random.default_rng(27)
+    docs, base = [], say(r, 60)
+    for k in range(30):
+        docs.append((k, " ".join(base[:k] + say(r, 2) + base[k + 2 :])))
+        text = say(r, 60)
+        docs += [(100 + 2 * k, " ".join(text)), (101 + 2 * k, " ".join([*text, "more"]))]
+    sent, split = [], op10_jaccard.split
+    monkeypatch.setattr(op10_jaccard, "split", lambda work, sets, *a: sent.append(sets.count()) or split(work, sets, *a))
+    kept = op10_jaccard.one_of_each(frame(spark, docs), leaf=1000, block=300)
+    assert rows(kept.select("doc_id")) == sorted({(c,) for _, _, c in brute_jaccard(docs)}, key=repr)
+    assert sent == [30]
+
+
 def test_one_row_of_each_group_stays(spark):
     from corvane.llm.op10_jaccard import one_of_each
 
