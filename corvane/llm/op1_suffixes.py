@@ -10,8 +10,9 @@ all ``SPAN``-byte suffix heads ("windows") only those matter that are in two doc
    key of its own, so they go to as many buckets as there are different ones.
 2. Every shard (documents by a hash of doc_id) sends its distinct stretches by anchor, each with the
    smallest doc_id that has it.
-3. For each group of anchors every shard has a transform: a stretch is read as text over words of
-   ``WORD`` bytes, the shard's suffixes are sorted, and the transform is the word before each of them.
+3. For each group of anchors every shard (beyond ``MERGED`` shards: every few shards together) has a
+   transform: a stretch is read as text over words of ``WORD`` bytes, the shard's suffixes are sorted,
+   and the transform is the word before each of them.
    (It is built from the stretches where they are merged, as they are smaller than it.) The transforms
    are merged by refining an interleave, which lists only the shard of each suffix. It starts in the
    order of the suffixes' first words, which the shards' word counts give. A round reads it from the
@@ -51,6 +52,10 @@ WIDTH = SPAN - GRAM + 1  # grams in a window
 WORD = SPAN // 2
 #: Shards and tasks that send an anchor, from which its stretches are cut into windows.
 HOT = 4_000
+#: Transforms that are merged at most; more shards share them, so that the work of a bucket doesn't grow with their number.
+MERGED = 64
+#: Bytes of text that a task holds before it deals them to the shards.
+DEALT = 16 << 20
 _SEVERAL, _HOT = np.uint32(1 << 31), np.uint64(1 << 63)
 _ROLL = Rolling(211)
 _LOW = np.uint64((1 << 24) - 1)
@@ -72,8 +77,7 @@ def stretches(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none, none, none.astype(np.uint64), prefix, none
-    s = np.arange(len(data) - GRAM + 1)
-    gram = mix(_ROLL.of(prefix, s, s + GRAM))
+    gram = (prefix[GRAM:] - prefix[:-GRAM]) * _ROLL.unpowers[: len(data) - GRAM + 1]
     place = np.empty(n, np.int64)
     for a in range(0, n, 1 << 23):  # places within a part fit the low bits
         b = min(n, a + (1 << 23))
@@ -88,7 +92,7 @@ def stretches(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     end = np.ones(n, bool)
     end[:-1] = new[1:] | ~good[1:]
     last = np.flatnonzero(end & good)
-    return first, last, gram[place[first]], prefix, doc[first]
+    return first, last, mix(gram[place[first]]), prefix, doc[first]
 
 
 def _home(ids: np.ndarray, shards: int) -> np.ndarray:
@@ -161,8 +165,11 @@ def _shared(hot: int):
         keys, ref = (keys | np.repeat(n >= hot, n) * _HOT)[shared], (ref & ~_SEVERAL)[shared]
         order = sort_order(ref, keys & ~_HOT)
         keys, ref = keys[order], ref[order]
+        once = np.ones(len(keys), bool)
+        once[1:] = (keys[1:] != keys[:-1]) | (ref[1:] != ref[:-1])
+        keys, ref = keys[once], ref[once]
         names, first = np.unique(ref, return_index=True)
-        rows = [{"shard": s, "keys": pack(k[np.append(True, k[1:] != k[:-1])])} for s, k in zip(names.tolist(), np.split(keys, first[1:]), strict=True)] if len(ref) else []
+        rows = [{"shard": s, "keys": pack(k)} for s, k in zip(names.tolist(), np.split(keys, first[1:]), strict=True)] if len(ref) else []
         return pa.Table.from_pylist(rows, schema=_SHARED)
 
     return run
@@ -362,7 +369,7 @@ def _merge(key, table):
     some = sorted(table.to_pylist(), key=lambda r: r["shard"])
     size = np.concatenate([np.frombuffer(r["sizes"], np.uint8) for r in some]).astype(np.int64)
     least = np.concatenate([np.frombuffer(r["least"], np.int64) for r in some])
-    shard = np.repeat(np.arange(len(some)), [len(r["sizes"]) for r in some])
+    shard = np.repeat(np.arange(len(some)) * min(len(some), MERGED) // len(some), [len(r["sizes"]) for r in some])
     data = np.frombuffer(b"".join(zlib.decompress(r["bytes"]) for r in some), np.uint8)
     entry, count, first = first_documents(size, shard, least, data)
     # A bit for each window of each sender's string: is it in a smaller document than the sender's least?
@@ -435,22 +442,36 @@ _ROWS = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 def dealt(src: DataFrame, shards: int) -> DataFrame:
     """(shard, body): rows of doc_id and text by shard, a compressed body for each shard of a batch."""
 
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(0)
-            known = ids.is_valid().to_numpy(zero_copy_only=False)
-            n = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
-            # Rows without an id are only looked at for themselves and may lie anywhere.
-            home = np.where(known, _home(n, shards), np.arange(len(n)) % shards)
-            order = np.argsort(home, kind="stable")
-            names, start = np.unique(home[order], return_index=True)
+    def deal(held):
+        table = pa.Table.from_batches(held).combine_chunks()
+        ids = table.column(0)
+        known = ids.is_valid().to_numpy()
+        n = pc.fill_null(ids, 0).to_numpy()
+        # Rows without an id are only looked at for themselves and may lie anywhere.
+        home = np.where(known, _home(n, shards), np.arange(len(n)) % shards)
+        order = np.argsort(home, kind="stable")
+        names, start = np.unique(home[order], return_index=True)
+        ends = np.append(start[1:], len(order))
+        table = pa.Table.from_arrays([c.cast(f.type) for c, f in zip(table.columns, _ROWS, strict=True)], schema=_ROWS).take(pa.array(order)).combine_chunks()
+        for k in range(0, len(names), 256):
             bodies = []
-            for some in np.split(order, start[1:]) if len(order) else []:
+            for a, z in zip(start[k : k + 256].tolist(), ends[k : k + 256].tolist(), strict=True):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, _ROWS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                    w.write_batch(pa.RecordBatch.from_arrays([c.take(pa.array(some)) for c in batch.columns], schema=_ROWS))
+                    w.write_table(table.slice(a, z - a))
                 bodies.append(sink.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(bodies, pa.binary())], names=["shard", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[k : k + 256], pa.int32()), pa.array(bodies, pa.binary())], names=["shard", "body"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size > DEALT:
+                yield from deal(held)
+                held, size = [], 0
+        if held:
+            yield from deal(held)
 
     return src.mapInArrow(run, "shard int, body binary")
 

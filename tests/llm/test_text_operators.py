@@ -376,6 +376,37 @@ def test_labels_without_documents_take_no_place_and_rows_of_one_doc_id_train_onc
         score(docs, fit(docs, labels, 10))  # the fixture has a column _score
 
 
+def test_many_shards_share_transforms(monkeypatch):
+    from corvane.llm import op1_suffixes
+
+    text = bytes(np.random.default_rng(26).integers(97, 123, 60, np.uint8))
+    strings = [text if k % 2 else text[:55] + b"%05d" % k for k in range(200)]
+    rows_ = [{"bucket": 0, "shard": k, "sizes": b"\x3c", "least": np.int64(k).tobytes(), "bytes": zlib.compress(x)} for k, x in enumerate(strings)]
+    first = {}
+    for k, x in enumerate(strings):
+        for p in range(11):
+            first.setdefault(x[p : p + 50], k)
+    merged, merge = [], op1_suffixes.merge
+    monkeypatch.setattr(op1_suffixes, "merge", lambda x: merged.append(len(x)) or merge(x))
+    got = op1_suffixes._merge(None, pa.Table.from_pylist(rows_, schema=op1_suffixes._STRETCH)).to_pylist()
+    masks = [int(np.frombuffer(r["masks"], np.uint32)[0]) for r in got]
+    assert [r["shard"] for r in got] == list(range(200))
+    assert masks == [sum((first[x[p : p + 50]] < k) << p for p in range(11)) for k, x in enumerate(strings)]
+    assert max(merged) <= op1_suffixes.MERGED
+
+
+def test_rows_are_dealt_in_large_pieces(spark):
+    from corvane.llm.op1_suffixes import dealt, undealt
+    from corvane.llm.scratch import Scratch
+
+    Scratch(spark)  # small batches
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")).coalesce(1)
+    got = dealt(docs, 3).collect()
+    assert sorted(r["shard"] for r in got) == [0, 1, 2]
+    back = undealt(pa.table({"body": [bytes(r["body"]) for r in got]}))
+    assert sorted(zip(*back.to_pydict().values(), strict=True)) == [(k, f"text {k}") for k in range(4000)]
+
+
 def brute_jaccard(docs):
     sets = []
     for _, t in docs:
