@@ -43,6 +43,7 @@ LEAST, BANDS, ROWS = 46, 6, 2
 MOST = 64  # starts of an interval
 SOME = 250_000  # shingles that are verified at once
 PAIRED = 32  # strips of a group whose pairs are counted at once
+COMMON = 8  # shingles that two strips must have in common among their rarest to be compared
 _WINDOW = Rolling(46)
 SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -448,14 +449,42 @@ class Strips:
         return x, y, (first_a[doubt].tolist(), first_b[doubt].tolist())
 
     def group_near(self, strip: np.ndarray, root: np.ndarray, fewest: np.ndarray, items: list[np.ndarray], before: list[np.ndarray]) -> None:
-        """Every strip is compared with all that aren't connected with it yet, until no more are alike."""
+        """Every strip is compared with all that may be like it and aren't connected with it yet, until no more are alike."""
         k, doc, several = len(strip), self.doc[strip], self.several[strip]
         width = max(map(len, items))
-        padded = np.full((k, width), 65536)
+        padded = np.full((k, width), 65536, np.int32)
         for i, x in enumerate(items):
             padded[i, : len(x)] = x
         parts_: dict[int, list] = {}
         mark, new = np.zeros(65537, bool), np.ones(k, bool)
+        # Alike strips have ``need`` shingles in common, so ``common`` of them are among the rarest of both, but for the last need - common.
+        row, val = np.repeat(np.arange(k), [len(x) for x in items]), np.concatenate(items).astype(np.int64)
+        order = sort_order(row, val)
+        order = order[_changes(row[order], val[order])]
+        row, val = row[order], val[order]
+        size = np.bincount(row, minlength=k)
+        need = -(-4 * (fewest + fewest.min()) // 9)
+        common = max(1, min(COMMON, int(need.min())))
+        order = sort_order(row, np.bincount(val)[val], val)
+        order = order[np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) < (size - need + common)[row]]
+        row, val = row[order].astype(np.int32), np.unique(val[order], return_inverse=True)[1]
+        own = np.split(val, np.flatnonzero(np.diff(row)) + 1)
+        order = sort_order(val)
+        posts = np.split(row[order], np.flatnonzero(np.diff(val[order])) + 1)
+        order = sort_order(root)
+        class_of = np.cumsum(_changes(root[order])) - 1
+        members = np.split(order, np.flatnonzero(np.diff(class_of)) + 1)
+        class_of = class_of[np.argsort(order)]
+
+        def may_be_like(x):
+            y = np.concatenate([posts[i] for i in own[x].tolist()])
+            live = new[y]
+            if 2 * np.count_nonzero(live) < len(y):  # connected ones are taken off the lists, each once
+                for i in own[x].tolist():
+                    posts[i] = posts[i][new[posts[i]]]
+            y, n = np.unique(y[live], return_counts=True)
+            y = y[n >= common]
+            return y[(doc[y] != doc[x]) | several[y] | several[x]]
 
         def of(i):
             if i not in parts_:
@@ -465,11 +494,11 @@ class Strips:
         for seed in range(k):
             if not new[seed]:
                 continue
-            queue = np.flatnonzero(new & (root == root[seed])).tolist()
+            queue = members[class_of[seed]].tolist()
             new[queue] = False
             while queue:
                 x = queue.pop()
-                rest = np.flatnonzero(new & ((doc != doc[x]) | several | several[x]))
+                rest = may_be_like(x)
                 if not len(rest):
                     continue
                 # Only a passage with enough shingles of the whole other strip can be like one of it.
@@ -489,7 +518,7 @@ class Strips:
                     if (9 * both >= 4 * (n[:, None] + m)).any():
                         self.repeated[strip[[x, y]]] = True
                         self.u.append(strip[[x]]), self.v.append(strip[[y]])
-                        more = np.flatnonzero(new & (root == root[y]))
+                        more = members[class_of[y]]
                         new[more] = False
                         queue += more.tolist()
 

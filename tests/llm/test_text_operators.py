@@ -430,6 +430,28 @@ def brute_jaccard(docs):
     return sorted(((d, len(sets[i]), least(i) if sets[i] else d) for i, (d, _) in enumerate(docs)), key=repr)
 
 
+def test_strips_of_a_large_group_meet_only_near_ones(monkeypatch):
+    from corvane.llm import op5_windows
+
+    # 500 texts in three forms each, with ten shingles that all have.
+    r = np.random.default_rng(25)
+    base, common = r.integers(0, 65_536, (500, 80)), r.integers(0, 65_536, 10)
+    items = np.repeat(base, 3, axis=0)
+    items[:, 30:40] = common
+    items[np.arange(1500), r.integers(0, 5, 1500)] = r.integers(0, 65_536, 1500)
+    looked, cumsum = [], np.cumsum
+    monkeypatch.setattr(op5_windows.np, "cumsum", lambda x, *a, **k: (looked.append(np.size(x) if np.ndim(x) == 2 else 0), cumsum(x, *a, **k))[1])
+    some = np.zeros(1500, np.int64)
+    for near in (0, 5):  # equal passages connect the first at once; those with a change in each passage have to be compared
+        if near:
+            for k in (20, 50, 70):
+                items[np.arange(1500), k] = r.integers(0, 65_536, 1500)
+        got = op5_windows.Strips(some, np.arange(1500), some > 0, some + 80, items.ravel().astype(np.uint16)).join()
+        assert got[0].tolist() == [d // 3 * 3 for d in range(1500)]
+        assert got[1].all()
+    assert 0 < sum(looked) < 20 * items.size
+
+
 def test_jaccard(spark):
     from corvane.llm.op10_jaccard import jaccard_components
 
