@@ -6,7 +6,8 @@ are one node. The join works on what can link at all, and in this order:
 
 1. Nodes. More than a fifth of a set's shingles in no other set rules all links out. A fixed half of
    the hash space is counted (by 32-bit keys within buckets, where a clash only keeps a node); the
-   tasks send one entry for each key and block of documents, so common shingles don't pile up.
+   tasks send one entry for each key and block of documents, so common shingles don't pile up. Copies
+   share nothing with each other, so a text with copies only is ruled out like one without any.
 2. Regions. Sets that link share a shingle among their floor(n / 5) + 1 first in any fixed order. The
    order is by frequency, counted by 32-bit keys within buckets that shards of sets ask, so common
    passages come last however many sets there are. Nodes that share such a shingle and may have fitting
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.blocks import Rolling, blocks, mix, pack, ragged, sort_order
+from corvane.llm.blocks import Rolling, blocks, mix, numbered, pack, ragged, sort_order
 from corvane.llm.scratch import Scratch, fresh, groups, parts
 
 WORDS = 5
@@ -62,6 +63,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _ROLL = Rolling(101)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a node's digest by which its shared shingles are counted.
+SHORT = 5
+_NAMELESS = np.uint64(1 << 8 * SHORT)
 
 
 def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,7 +112,7 @@ def digest(x: np.ndarray) -> bytes:
 
 # 1. Nodes
 
-_SENT = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("refs", pa.binary()), ("nodes", pa.binary()), ("own", pa.binary())])
+_SENT = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary()), ("times", pa.binary()), ("own", pa.binary())])
 _COUNTS = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("n", pa.int32()), ("half", pa.int32()), ("shared", pa.int32())])
 _SHARED = pa.schema([("piece", pa.int32()), ("nodes", pa.binary()), ("counts", pa.binary()), ("own", pa.binary())])
 
@@ -134,18 +138,21 @@ def _send(buckets: int):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, _COUNTS) as w:
                 w.write_batch(mine)
+            # By bucket and node, so that a node goes along once for its keys; keys of several nodes come last and have no name.
             b = (key >> np.uint64(32)).astype(np.int64)
-            cut = np.searchsorted(b, np.arange(buckets + 1))
+            order = sort_order(b, ref)
+            key, b, ref = key[order], b[order], ref[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (b[1:] != b[:-1]) | (ref[1:] != ref[:-1])
+            start = np.flatnonzero(new)
+            times, name = np.diff(np.append(start, len(key))), ref[start]
+            start, times, name = (x[name != MANY] for x in (start, times, name))
+            cut, of = np.searchsorted(b, np.arange(buckets + 1)), np.searchsorted(b[start], np.arange(buckets + 1))
             home = int.from_bytes((nodes[0] if nodes else b"\0")[:4], "little") % buckets
             rows = []
             for k in np.unique(np.append(b, home)).tolist():
-                x, y = cut[k], cut[k + 1]
-                if y > x or k == home:
-                    used, local = np.unique(ref[x:y], return_inverse=True)
-                    # Only the nodes that this bucket refers to go along.
-                    real = used[used != MANY]
-                    local = np.where(ref[x:y] == MANY, MANY, local).astype(np.uint16)
-                    rows.append({"bucket": k, "keys": pack(key[x:y].astype(np.uint32)), "refs": pack(local), "nodes": b"".join(nodes[v][:8] for v in real.tolist()), "own": sink.getvalue().to_pybytes() if k == home else b""})
+                some = slice(of[k], of[k + 1])
+                rows.append({"bucket": k, "keys": pack(key[cut[k] : cut[k + 1]].astype(np.uint32)), "nodes": b"".join(nodes[v][:SHORT] for v in name[some].tolist()), "times": pack(times[some].astype(np.uint16)), "own": sink.getvalue().to_pybytes() if k == home else b""})
             ids.clear(), ns.clear(), keys_of.clear(), hashes.clear(), known.clear()
             return pa.RecordBatch.from_pylist(rows, schema=_SENT)
 
@@ -170,32 +177,40 @@ def _send(buckets: int):
 
 
 def _count(pieces: int):
-    """Counts of a bucket's shared keys by node (the first 8 bytes of its digest), for ``pieces`` parts of the nodes."""
+    """How many of a bucket's keys that other nodes have too each node has (by the first bytes of its digest), for ``pieces`` parts of the nodes.
+
+    Copies in other tasks are the same node: they don't make a key shared, and a key counts once for them.
+    """
 
     def run(table):
-        keys, refs, nodes, rows, base = [], [], [], [], 0
+        keys, nodes, rows = [], [], []
         for row in table.to_pylist():
             if row["own"]:
                 rows.append({"piece": -1, "own": row["own"]})
-            r = np.frombuffer(row["refs"], np.uint16).astype(np.int64)
             keys.append(np.frombuffer(row["keys"], np.uint32))
-            refs.append(np.where(r == MANY, -1, r + base))
-            nodes.append(row["nodes"])
-            base += len(row["nodes"]) // 8
-        key, ref = np.concatenate(keys), np.concatenate(refs)
-        del keys, refs
-        order = sort_order(key)
-        key, ref = key[order], ref[order]
-        same = key[1:] == key[:-1]
-        shared = np.zeros(len(key), bool)
-        shared[1:] |= same
-        shared[:-1] |= same
-        n = np.bincount(ref[shared & (ref >= 0)], minlength=base)
-        some = np.flatnonzero(n)
-        node = np.frombuffer(b"".join(nodes), np.uint64)[some]
+            name = np.zeros((len(row["nodes"]) // SHORT, 8), np.uint8)
+            name[:, :SHORT] = np.frombuffer(row["nodes"], np.uint8).reshape(-1, SHORT)
+            x = np.full(len(keys[-1]), _NAMELESS)
+            y = np.repeat(name.view(np.uint64)[:, 0], np.frombuffer(row["times"], np.uint16))
+            x[: len(y)] = y
+            nodes.append(x)
+        key, node = np.concatenate(keys), np.concatenate(nodes)
+        del keys, nodes
+        if len(key):
+            order = sort_order(key)
+            key, node = key[order], node[order]
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            several = np.minimum.reduceat(node, start) != np.maximum.reduceat(node, start)
+            some = np.repeat(several, np.diff(np.append(start, len(key)))) & (node != _NAMELESS)
+            key, node = key[some], node[some]
+        first, ref = numbered(node)
+        order = sort_order(ref, key)
+        once = np.ones(len(key), bool)
+        once[1:] = (ref[order][1:] != ref[order][:-1]) | (key[order][1:] != key[order][:-1])
+        node, n = node[first], np.bincount(ref[order][once], minlength=len(first))
         part = (node % np.uint64(pieces)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        node, n, part = node[order], n[some][order].astype(np.uint32), part[order]
+        node, n, part = node[order], n[order].astype(np.uint32), part[order]
         names, first = np.unique(part, return_index=True)
         rows += [{"piece": k, "nodes": pack(x), "counts": pack(y)} for k, x, y in zip(names.tolist(), np.split(node, first[1:]), np.split(n, first[1:]), strict=True)] if len(part) else []
         return pa.Table.from_pylist(rows, schema=_SHARED)
@@ -212,7 +227,7 @@ def _sum(batches):
         names, at = np.unique(np.concatenate(nodes), return_inverse=True)
         total = np.bincount(at, np.concatenate(counts)).astype(np.int64)
         raw = pack(names)
-        yield pa.RecordBatch.from_arrays([pa.array([raw[i : i + 8] for i in range(0, len(raw), 8)], pa.binary()), pa.array(total)], names=["short", "others"])
+        yield pa.RecordBatch.from_arrays([pa.array([raw[i : i + SHORT] for i in range(0, len(raw), 8)], pa.binary()), pa.array(total)], names=["short", "others"])
 
 
 def _own(batches):
@@ -701,13 +716,13 @@ def linked(docs: DataFrame, s: Scratch, broadcast_rows: int = BROADCAST, leaf: i
     """One row for each row of ``docs``: doc_id, node (the digest of its set, null if empty), n, part (the same for all linked ones)."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = groups(docs)
-    sent = src.mapInArrow(_send(buckets), "bucket int, keys binary, refs binary, nodes binary, own binary")
+    sent = src.mapInArrow(_send(buckets), "bucket int, keys binary, nodes binary, times binary, own binary")
     pieces = max(1, buckets // 4)
     counts = s.save(sent.repartition(parts(buckets), "bucket").groupBy("bucket").applyInArrow(_count(pieces), "piece int, nodes binary, counts binary, own binary"), "counts")
     rows = s.save(counts.where("piece < 0").select("own").mapInArrow(_own, "doc_id long, node binary, n int, half int, shared int"), "rows")
     others = counts.where("piece >= 0").repartition(parts(pieces), "piece").select("nodes", "counts").mapInArrow(_sum, "short binary, others long")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("half").alias("half"), F.sum("shared").alias("shared"))
-    nodes = nodes.withColumn("short", F.substring("node", 1, 8)).join(others, "short", "left").withColumn("shared", F.col("shared") + F.coalesce("others", F.lit(0))).drop("short", "others")
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("half").alias("half"), F.max("shared").alias("shared"))
+    nodes = nodes.withColumn("short", F.substring("node", 1, SHORT)).join(others, "short", "left").withColumn("shared", F.col("shared") + F.coalesce("others", F.lit(0))).drop("short", "others")
     nodes = s.save(nodes, "nodes")
     s.drop("counts")
     may = nodes.where("5 * (half - shared) <= n")

@@ -534,6 +534,42 @@ def test_stage_splits_only_sets_of_large_regions(spark, monkeypatch):
     assert sent == [30]
 
 
+def test_copies_in_other_tasks_share_nothing(spark, monkeypatch):
+    from corvane.llm import op10_jaccard
+
+    # Texts with copies only, in 8 tasks; two pairs of near copies, of which one has copies too.
+    r = np.random.default_rng(31)
+    alone = [" ".join(say(r, 60)) for _ in range(40)]
+    one, two = say(r, 60), say(r, 60)
+    near = [" ".join(x) for x in (one, [*one[:-1], "other"], two, [*two[:-1], "other"])]
+    docs = [(100 * k + d, t) for k in range(8) for d, t in enumerate(alone + near[:2])] + [(900, near[2]), (901, near[3])]
+    saved, save = {}, op10_jaccard.Scratch.save
+
+    def spy(self, df, name, *a, **k):
+        out = save(self, df, name, *a, **k)
+        if name == "sets":
+            saved[name] = out.select("node").distinct().count()
+        return out
+
+    monkeypatch.setattr(op10_jaccard.Scratch, "save", spy)
+    frames = frame(spark, docs).repartitionByRange(8, "doc_id")
+    assert rows(op10_jaccard.jaccard_components(frames)) == brute_jaccard(docs)
+    assert saved == {"sets": 4}
+
+
+def test_nodes_go_once_to_a_bucket():
+    from corvane.llm.op10_jaccard import _send
+
+    r = np.random.default_rng(32)
+    column = pa.array([" ".join(say(r, 300)) for _ in range(40)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), column], names=["doc_id", "text"])
+    # With very many buckets each key has a node of its own to go along.
+    sent = [row for x in _send(4000)([batch]) for row in x.to_pylist()]
+    n = sum(len(row["keys"]) for row in sent) // 4
+    assert n > 5_000
+    assert sum(len(v) for row in sent for k, v in row.items() if k not in ("bucket", "own")) < 12 * n
+
+
 def test_one_row_of_each_group_stays(spark):
     from corvane.llm.op10_jaccard import one_of_each
 
