@@ -56,6 +56,8 @@ HOT = 4_000
 MERGED = 64
 #: Bytes of text that a task holds before it deals them to the shards.
 DEALT = 16 << 20
+#: Bytes that are hashed at once where shards meet; the hash's powers stay in a worker for as long as it lives.
+HASHED = (1 << 20) - 256
 _SEVERAL, _HOT = np.uint32(1 << 31), np.uint64(1 << 63)
 _ROLL = Rolling(211)
 _LOW = np.uint64((1 << 24) - 1)
@@ -259,6 +261,7 @@ class Transform:
     def __init__(self, word: np.ndarray, after: np.ndarray, before: np.ndarray):
         self.order = sort_order(word, after + 1)
         self.first, self.before, self.whole = word[self.order], before[self.order], after[self.order] >= 0
+        self.order = self.order.astype(word.dtype)
 
 
 def merge(transforms: list[Transform]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -274,8 +277,8 @@ def merge(transforms: list[Transform]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     z = np.repeat(np.arange(len(transforms), dtype=np.uint16 if len(size) < 1 << 16 else np.int64), size)[order]
     block = np.cumsum(np.append(False, np.diff(first[order]) != 0))[: len(z)]
     z, block, word = refine(z, block, before)
-    common = np.zeros(len(z), np.int64)
-    common[1:] = (word[1:] == word[:-1]) * (1 + (block[1:] == block[:-1]))
+    common = np.zeros(len(z), np.int8)
+    common[1:] = (word[1:] == word[:-1]) * (np.int8(1) + (block[1:] == block[:-1]))
     place = np.empty(len(z), np.int64)
     order = np.argsort(z, kind="stable")
     n = np.bincount(z, minlength=len(size))
@@ -297,6 +300,27 @@ def refine(z: np.ndarray, block: np.ndarray, before: np.ndarray) -> tuple[np.nda
     return z[order], block[order], word[order]
 
 
+def _hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of strings that follow each other in ``data``."""
+    out, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(start, start[i] + HASHED - 256)))
+        a, n = start[i:j] - start[i], size[i:j]
+        out[i:j] = _ROLL.of(_ROLL.prefix(data[start[i] : start[j - 1] + size[j - 1]]), a, a + n)
+        i = j
+    return out
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """The hash of the word at each place."""
+    out = np.empty(max(0, len(data) - WORD + 1), np.uint64)
+    for a in range(0, len(out), HASHED):
+        prefix = _ROLL.prefix(data[a : a + HASHED + WORD - 1])
+        n = len(prefix) - WORD
+        out[a : a + n] = (prefix[WORD:] - prefix[:-WORD]) * _ROLL.unpowers[:n]
+    return out
+
+
 def _differ(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether the ``size`` bytes at ``a`` and at ``b`` differ."""
     out = np.zeros(len(a), bool)
@@ -314,8 +338,7 @@ def first_documents(size: np.ndarray, shard: np.ndarray, least: np.ndarray, data
     smallest doc_id of each string. Gives entries, the entries' numbers of windows, and the doc_ids.
     """
     start = np.cumsum(size) - size
-    prefix = _ROLL.prefix(data)
-    lead, entry = numbered(mix(_ROLL.of(prefix, start, start + size) + size.astype(np.uint64)))
+    lead, entry = numbered(mix(_hashes(data, start, size) + size.astype(np.uint64)))
     far = lead[entry]
     odd = np.flatnonzero(far != np.arange(len(far)))
     odd = odd[(size[odd] != size[far[odd]]) | _differ(data, start[odd], start[far[odd]], np.minimum(size[odd], size[far[odd]]))] if len(odd) else odd
@@ -330,19 +353,25 @@ def first_documents(size: np.ndarray, shard: np.ndarray, least: np.ndarray, data
     low = np.minimum.reduceat(least[order], np.flatnonzero(np.append(True, np.diff(entry[order]) != 0)))
     # Words at every place of the entries, numbered in the order of their hashes.
     count = size[lead] - WORD + 1
-    at, inside = ragged(start[lead], count), ragged(np.zeros(len(lead), np.int64), count)
-    owner = np.repeat(np.arange(len(lead)), count)
-    _, word = numbered(_ROLL.of(prefix, at, at + WORD))
-    after, before = np.full(len(word), -1), np.full(len(word), -1)
-    two = np.flatnonzero(inside + WORD < count[owner])  # suffixes of two words: the windows
+    kind = np.int32 if len(data) < 1 << 31 else np.int64
+    at = ragged(start[lead], count).astype(kind)
+    owner = np.repeat(np.arange(len(lead), dtype=kind), count)
+    word = numbered(_words(data)[at])[1].astype(kind)
+    after, before = np.full(len(word), -1, kind), np.full(len(word), -1, kind)
+    end = (start + size)[lead].astype(kind)
+    two = np.flatnonzero(at <= end[owner] - 2 * WORD).astype(kind)  # suffixes of two words: the windows
     after[two], before[two + WORD] = word[two + WORD], word[two]
     cut = np.searchsorted(owner, np.flatnonzero(np.append(True, np.diff(shard[lead]) != 0)))
-    ends = np.append(cut[1:], len(word))
+    ends = np.append(cut[1:], len(owner))
     transforms = [Transform(word[a:z], after[a:z], before[a:z]) for a, z in zip(cut.tolist(), ends.tolist(), strict=True)]
+    del word, after, before
     z, place, common = merge(transforms)
     whole = [t.order[t.whole] + a for t, a in zip(transforms, cut.tolist(), strict=True)]
     base = np.cumsum([0] + [len(x) for x in whole])
+    n_places = len(at)
+    del transforms
     suffix = np.concatenate(whole)[base[z] + place]  # windows in order
+    del z, place, whole
     new = common < 2
     head = suffix[np.flatnonzero(new)[np.cumsum(new) - 1]]
     check = np.flatnonzero(head != suffix)
@@ -357,7 +386,7 @@ def first_documents(size: np.ndarray, shard: np.ndarray, least: np.ndarray, data
         for x, d in zip(names, doc[some].tolist(), strict=True):
             seen[x] = min(seen.get(x, d), d)
         best[some] = [seen[x] for x in names]
-    first = np.empty(len(word), np.int64)
+    first = np.empty(n_places, np.int64)
     first[suffix] = best
     return entry, size[lead] - SPAN + 1, first[two]
 

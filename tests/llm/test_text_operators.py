@@ -430,6 +430,29 @@ def brute_jaccard(docs):
     return sorted(((d, len(sets[i]), least(i) if sets[i] else d) for i, (d, _) in enumerate(docs)), key=repr)
 
 
+def test_merging_holds_little_beside_its_bytes(monkeypatch):
+    import tracemalloc
+
+    from corvane.llm import op1_suffixes
+    from corvane.llm.blocks import Rolling
+
+    monkeypatch.setattr(op1_suffixes, "_ROLL", Rolling(211))
+    r = np.random.default_rng(33)
+    base = [r.integers(97, 123, int(n)).astype(np.uint8) for n in r.integers(50, 77, 15_000)]
+    pick = r.integers(0, len(base), 40_000)
+    size, data = np.array([len(base[k]) for k in pick]), np.concatenate([base[k] for k in pick])
+    tracemalloc.start()
+    try:
+        entry, _, _ = op1_suffixes.first_documents(size, np.repeat(np.arange(40), 1000), r.integers(0, 10**6, len(pick)), data)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(set(entry.tolist())) == len(set(pick.tolist()))
+    # The powers of the hash stay with the worker, so they don't follow the size of a bucket.
+    assert op1_suffixes._ROLL.powers.nbytes <= 8 << 20
+    assert peak < 36 * len(data)
+
+
 def test_strips_of_a_large_group_meet_only_near_ones(monkeypatch):
     from corvane.llm import op5_windows
 
