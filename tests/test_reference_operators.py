@@ -339,3 +339,33 @@ def test_agreement_beyond_chance_against_all_permutations(spark):
     assert abs(got(a, a) - 1) < 1e-9 and abs(got([0, 0, 0, 0], [0, 1, 2, 3])) < 1e-9 and got([0, 0], [1, 1]) == 1
     facts = spark.range(200).select(S.log_factorial(F.col("id").cast("double"))).collect()
     assert max(abs(x - math.lgamma(k + 1)) for k, (x,) in enumerate(facts)) < 1e-9
+
+
+def test_terms_are_counted_once_and_by_genre(spark):
+    import random
+    from collections import Counter
+
+    from corvane.operators import terms as M
+
+    r = random.Random(5)
+    words = ["a1", "ba1", "oo", "o", "foo", "bar", "ar", "b", "the"]
+    docs = [(i, " ".join(r.choices(words, k=r.randrange(9))), r.choice(["x", "y", None])) for i in range(80)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, genre string")
+    counts = M.genre_counts(M.candidate_terms(d), d)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(term") == 1 and "Expand" not in plan
+    want = Counter()
+    for _, text, g in docs:
+        w = text.split()
+        for t in {" ".join(w[i : i + n]) for n in (2, 3) for i in range(len(w) - n + 1) if "the" not in (w[i], w[i + n - 1])}:
+            want[t, g] += 1
+    total = Counter()
+    for (t, _), n in want.items():
+        total[t] += n
+    rows = M.genre_frequencies(counts).collect()
+    assert Counter((x["term"], x["genre"], x["df"]) for x in rows) == Counter([(t, g, n) for (t, g), n in want.items()] + [(t, None, n) for t, n in total.items()])
+    found = M.c_values(counts.select("term", "frequency"))
+    for x in found.collect():
+        holders = [n for t, n in total.items() if len(t.split()) > len(x["term"].split()) and x["term"] in t]
+        mean = sum(holders) / len(holders) if holders else 0
+        assert abs(x["c_value"] - math.log2(len(x["term"].split())) * (total[x["term"]] - mean)) < 1e-5, x
