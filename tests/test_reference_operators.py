@@ -369,3 +369,17 @@ def test_terms_are_counted_once_and_by_genre(spark):
         holders = [n for t, n in total.items() if len(t.split()) > len(x["term"].split()) and x["term"] in t]
         mean = sum(holders) / len(holders) if holders else 0
         assert abs(x["c_value"] - math.log2(len(x["term"].split())) * (total[x["term"]] - mean)) < 1e-5, x
+
+
+def test_components_within_blocks(spark):
+    import random
+
+    r = random.Random(4)
+    edges = [(f"s{r.randrange(40)}:{d}", f"p{r.randrange(60)}:{d}", d) for d in (r.choice([1, 1, 1, 1, 2, 3, 4]) for _ in range(300))]
+    t = spark.createDataFrame(edges, "s string, o string, d int")
+    want = {x["node"]: x["root"] for x in components(t).collect()}
+    for most in (1000, 60, 25):  # no block is split, the largest is, all are
+        got = components(t, "d", most)
+        assert got.count() == len(want) and {x["node"]: x["root"] for x in got.collect()} == want
+    whole = components(t, "d")._jdf.queryExecution().executedPlan().toString()
+    assert whole.count("Exchange hashpartitioning") == 1 and "Scan ExistingRDD" not in whole.split("MapInArrow")[0]
