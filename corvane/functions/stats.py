@@ -124,7 +124,12 @@ def ami(labels: DataFrame, a: str, b: str) -> DataFrame:
     sizes = lambda c, s, m: labels.groupBy(c).agg(F.count("*").alias(s)).groupBy(s).agg(F.count("*").alias(m))
     info = _information(labels, a, b)
     t = sizes(a, "x", "mx").crossJoin(sizes(b, "y", "my")).crossJoin(F.broadcast(info.select("t")))
-    t = t.withColumn("n", F.explode(F.sequence(F.greatest(F.lit(1), F.col("x") + F.col("y") - F.col("t").cast("long")), F.least("x", "y"))))
+    # By Hoeffding's bound, chance is under exp(-2 d * d / least(x, y)) at d from its mean: beyond ``far`` under exp(-800), which is 0 as a double.
+    least, mean = F.least("x", "y"), F.col("x") * (F.col("y") / F.col("t"))
+    far = F.ceil(F.sqrt(least * 400.0)) + 1
+    low = F.greatest(F.lit(1), F.col("x") + F.col("y") - F.col("t").cast("long"), F.floor(mean) - far)
+    high = F.least("x", "y", F.ceil(mean) + far)
+    t = t.where(low <= high).repartition("x", "y").withColumn("n", F.explode(F.sequence(low, high)))
     x, y, n, rows = (F.col(c).cast("double") for c in ("x", "y", "n", "t"))
     g = log_factorial
     chance = F.exp(g(x) + g(y) + g(rows - x) + g(rows - y) - g(rows) - g(n) - g(x - n) - g(y - n) - g(rows - x - y + n))

@@ -383,3 +383,10 @@ def test_components_within_blocks(spark):
         assert got.count() == len(want) and {x["node"]: x["root"] for x in got.collect()} == want
     whole = components(t, "d")._jdf.queryExecution().executedPlan().toString()
     assert whole.count("Exchange hashpartitioning") == 1 and "Scan ExistingRDD" not in whole.split("MapInArrow")[0]
+
+
+def test_chance_is_summed_only_where_it_is_not_nought(spark):
+    many = spark.range(2_000_000).select((F.col("id") % 2).alias("a"), (F.col("id") % 3).alias("b"))
+    got = S.ami(many, "a", "b")
+    n = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(x" in n and abs(got.first()[0]) < 1e-6
