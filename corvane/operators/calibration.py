@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 # Genres that were dropped, primary question types, and predicates that join no classes.
 DROPPED = ("PRC", "CAR", "STR", "ERP", "MES")
@@ -15,14 +16,87 @@ NO_JOIN = (
 SEVERITY = ("critical", "important", "minor", "info")
 
 
+def _slot(keys):
+    import numpy as np
+
+    return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+
+
+def _holders(wanted: list[bytes], owners: list[list[int]], piece: int = 1 << 20):
+    """Batches of (genre, low) to (genre, owners): the owners of the wanted texts that each document holds, each once.
+
+    Each place of a batch is looked up by its next 8, 4 or 2 bytes or 1; where those are a wanted text's, all its bytes are compared.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        schema = pa.schema([("genre", pa.string()), ("owners", pa.list_(pa.int32()))])
+        sizes, whole, classes = np.array([len(w) for w in wanted]), [np.frombuffer(w, np.uint8) for w in wanted], []
+        for n in (8, 4, 2, 1):
+            mine = np.array([i for i, w in enumerate(wanted) if n <= len(w) and (n == 8 or len(w) < 2 * n)], np.int64)
+            if len(mine):
+                keys = np.array([int.from_bytes(wanted[i][:n], "little") for i in mine], np.uint64)
+                mark = np.zeros(1 << 16, bool)
+                mark[_slot(keys)] = True
+                order = np.argsort(keys, kind="stable")
+                classes.append((n, mine[order], keys[order], mark))
+
+        def holds(data, ends):
+            found, docs = [np.zeros((0, 2), np.int64)], np.arange(len(ends) - 1)
+            for o in [o for i, w in enumerate(wanted) if not w for o in owners[i]]:
+                found.append(np.stack([docs, np.full(len(docs), o)], 1))
+            for left in range(0, len(data), piece):
+                some = np.concatenate([data[left : left + piece + 8], np.zeros(8, np.uint8)])
+                grams = {1: some.astype(np.uint64)}
+                for n in (1, 2, 4):
+                    grams[2 * n] = grams[n][:-n] | (grams[n][n:] << np.uint64(8 * n))
+                for n, mine, keys, mark in classes:
+                    g = grams[n][: min(piece, len(data) - left)]
+                    at = np.flatnonzero(mark[_slot(g)])
+                    first, last = np.searchsorted(keys, g[at], "left"), np.searchsorted(keys, g[at], "right")
+                    for k in range(int((last - first).max(initial=0))):
+                        more = first + k < last
+                        text, place = mine[(first + k)[more]], at[more] + left
+                        doc = np.searchsorted(ends, place, "right") - 1
+                        fits = place + sizes[text] <= ends[doc + 1]
+                        text, place, doc = text[fits], place[fits], doc[fits]
+                        for i in np.unique(text):
+                            p, d = place[text == i], doc[text == i]
+                            for j in range(n, sizes[i]):
+                                same = data[p + j] == whole[i][j]
+                                p, d = p[same], d[same]
+                            d = np.unique(d)
+                            found += [np.stack([d, np.full(len(d), o)], 1) for o in owners[i]]
+            return np.unique(np.concatenate(found), axis=0)
+
+        for batch in batches:
+            low = batch["low"]
+            ends = np.frombuffer(low.buffers()[1], np.int32)[low.offset : low.offset + len(low) + 1]
+            data = np.frombuffer(low.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if len(low) else np.zeros(0, np.uint8)
+            pairs = holds(data, ends - ends[0])
+            at = np.searchsorted(pairs[:, 0], np.arange(len(low) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch["genre"].cast(pa.string()), pa.ListArray.from_arrays(pa.array(at), pa.array(pairs[:, 1].astype(np.int32)))], schema=schema)
+
+    return run
+
+
 def pattern_hits(docs: DataFrame, patterns: DataFrame, genres: DataFrame) -> DataFrame:
     """(pattern_id, genre, hits): documents that hold any alternative; genres without hits are there with 0.
 
-    ``patterns`` (pattern_id, alternates) is broadcast: it is a hand-written asset, not data.
+    ``patterns`` (pattern_id, alternates) is a hand-written asset, not data: its texts go to all tasks, which search for all of them at once.
     """
-    low = docs.select("genre", F.lower("text").alias("low"))
-    hit = low.join(F.broadcast(patterns), F.exists("alternates", lambda a: F.contains(F.col("low"), F.lower(a))))
-    n = hit.groupBy("pattern_id", "genre").agg(F.count("*").alias("hits"))
+    rows = patterns.select("pattern_id", F.transform("alternates", lambda a: F.lower(a).cast("binary")).alias("texts")).collect()
+    texts: dict[bytes, list[int]] = {}
+    for i, r in enumerate(rows):
+        for w in {bytes(w) for w in r["texts"] or [] if w is not None}:
+            texts.setdefault(w, []).append(i)
+    ids = StructType([StructField("i", IntegerType()), StructField("pattern_id", patterns.schema["pattern_id"].dataType)])
+    names = patterns.sparkSession.createDataFrame([(i, r["pattern_id"]) for i, r in enumerate(rows)], ids)
+    low = docs.where("text is not null").select("genre", F.lower("text").cast("binary").alias("low"))
+    found = low.mapInArrow(_holders(list(texts), list(texts.values())), "genre string, owners array<int>").select("genre", F.explode("owners").alias("i"))
+    n = found.groupBy("i", "genre").agg(F.count("*").alias("n")).join(F.broadcast(names), "i").groupBy("pattern_id", "genre").agg(F.sum("n").alias("hits"))
     return patterns.select("pattern_id").crossJoin(F.broadcast(genres)).join(n, ["pattern_id", "genre"], "left").select("pattern_id", "genre", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
 
 
