@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as X
 from corvane.functions.stats import wilson
 from corvane.operators.graph import LABEL, OWL, RDFS, TYPE
+from corvane.plans.fixpoint import stored
 
 SKOS_DEFINITION = "http://www.w3.org/2004/02/skos/core#definition"
 
@@ -27,26 +28,53 @@ def schema_view(ontology: DataFrame) -> DataFrame:
     return t.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
+#: Distinct labels that are broadcast with what they mean at most.
+LABELS = 200_000
+
+
+def _meanings(rows: DataFrame, labels: DataFrame, column: str, meanings: DataFrame, norm: str) -> DataFrame:
+    """Rows with the meaning of a label of ``labels`` (raw, norm), a missing one included."""
+    known = labels.join(F.broadcast(meanings), labels["norm"] == meanings[norm]).drop("norm", norm)
+    if known.limit(LABELS + 1).count() <= LABELS:
+        known = F.broadcast(known)
+    return rows.join(known, F.col(column).eqNullSafe(F.col("raw")), "left").drop("raw")
+
+
 def conform(extracted: DataFrame, schema: DataFrame) -> DataFrame:
     """Extracted triples with a status, in the order of the checks: predicate, subject type, literal, object type."""
-    props = F.broadcast(schema.where("kind <> 'class'").select(F.col("norm").alias("pn"), F.col("iri").alias("p_iri"), (F.col("kind") == "data").alias("is_data"), F.col("label").alias("predicate_label")))
+    props = schema.where("kind <> 'class'").select(F.col("norm").alias("pn"), F.col("iri").alias("p_iri"), (F.col("kind") == "data").alias("is_data"), F.col("label").alias("predicate_label"))
     cls = schema.where("kind = 'class'")
-    s_cls = F.broadcast(cls.select(F.col("norm").alias("sn"), F.col("iri").alias("s_type")))
-    o_cls = F.broadcast(cls.select(F.col("norm").alias("on"), F.col("iri").alias("o_type")))
-    t = extracted.withColumn("pn", X.normalise_label(F.col("predicate"))).withColumn("sn", X.normalise_label(F.col("subject_type"))).withColumn("on", X.normalise_label(F.coalesce("object_type", F.lit(""))))
-    t = t.join(props, "pn", "left").join(s_cls, "sn", "left").join(o_cls, "on", "left")
+    # Stored before they are normalised: else the planner would filter all rows by their normalised labels.
+    labels = stored(extracted.select(F.explode(F.array("predicate", "subject_type", "object_type")).alias("raw")).distinct())
+    labels = stored(labels.select("raw", X.normalise_label(F.col("raw")).alias("norm")))
+    t = _meanings(extracted, labels, "predicate", props, "pn")
+    t = _meanings(t, labels, "subject_type", cls.select(F.col("norm").alias("sn"), F.col("iri").alias("s_type")), "sn")
+    t = _meanings(t, labels, "object_type", cls.select(F.col("norm").alias("on"), F.col("iri").alias("o_type")), "on")
     literal = F.col("is_literal") | F.col("is_data")
     status = F.when(F.col("p_iri").isNull(), "unknown_predicate").when(F.col("s_type").isNull(), "unknown_subject_type").when(literal & ~F.col("is_data"), "literal_for_object_property").when(~literal & F.col("o_type").isNull(), "unknown_object_type").otherwise("kept")
     t = t.withColumn("status", status).withColumn("s_iri", X.individual_iri(F.col("subject")))
-    node = F.when(F.coalesce("is_data", F.lit(False)), F.col("object")).otherwise(X.individual_iri(F.col("object")))
-    return t.withColumn("o_node", node).withColumn("o_is_literal", F.coalesce("is_data", F.lit(False))).drop("pn", "sn", "on")
+    return t.withColumn("o_node", F.when(F.coalesce("is_data", F.lit(False)), F.col("object")).otherwise(X.individual_iri(F.col("object")))).withColumn("o_is_literal", F.coalesce("is_data", F.lit(False)))
 
 
 def conformance_tally(conformed: DataFrame, order: list[str]) -> DataFrame:
-    """Counts by status; repeats of a kept triple are counted as duplicates and stay kept."""
-    w = Window.partitionBy("status", "s_iri", "p_iri", "o_node").orderBy(*order)
-    kept = conformed.where("status = 'kept'").withColumn("r", F.row_number().over(w)).agg(F.count_if(F.col("r") > 1).alias("n")).select(F.lit("duplicates").alias("status"), "n")
-    return conformed.groupBy("status").agg(F.count("*").alias("n")).union(kept)
+    """Counts by status; repeats of a kept triple are counted as duplicates and stay kept, whichever comes first in ``order``.
+
+    Rows of the same words are counted first, so that their nodes are made once.
+    """
+    kept = F.col("status") == "kept"
+    same = conformed.groupBy("status", *[F.when(kept, F.col(c)).alias(c) for c in ("subject", "p_iri", "object", "is_data")]).agg(F.count("*").alias("n"))
+    same = stored(same)
+    data = F.coalesce("is_data", F.lit(False))
+    label = same.where(kept).select(F.col("subject").alias("raw")).union(same.where(kept & ~data).select("object")).distinct()
+    # A label's node is made once; a missing label has a node too.
+    iri = stored(label.select("raw", X.individual_iri(F.col("raw")).alias("iri")))
+    at = lambda c, n: iri.select(F.coalesce("raw", F.lit("")).alias(f"{c}_key"), F.col("raw").isNull().alias(f"{c}_none"), F.col("iri").alias(n))
+    t = same.where(kept)
+    for c, n in (("subject", "s_iri"), ("object", "o_iri")):
+        t = t.withColumn(f"{c}_key", F.coalesce(c, F.lit(""))).withColumn(f"{c}_none", F.col(c).isNull()).join(at(c, n), [f"{c}_key", f"{c}_none"], "left")
+    node = t.groupBy("s_iri", "p_iri", F.when(data, F.col("object")).otherwise(F.col("o_iri")).alias("o_node")).agg(F.sum("n").alias("n"))
+    repeats = node.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("n")).select(F.lit("duplicates").alias("status"), "n")
+    return same.groupBy("status").agg(F.sum("n").alias("n")).union(repeats)
 
 
 def assembled(conformed: DataFrame) -> DataFrame:

@@ -390,3 +390,31 @@ def test_chance_is_summed_only_where_it_is_not_nought(spark):
     got = S.ami(many, "a", "b")
     n = got._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(x" in n and abs(got.first()[0]) < 1e-6
+
+
+def test_patterns_are_searched_at_once(spark):
+    import random
+
+    r = random.Random(2)
+    text = lambda n: "".join(r.choices("aB é", k=n))
+    docs = [(text(r.randrange(60)), r.choice("xy")) for _ in range(200)] + [(None, "x"), ("", "y")]
+    pats = [(i, [text(r.choice([1, 2, 3, 5, 8, 9])) for _ in range(2)]) for i in range(40)] + [(40, [docs[0][0]]), (41, [""]), (42, [None, "a"]), (43, [])]
+    got = C.pattern_hits(spark.createDataFrame(docs, "text string, genre string"), spark.createDataFrame(pats, "pattern_id long, alternates array<string>"), spark.createDataFrame([("x",), ("y",), ("z",)], "genre string"))
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()  # no join of all documents and patterns
+    want = {(i, g): sum(x is not None and h == g and any(a is not None and a.lower() in x.lower() for a in al) for x, h in docs) for i, al in pats for g in "xyz"}
+    assert {(x["pattern_id"], x["genre"]): x["hits"] for x in got.collect()} == want
+    from corvane.operators.calibration import _holders
+    import pyarrow as pa
+
+    low = [(x or "").lower().encode() for x, _ in docs]
+    small = list(_holders([b"ab", b"a b a b a", b""], [[0], [1, 2], [3]], 16)([pa.RecordBatch.from_arrays([pa.array(["x"] * len(low)), pa.array(low, pa.binary())], ["genre", "low"])]))[0]
+    assert small["owners"].to_pylist() == [[0] * (b"ab" in x) + [1, 2] * (b"a b a b a" in x) + [3] for x in low]
+
+
+def test_labels_are_normalised_once(spark):
+    schema = spark.createDataFrame([("class", "part", "c:Part", "Part"), ("object", "made of", "p:of", "made of"), ("data", "size", "p:size", "size")], "kind string, norm string, iri string, label string")
+    rows = [("Part 1", "Parts", "Made Of", "steel", "part", False), ("part 1", "part", "made of", "Steel", "Parts", False), ("part 1", "part", "made of", None, "part", False), (None, "part", "size", "5", None, True), (None, "part", "size", "5", None, True), ("part 1", None, "made of", "x", "part", False), ("part 1", "part", None, "x", "part", False)]
+    c = K.conform(spark.createDataFrame(rows, "subject string, subject_type string, predicate string, object string, object_type string, is_literal boolean"), schema)
+    assert {r["status"]: r["n"] for r in K.conformance_tally(c, ["subject"]).collect()} == {"kept": 5, "unknown_subject_type": 1, "unknown_predicate": 1, "duplicates": 2}
+    plan = c.select("status")._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in plan  # labels of rows are looked up
